@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-TOPICS = ("reshaping",)
+TOPICS = ("reshaping", "filtering", "aggregation")
 
 
 def load():

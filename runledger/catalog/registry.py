@@ -63,3 +63,39 @@ commits AS (
          'author-' || o_custkey AS author, o_orderdate AS date
   FROM orders)
 """
+
+
+def t_critical_sql(stats: str) -> str:
+    """Common table expressions giving ``tcrit(n, t)`` for every group size ``n`` of a table.
+
+    Bisection on the finite trigonometric sums of the t distribution; above 1001 values the expansion
+    about the normal quantile.
+    """
+    theta, even, odd = (
+        "atan(mid / sqrt(n - 1))",
+        "exp(lgamma(2 * j + 1) - j * ln(4) - 2 * lgamma(j + 1)) * pow(cos(th), 2 * j)",
+        "exp(j * ln(4) + 2 * lgamma(j + 1) - lgamma(2 * j + 2)) * pow(cos(th), 2 * j + 1)",
+    )
+    z = 1.959963984540054
+    g = (
+        (z**3 + z) / 4,
+        (5 * z**5 + 16 * z**3 + 3 * z) / 96,
+        (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384,
+        (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160,
+    )
+    series = " + ".join(f"{c!r} / pow(n - 1, {i + 1})" for i, c in enumerate(g))
+    return f"""
+bisect AS (
+  SELECT DISTINCT n, 0.0::DOUBLE AS lo, 20.0::DOUBLE AS hi, 0 AS it FROM {stats} WHERE n BETWEEN 2 AND 1001
+  UNION ALL
+  SELECT n, CASE WHEN inside < 0.95 THEN mid ELSE lo END, CASE WHEN inside < 0.95 THEN hi ELSE mid END, it + 1
+  FROM (SELECT *, CASE WHEN n % 2 = 1
+      THEN sin(th) * list_sum(list_transform(range(0, (n - 1) // 2), lambda j: {even}))
+      ELSE 2 / pi() * (th + CASE WHEN n > 2
+          THEN sin(th) * list_sum(list_transform(range(0, (n - 2) // 2), lambda j: {odd})) ELSE 0 END) END AS inside
+    FROM (SELECT *, {theta} AS th FROM (SELECT *, (lo + hi) / 2 AS mid FROM bisect WHERE it < 60)))),
+tcrit AS (
+  SELECT n, (lo + hi) / 2 AS t FROM bisect WHERE it = 60
+  UNION ALL
+  SELECT DISTINCT n, {z!r} + {series} FROM {stats} WHERE n > 1001)
+"""

@@ -10,7 +10,7 @@ from runledger.functions.dates import human_interval
 from runledger.functions.tails import t_critical
 from runledger.operators.ordering import running_total
 from runledger.operators.quantiles import group_percentiles
-from runledger.sizing import quoted, same_keys
+from runledger.sizing import keyed_join, quoted
 
 QUANTILES = {"median": 0.5, "p25": 0.25, "p50": 0.5, "p75": 0.75}
 METRICS = ("n", "mean", "median", "min", "max", "std", "p25", "p50", "p75", "ci")
@@ -47,10 +47,7 @@ def point_stats(
     stats = rows.groupBy(*columns).agg(*[plain[m].alias(m) for m in needed or ["n"]])
     if probabilities:
         parts = group_percentiles(rows, keys, value, probabilities, limit)
-        joined = stats.join(parts, same_keys(stats, parts, keys), "left")
-        stats = joined.select(
-            *[stats[quoted(k)] for k in keys], *[stats[m] for m in needed], *[parts[m] for m in probabilities]
-        )
+        stats = keyed_join(stats, parts, keys, "left")
     if "ci" in metrics:
         stats = stats.withColumn("ci", ci_half_width(F.col("n"), F.col("std")))
     return stats.select(*columns, *metrics)
@@ -145,9 +142,7 @@ def extra_variables(
     result = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("items"), *aggregates)
     for target, source in medians.items():
         part = group_percentiles(rows, keys, source, {target: 0.5}, limit)
-        result = result.join(part, same_keys(result, part, keys), "left").select(
-            *[result[quoted(c)] for c in result.columns], part[quoted(target)]
-        )
+        result = keyed_join(result, part, keys, "left")
     return result
 
 
@@ -187,8 +182,7 @@ def with_group_bounds(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     columns = [F.col(quoted(k)) for k in keys]
     v = F.col(quoted(value))
     bounds = df.groupBy(*columns).agg(F.min(v).alias("low"), F.max(v).alias("high"))
-    joined = df.join(bounds, same_keys(df, bounds, keys))
-    return joined.select(*[df[quoted(c)] for c in df.columns], bounds["low"], bounds["high"])
+    return keyed_join(df, bounds, keys)
 
 
 def minmax_scale(df: DataFrame, keys: list[str], value: str, name: str = "scaled") -> DataFrame:
@@ -231,8 +225,7 @@ def squeeze(df: DataFrame, series: list[str], x: str, n: int, limit: int | None
         one = F.format_string("group %s (1 item, %s)", letter, first.cast("string"))
         many = F.format_string("group %s (%d items, %s - %s)", letter, items, first.cast("string"), last.cast("string"))
     labels = spans.withColumn("squeeze_label", F.when(first == last, one).otherwise(many))
-    lookup = grouped.join(labels, same_keys(grouped, labels, [*series, "squeeze_no"])).select(
-        *[grouped[quoted(k)] for k in series], "__x", grouped["squeeze_no"], "squeeze_label"
+    lookup = keyed_join(grouped, labels, [*series, "squeeze_no"]).select(
+        *columns, F.col("__x").alias(x), "squeeze_no", "squeeze_label"
     )
-    joined = df.join(lookup, same_keys(df, lookup, series) & (df[quoted(x)] == lookup["__x"]))
-    return joined.select(*[df[quoted(c)] for c in df.columns], "squeeze_no", "squeeze_label")
+    return keyed_join(df, lookup, [*series, x])

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from runledger.session import ensure_checkpoint_dir
-from runledger.sizing import fits_one_task, quoted, same_keys
+from runledger.sizing import fits_one_task, keyed_join, quoted
 
 
 def anchored_clusters(
@@ -32,9 +32,8 @@ def anchored_clusters(
         numbered = _fold(points, keys)
     else:
         numbered = _jump(points, keys)
-    numbered = numbered.withColumnRenamed("__cluster", name)
-    same = same_keys(df, numbered, keys) & (df[quoted(seconds)] == numbered["__t"])
-    return df.join(numbered, same, "left").select(*[df[quoted(c)] for c in df.columns], numbered[name])
+    numbered = numbered.withColumnRenamed("__cluster", name).withColumnRenamed("__t", seconds)
+    return keyed_join(df, numbered, [*keys, seconds], "left")
 
 
 def _fold(points: DataFrame, keys: list[str]) -> DataFrame:
@@ -97,10 +96,10 @@ def _jump(points: DataFrame, keys: list[str]) -> DataFrame:
         .where("__from is not null")
         .select(*columns, (F.col("__cell") - 1).alias("__cell"), F.col("__from").alias("__t"), "__near")
     )
-    far = F.when(F.col("__cell_1") == near["__cell"] + 1, F.col("__first_2")).otherwise(F.col("__first_1"))
+    far = F.when(F.col("__cell_1") == F.col("__cell") + 1, F.col("__first_2")).otherwise(F.col("__first_1"))
     jumps = (
-        near.join(cells, same_keys(near, cells, [*keys, "__cell"]))
-        .select(*[near[quoted(k)] for k in keys], near["__t"], F.coalesce(near["__near"], far).alias("__next"))
+        keyed_join(near, cells, [*keys, "__cell"])
+        .select(*columns, "__t", F.coalesce("__near", far).alias("__next"))
         .where("__next is not null")
         .checkpoint()
     )
@@ -108,36 +107,29 @@ def _jump(points: DataFrame, keys: list[str]) -> DataFrame:
     starts = celled.groupBy(*columns).agg(F.min("__t").alias("__t")).checkpoint()
     count = starts.count()
     while True:
-        hop = starts.join(jumps, same_keys(starts, jumps, [*keys, "__t"]))
-        reached = hop.select(*[starts[quoted(k)] for k in keys], F.col("__next").alias("__t"))
+        reached = keyed_join(starts, jumps, [*keys, "__t"]).select(*columns, F.col("__next").alias("__t"))
         starts = starts.unionByName(reached).distinct().checkpoint()
         grown = starts.count()
         if grown == count:
             break
         count = grown
         right = jumps.select(*columns, F.col("__t").alias("__next"), F.col("__next").alias("__beyond"))
-        doubled = jumps.join(right, same_keys(jumps, right, [*keys, "__next"]))
-        jumps = doubled.select(
-            *[jumps[quoted(k)] for k in keys], jumps["__t"], F.col("__beyond").alias("__next")
-        ).checkpoint()
+        doubled = keyed_join(jumps, right, [*keys, "__next"])
+        jumps = doubled.select(*columns, "__t", F.col("__beyond").alias("__next")).checkpoint()
 
     # One row per cluster here, so the numbering window follows the time span as well.
     along = Window.partitionBy(*columns).orderBy("__t")
     numbered = starts.select(*columns, F.col("__t").alias("__start"), (F.row_number().over(along) - 1).cast("bigint").alias("__cluster"))
     # A time belongs to a start in its own cell or the one before.
     gaps = celled.select(*columns, "__gap").distinct()
-    owners = numbered.join(gaps, same_keys(numbered, gaps, keys)).select(
-        *[numbered[quoted(k)] for k in keys],
+    owners = keyed_join(numbered, gaps, keys).select(
+        *columns,
         "__start",
         "__cluster",
         F.explode(F.array(F.floor(F.col("__start") / F.col("__gap")), F.floor(F.col("__start") / F.col("__gap")) + 1)).alias("__cell"),
     )
-    matched = celled.join(
-        owners, same_keys(celled, owners, [*keys, "__cell"]) & (owners["__start"] <= celled["__t"])
-    )
-    return matched.groupBy(*[celled[quoted(k)] for k in keys], celled["__t"]).agg(
-        F.max("__cluster").alias("__cluster")
-    )
+    matched = keyed_join(celled, owners, [*keys, "__cell"], extra=F.col("__start") <= F.col("__t"))
+    return matched.groupBy(*columns, "__t").agg(F.max("__cluster").alias("__cluster"))
 
 
 def cluster_labels(df: DataFrame, keys: list[str], time: str, cluster: str = "cluster") -> DataFrame:

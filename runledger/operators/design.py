@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from runledger.sizing import quoted, same_keys
+from runledger.sizing import keyed_join, quoted
 
 
 def matrix(df: DataFrame, variables: dict[str, Column]) -> DataFrame:
@@ -76,9 +76,7 @@ def remaining_runs(plan: DataFrame, found: DataFrame, keys: list[str], spec: int
     ``found`` is already one row per index, so neither side has a hot key.
     """
     wanted, dynamic = repeat_spec(spec)
-    joined = plan.join(found, same_keys(plan, found, keys), "left").select(
-        *[plan[quoted(c)] for c in plan.columns], F.coalesce(found["found"], F.lit(0)).alias("found")
-    )
+    joined = keyed_join(plan, found, keys, "left").withColumn("found", F.coalesce("found", F.lit(0)))
     remaining = F.greatest(F.lit(wanted) - F.col("found"), F.lit(0)) if dynamic and keys else F.lit(wanted)
     return joined.withColumn("remaining", remaining.cast("bigint"))
 
@@ -98,7 +96,7 @@ def commit_backlog(commits: DataFrame, plan: DataFrame, found: DataFrame, commit
     wanted, dynamic = repeat_spec(spec)
     configurations = plan.select(*[F.col(quoted(k)) for k in keys]).distinct()
     total = configurations.count()
-    planned = found.join(configurations, same_keys(found, configurations, keys), "left_semi")
+    planned = keyed_join(found, configurations, keys)
     done = planned.where(F.col("found") >= wanted).groupBy(F.col(quoted(commit)).alias("__commit")).agg(
         F.count(F.lit(1)).alias("done"), F.sum("found").alias("found")
     )

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from runledger.session import ensure_checkpoint_dir
-from runledger.sizing import fits_one_task, lookup_side, quoted, same_keys
+from runledger.sizing import fits_one_task, keyed_join, lookup_side, quoted
 
 
 def running_total(
@@ -57,9 +57,9 @@ def running_total(
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     local = placed.withColumn("__local", F.sum("__weight").over(within))
-    joined = local.join(shifts, same_keys(local, shifts, [*keys, "__slice"]))
+    joined = keyed_join(local, shifts, [*keys, "__slice"])
     return joined.select(
-        *[local[quoted(c)] for c in df.columns], (F.col("__local") + F.col("__shift")).alias(name)
+        *[F.col(quoted(c)) for c in df.columns], (F.col("__local") + F.col("__shift")).alias(name)
     )
 
 
@@ -76,8 +76,7 @@ def previous_value(
         (F.col("__row") + 1).alias("__row"),
         F.col(quoted(column)).alias(name),
     )
-    joined = numbered.join(earlier, same_keys(numbered, earlier, [*keys, "__row"]), "left")
-    return joined.select(*[numbered[quoted(c)] for c in df.columns], earlier[quoted(name)])
+    return keyed_join(numbered, earlier, [*keys, "__row"], "left").drop("__row")
 
 
 def first_rows(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from runledger.session import ensure_checkpoint_dir
-from runledger.sizing import fits_one_task, lookup_side, quoted, same_keys
+from runledger.sizing import fits_one_task, keyed_join, lookup_side, quoted
 
 BINS = 1024
 
@@ -59,9 +59,7 @@ def _select(df: DataFrame, keys: list[str], probabilities: dict[str, float], lim
         if open_targets.isEmpty():
             break
         side = lookup_side(open_targets)
-        rows = df.join(
-            side, same_keys(df, side, keys) & df["__v"].between(side["low"], side["high"])
-        ).select(*[df[quoted(k)] for k in keys], "__v", "low", "high", "wanted")
+        rows = keyed_join(df, side, keys, extra=F.col("__v").between(F.col("low"), F.col("high")))
         # Halves keep the width finite for any pair of doubles.
         part = (F.col("__v") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2)
         bins = rows.groupBy(
@@ -100,7 +98,7 @@ def _select(df: DataFrame, keys: list[str], probabilities: dict[str, float], lim
     looked_up = values.groupBy(*columns).agg(
         F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at")
     )
-    joined = groups.join(looked_up, same_keys(groups, looked_up, keys))
+    joined = keyed_join(groups, looked_up, keys)
     result = []
     for name, p in probabilities.items():
         place = F.lit(p) * (F.col("size") - 1)
@@ -108,5 +106,5 @@ def _select(df: DataFrame, keys: list[str], probabilities: dict[str, float], lim
         # The weights Spark's own percentile uses.
         mixed = (F.ceil(place) - place) * below + (place - F.floor(place)) * above
         result.append(F.when(F.floor(place) == F.ceil(place), below).otherwise(mixed).alias(name))
-    return joined.select(*[groups[quoted(k)] for k in keys], *result)
+    return joined.select(*columns, *result)
 

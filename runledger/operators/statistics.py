@@ -17,7 +17,7 @@ from runledger.functions.tails import f_tail, t_tail
 from runledger.operators.aggregates import no_null_keys
 from runledger.operators.ordering import running_total
 from runledger.operators.quantiles import group_percentiles
-from runledger.sizing import quoted, same_keys
+from runledger.sizing import keyed_join, quoted
 
 
 def anova(df: DataFrame, tests: list[str], group: str, value: str, p_value: bool = True) -> DataFrame:
@@ -34,9 +34,7 @@ def anova(df: DataFrame, tests: list[str], group: str, value: str, p_value: bool
     )
     # Between-group squares as weighted central moments of the means about the first mean.
     shifts = levels.groupBy(*columns).agg(F.min("mean").alias("origin"))
-    joined = levels.join(shifts, same_keys(levels, shifts, tests)).select(
-        *[levels[quoted(k)] for k in tests], "n", "var", (F.col("mean") - F.col("origin")).alias("m")
-    )
+    joined = keyed_join(levels, shifts, tests).withColumn("m", F.col("mean") - F.col("origin"))
     totals = joined.groupBy(*columns).agg(
         F.count(F.lit(1)).alias("k"),
         F.sum("n").alias("n"),
@@ -107,12 +105,12 @@ def welch_against_baseline(df: DataFrame, tests: list[str], setting: str, value:
     base = stats.groupBy(*columns).agg(
         F.min_by(F.struct(F.col(quoted(setting)).alias("setting"), "n", "mean", "var"), quoted(setting)).alias("base")
     )
-    joined = stats.join(base, same_keys(stats, base, tests)).where(F.col("base.setting") != F.col(quoted(setting)))
+    joined = keyed_join(stats, base, tests).where(F.col("base.setting") != F.col(quoted(setting)))
     ea, eb = F.col("base.var") / F.col("base.n"), F.col("var") / F.col("n")
     t = F.try_divide(F.col("base.mean") - F.col("mean"), F.sqrt(ea + eb))
     dof = F.try_divide((ea + eb) * (ea + eb), ea * ea / (F.col("base.n") - 1) + eb * eb / (F.col("n") - 1))
     scored = joined.where((F.col("base.n") > 1) & (F.col("n") > 1)).select(
-        *[stats[quoted(k)] for k in tests],
+        *columns,
         F.col("base.setting").alias("setting_a"),
         F.col(quoted(setting)).alias("setting_b"),
         F.col("base.mean").alias("mean_a"),
@@ -138,8 +136,8 @@ def kruskal(df: DataFrame, tests: list[str], group: str, value: str, limit: int
     )
     per_level = rows.groupBy(*columns, F.col(quoted(group)), v.alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
     level_ranks = (
-        per_level.join(ranked, same_keys(per_level, ranked, [*tests, "__v"]))
-        .select(*[per_level[quoted(c)] for c in [*tests, group]], "__c", (F.col("__c") * F.col("__rank")).alias("__sum"))
+        keyed_join(per_level, ranked, [*tests, "__v"])
+        .withColumn("__sum", F.col("__c") * F.col("__rank"))
         .groupBy(*columns, F.col(quoted(group)))
         .agg(F.sum("__c").cast("double").alias("n"), F.sum("__sum").alias("ranks"))
     )
@@ -148,11 +146,11 @@ def kruskal(df: DataFrame, tests: list[str], group: str, value: str, limit: int
     )
     t = F.col("__ties").cast("double")
     tie_sums = ties.groupBy(*columns).agg(F.sum(t * t * t - t).alias("tied"))
-    joined = sums.join(tie_sums, same_keys(sums, tie_sums, tests))
+    joined = keyed_join(sums, tie_sums, tests)
     n = F.col("n")
     raw = F.lit(12.0) / (n * (n + 1)) * F.col("r2") - 3.0 * (n + 1)
     h = F.try_divide(raw, 1.0 - F.try_divide(F.col("tied"), n * n * n - n))
-    return joined.select(*[sums[quoted(k)] for k in tests], (F.col("k") - 1).alias("dof"), n.cast("bigint").alias("n"), h.alias("h"))
+    return joined.select(*columns, (F.col("k") - 1).alias("dof"), n.cast("bigint").alias("n"), h.alias("h"))
 
 
 def sampling_design(df: DataFrame, sizes: list[int], reps: int, seed: int) -> DataFrame:
@@ -244,21 +242,18 @@ def bootstrap_band(
     rows = no_null_keys(df, [*keys, value]).select(*columns, F.col(quoted(value)).alias("__v"))
     numbered = running_total(rows, keys, [F.col("__v")], name="__row", limit=limit)
     sizes = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("__n"), F.avg("__v").alias("mean"))
-    spread = numbered.join(sizes, same_keys(numbered, sizes, keys)).select(
-        *[numbered[quoted(k)] for k in keys], numbered["__row"], "__n"
-    )
+    spread = keyed_join(numbered, sizes, keys).select(*columns, "__row", "__n")
     picks = spread.withColumn("__draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     chance = F.pmod(F.xxhash64(*columns, "__row", "__draw", F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
     picks = picks.select(*columns, "__draw", (F.floor(chance * F.col("__n")) + 1).alias("__row"))
     means = (
-        picks.join(numbered, same_keys(picks, numbered, [*keys, "__row"]))
-        .select(*[picks[quoted(k)] for k in keys], "__draw", "__v")
+        keyed_join(picks, numbered, [*keys, "__row"])
         .groupBy(*columns, "__draw")
         .agg(F.avg("__v").alias("__mean"))
     )
     edge = (1.0 - confidence) / 2.0
     bands = group_percentiles(means, keys, "__mean", {"low": edge, "high": 1.0 - edge}, limit)
-    return sizes.join(bands, same_keys(sizes, bands, keys)).select(*[sizes[quoted(k)] for k in keys], "mean", "low", "high")
+    return keyed_join(sizes, bands, keys).select(*columns, "mean", "low", "high")
 
 
 def neighbours(df: DataFrame, keys: list[str], level: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from runledger.functions.numbers import ratio
 from runledger.functions.text import normalise_tag
-from runledger.sizing import quoted
+from runledger.sizing import quoted, spread
 
 # Output metric -> profiler field, fixed by the profiler's format.
 METRICS = {
@@ -23,17 +23,26 @@ METRICS = {
 }
 
 
-def bracket_depth(json: Column) -> Column:
-    """Deepest nesting of lists in a JSON text: an upper bound for the levels of its tree."""
-    outside = F.regexp_replace(json, r'"(\\.|[^"\\])*"', "")
-    brackets = F.split(F.regexp_replace(outside, r"[^\[\]]", ""), "")
+def bracket_shape(json: Column) -> Column:
+    """The list brackets of a JSON text, without those inside strings."""
+    return F.regexp_replace(F.regexp_replace(json, r'"(?:[^"\\]|\\.)*+"', ""), r"[^\[\]]++", "")
+
+
+def bracket_depth(shape: Column) -> Column:
+    """Deepest nesting of brackets: an upper bound for the levels of the document's tree."""
     state = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
 
     def step(acc: Column, char: Column) -> Column:
         now = acc["now"] + F.when(char == "[", 1).when(char == "]", -1).otherwise(0)
         return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
 
-    return F.aggregate(brackets, state, step, lambda acc: acc["most"])
+    return F.aggregate(F.split(shape, ""), state, step, lambda acc: acc["most"])
+
+
+def tree_levels(documents: DataFrame, json: str) -> int:
+    """Most levels of any document. Programs repeat their call trees, so few shapes are measured."""
+    shapes = documents.select(bracket_shape(F.col(quoted(json))).alias("shape")).distinct()
+    return shapes.agg(F.max(bracket_depth(F.col("shape")))).first()[0] or 0
 
 
 def tree_rows(df: DataFrame, key: str, json: str, normalise: bool = True) -> DataFrame:
@@ -41,8 +50,8 @@ def tree_rows(df: DataFrame, key: str, json: str, normalise: bool = True) -> Dat
 
     Paths join the tags, normalised unless asked otherwise. The walk starts at the first root child.
     """
-    documents = df.where(F.col(quoted(json)).isNotNull())
-    levels = documents.agg(F.max(bracket_depth(F.col(quoted(json))))).first()[0] or 0
+    documents = spread(df.where(F.col(quoted(json)).isNotNull()))
+    levels = tree_levels(documents, json)
 
     def tag_of(node: str) -> str:
         return f"variant_get({node}, '$.tag', 'string')"

@@ -10,7 +10,7 @@ from runledger.operators.aggregates import commit_stats, no_null_keys, point_mem
 from runledger.operators.filters import between_epochs, equal_to, members
 from runledger.operators.quantiles import group_percentiles
 from runledger.plans.options import SCALE_VIEW, TIME_SERIES, ChartOptions, EmptyResultError, FieldMapping
-from runledger.sizing import quoted, same_keys
+from runledger.sizing import keyed_join, quoted
 
 SMALL_NAME = "values &lt; %s"
 SMALL_PATH = "sum of the means of the values lesser than %s sec"
@@ -198,8 +198,9 @@ def frame_view(
     paths = bucketed.groupBy(*columns, "name").agg(
         F.min_by("path", F.struct(F.col("_id"), F.col("path"))).alias("path")
     )
-    joined = ranges.join(paths, same_keys(ranges, paths, keys)).select(
-        *[ranges[quoted(k)] for k in keys],
+    joined = keyed_join(ranges, paths, keys).select(
+        *columns,
+        "name",
         "path",
         round_even(F.col("low"), digits).alias("low"),
         round_even(F.col("high"), digits).alias("high"),

@@ -6,7 +6,7 @@ plan that splits any group. They measure the largest group first; nothing is ass
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Rows of one group that a single task may hold or sort.
 GROUP_ROWS = 1_000_000
@@ -32,14 +32,31 @@ def lookup_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread costly per-row work over the cores where the scan has fewer partitions than cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def quoted(name: str) -> str:
     """Column reference for a name that may contain dots or dashes."""
     return name if name.startswith("`") else f"`{name}`"
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: list[str]):
-    """Null-safe equality on all the keys."""
-    condition = F.lit(True)
-    for k in keys:
-        condition = condition & left[quoted(k)].eqNullSafe(right[quoted(k)])
-    return condition
+def keyed_join(
+    left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", extra: Column | None = None
+) -> DataFrame:
+    """Join on equal keys, nulls included, and any extra condition; keeps the left keys only.
+
+    Other columns must differ in name between the sides. The right side gets fresh columns, so both
+    sides may stem from one DataFrame.
+    """
+    fresh = {k: f"__right_{i}" for i, k in enumerate(keys)}
+    side = right.select(
+        *[F.col(quoted(k)).alias(f) for k, f in fresh.items()],
+        *[F.col(quoted(c)).alias(c) for c in right.columns if c not in fresh],
+    )
+    condition = F.lit(True) if extra is None else extra
+    for k, f in fresh.items():
+        condition = F.col(quoted(k)).eqNullSafe(F.col(f)) & condition
+    return left.join(side, condition, how).drop(*fresh.values())
