@@ -17,6 +17,7 @@ from runledger.functions.tails import f_tail, t_tail
 from runledger.operators.aggregates import no_null_keys
 from runledger.operators.ordering import running_total
 from runledger.operators.quantiles import group_percentiles
+from runledger.session import ensure_checkpoint_dir
 from runledger.sizing import keyed_join, quoted
 
 
@@ -158,7 +159,7 @@ def sampling_design(df: DataFrame, sizes: list[int], reps: int, seed: int) -> Da
 
     ``df`` has one row per experiment with ``n_a`` and ``n_b``, the sizes of its groups. A draw holds
     distinct row numbers of a group. Sizes above either group are skipped. Spark spreads the design
-    over tasks before drawing; a task draws one sample at a time.
+    over tasks before drawing, one Arrow batch of cells at a time.
     """
     listed = F.explode(F.array(*[F.lit(s) for s in sizes]))
     design = (
@@ -176,10 +177,13 @@ def sampling_design(df: DataFrame, sizes: list[int], reps: int, seed: int) -> Da
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for _, cell in batch.iterrows():
-                state = random.Random("/".join([str(seed), *[str(x) for x in cell.drop("n")]]))
-                picks = state.sample(range(1, int(cell["n"]) + 1), int(cell["sample_size"]))
-                yield pd.DataFrame({**cell.drop("n").to_dict(), "row_no": picks})
+            names = batch.columns.drop("n")
+            seeds = batch[names].astype(str).agg("/".join, axis=1)
+            numbers = [
+                random.Random(f"{seed}/{cell}").sample(range(1, int(n) + 1), int(size))
+                for cell, n, size in zip(seeds, batch["n"], batch["sample_size"], strict=True)
+            ]
+            yield batch[names].assign(row_no=numbers).explode("row_no").astype({"row_no": "int64"})
 
     return cells.mapInPandas(draw, schema)
 
@@ -239,7 +243,8 @@ def bootstrap_band(
     Each draw picks as many row numbers as the group has, with replacement, and averages those rows.
     """
     columns = [F.col(quoted(k)) for k in keys]
-    rows = no_null_keys(df, [*keys, value]).select(*columns, F.col(quoted(value)).alias("__v"))
+    ensure_checkpoint_dir(df.sparkSession)
+    rows = no_null_keys(df, [*keys, value]).select(*columns, F.col(quoted(value)).alias("__v")).checkpoint()
     numbered = running_total(rows, keys, [F.col("__v")], name="__row", limit=limit)
     sizes = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("__n"), F.avg("__v").alias("mean"))
     spread = keyed_join(numbered, sizes, keys).select(*columns, "__row", "__n")
@@ -250,6 +255,7 @@ def bootstrap_band(
         keyed_join(picks, numbered, [*keys, "__row"])
         .groupBy(*columns, "__draw")
         .agg(F.avg("__v").alias("__mean"))
+        .checkpoint()
     )
     edge = (1.0 - confidence) / 2.0
     bands = group_percentiles(means, keys, "__mean", {"low": edge, "high": 1.0 - edge}, limit)
