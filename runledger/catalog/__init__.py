@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-TOPICS = ("reshaping", "filtering", "aggregation", "ordering", "scalars", "testing")
+TOPICS = ("reshaping", "filtering", "aggregation", "ordering", "scalars", "testing", "dashboard", "planning", "intake")
 
 
 def load():
