@@ -160,7 +160,7 @@ def chart_members(spark, sf_dir):
 )
 def series_sizes(spark, sf_dir):
     options = ChartOptions.dashboard(split_charts_by=("problem.test",))
-    return views.series_sizes(views.charted(tables.reports(spark, sf_dir), tables.COARSE_MAPPING, options))
+    return views.series_sizes(tables.reports(spark, sf_dir), tables.COARSE_MAPPING, options)
 
 
 def drilled(spark, sf_dir):

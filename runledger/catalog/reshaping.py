@@ -8,6 +8,7 @@ from runledger.catalog.registry import REPORTS, TIMERS, WALLTIMES, query
 from runledger.functions.dates import epoch_seconds, parse_stamp, quarter_day
 from runledger.functions.text import normalise_tag, series_title, template_part
 from runledger.operators import reshape, tree
+from runledger.sizing import spread
 from runledger.sources import tables
 
 TREE_JSON = """
@@ -32,7 +33,7 @@ nodes AS (
 
 
 def trees(spark, sf_dir):
-    lines = tables.table(spark, sf_dir, "lineitem")
+    lines = spread(tables.table(spark, sf_dir, "lineitem"))
     run = F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("run")
     return lines.select(run, F.expr(TREE_JSON).alias("json"))
 

@@ -81,13 +81,9 @@ def t_quantile(df, confidence: float = 0.95) -> np.ndarray:
         return result
     small = usable & (df <= 1000)
     if small.any():
-        d = df[small]
-        low, high = np.zeros_like(d), np.full_like(d, 1e4 if confidence <= 0.999 else 1e8)
-        for _ in range(200):
-            middle = (low + high) / 2.0
-            above = t_two_sided(middle, d) > 1.0 - confidence
-            low, high = np.where(above, middle, low), np.where(above, high, middle)
-        result[small] = (low + high) / 2.0
+        # Many groups share a size, so each degree of freedom is solved once.
+        d, place = np.unique(df[small], return_inverse=True)
+        result[small] = _solve_t(d, confidence)[place]
     large = usable & ~small
     if large.any():
         # Expansion of the t quantile about the normal one in powers of 1/df; below 1e-15 here.
@@ -100,6 +96,23 @@ def t_quantile(df, confidence: float = 0.95) -> np.ndarray:
     return result
 
 
+def _solve_t(d: np.ndarray, confidence: float) -> np.ndarray:
+    """Newton's method on the two-sided tail, kept within a bracket that halves where a step leaves it."""
+    low, high = np.zeros_like(d), np.full_like(d, math.tan(math.pi * confidence / 2.0) * 1.001)
+    t = np.full_like(d, normal_quantile((1.0 + confidence) / 2.0))
+    scale = 2.0 * np.exp(_log_gamma((d + 1.0) / 2.0) - _log_gamma(d / 2.0)) / np.sqrt(d * math.pi)
+    for _ in range(200):
+        error = t_two_sided(t, d) - (1.0 - confidence)
+        low, high = np.where(error > 0, t, low), np.where(error > 0, high, t)
+        step = error / (scale * (1.0 + t * t / d) ** (-(d + 1.0) / 2.0))
+        guess = t + step
+        guess = np.where((guess > low) & (guess < high), guess, (low + high) / 2.0)
+        if np.all(np.abs(guess - t) <= 1e-15 * t):
+            return guess
+        t = guess
+    return t
+
+
 def normal_quantile(p: float) -> float:
     """Normal quantile by Newton's method on ``erfc``."""
     z = 0.0

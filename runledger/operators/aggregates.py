@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from runledger.functions.dates import human_interval
 from runledger.functions.tails import t_critical
 from runledger.operators.ordering import running_total
-from runledger.operators.quantiles import group_percentiles
+from runledger.operators.quantiles import aggregate_with_percentiles, group_percentiles
 from runledger.sizing import keyed_join, quoted
 
 QUANTILES = {"median": 0.5, "p25": 0.25, "p50": 0.5, "p75": 0.75}
@@ -44,10 +44,11 @@ def point_stats(
     }
     needed = [m for m in plain if m in metrics or ("ci" in metrics and m in ("n", "std"))]
     probabilities = {m: QUANTILES[m] for m in metrics if m in QUANTILES}
-    stats = rows.groupBy(*columns).agg(*[plain[m].alias(m) for m in needed or ["n"]])
+    aggregates = [plain[m].alias(m) for m in needed or ["n"]]
     if probabilities:
-        parts = group_percentiles(rows, keys, value, probabilities, limit)
-        stats = keyed_join(stats, parts, keys, "left")
+        stats = aggregate_with_percentiles(rows, keys, aggregates, value, probabilities, limit)
+    else:
+        stats = rows.groupBy(*columns).agg(*aggregates)
     if "ci" in metrics:
         stats = stats.withColumn("ci", ci_half_width(F.col("n"), F.col("std")))
     return stats.select(*columns, *metrics)

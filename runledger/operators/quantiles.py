@@ -15,20 +15,40 @@ BINS = 1024
 def group_percentiles(
     df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float], limit: int | None = None
 ) -> DataFrame:
-    """One row per group with one column per probability (linear interpolation; nulls are left out).
+    """One row per group with one column per probability (linear interpolation; nulls are left out)."""
+    return aggregate_with_percentiles(df, keys, [], value, probabilities, limit)
 
-    Spark's ``percentile`` keeps the distinct values of a group in one task, so it serves only while
-    the largest group is measured to fit. Larger groups are narrowed down by counting: see ``_select``.
+
+def aggregate_with_percentiles(
+    df: DataFrame,
+    keys: list[str],
+    aggregates: list[Column],
+    value: str,
+    probabilities: dict[str, float],
+    limit: int | None = None,
+    measured: DataFrame | None = None,
+) -> DataFrame:
+    """One row per group: named aggregates, and one percentile column per probability.
+
+    Spark's ``percentile`` keeps the distinct values of a group in one task, so it serves, together with
+    the other aggregates in one pass, only while the largest group is measured to fit. Larger groups are
+    narrowed down by counting: see ``_select``. ``measured`` is a cheaper table with the same groups.
     """
     columns = [F.col(quoted(k)) for k in keys]
-    known = df.select(*columns, F.col(quoted(value)).cast("double").alias("__v")).where("__v is not null")
-    if fits_one_task(known, keys, limit):
-        wanted = [F.percentile("__v", p).alias(name) for name, p in probabilities.items()]
-        return known.groupBy(*columns).agg(*wanted)
-    return _select(known, keys, probabilities, limit)
+    v = F.col(quoted(value)).cast("double")
+    if fits_one_task(df if measured is None else measured, keys, limit):
+        listed = F.percentile(v, F.array(*[F.lit(p) for p in probabilities.values()])).alias("__percentiles")
+        together = df.groupBy(*columns).agg(*aggregates, listed)
+        named = {name: F.col("__percentiles")[i] for i, name in enumerate(probabilities)}
+        return together.withColumns(named).drop("__percentiles")
+    known = df.select(*columns, v.alias("__v")).where("__v is not null")
+    percentiles = _select(known, keys, probabilities)
+    if not aggregates:
+        return percentiles
+    return keyed_join(df.groupBy(*columns).agg(*aggregates), percentiles, keys, "left")
 
 
-def _select(df: DataFrame, keys: list[str], probabilities: dict[str, float], limit: int | None) -> DataFrame:
+def _select(df: DataFrame, keys: list[str], probabilities: dict[str, float]) -> DataFrame:
     """Selection by repeated histograms.
 
     A target is an interval of values known to hold wanted ranks. Each round cuts every target in

@@ -1,7 +1,7 @@
 """Profiler trees: JSON documents whose nodes nest under ``children``.
 
-All levels of a document are walked inside its own row, level by level, so a document costs one pass
-and no shuffle. The number of levels is measured over the table first.
+A document is walked level by level in one pass over its rows, without a join. The number of levels is
+measured over the table first.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from runledger.functions.numbers import ratio
 from runledger.functions.text import normalise_tag
-from runledger.sizing import quoted, spread
+from runledger.sizing import quoted
 
 # Output metric -> profiler field, fixed by the profiler's format.
 METRICS = {
@@ -48,53 +48,47 @@ def tree_levels(documents: DataFrame, json: str) -> int:
 def tree_rows(df: DataFrame, key: str, json: str, normalise: bool = True) -> DataFrame:
     """One row per node in preorder: key, ``pos`` (the order), ``path``, ``parent``, ``tag`` and the node.
 
-    Paths join the tags, normalised unless asked otherwise. The walk starts at the first root child.
+    Paths join the tags, normalised unless asked otherwise. The walk starts at the first root child. Each
+    level adds the children of the nodes found last to the rows, so a document is read and parsed once.
     """
-    documents = spread(df.where(F.col(quoted(json)).isNotNull()))
-    levels = tree_levels(documents, json)
+    levels = tree_levels(df, json)
 
-    def tag_of(node: str) -> str:
-        return f"variant_get({node}, '$.tag', 'string')"
-
-    def shaped(tag: Column) -> Column:
+    def tag_of(node: str) -> Column:
+        tag = F.expr(f"try_variant_get({node}, '$.tag', 'string')")
         return normalise_tag(tag) if normalise else tag
 
-    walked = documents.select(
-        F.col(quoted(key)), F.expr(f"try_variant_get(try_parse_json(`{json}`), '$.children[0]', 'variant')").alias("root")
-    ).where("root is not null")
-    first = F.struct(
-        F.array(F.lit(0)).alias("pos"),
-        F.concat(F.lit("/"), shaped(F.expr(tag_of("root")))).alias("path"),
-        F.lit("").alias("parent"),
-        F.col("root").alias("node"),
-    )
-    walked = walked.select(quoted(key), F.array(first).alias("level_0"))
-
-    for depth in range(1, levels):
-        def children_of(item: Column) -> Column:
-            nodes = F.coalesce(F.try_variant_get(item["node"], "$.children", "array<variant>"), F.array().cast("array<variant>"))
-            return F.transform(
-                nodes,
-                lambda node, at: F.struct(
-                    F.concat(item["pos"], F.array(at)).alias("pos"),
-                    F.concat(item["path"], F.lit("/"), shaped(F.variant_get(node, "$.tag", "string"))).alias("path"),
-                    item["path"].alias("parent"),
-                    node.alias("node"),
-                ),
-            )
-
-        walked = walked.withColumn(f"level_{depth}", F.flatten(F.transform(f"level_{depth - 1}", children_of)))
-
-    every = F.concat(*[F.col(f"level_{d}") for d in range(max(levels, 1))])
-    rows = walked.select(quoted(key), F.explode(every).alias("item"))
-    return rows.select(
-        quoted(key),
-        "item.pos",
-        "item.path",
-        "item.parent",
-        shaped(F.expr(tag_of("item.node"))).alias("tag"),
-        F.col("item.node").alias("node"),
+    # Exploding drops documents without a root; a filter would be pushed down and parse them twice.
+    roots = f"slice(try_variant_get(try_parse_json(`{json}`), '$.children', 'array<variant>'), 1, 1)"
+    rows = (
+        df.select(F.col(quoted(key)), F.explode(F.expr(roots)).alias("node"))
+        .select("*", tag_of("node").alias("tag"))
+        .select(
+            quoted(key),
+            F.array(F.lit(0)).alias("pos"),
+            F.concat(F.lit("/"), "tag").alias("path"),
+            F.lit("").alias("parent"),
+            "tag",
+            "node",
+        )
     )
+    # A row yields itself (a null child in place 0) and, if it is of the last level, its children.
+    itself = "array(cast(null as variant))"
+    children = f"concat({itself}, coalesce(try_variant_get(node, '$.children', 'array<variant>'), array()))"
+    for level in range(1, levels):
+        grown = rows.select(
+            "*", F.posexplode(F.expr(f"if(size(pos) = {level}, {children}, {itself})")).alias("place", "child")
+        )
+        grown = grown.select("*", F.when(F.col("place") > 0, tag_of("child")).alias("child_tag"))
+        new = F.col("place") > 0
+        rows = grown.select(
+            quoted(key),
+            F.when(new, F.concat("pos", F.array(F.col("place") - 1))).otherwise(F.col("pos")).alias("pos"),
+            F.when(new, F.concat("path", F.lit("/"), "child_tag")).otherwise(F.col("path")).alias("path"),
+            F.when(new, F.col("path")).otherwise(F.col("parent")).alias("parent"),
+            F.when(new, F.col("child_tag")).otherwise(F.col("tag")).alias("tag"),
+            F.when(new, F.col("child")).otherwise(F.col("node")).alias("node"),
+        )
+    return rows
 
 
 def node_metrics(node: str = "node", processes: Column | None = None) -> list[Column]:

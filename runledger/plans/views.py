@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from runledger.functions.dates import epoch_seconds
 from runledger.functions.numbers import no_zero_cell, round_even
 from runledger.functions.text import series_title
 from runledger.operators.aggregates import commit_stats, no_null_keys, point_members, point_stats, small_values, squeeze
 from runledger.operators.filters import between_epochs, equal_to, members
-from runledger.operators.quantiles import group_percentiles
+from runledger.operators.quantiles import aggregate_with_percentiles
 from runledger.plans.options import SCALE_VIEW, TIME_SERIES, ChartOptions, EmptyResultError, FieldMapping
-from runledger.sizing import keyed_join, quoted
+from runledger.sizing import quoted
 
 SMALL_NAME = "values &lt; %s"
 SMALL_PATH = "sum of the means of the values lesser than %s sec"
@@ -39,41 +40,58 @@ def group_fields(mapping: FieldMapping, options: ChartOptions) -> dict[str, str]
     return names
 
 
-def charted(reports: DataFrame, mapping: FieldMapping, options: ChartOptions, limit: int | None = None) -> DataFrame:
-    """One row per report: ``chart``, ``series``, ``x`` (text), ``x_order``, value, commit and id.
+def charted(reports: DataFrame, mapping: FieldMapping, options: ChartOptions, limit: int | None = None) -> tuple[DataFrame, list[str]]:
+    """One row per report with its group fields, ``x``, ``y``, ``commit`` and ``_id``; and the point keys.
 
-    In the scale view x is the CPU count as text; ``x_order`` keeps its numeric order. Rows with a null
-    key are left out.
+    Rows with a null key are left out. In the scale view x is the CPU count. When squeezing, x is the
+    number of the group and ``x_label`` its text.
     """
     rows = selected_reports(reports, mapping, options)
-    groups = group_fields(mapping, options)
+    groups = list(group_fields(mapping, options))
     x = "problem.cpu" if options.mode == SCALE_VIEW else "git.datetime"
-    rows = no_null_keys(rows, [*groups, x])
-    chart_keys = [k for k in groups if k in options.split_charts_by]
-    series_keys = [k for k in groups if k not in options.split_charts_by]
-
-    def title(keys: list[str]) -> Column:
-        return series_title([groups[k] for k in keys], [F.col(quoted(k)) for k in keys])
-
-    rows = rows.select(
-        title(chart_keys).alias("chart"),
-        title(series_keys).alias("series"),
+    rows = no_null_keys(rows, [*groups, x]).select(
+        *[F.col(quoted(k)) for k in groups],
         F.col(quoted(x)).alias("x"),
         F.col("`result.duration`").cast("double").alias("y"),
         F.col("`git.commit`").alias("commit"),
         "_id",
     )
-    if options.squeeze > 1:
-        if options.mode == SCALE_VIEW:
-            rows = rows.withColumn("x", F.col("x").cast("string"))
-        rows = squeeze(rows, ["chart", "series"], "x", options.squeeze, limit)
-        rows = rows.withColumn("x", F.col("squeeze_label")).withColumn("x_order", F.col("squeeze_no").cast("double"))
-        return rows.drop("squeeze_no", "squeeze_label")
+    if options.squeeze <= 1:
+        return rows, [*groups, "x"]
     if options.mode == SCALE_VIEW:
-        return rows.withColumn("x_order", F.col("x").cast("double")).withColumn("x", F.col("x").cast("string"))
-    seconds = F.timestamp_diff("SECOND", F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"), F.col("x"))
-    return rows.withColumn("x_order", seconds.cast("double")).withColumn(
-        "x", F.date_format("x", "yyyy-MM-dd HH:mm:ss")
+        rows = rows.withColumn("x", F.col("x").cast("string"))
+    squeezed = squeeze(rows, groups, "x", options.squeeze, limit)
+    squeezed = squeezed.withColumn("x", F.col("squeeze_no")).withColumnRenamed("squeeze_label", "x_label")
+    return squeezed.drop("squeeze_no"), [*groups, "x", "x_label"]
+
+
+def titled(points: DataFrame, mapping: FieldMapping, options: ChartOptions) -> DataFrame:
+    """Replace the point keys by ``chart``, ``series``, ``x`` (text) and ``x_order``.
+
+    Done on aggregated points, so the texts are not shuffled with the reports. The scale view's x is the
+    CPU count as text; ``x_order`` keeps its numeric order.
+    """
+    groups = group_fields(mapping, options)
+    charts = [k for k in groups if k in options.split_charts_by]
+    series = [k for k in groups if k not in options.split_charts_by]
+
+    def title(keys: list[str]) -> Column:
+        return series_title([groups[k] for k in keys], [F.col(quoted(k)) for k in keys])
+
+    x = F.col("x")
+    if options.squeeze > 1:
+        label, order = F.col("x_label"), x
+    elif options.mode == SCALE_VIEW:
+        label, order = x.cast("string"), x
+    else:
+        label, order = F.date_format(x, "yyyy-MM-dd HH:mm:ss"), epoch_seconds(x)
+    rest = [c for c in points.columns if c not in (*groups, "x", "x_label")]
+    return points.select(
+        title(charts).alias("chart"),
+        title(series).alias("series"),
+        label.alias("x"),
+        order.cast("double").alias("x_order"),
+        *rest,
     )
 
 
@@ -125,20 +143,23 @@ def chart_view(reports: DataFrame, mapping: FieldMapping, options: ChartOptions,
     All charts and series come from one grouped aggregate over the keys.
     """
     metrics = options.metrics()
-    rows = charted(reports, mapping, options, limit)
-    points = point_stats(rows, ["chart", "series", "x", "x_order"], "y", metrics, limit)
+    rows, keys = charted(reports, mapping, options, limit)
+    points = titled(point_stats(rows, keys, "y", metrics, limit), mapping, options)
     return chart_series(points, options).orderBy("chart", "series", "x_order", "x", "series_name")
 
 
 def chart_members(reports: DataFrame, mapping: FieldMapping, options: ChartOptions, limit: int | None = None) -> DataFrame:
     """Commits and report ids behind every point, as rows."""
-    rows = charted(reports, mapping, options, limit)
-    return point_members(rows, ["chart", "series", "x"], {"commit": "commit", "_id": "_id"})
+    rows, keys = charted(reports, mapping, options, limit)
+    found = point_members(rows, keys, {"commit": "commit", "_id": "_id"})
+    return titled(found, mapping, options).drop("x_order")
 
 
-def series_sizes(points: DataFrame) -> DataFrame:
+def series_sizes(reports: DataFrame, mapping: FieldMapping, options: ChartOptions, limit: int | None = None) -> DataFrame:
     """Number of points of every series of a chart."""
-    return points.groupBy("chart", "series").agg(F.countDistinct("x").alias("size"))
+    rows, keys = charted(reports, mapping, options, limit)
+    points = titled(rows.select(*[F.col(quoted(k)) for k in keys]).distinct(), mapping, options)
+    return points.groupBy("chart", "series").agg(F.count(F.lit(1)).alias("size"))
 
 
 def require_rows(df: DataFrame, filters: dict | None = None) -> DataFrame:
@@ -194,11 +215,11 @@ def frame_view(
     columns = [F.col(quoted(k)) for k in series]
     bucketed = _with_small_bucket(rows, series, below)
     keys = [*series, "name"]
-    ranges = group_percentiles(bucketed, keys, "duration", {"low": 0.25, "high": 0.75}, limit)
-    paths = bucketed.groupBy(*columns, "name").agg(
-        F.min_by("path", F.struct(F.col("_id"), F.col("path"))).alias("path")
-    )
-    joined = keyed_join(ranges, paths, keys).select(
+    path = F.min_by("path", F.struct(F.col("_id"), F.col("path"))).alias("path")
+    quartiles = {"low": 0.25, "high": 0.75}
+    # The small-value rows add one to their group at most, so the plain rows are measured.
+    ranges = aggregate_with_percentiles(bucketed, keys, [path], "duration", quartiles, limit, measured=rows)
+    joined = ranges.select(
         *columns,
         "name",
         "path",

@@ -23,7 +23,9 @@ def largest_group(df: DataFrame, keys: list[str]) -> int:
 
 
 def fits_one_task(df: DataFrame, keys: list[str], limit: int | None = None) -> bool:
-    return largest_group(df, keys) <= (GROUP_ROWS if limit is None else limit)
+    """Whether no group has more rows than the limit; a table that is small as a whole needs no grouping."""
+    most = GROUP_ROWS if limit is None else limit
+    return df.count() <= most or largest_group(df, keys) <= most
 
 
 def lookup_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -33,7 +35,10 @@ def lookup_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread costly per-row work over the cores where the scan has fewer partitions than cores."""
+    """Spread costly per-row work over the cores where a scan has fewer partitions than there are cores.
+
+    For scans only: asking a plan with a shuffle for its partitions would run it.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
