@@ -22,7 +22,12 @@ def no_null_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def point_stats(
-    df: DataFrame, keys: list[str], value: str, metrics: tuple[str, ...] = METRICS, limit: int | None = None
+    df: DataFrame,
+    keys: list[str],
+    value: str,
+    metrics: tuple[str, ...] = METRICS,
+    limit: int | None = None,
+    bound: DataFrame | None = None,
 ) -> DataFrame:
     """The chosen metrics of ``value`` per group; rows with a null key are left out.
 
@@ -46,7 +51,7 @@ def point_stats(
     probabilities = {m: QUANTILES[m] for m in metrics if m in QUANTILES}
     aggregates = [plain[m].alias(m) for m in needed or ["n"]]
     if probabilities:
-        stats = aggregate_with_percentiles(rows, keys, aggregates, value, probabilities, limit)
+        stats = aggregate_with_percentiles(rows, keys, aggregates, value, probabilities, limit, bound)
     else:
         stats = rows.groupBy(*columns).agg(*aggregates)
     if "ci" in metrics:
@@ -212,7 +217,7 @@ def squeeze(df: DataFrame, series: list[str], x: str, n: int, limit: int | None
     """
     columns = [F.col(quoted(k)) for k in series]
     xs = no_null_keys(df, [*series, x]).select(*columns, F.col(quoted(x)).alias("__x")).distinct()
-    numbered = running_total(xs, series, [F.col("__x")], name="__no", limit=limit)
+    numbered = running_total(xs, series, [F.col("__x")], name="__no", limit=limit, bound=df)
     grouped = numbered.select(*columns, "__x", F.floor((F.col("__no") - 1) / F.lit(n)).alias("squeeze_no"))
     spans = grouped.groupBy(*columns, "squeeze_no").agg(
         F.min("__x").alias("first_x"), F.max("__x").alias("last_x"), F.count(F.lit(1)).alias("items")

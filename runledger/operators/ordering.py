@@ -20,6 +20,7 @@ def running_total(
     weight: Column | None = None,
     name: str = "row_no",
     limit: int | None = None,
+    bound: DataFrame | None = None,
 ) -> DataFrame:
     """Add the inclusive running total of ``weight`` (default 1: the row number from 1).
 
@@ -27,7 +28,7 @@ def running_total(
     """
     weight = F.lit(1).cast("bigint") if weight is None else weight
     columns = [F.col(quoted(k)) for k in keys]
-    if fits_one_task(df, keys, limit):
+    if fits_one_task(df, keys, limit, bound):
         along = Window.partitionBy(*columns).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(name, F.sum(weight).over(along))
 

@@ -26,17 +26,17 @@ def aggregate_with_percentiles(
     value: str,
     probabilities: dict[str, float],
     limit: int | None = None,
-    measured: DataFrame | None = None,
+    bound: DataFrame | None = None,
 ) -> DataFrame:
     """One row per group: named aggregates, and one percentile column per probability.
 
     Spark's ``percentile`` keeps the distinct values of a group in one task, so it serves, together with
     the other aggregates in one pass, only while the largest group is measured to fit. Larger groups are
-    narrowed down by counting: see ``_select``. ``measured`` is a cheaper table with the same groups.
+    narrowed down by counting: see ``_select``. ``bound`` is a cheaper table with at least as many rows.
     """
     columns = [F.col(quoted(k)) for k in keys]
     v = F.col(quoted(value)).cast("double")
-    if fits_one_task(df if measured is None else measured, keys, limit):
+    if fits_one_task(df, keys, limit, bound):
         listed = F.percentile(v, F.array(*[F.lit(p) for p in probabilities.values()])).alias("__percentiles")
         together = df.groupBy(*columns).agg(*aggregates, listed)
         named = {name: F.col("__percentiles")[i] for i, name in enumerate(probabilities)}

@@ -144,7 +144,7 @@ def chart_view(reports: DataFrame, mapping: FieldMapping, options: ChartOptions,
     """
     metrics = options.metrics()
     rows, keys = charted(reports, mapping, options, limit)
-    points = titled(point_stats(rows, keys, "y", metrics, limit), mapping, options)
+    points = titled(point_stats(rows, keys, "y", metrics, limit, bound=reports), mapping, options)
     return chart_series(points, options).orderBy("chart", "series", "x_order", "x", "series_name")
 
 
@@ -217,8 +217,7 @@ def frame_view(
     keys = [*series, "name"]
     path = F.min_by("path", F.struct(F.col("_id"), F.col("path"))).alias("path")
     quartiles = {"low": 0.25, "high": 0.75}
-    # The small-value rows add one to their group at most, so the plain rows are measured.
-    ranges = aggregate_with_percentiles(bucketed, keys, [path], "duration", quartiles, limit, measured=rows)
+    ranges = aggregate_with_percentiles(bucketed, keys, [path], "duration", quartiles, limit, bound=rows)
     joined = ranges.select(
         *columns,
         "name",

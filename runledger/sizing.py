@@ -22,10 +22,16 @@ def largest_group(df: DataFrame, keys: list[str]) -> int:
     return sizes.agg(F.max("rows")).first()[0] or 0
 
 
-def fits_one_task(df: DataFrame, keys: list[str], limit: int | None = None) -> bool:
-    """Whether no group has more rows than the limit; a table that is small as a whole needs no grouping."""
+def fits_one_task(
+    df: DataFrame, keys: list[str], limit: int | None = None, bound: DataFrame | None = None
+) -> bool:
+    """Whether no group has more rows than the limit.
+
+    A table that is small as a whole needs no grouping. ``bound`` is a cheaper table to count for that,
+    with at least as many rows.
+    """
     most = GROUP_ROWS if limit is None else limit
-    return df.count() <= most or largest_group(df, keys) <= most
+    return (df if bound is None else bound).count() <= most or largest_group(df, keys) <= most
 
 
 def lookup_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
