@@ -11,12 +11,13 @@ from runledger.operators import filters, history
 from runledger.operators.reshape import match_unwind_select
 from runledger.sources import tables
 
-SHORT = (
-    F.col("problem.test-name").alias("test"),
-    F.col("problem.cpu").alias("cpu"),
-    F.col("git.branch").alias("branch"),
-    F.col("result.duration").alias("duration"),
-)
+def short():
+    return [
+        F.col("problem.test-name").alias("test"),
+        F.col("problem.cpu").alias("cpu"),
+        F.col("git.branch").alias("branch"),
+        F.col("result.duration").alias("duration"),
+    ]
 
 
 def flat(spark, sf_dir):
@@ -30,7 +31,7 @@ def flat(spark, sf_dir):
 def filter_wildcard(spark, sf_dir):
     asked = {"problem.test-name": "*", "problem.cpu": 2, "git.branch": "", "problem.mesh": None, "result.returncode": 0}
     columns = {name: F.col(".".join(f"`{p}`" for p in name.split("."))) for name in asked}
-    return tables.reports(spark, sf_dir).where(filters.equal_to(asked, columns)).select("_id", *SHORT)
+    return tables.reports(spark, sf_dir).where(filters.equal_to(asked, columns)).select("_id", *short())
 
 
 @query(
@@ -40,7 +41,7 @@ def filter_wildcard(spark, sf_dir):
 )
 def filter_range(spark, sf_dir):
     inside = filters.between_epochs(F.col("git.datetime"), "1704412800", "1705017600")
-    return tables.reports(spark, sf_dir).where(inside).select("_id", *SHORT)
+    return tables.reports(spark, sf_dir).where(inside).select("_id", *short())
 
 
 @query(
@@ -48,7 +49,7 @@ def filter_range(spark, sf_dir):
     f"""WITH {REPORTS} SELECT id AS _id, test, cpu, branch, duration FROM reports WHERE cpu IN (1, 3) AND test = 'click'""",
 )
 def filter_rules(spark, sf_dir):
-    rows = tables.reports(spark, sf_dir).select("_id", *SHORT).withColumnRenamed("test", "test-name")
+    rows = tables.reports(spark, sf_dir).select("_id", *short()).withColumnRenamed("test", "test-name")
     kept = rows.where(filters.match_rules(cpu=[1, 3], _test_name="click", branch=None))
     return kept.withColumnRenamed("test-name", "test")
 
@@ -104,7 +105,7 @@ def branch_match(spark, sf_dir):
 )
 def match_unwind_match(spark, sf_dir):
     before = (F.col("git.commit") == F.md5(F.lit("2024-01-10"))) & (F.col("problem.test-name") != "error")
-    columns = [F.col("_id"), SHORT[0], SHORT[1], F.col("timers.name"), F.col("timers.duration")]
+    columns = [F.col("_id"), *short()[:2], F.col("timers.name"), F.col("timers.duration")]
     return match_unwind_select(
         tables.reports(spark, sf_dir), before, "timers", columns, F.col("timers.name") == "whole-program"
     )

@@ -2,38 +2,83 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import (
+    ArrayType,
+    BooleanType,
+    DataType,
+    DoubleType,
+    IntegerType,
+    LongType,
+    MapType,
+    StringType,
+    StructField,
+    StructType,
+    TimestampNTZType,
+)
+
+TEXT, INT, LONG, REAL, FLAG, TIME = StringType(), IntegerType(), LongType(), DoubleType(), BooleanType(), TimestampNTZType()
+
+
+def fields(**types: DataType) -> StructType:
+    """Nullable fields; two underscores in a name stand for a dash."""
+    return StructType([StructField(name.replace("__", "-"), kind) for name, kind in types.items()])
+
 
 # Report document, fixed by the report format.
-REPORT = StructType.fromDDL(
-    """
-    system struct<name:string, hostname:string, os_name:string, os_version:string, username:string>,
-    problem struct<application:string, `test-name`:string, `case-name`:string, cpu:int, cpus:double, mesh:string,
-                   `task-size`:bigint, weak:int, strong:int, stage:string, returncode:int>,
-    result struct<duration:double, returncode:int>,
-    git struct<name:string, branch:string, commit:string, datetime:timestamp_ntz, tag:string, version:string>,
-    index map<string,string>,
-    timers array<struct<name:string, path:string, duration:double>>,
-    libs array<struct<name:string, version:string>>
-    """
+REPORT = fields(
+    system=fields(name=TEXT, hostname=TEXT, os_name=TEXT, os_version=TEXT, username=TEXT),
+    problem=fields(
+        application=TEXT,
+        test__name=TEXT,
+        case__name=TEXT,
+        cpu=INT,
+        cpus=REAL,
+        mesh=TEXT,
+        task__size=LONG,
+        weak=INT,
+        strong=INT,
+        stage=TEXT,
+        returncode=INT,
+    ),
+    result=fields(duration=REAL, returncode=INT),
+    git=fields(name=TEXT, branch=TEXT, commit=TEXT, datetime=TIME, tag=TEXT, version=TEXT),
+    index=MapType(TEXT, TEXT),
+    timers=ArrayType(fields(name=TEXT, path=TEXT, duration=REAL)),
+    libs=ArrayType(fields(name=TEXT, version=TEXT)),
 )
 
 # Status file next to a report.
-SIDECAR = StructType.fromDDL("returncode int, duration double, `test-name` string, `case-name` string")
+SIDECAR = fields(returncode=INT, duration=REAL, test__name=TEXT, case__name=TEXT)
 
 # Measured shell step.
-MEASURE = StructType.fromDDL("duration double, `container-duration` double")
+MEASURE = fields(duration=REAL, container__duration=REAL)
 
-_PERSON = "struct<name:string, email:string, username:string>"
-_COMMIT = (
-    "struct<id:string, tree_id:string, distinct:boolean, message:string, timestamp:string, url:string, "
-    f"author:{_PERSON}, committer:{_PERSON}, "
-    "added:array<string>, removed:array<string>, modified:array<string>>"
+_PERSON = fields(name=TEXT, email=TEXT, username=TEXT)
+_COMMIT = fields(
+    id=TEXT,
+    tree_id=TEXT,
+    distinct=FLAG,
+    message=TEXT,
+    timestamp=TEXT,
+    url=TEXT,
+    author=_PERSON,
+    committer=_PERSON,
+    added=ArrayType(TEXT),
+    removed=ArrayType(TEXT),
+    modified=ArrayType(TEXT),
 )
 # Push event, fixed by the hosting service's payload.
-PUSH = StructType.fromDDL(
-    "ref string, before string, after string, created boolean, deleted boolean, forced boolean, "
-    f"base_ref string, compare string, commits array<{_COMMIT}>, head_commit {_COMMIT}, "
-    "repository struct<id:bigint, name:string, full_name:string, html_url:string, default_branch:string>, "
-    "pusher struct<name:string, email:string>"
+PUSH = fields(
+    ref=TEXT,
+    before=TEXT,
+    after=TEXT,
+    created=FLAG,
+    deleted=FLAG,
+    forced=FLAG,
+    base_ref=TEXT,
+    compare=TEXT,
+    commits=ArrayType(_COMMIT),
+    head_commit=_COMMIT,
+    repository=fields(id=LONG, name=TEXT, full_name=TEXT, html_url=TEXT, default_branch=TEXT),
+    pusher=fields(name=TEXT, email=TEXT),
 )
