@@ -10,9 +10,9 @@ from runledger.plans import views
 from runledger.plans.options import SCALE_VIEW, ChartOptions
 from runledger.sources import tables
 
-# Views are built with twelve digits and compared with eight, instead of the chart's two: ties at two
+# Views are built with full digits and compared with eight, instead of the chart's two: ties at two
 # digits hang on the last bit of a mean.
-BUILT, DIGITS = 12, 8
+BUILT, DIGITS = 15, 8
 
 
 def chart_sql(keys: str, x: str, x_order: str, charts: list[str], where: str = "true", ci: bool = True) -> str:
