@@ -9,7 +9,7 @@ from runledger.functions.dates import epoch_seconds, parse_stamp, quarter_day
 from runledger.functions.text import normalise_tag, series_title, template_part
 from runledger.operators import reshape, tree
 from runledger.sizing import spread
-from runledger.sources import tables
+from runledger.sources import store, tables
 
 TREE_JSON = """
 concat('{"program-version": "2.', l_linenumber, '", "task-size": "', l_partkey, '", "run-process-count": "', l_linenumber,
@@ -316,3 +316,32 @@ def quarter_days(spark, sf_dir):
 def series_titles(spark, sf_dir):
     title = series_title(["test", "cpu"], [F.col("problem.test-name"), F.col("problem.cpu")])
     return tables.reports(spark, sf_dir).select(title.alias("title")).distinct()
+
+
+@query(
+    "nested_default",
+    f"""WITH {TIMERS} SELECT id AS _id, name, coalesce(path, '?') AS path FROM timers""",
+)
+def nested_default(spark, sf_dir):
+    rows = reshape.unwind(tables.reports(spark, sf_dir))
+    return rows.select("_id", "timer.name", reshape.nested_value("timer.path", "?").alias("path"))
+
+
+@query(
+    "attach_constants",
+    f"""WITH {REPORTS} SELECT id AS _id, cpu, 'test-full' AS stage, 'core' AS name FROM reports""",
+)
+def attach_constants(spark, sf_dir):
+    rows = reshape.attach_constants(tables.reports(spark, sf_dir), "problem", {"stage": "test-full"})
+    rows = reshape.attach_constants(rows, "git", {"name": "core"})
+    return rows.select("_id", "problem.cpu", "problem.stage", "git.name")
+
+
+@query(
+    "find_and_flatten",
+    f"""WITH {REPORTS} SELECT id AS _id, duration AS "result.duration", returncode AS "result.returncode", cpu AS cpu
+    FROM reports WHERE commit = md5('2024-01-10')""",
+)
+def find_and_flatten(spark, sf_dir):
+    match = F.col("git.commit") == F.md5(F.lit("2024-01-10"))
+    return reshape.flatten(store.find(tables.reports(spark, sf_dir), match, ["_id", "result", "problem.cpu"]))

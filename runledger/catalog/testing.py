@@ -127,3 +127,23 @@ def min_detect_size(spark, sf_dir):
 @query("bootstrap_band")
 def bootstrap_band(spark, sf_dir):
     return statistics.bootstrap_band(power(spark, sf_dir), ["excl", "experiment", "sample_size"], "p_value", draws=100)
+
+
+@query(
+    "neighbour_pairs",
+    f"""WITH {WALLTIMES}, t AS (SELECT DISTINCT excl, tag FROM walltimes)
+    SELECT excl, tag AS group_a, lead(tag) OVER (PARTITION BY excl ORDER BY tag) AS group_b FROM t QUALIFY group_b IS NOT NULL""",
+)
+def neighbour_pairs(spark, sf_dir):
+    return statistics.neighbours(tables.walltimes(spark, sf_dir), ["excl"], "tag")
+
+
+@query(
+    "paired_rows",
+    f"""WITH {REPORTS}, r AS (SELECT test, branch, duration, row_number() OVER (PARTITION BY test, branch ORDER BY id) AS row_no FROM reports)
+    SELECT a.test, a.row_no, a.duration AS a, b.duration AS b FROM r a JOIN r b USING (test, row_no)
+    WHERE a.branch = 'master' AND b.branch = 'feature/io'""",
+)
+def paired_rows(spark, sf_dir):
+    rows = flat(spark, sf_dir)
+    return statistics.paired_rows(rows, ["test"], "branch", ("master", "feature/io"), "duration", [F.col("_id")])

@@ -26,7 +26,8 @@ def running_total(
 
     ``order`` should be total within a group: end it with a unique column.
     """
-    weight = F.lit(1).cast("bigint") if weight is None else weight
+    counting = weight is None
+    weight = F.lit(1).cast("bigint") if counting else weight
     columns = [F.col(quoted(k)) for k in keys]
     if fits_one_task(df, keys, limit, bound):
         along = Window.partitionBy(*columns).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -46,19 +47,25 @@ def running_total(
         )
         .checkpoint()
     )
-    slices = placed.groupBy(*columns, "__slice").agg(F.sum("__weight").alias("__total"))
+    slices = placed.groupBy(*columns, "__slice").agg(
+        F.sum("__weight").alias("__total"), F.min("__place").alias("__first")
+    )
     before = Window.partitionBy(*columns).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     shifts = slices.select(
-        *columns, "__slice", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__shift")
-    )
-    shifts = lookup_side(shifts)
-    within = (
-        Window.partitionBy(*columns, "__slice")
-        .orderBy("__place")
-        .rowsBetween(Window.unboundedPreceding, 0)
+        *columns, "__slice", "__first", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__shift")
     )
-    local = placed.withColumn("__local", F.sum("__weight").over(within))
-    joined = keyed_join(local, shifts, [*keys, "__slice"])
+    joined = keyed_join(placed, lookup_side(shifts), [*keys, "__slice"])
+    if counting:
+        # Places within a slice have no gaps, so plain numbering needs no second shuffle.
+        local = F.col("__place") - F.col("__first") + 1
+    else:
+        within = (
+            Window.partitionBy(*columns, "__slice")
+            .orderBy("__place")
+            .rowsBetween(Window.unboundedPreceding, 0)
+        )
+        local = F.sum("__weight").over(within)
+    joined = joined.withColumn("__local", local)
     return joined.select(
         *[F.col(quoted(c)) for c in df.columns], (F.col("__local") + F.col("__shift")).alias(name)
     )

@@ -268,3 +268,18 @@ def neighbours(df: DataFrame, keys: list[str], level: str) -> DataFrame:
     levels = no_null_keys(df, [*keys, level]).select(*columns, F.col(quoted(level)).alias("group_a")).distinct()
     following = F.lead("group_a").over(Window.partitionBy(*columns).orderBy("group_a"))
     return levels.withColumn("group_b", following).where("group_b is not null")
+
+
+def paired_rows(
+    df: DataFrame, keys: list[str], group: str, levels: tuple, value: str, order: list[Column], limit: int | None = None
+) -> DataFrame:
+    """Values of two groups side by side by position; the longer group is cut to the shorter one."""
+    columns = [F.col(quoted(k)) for k in keys]
+    rows = no_null_keys(df, [*keys, group]).where(F.col(quoted(group)).isin(*levels))
+    numbered = running_total(rows, [*keys, group], order, name="row_no", limit=limit)
+
+    def side(level: object, name: str) -> DataFrame:
+        chosen = numbered.where(F.col(quoted(group)) == F.lit(level))
+        return chosen.select(*columns, "row_no", F.col(quoted(value)).alias(name))
+
+    return keyed_join(side(levels[0], "a"), side(levels[1], "b"), [*keys, "row_no"])

@@ -76,9 +76,9 @@ def save(reports: DataFrame, logs: DataFrame, names: TableNames, root: str) -> N
     logs.select("run_id", "filename", "file_id", "filesize").write.mode("append").parquet(
         names.path(root, f"{names.col_files_name}_of_runs")
     )
-    reports.withColumn("day", F.to_date("git.datetime")).write.mode("append").partitionBy("day").parquet(
-        names.path(root, names.col_timers_name)
-    )
+    # Rebalancing by day keeps the files few, and splits a day that holds much of the data.
+    by_day = reports.withColumn("day", F.to_date("git.datetime")).hint("rebalance", "day")
+    by_day.write.mode("append").partitionBy("day").parquet(names.path(root, names.col_timers_name))
 
 
 def find(reports: DataFrame, condition: Column | None = None, columns: list[str] | None = None) -> DataFrame:
