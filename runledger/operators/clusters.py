@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from runledger.operators.ordering import running_total
 from runledger.session import ensure_checkpoint_dir
 from runledger.sizing import fits_one_task, keyed_join, quoted
 
@@ -31,7 +32,7 @@ def anchored_clusters(
     if fits_one_task(points, keys, limit):
         numbered = _fold(points, keys)
     else:
-        numbered = _jump(points, keys)
+        numbered = _jump(points, keys, limit)
     numbered = numbered.withColumnRenamed("__cluster", name).withColumnRenamed("__t", seconds)
     return keyed_join(df, numbered, [*keys, seconds], "left")
 
@@ -55,7 +56,7 @@ def _fold(points: DataFrame, keys: list[str]) -> DataFrame:
     return points.groupBy(*columns).applyInPandas(number, schema)
 
 
-def _jump(points: DataFrame, keys: list[str]) -> DataFrame:
+def _jump(points: DataFrame, keys: list[str], limit: int | None) -> DataFrame:
     """Number groups of any size by pointer doubling over time cells as wide as the spacing.
 
     A cell holds at most one start, and the time after a start lies in the next cell or, when that has
@@ -66,16 +67,20 @@ def _jump(points: DataFrame, keys: list[str]) -> DataFrame:
     columns = [F.col(quoted(k)) for k in keys]
     celled = points.withColumn("__cell", F.floor(F.col("__t") / F.col("__gap"))).checkpoint()
 
-    # Cell table: one row per filled cell, so its size follows the time span, not the rows.
-    by_cell = Window.partitionBy(*columns).orderBy("__cell")
-    cells = celled.groupBy(*columns, "__cell").agg(F.min("__t").alias("__first"))
-    cells = cells.select(
-        *columns,
-        "__cell",
-        F.lead("__cell").over(by_cell).alias("__cell_1"),
-        F.lead("__first").over(by_cell).alias("__first_1"),
-        F.lead("__first", 2).over(by_cell).alias("__first_2"),
-    )
+    # Filled cells with the two filled cells after each, found by their number.
+    filled = celled.groupBy(*columns, "__cell").agg(F.min("__t").alias("__first"))
+    filled = running_total(filled, keys, [F.col("__cell")], name="__n", limit=limit)
+
+    def ahead(steps: int) -> DataFrame:
+        return filled.select(
+            *columns,
+            (F.col("__n") - steps).alias("__n"),
+            F.col("__cell").alias(f"__cell_{steps}"),
+            F.col("__first").alias(f"__first_{steps}"),
+        )
+
+    cells = keyed_join(filled, ahead(1), [*keys, "__n"], "left")
+    cells = keyed_join(cells, ahead(2), [*keys, "__n"], "left").drop("__n", "__first", "__cell_2")
     # First time after start + spacing within the next cell: probes and times share one ordering.
     times = celled.select(*columns, "__cell", F.col("__t").alias("__at"), F.col("__t").alias("__hit"), F.lit(None).cast("bigint").alias("__from"))
     probes = celled.select(
@@ -117,9 +122,9 @@ def _jump(points: DataFrame, keys: list[str]) -> DataFrame:
         doubled = keyed_join(jumps, right, [*keys, "__next"])
         jumps = doubled.select(*columns, "__t", F.col("__beyond").alias("__next")).checkpoint()
 
-    # One row per cluster here, so the numbering window follows the time span as well.
-    along = Window.partitionBy(*columns).orderBy("__t")
-    numbered = starts.select(*columns, F.col("__t").alias("__start"), (F.row_number().over(along) - 1).cast("bigint").alias("__cluster"))
+    numbered = running_total(starts, keys, [F.col("__t")], name="__no", limit=limit).select(
+        *columns, F.col("__t").alias("__start"), (F.col("__no") - 1).alias("__cluster")
+    )
     # A time belongs to a start in its own cell or the one before.
     gaps = celled.select(*columns, "__gap").distinct()
     owners = keyed_join(numbered, gaps, keys).select(

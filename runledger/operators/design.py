@@ -97,15 +97,12 @@ def commit_backlog(commits: DataFrame, plan: DataFrame, found: DataFrame, commit
     configurations = plan.select(*[F.col(quoted(k)) for k in keys]).distinct()
     total = configurations.count()
     planned = keyed_join(found, configurations, keys)
-    done = planned.where(F.col("found") >= wanted).groupBy(F.col(quoted(commit)).alias("__commit")).agg(
-        F.count(F.lit(1)).alias("done"), F.sum("found").alias("found")
-    )
-    partial = planned.where(F.col("found") < wanted).groupBy(F.col(quoted(commit)).alias("__commit")).agg(
-        F.sum("found").alias("partly")
+    enough = F.col("found") >= wanted
+    progress = planned.groupBy(F.col(quoted(commit))).agg(
+        F.count(F.when(enough, 1)).alias("done"), F.sum(F.when(~enough, F.col("found"))).alias("partly")
     )
     unique = commits.select(F.col(quoted(commit))).distinct()
-    joined = unique.join(done, unique[quoted(commit)] == done["__commit"], "left").drop("__commit")
-    joined = joined.join(partial, joined[quoted(commit)] == partial["__commit"], "left").drop("__commit")
+    joined = keyed_join(unique, progress, [commit], "left")
     finished = F.coalesce(F.col("done"), F.lit(0)) if dynamic else F.lit(0)
     short = F.lit(total) - finished
     missing = short * wanted - (F.coalesce(F.col("partly"), F.lit(0)) if dynamic else F.lit(0))

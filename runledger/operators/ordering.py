@@ -41,33 +41,33 @@ def running_total(
         .sortWithinPartitions(*columns, *order)
         .select(
             "*",
-            weight.alias("__weight"),
+            weight.alias("__slice_weight"),
             F.spark_partition_id().alias("__slice"),
-            F.monotonically_increasing_id().alias("__place"),
+            F.monotonically_increasing_id().alias("__slice_place"),
         )
         .checkpoint()
     )
     slices = placed.groupBy(*columns, "__slice").agg(
-        F.sum("__weight").alias("__total"), F.min("__place").alias("__first")
+        F.sum("__slice_weight").alias("__slice_total"), F.min("__slice_place").alias("__slice_first")
     )
     before = Window.partitionBy(*columns).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     shifts = slices.select(
-        *columns, "__slice", "__first", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__shift")
+        *columns, "__slice", "__slice_first", F.coalesce(F.sum("__slice_total").over(before), F.lit(0)).alias("__slice_shift")
     )
     joined = keyed_join(placed, lookup_side(shifts), [*keys, "__slice"])
     if counting:
         # Places within a slice have no gaps, so plain numbering needs no second shuffle.
-        local = F.col("__place") - F.col("__first") + 1
+        local = F.col("__slice_place") - F.col("__slice_first") + 1
     else:
         within = (
             Window.partitionBy(*columns, "__slice")
-            .orderBy("__place")
+            .orderBy("__slice_place")
             .rowsBetween(Window.unboundedPreceding, 0)
         )
-        local = F.sum("__weight").over(within)
-    joined = joined.withColumn("__local", local)
+        local = F.sum("__slice_weight").over(within)
+    joined = joined.withColumn("__slice_local", local)
     return joined.select(
-        *[F.col(quoted(c)) for c in df.columns], (F.col("__local") + F.col("__shift")).alias(name)
+        *[F.col(quoted(c)) for c in df.columns], (F.col("__slice_local") + F.col("__slice_shift")).alias(name)
     )
 
 

@@ -189,19 +189,9 @@ def frame_rows(
     )
 
 
-def _with_small_bucket(rows: DataFrame, series: list[str], below: float) -> DataFrame:
-    """Rows from the bound up, and one synthetic row per series for everything under it."""
-    columns = [F.col(quoted(k)) for k in series]
-    known = no_null_keys(rows, [*series, "name"])
-    large = known.where(F.col("duration") >= below).select(*columns, "name", "path", "duration", "_id")
-    bucket = small_values(known, series, "name", "duration", below).select(
-        *columns,
-        F.lit(SMALL_NAME % f"{below:g}").alias("name"),
-        F.lit(SMALL_PATH % f"{below:g}").alias("path"),
-        "duration",
-        F.lit(None).cast(rows.schema["_id"].dataType).alias("_id"),
-    )
-    return large.unionByName(bucket)
+def small_labels(below: float) -> tuple[Column, Column]:
+    """Name and path shown for everything under the bound."""
+    return F.lit(SMALL_NAME % f"{below:g}"), F.lit(SMALL_PATH % f"{below:g}")
 
 
 def frame_view(
@@ -210,28 +200,58 @@ def frame_view(
     """Quartile range per frame and series: ``low``, ``high`` and the path; rows with a zero are dropped.
 
     Values under the bound count as one frame, the sum of their means. The path is that of the
-    smallest report id.
+    smallest report id. Both parts come from one aggregate per frame, so the timers are read once.
     """
     columns = [F.col(quoted(k)) for k in series]
-    bucketed = _with_small_bucket(rows, series, below)
-    keys = [*series, "name"]
-    path = F.min_by("path", F.struct(F.col("_id"), F.col("path"))).alias("path")
+    known = no_null_keys(rows, [*series, "name"])
+    duration = F.col("duration")
+    split = known.withColumn("large", F.when(duration >= below, duration))
+    place = F.when(duration >= below, F.struct(F.col("_id"), F.col("path")))
+    aggregates = [
+        F.avg(F.when(duration < below, duration)).alias("small"),
+        F.min_by("path", place).alias("path"),
+    ]
     quartiles = {"low": 0.25, "high": 0.75}
-    ranges = aggregate_with_percentiles(bucketed, keys, [path], "duration", quartiles, limit, bound=rows)
-    joined = ranges.select(
+    frames = aggregate_with_percentiles(split, [*series, "name"], aggregates, "large", quartiles, limit, bound=rows)
+
+    small_name, small_path = small_labels(below)
+    nothing = F.lit(None).cast("double")
+    shown = F.array_compact(
+        F.array(
+            F.when(F.col("low").isNotNull(), F.struct("name", "path", "low", "high", nothing.alias("small"))),
+            F.when(
+                F.col("small").isNotNull(),
+                F.struct(
+                    small_name.alias("name"), small_path.alias("path"), nothing.alias("low"), nothing.alias("high"), F.col("small")
+                ),
+            ),
+        )
+    )
+    merged = (
+        frames.select(*columns, F.explode(shown).alias("f"))
+        .groupBy(*columns, "f.name", "f.path")
+        .agg(F.max("f.low").alias("low"), F.max("f.high").alias("high"), F.sum("f.small").alias("small"))
+    )
+    result = merged.select(
         *columns,
         "name",
         "path",
-        round_even(F.col("low"), digits).alias("low"),
-        round_even(F.col("high"), digits).alias("high"),
+        round_even(F.coalesce("low", "small"), digits).alias("low"),
+        round_even(F.coalesce("high", "small"), digits).alias("high"),
     )
-    return joined.where(no_zero_cell(F.col("low"), F.col("high"))).orderBy(*columns, F.desc("high"), "name")
+    return result.where(no_zero_cell(F.col("low"), F.col("high"))).orderBy(*columns, F.desc("high"), "name")
 
 
 def frame_scatter(rows: DataFrame, series: list[str], below: float = 0.5, digits: int = 3) -> DataFrame:
-    """Single values of every frame, largest first, with the same small-value row."""
+    """Single values of every frame from the bound up, largest first, and one row for all the smaller ones."""
     columns = [F.col(quoted(k)) for k in series]
-    points = _with_small_bucket(rows, series, below).select(
+    known = no_null_keys(rows, [*series, "name"])
+    large = known.where(F.col("duration") >= below).select(*columns, "name", "path", "duration")
+    small_name, small_path = small_labels(below)
+    bucket = small_values(known, series, "name", "duration", below).select(
+        *columns, small_name.alias("name"), small_path.alias("path"), "duration"
+    )
+    points = large.unionByName(bucket).select(
         *columns, "name", "path", round_even(F.col("duration"), digits).alias("x")
     )
     return points.where(no_zero_cell(F.col("x"))).orderBy(*columns, F.desc("x"), "name")
