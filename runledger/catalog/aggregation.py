@@ -110,45 +110,45 @@ def top_frames(spark, sf_dir):
     return rounded(views.top_frames(timers(spark, sf_dir), 3))
 
 
-DESCRIBE_SQL = f"""WITH {WALLTIMES} SELECT tag, excl, count(walltime) AS n, round(avg(walltime), 8) AS mean, round(stddev_samp(walltime), 8) AS std,
-       round(min(walltime), 8) AS min, round(quantile_cont(walltime, 0.25), 8) AS p25, round(median(walltime), 8) AS p50,
-       round(quantile_cont(walltime, 0.75), 8) AS p75, round(max(walltime), 8) AS max FROM walltimes GROUP BY 1, 2"""
+DESCRIBE_SQL = f"""WITH {WALLTIMES} SELECT tag, excl, count(walltime) AS n, round(avg(walltime), 6) AS mean, round(stddev_samp(walltime), 6) AS std,
+       round(min(walltime), 6) AS min, round(quantile_cont(walltime, 0.25), 6) AS p25, round(median(walltime), 6) AS p50,
+       round(quantile_cont(walltime, 0.75), 6) AS p75, round(max(walltime), 6) AS max FROM walltimes GROUP BY 1, 2"""
 
 
 @query("describe_groups", DESCRIBE_SQL)
 def describe_groups(spark, sf_dir):
     metrics = ("n", "mean", "std", "min", "p25", "p50", "p75", "max")
-    return rounded(aggregates.point_stats(tables.walltimes(spark, sf_dir), ["tag", "excl"], "walltime", metrics))
+    return rounded(aggregates.point_stats(tables.walltimes(spark, sf_dir), ["tag", "excl"], "walltime", metrics), digits=6)
 
 
 @query(
     "boxplot_stats",
-    f"""WITH {WALLTIMES} SELECT tag, round(min(walltime), 8) AS min, round(quantile_cont(walltime, 0.25), 8) AS p25, round(median(walltime), 8) AS p50,
-       round(quantile_cont(walltime, 0.75), 8) AS p75, round(max(walltime), 8) AS max FROM walltimes GROUP BY 1""",
+    f"""WITH {WALLTIMES} SELECT tag, round(min(walltime), 6) AS min, round(quantile_cont(walltime, 0.25), 6) AS p25, round(median(walltime), 6) AS p50,
+       round(quantile_cont(walltime, 0.75), 6) AS p75, round(max(walltime), 6) AS max FROM walltimes GROUP BY 1""",
 )
 def boxplot_stats(spark, sf_dir):
     metrics = ("min", "p25", "p50", "p75", "max")
-    return rounded(aggregates.point_stats(tables.walltimes(spark, sf_dir), ["tag"], "walltime", metrics))
+    return rounded(aggregates.point_stats(tables.walltimes(spark, sf_dir), ["tag"], "walltime", metrics), digits=6)
 
 
 @query(
     "mean_sd_band",
-    f"""WITH {WALLTIMES} SELECT tag, excl, round(avg(walltime), 8) AS mean, round(avg(walltime) - stddev_samp(walltime), 8) AS low,
-       round(avg(walltime) + stddev_samp(walltime), 8) AS high FROM walltimes GROUP BY 1, 2""",
+    f"""WITH {WALLTIMES} SELECT tag, excl, round(avg(walltime), 6) AS mean, round(avg(walltime) - stddev_samp(walltime), 6) AS low,
+       round(avg(walltime) + stddev_samp(walltime), 6) AS high FROM walltimes GROUP BY 1, 2""",
 )
 def mean_sd_band(spark, sf_dir):
     stats = aggregates.point_stats(tables.walltimes(spark, sf_dir), ["tag", "excl"], "walltime", ("mean", "std"))
     mean, std = F.col("mean"), F.col("std")
-    return rounded(stats.select("tag", "excl", "mean", (mean - std).alias("low"), (mean + std).alias("high")))
+    return rounded(stats.select("tag", "excl", "mean", (mean - std).alias("low"), (mean + std).alias("high")), digits=6)
 
 
 @query(
     "normal_fit",
-    f"""WITH {WALLTIMES} SELECT tag, excl, round(avg(walltime), 8) AS mu, round(stddev_pop(walltime), 8) AS sigma FROM walltimes GROUP BY 1, 2""",
+    f"""WITH {WALLTIMES} SELECT tag, excl, round(avg(walltime), 6) AS mu, round(stddev_pop(walltime), 6) AS sigma FROM walltimes GROUP BY 1, 2""",
 )
 def normal_fit(spark, sf_dir):
     fit = tables.walltimes(spark, sf_dir).groupBy("tag", "excl")
-    return rounded(fit.agg(F.avg("walltime").alias("mu"), F.stddev_pop("walltime").alias("sigma")))
+    return rounded(fit.agg(F.avg("walltime").alias("mu"), F.stddev_pop("walltime").alias("sigma")), digits=6)
 
 
 @query(
@@ -200,13 +200,13 @@ def pushed_values(spark, sf_dir):
 
 @query(
     "geometric_mean",
-    f"""WITH {WALLTIMES} SELECT tag, round(exp(avg(ln(walltime))), 8) AS gmean,
-       CASE WHEN min(walltime_mem_l2) > 0 THEN round(exp(avg(ln(nullif(walltime_mem_l2, 0)))), 8) END AS gmean_l2 FROM walltimes GROUP BY 1""",
+    f"""WITH {WALLTIMES} SELECT tag, round(exp(avg(ln(walltime))), 6) AS gmean,
+       CASE WHEN min(walltime_mem_l2) > 0 THEN round(exp(avg(ln(nullif(walltime_mem_l2, 0)))), 6) END AS gmean_l2 FROM walltimes GROUP BY 1""",
 )
 def geometric_mean(spark, sf_dir):
     gmean = aggregates.geometric_mean
     rows = tables.walltimes(spark, sf_dir).groupBy("tag")
-    return rounded(rows.agg(gmean(F.col("walltime")).alias("gmean"), gmean(F.col("walltime_mem_l2")).alias("gmean_l2")))
+    return rounded(rows.agg(gmean(F.col("walltime")).alias("gmean"), gmean(F.col("walltime_mem_l2")).alias("gmean_l2")), digits=6)
 
 
 @query(

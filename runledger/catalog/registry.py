@@ -53,7 +53,7 @@ WALLTIMES = """
 walltimes AS (
   SELECT l_orderkey AS run_key, l_linenumber AS run_line, l_partkey AS run_part, l_suppkey AS run_node,
          'reps-' || lpad((70 + 5 * l_linenumber)::VARCHAR, 3, '0') AS tag, l_linestatus = 'F' AS excl,
-         l_extendedprice / 10000 AS walltime, l_quantity / 10 AS walltime_mem_l1,
+         (70 + 5 * l_linenumber) * (100 + floor(l_extendedprice / 100) / 100) AS walltime, l_quantity / 10 AS walltime_mem_l1,
          l_discount * 10 AS walltime_mem_l2, l_tax * 10 AS walltime_mem_l3, l_shipdate AS started
   FROM lineitem)
 """

@@ -120,7 +120,7 @@ def anova_power_log(spark, sf_dir):
 
 @query("min_detect_size")
 def min_detect_size(spark, sf_dir):
-    found = statistics.smallest_detecting_size(power(spark, sf_dir), ["excl", "experiment"], alpha=0.5)
+    found = statistics.smallest_detecting_size(power(spark, sf_dir), ["excl", "experiment"])
     return found.orderBy("experiment", "excl", "sample_size")
 
 

@@ -80,7 +80,10 @@ COARSE_MAPPING = FieldMapping(
 
 
 def walltimes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated measurements per tag on exclusive and shared nodes, from ``lineitem``."""
+    """Repeated measurements per tag on exclusive and shared nodes, from ``lineitem``.
+
+    The run time of a tag grows with its number; the price is the noise of a run.
+    """
     return table(spark, sf_dir, "lineitem").selectExpr(
         "l_orderkey as run_key",
         "l_linenumber as run_line",
@@ -88,7 +91,7 @@ def walltimes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_suppkey as run_node",
         "concat('reps-', lpad(cast(70 + 5 * l_linenumber as string), 3, '0')) as tag",
         "l_linestatus = 'F' as excl",
-        "l_extendedprice / 10000 as walltime",
+        "(70 + 5 * l_linenumber) * (100 + floor(l_extendedprice / 100) / 100) as walltime",
         "l_quantity / 10 as walltime_mem_l1",
         "l_discount * 10 as walltime_mem_l2",
         "l_tax * 10 as walltime_mem_l3",
