@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from runledger.catalog.registry import REPORTS, TIMERS, WALLTIMES, query, t_critical_sql
+from runledger.functions.numbers import logarithm
 from runledger.operators import aggregates
 from runledger.operators.design import index_counts
 from runledger.operators.quantiles import group_percentiles
@@ -168,7 +169,7 @@ def histogram_bins(spark, sf_dir):
 )
 def minmax_scale(spark, sf_dir):
     scaled = aggregates.minmax_scale(flat(spark, sf_dir), ["test"], "duration")
-    return rounded(scaled.select("_id", "test", "scaled", F.ln("duration").alias("log"), F.log2("duration").alias("log_2")))
+    return rounded(scaled.select("_id", "test", "scaled", logarithm(F.col("duration")).alias("log"), logarithm(F.col("duration"), 2).alias("log_2")))
 
 
 EXTRA = [
@@ -201,7 +202,7 @@ def pushed_values(spark, sf_dir):
 @query(
     "geometric_mean",
     f"""WITH {WALLTIMES} SELECT tag, round(exp(avg(ln(walltime))), 6) AS gmean,
-       CASE WHEN min(walltime_mem_l2) > 0 THEN round(exp(avg(ln(nullif(walltime_mem_l2, 0)))), 6) END AS gmean_l2 FROM walltimes GROUP BY 1""",
+       CASE WHEN min(walltime_mem_l2) > 0 THEN round(exp(avg(ln(nullif(walltime_mem_l2, 0)))), 6) ELSE 0.0::DOUBLE END AS gmean_l2 FROM walltimes GROUP BY 1""",
 )
 def geometric_mean(spark, sf_dir):
     gmean = aggregates.geometric_mean

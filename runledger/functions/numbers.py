@@ -22,3 +22,9 @@ def no_zero_cell(*columns: Column) -> Column:
     for c in columns:
         keep = keep & (c.isNull() | (c != 0))
     return keep
+
+
+def logarithm(value: Column, base: float | None = None) -> Column:
+    """Natural or other logarithm as floating point has it: minus infinity at zero, NaN below."""
+    log = F.ln(value) if base is None else F.log2(value) if base == 2 else F.ln(value) / F.ln(F.lit(float(base)))
+    return F.when(value == 0, F.lit(float("-inf"))).when(value < 0, F.lit(float("nan"))).otherwise(log)

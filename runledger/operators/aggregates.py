@@ -169,9 +169,9 @@ def pushed_values(df: DataFrame, keys: list[str], variables: list[dict[str, str]
 
 
 def geometric_mean(value: Column) -> Column:
-    """Through logarithms; null unless every value is positive."""
+    """Through logarithms: zero if a value is zero, and null if one is negative and none zero."""
     mean = F.exp(F.avg(F.when(value > 0, F.ln(value))))
-    return F.when(F.min(value) > 0, mean)
+    return F.when(F.bool_or(value == 0), 0.0).when(F.min(value) > 0, mean)
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:

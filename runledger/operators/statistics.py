@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from runledger.functions.numbers import logarithm
 from runledger.functions.tails import f_tail, t_tail
 from runledger.operators.aggregates import no_null_keys
 from runledger.operators.ordering import running_total
@@ -218,7 +219,7 @@ def anova_power(
     numbered = running_total(rows, [*keys, group], order, name="row_no", limit=limit)
     measured = F.col(quoted(value))
     picked = draws.join(
-        numbered.select(*columns, "row_no", (F.ln(measured) if use_log else measured).alias("measured")),
+        numbered.select(*columns, "row_no", (logarithm(measured) if use_log else measured).alias("measured")),
         [*keys, group, "row_no"],
     )
     return anova(picked, ["experiment", *keys, "sample_size", "rep"], "side", "measured")

@@ -73,6 +73,8 @@ def test_rounding(spark):
     got = [one(spark, numbers.round_even(F.lit(v), 2)) for v in (1 / 3, 2 / 3, 1.0, 0.125, 0.375, float("nan"))]
     assert got == [0.33, 0.67, 1.0, 0.12, 0.38, None]
     assert one(spark, numbers.ratio(F.lit(1), F.lit(0))) is None
+    assert one(spark, numbers.logarithm(F.lit(0.0))) == float("-inf")
+    assert one(spark, numbers.logarithm(F.lit(8.0), 2)) == 3.0
     df = spark.createDataFrame([(1.0, 2.0), (0.0, 2.0), (None, 1.0)], "a double, b double")
     assert df.where(numbers.no_zero_cell(F.col("a"), F.col("b"))).count() == 2
 
