@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from runledger.catalog.registry import COMMITS, REPORTS, query
+from runledger.sizing import spread
 from runledger.sources import commits as commit_sources
 from runledger.sources import reports as report_sources
 from runledger.sources import store, tables
@@ -33,7 +34,7 @@ def cut_reports(spark, sf_dir):
 
 def report_texts(spark, sf_dir, kind):
     """Report texts of all runs; those of failed runs are truncated."""
-    rows = tables.reports(spark, sf_dir)
+    rows = spread(tables.reports(spark, sf_dir))
     body = F.to_json(F.struct("problem", "result", "timers"))
     if kind == "yaml":
         body = F.format_string(
