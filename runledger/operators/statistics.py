@@ -10,13 +10,13 @@ import random
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from runledger.functions.numbers import logarithm
 from runledger.functions.tails import f_tail, t_tail
 from runledger.operators.aggregates import no_null_keys
-from runledger.operators.ordering import running_total
+from runledger.operators.ordering import previous_value, running_total
 from runledger.operators.quantiles import group_percentiles
 from runledger.session import ensure_checkpoint_dir
 from runledger.sizing import keyed_join, quoted
@@ -263,12 +263,12 @@ def bootstrap_band(
     return keyed_join(sizes, bands, keys).select(*columns, "mean", "low", "high")
 
 
-def neighbours(df: DataFrame, keys: list[str], level: str) -> DataFrame:
+def neighbours(df: DataFrame, keys: list[str], level: str, limit: int | None = None) -> DataFrame:
     """Each distinct level with the next one: the pairs a change is looked for between."""
     columns = [F.col(quoted(k)) for k in keys]
     levels = no_null_keys(df, [*keys, level]).select(*columns, F.col(quoted(level)).alias("group_a")).distinct()
-    following = F.lead("group_a").over(Window.partitionBy(*columns).orderBy("group_a"))
-    return levels.withColumn("group_b", following).where("group_b is not null")
+    paired = previous_value(levels, keys, [F.desc("group_a")], "group_a", "group_b", limit)
+    return paired.where("group_b is not null")
 
 
 def paired_rows(

@@ -165,3 +165,16 @@ def test_geometric_mean_and_scale(spark):
     assert got["a"] == pytest.approx(2.0) and got["b"] == 0.0
     scaled = {(r["k"], r["v"]): r["scaled"] for r in aggregates.minmax_scale(df, ["k"], "v").collect()}
     assert scaled[("a", 4.0)] == 1.0 and scaled[("c", 3.0)] is None
+
+
+@pytest.mark.parametrize("limit", [None, 0])
+def test_neighbours(spark, limit):
+    df = spark.createDataFrame([("k", t) for t in ("c", "a", "b", "a")] + [("one", "a")], "k string, tag string")
+    got = sorted(tuple(r) for r in statistics.neighbours(df, ["k"], "tag", limit).select("k", "group_a", "group_b").collect())
+    assert got == [("k", "a", "b"), ("k", "b", "c")]
+
+
+def test_paired_rows_are_cut_to_the_shorter_group(spark):
+    df = spark.createDataFrame([("x", 1.0), ("x", 2.0), ("x", 3.0), ("y", 9.0), ("y", 8.0)], "g string, v double")
+    got = sorted(tuple(r) for r in statistics.paired_rows(df, [], "g", ("x", "y"), "v", [F.col("v")]).collect())
+    assert got == [(1, 1.0, 8.0), (2, 2.0, 9.0)]
