@@ -23,11 +23,15 @@ ROWS, BANDS = 4, 24  # a pair of similarity 0.8 shares no band with probability
 TOLERANCE = 1e-6
 STEP = 16
 # Sets of one bucket that are paired with each other; larger buckets are split first.
-PAIRED = 24
+PAIRED = 16
+# Sets of a larger bucket that are paired with all others in it.
+LEADERS = 3
 
 _DRAW = np.random.default_rng(77)
 _FACTOR = _DRAW.integers(0, 2**63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = _DRAW.integers(0, 2**63, ROWS * BANDS, dtype=np.uint64)
+# Groups of three bands, by which the sets of large buckets are split.
+FINER = sorted({tuple(sorted(_DRAW.choice(BANDS, 3, replace=False).tolist())) for _ in range(128)})
 _WEIGHT = _DRAW.integers(0, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -75,14 +79,7 @@ def _sketch(texts: list[bytes | None], full: bool) -> dict[str, list]:
             for k in range(ROWS * BANDS):
                 values[k, some] = np.minimum.reduceat((code * _FACTOR[k] + _SHIFT[k]) >> np.uint64(32), begin[some])
         signature = np.ascontiguousarray(values.T)
-        out["signature"] = [row.tobytes() if ok else None for row, ok in zip(signature, some, strict=True)]
-        bands = np.zeros((len(texts), BANDS), np.uint64)
-        for band in range(BANDS):
-            for row in range(ROWS):
-                bands[:, band] = mixed(bands[:, band] + signature[:, band * ROWS + row] + np.uint64((band << 40) + 1))
-        finer = mixed(bands + np.roll(bands, 1, axis=1) * np.uint64(3))
-        out["bands"] = [r if ok else None for r, ok in zip(bands.view(np.int64).tolist(), some.tolist(), strict=True)]
-        out["finer"] = [r if ok else None for r, ok in zip(finer.view(np.int64).tolist(), some.tolist(), strict=True)]
+        out["signature"] = [row.tobytes() if ok else None for row, ok in zip(values.T.copy(), some, strict=True)]
     return out
 
 
@@ -106,52 +103,67 @@ _FIELDS = [
     T.StructField("gid", T.BinaryType()),
     T.StructField("n", T.LongType()),
     T.StructField("signature", T.BinaryType()),
-    T.StructField("bands", T.ArrayType(T.LongType())),
-    T.StructField("finer", T.ArrayType(T.LongType())),
 ]
 
 
+def _band_rows(sets: DataFrame, groups: list[tuple[int, ...]]) -> DataFrame:
+    """A row for each set and group of bands: ``key`` of the values of these bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            signature = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, ROWS * BANDS)
+            keys = np.zeros((len(signature), len(groups)), np.uint64)
+            for at, group in enumerate(groups):
+                for value in (band * ROWS + row for band in group for row in range(ROWS)):
+                    keys[:, at] = mixed(keys[:, at] + signature[:, value] + np.uint64((at << 40) + 1))
+            numbers = np.repeat(batch.column(0).to_numpy(), len(groups))
+            columns = [pa.array(x.reshape(-1).view(np.int64)) for x in (numbers, keys)]
+            yield pa.RecordBatch.from_arrays(columns, names=["set_no", "key"])
+
+    return sets.select("set_no", "signature").mapInArrow(run, "set_no long, key long")
+
+
 def _members(rows: DataFrame) -> DataFrame:
-    """Keys that several sets have, with these sets, their number and the first of them.
+    """Keys that several sets have, with these sets, their number and some leaders drawn for the key.
 
     Counting combines before the shuffle; a hot key meets its many rows in a join that Spark may split.
     """
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("gid").alias("leader"))
+    leaders = [F.min_by("set_no", F.xxhash64("set_no", "key", F.lit(i))).alias(f"leader{i}") for i in range(LEADERS)]
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), *leaders)
     return rows.join(sizes.filter("size > 1"), "key")
 
 
 def _paired(members: DataFrame) -> DataFrame:
     """All pairs within small buckets: at most ``PAIRED`` sets are gathered in one row."""
-    lists = members.filter(F.col("size") <= PAIRED).groupBy("key").agg(F.array_sort(F.collect_list("gid")).alias("all"))
+    lists = members.filter(F.col("size") <= PAIRED).groupBy("key").agg(F.array_sort(F.collect_set("set_no")).alias("all"))
     one = lists.select(F.posexplode("all").alias("at", "a"), "all")
     return one.select("a", F.explode(F.expr("slice(all, at + 2, size(all))")).alias("b"))
 
 
 def _stars(members: DataFrame) -> DataFrame:
-    """The first set of a bucket with each other one."""
-    return members.filter(F.col("gid") > F.col("leader")).select(F.col("leader").alias("a"), F.col("gid").alias("b"))
+    """The leaders of a bucket with each other set."""
+    leaders = F.explode(F.array_distinct(F.array(*[f"leader{i}" for i in range(LEADERS)])))
+    both = members.select("set_no", leaders.alias("leader")).filter("set_no <> leader")
+    return both.select(F.least("set_no", "leader").alias("a"), F.greatest("set_no", "leader").alias("b"))
 
 
 def candidates(sets: DataFrame) -> DataFrame:
-    """Pairs ``a`` < ``b`` of sets that share a band.
+    """Pairs ``a`` < ``b`` of set numbers that share a band.
 
-    Buckets of up to ``PAIRED`` sets give all their pairs. A larger one gives its first set with each other one,
-    and its sets are bucketed again by a finer key, in the same way; so the rows grow with the bucket, not with
-    its square, while sets that differ from the first set still meet the ones they are close to.
+    Buckets of up to ``PAIRED`` sets give all their pairs. A larger one gives its leaders with each other set,
+    and its sets are bucketed again by groups of three bands, in the same way; so the rows grow with the bucket, not with
+    its square. Each of a set's buckets has leaders of its own, so that a set far from one is close to another.
     """
-    rows = sets.select("gid", F.explode(F.arrays_zip("bands", "finer")).alias("k")).select(
-        "gid", F.col("k.bands").alias("key"), F.col("k.finer").alias("finer")
-    )
-    members = _members(rows)
+    members = _members(_band_rows(sets, [(band,) for band in range(BANDS)]))
     large = members.filter(F.col("size") > PAIRED)
-    finer = _members(large.select("gid", F.col("finer").alias("key")))
+    split = sets.join(large.select("set_no").distinct(), "set_no", "left_semi")
+    finer = _members(_band_rows(split, FINER))
     pairs = _paired(members).union(_stars(large)).union(_paired(finer)).union(_stars(finer.filter(F.col("size") > PAIRED)))
     return pairs.distinct()
 
 
-def _prune(pairs: DataFrame, threshold: float, tolerance: float) -> DataFrame:
-    """Keep pairs whose similarity may reach the threshold, by sizes and by MinHash values in steps."""
-    need = fewest_matches(threshold, tolerance)
+def _prune(pairs: DataFrame, need: list[tuple[int, int]]) -> DataFrame:
+    """Keep pairs whose similarity may still reach the threshold; MinHash values are compared in steps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,8 +176,7 @@ def _prune(pairs: DataFrame, threshold: float, tolerance: float) -> DataFrame:
                 alive, done = alive[matches[alive] >= least], n
             yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(alive)) for i in (0, 1)], names=["a", "b"])
 
-    close = pairs.filter(F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb"))
-    return close.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
+    return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
 
 
 def _verify(rows: DataFrame, threshold: float) -> DataFrame:
@@ -196,16 +207,21 @@ def _verify(rows: DataFrame, threshold: float) -> DataFrame:
 def links(docs: DataFrame, sketches: DataFrame, text: str, doc_id: str, threshold: float, tolerance: float) -> DataFrame:
     """Pairs of different shingle sets with similarity from ``threshold`` on: ``a``, ``b``, ``jaccard``."""
     sets = sketches.filter(F.col("gid").isNotNull()).groupBy("gid").agg(
-        F.min("doc_no").alias("doc_no"), F.first("n").alias("n"), F.first("signature").alias("signature"),
-        F.first("bands").alias("bands"), F.first("finer").alias("finer"),
+        F.min("doc_no").alias("doc_no"), F.first("n").alias("n"), F.first("signature").alias("signature")
     )
-    sets = stored(sets, "sets")
+    # Half of the digest serves as number where rows are many; should two sets share one, both are compared.
+    number = F.conv(F.substring(F.hex("gid"), 1, 15), 16, 10).cast("long")
+    sets = stored(sets.withColumn("set_no", number), "sets")
     pairs = candidates(sets)
-    side = sets.select("gid", "n", "signature")
     for name in ("a", "b"):
-        own = side.select(F.col("gid").alias(name), F.col("n").alias(f"n{name}"), F.col("signature").alias(f"s{name}"))
+        own = sets.select(F.col("set_no").alias(name), F.col("n").alias(f"n{name}"))
+        pairs = pairs.join(own.distinct(), name)
+    pairs = pairs.filter(F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb")).select("a", "b").distinct()
+    for name in ("a", "b"):
+        own = sets.select(F.col("set_no").alias(name), F.col("gid").alias(f"g{name}"), F.col("signature").alias(f"s{name}"))
         pairs = pairs.join(own, name)
-    pairs = stored(_prune(pairs, threshold, tolerance), "pairs")
+    pairs = pairs.select(F.col("ga").alias("a"), F.col("gb").alias("b"), "sa", "sb")
+    pairs = stored(_prune(pairs, fewest_matches(threshold, tolerance)), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("gid")).distinct().join(sets.select("gid", "doc_no"), "gid")
     wanted = wanted.select(F.col("gid").alias("want"), "doc_no")
     source = docs.select(docs[f"`{doc_id}`"].alias("doc_no"), docs[f"`{text}`"].cast("string").alias("content"))
