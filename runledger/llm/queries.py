@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from runledger.llm import decontaminate, jaccard, language, mixing, tokens
+from runledger.llm import decontaminate, jaccard, language, mixing, neighbours, placement, tokens, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -34,6 +34,28 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_table(spark, table(spark, sf_dir, "pages"))
+
+
+SHARDS = [f"shard-{i:03d}" for i in range(64)]
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    return placement.place(docs, F.col("doc_id"), SHARDS)
+
+
+def op4_sql() -> str:
+    """The same table as text; the digest and the look-up are DuckDB's."""
+    owners = placement.fill_table(SHARDS)
+    slot = f"(('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % {placement.TABLE_SIZE})::INT"
+    return f"""
+WITH owners AS (SELECT '{",".join(map(str, owners))}'.split(',') AS owner),
+  placed AS (SELECT doc_id, {slot} AS slot FROM documents)
+SELECT doc_id, slot, 'shard-' || lpad(owner[slot + 1], 3, '0') AS shard FROM placed, owners"""
+
+
 def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
 
@@ -79,14 +101,21 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, mix_levels(), mix_weights(), MIX_SHARE, MIX_EPOCHS, MIX_SEED)
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_decontamination,
+        op3_warc,
+        op4_sharding,
         op5_language_id,
         op6_token_files,
         op7_jaccard_join,
         op8_mixing,
+        op10_neighbours,
     )
 }
 
@@ -145,4 +174,4 @@ SELECT doc_id, domain, lang, source, epoch, n_tokens, least(n_tokens, take - sta
 FROM started WHERE start < take"""
 
 
-ORACLES: dict[str, str] = {"op8_mixing": mix_sql(MIX_SHARE, MIX_EPOCHS, MIX_SEED)}
+ORACLES: dict[str, str] = {"op4_sharding": op4_sql(), "op8_mixing": mix_sql(MIX_SHARE, MIX_EPOCHS, MIX_SEED)}
