@@ -75,7 +75,7 @@ def leaf_budgets(leaves: DataFrame, levels: list[str], weights: dict[str, Column
         nodes = leaves.groupBy(*own).agg(F.sum("room").alias("room")).withColumn("weight", weight)
         if depth == 0:
             top = above.select(F.col("share").alias("budget"))
-            nodes = nodes.withColumn("one", F.lit(1)).join(top.withColumn("one", F.lit(1)), "one").drop("one")
+            nodes = nodes.withColumn("one", F.lit(1)).join(F.broadcast(top.withColumn("one", F.lit(1))), "one").drop("one")
         else:
             given = above.select(*[F.col(c).alias(f"up_{c}") for c in levels[:depth]], F.col("share").alias("budget"))
             same = F.lit(True)

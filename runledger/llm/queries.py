@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from runledger.llm import decontaminate, jaccard, language, mixing, neighbours, placement, tokens, warc
+from runledger.llm import decontaminate, jaccard, language, mixing, neighbours, placement, sanitise, suffixes, tokens, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -34,6 +34,17 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sanitise.find(table(spark, sf_dir, "documents"))
+    entities, terms = F.col("found"), F.col("terms")
+    return found.select(
+        "doc_id",
+        *[sanitise.count_of(entities, kind).alias(f"n_{kind}") for kind in sanitise.KINDS],
+        F.sha2(sanitise.spans_text(entities), 256).alias("base_sha256"),
+        sanitise.spans_text(entities, terms).alias("spans"),
+    )
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_table(spark, table(spark, sf_dir, "pages"))
 
@@ -101,6 +112,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, mix_levels(), mix_weights(), MIX_SHARE, MIX_EPOCHS, MIX_SEED)
 
 
+def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -109,12 +124,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_decontamination,
+        op2_pii,
         op3_warc,
         op4_sharding,
         op5_language_id,
         op6_token_files,
         op7_jaccard_join,
         op8_mixing,
+        op9_suffixes,
         op10_neighbours,
     )
 }
