@@ -25,7 +25,7 @@ STEP = 16
 # Sets of one bucket that are paired with each other; larger buckets are split first.
 PAIRED = 16
 # Sets of a larger bucket that are paired with all others in it.
-LEADERS = 3
+LEADERS = 2
 
 _DRAW = np.random.default_rng(77)
 _FACTOR = _DRAW.integers(0, 2**63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

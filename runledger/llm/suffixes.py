@@ -24,7 +24,7 @@ LENGTH = 100
 ANCHOR = 24
 SPAN = LENGTH - ANCHOR + 1  # places in a string where its anchor may be
 # Different pieces of one anchor that meet in one suffix array; anchors with more compare string by string.
-TOGETHER = 1_000
+TOGETHER = 50
 BLOCK = 1 << 19  # bytes of pieces in one suffix array
 END = 0xFF  # a byte that UTF-8 does not have
 
@@ -297,7 +297,7 @@ def _string_by_string(rows: DataFrame) -> DataFrame:
     """The same for anchors with very many different pieces: one digest for each string, the earliest by a count
     that combines before the shuffle, so no task holds an anchor as a whole."""
     strings = rows.select("doc", "first", "content", F.explode(F.sequence(F.lit(0), F.octet_length("content") - LENGTH)).alias("at"))
-    strings = strings.select("doc", (F.col("first") + F.col("at")).alias("start"), F.sha2(F.substring("content", F.col("at") + 1, F.lit(LENGTH)), 256).alias("string"))
+    strings = strings.select("doc", (F.col("first") + F.col("at")).alias("start"), F.unhex(F.md5(F.substring("content", F.col("at") + 1, F.lit(LENGTH)))).alias("string"))
     earliest = strings.groupBy("string").agg(F.min(F.struct("doc", "start")).alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     later = strings.join(earliest, "string").filter((F.col("doc") != F.col("lead.doc")) | (F.col("start") != F.col("lead.start")))
     return later.select("doc", F.col("start").alias("first"), F.lit(1).cast("long").alias("count"))
