@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from runledger.llm.common import as_bytes, mixed, prefix_hashes, slices, stored
 
@@ -25,6 +25,7 @@ ANCHOR = 24
 SPAN = LENGTH - ANCHOR + 1  # places in a string where its anchor may be
 # Different pieces of one anchor that meet in one suffix array; anchors with more compare string by string.
 TOGETHER = 50
+PART = 16
 BLOCK = 1 << 19  # bytes of pieces in one suffix array
 END = 0xFF  # a byte that UTF-8 does not have
 
@@ -294,13 +295,31 @@ def _compare(rows: DataFrame) -> DataFrame:
 
 
 def _string_by_string(rows: DataFrame) -> DataFrame:
-    """The same for anchors with very many different pieces: one digest for each string, the earliest by a count
-    that combines before the shuffle, so no task holds an anchor as a whole."""
-    strings = rows.select("doc", "first", "content", F.explode(F.sequence(F.lit(0), F.octet_length("content") - LENGTH)).alias("at"))
-    strings = strings.select("doc", (F.col("first") + F.col("at")).alias("start"), F.unhex(F.md5(F.substring("content", F.col("at") + 1, F.lit(LENGTH)))).alias("string"))
-    earliest = strings.groupBy("string").agg(F.min(F.struct("doc", "start")).alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    later = strings.join(earliest, "string").filter((F.col("doc") != F.col("lead.doc")) | (F.col("start") != F.col("lead.start")))
-    return later.select("doc", F.col("start").alias("first"), F.lit(1).cast("long").alias("count"))
+    """The same for anchors with many different pieces, so no task holds such an anchor as a whole.
+
+    Pieces are cut in parts of ``PART`` strings. Equal parts are merged first, then the strings of what is left are
+    compared one by one, each time by a digest whose earliest place is found by combining before the shuffle.
+    """
+    at = F.explode(F.sequence(F.lit(0), F.octet_length("content") - LENGTH, F.lit(PART)))
+    parts = _with_earliest(rows.select("doc", "first", "content", at.alias("at")), LENGTH + PART - 1)
+    later = _is_later()
+    settled = parts.filter(later)
+    leading = parts.filter(~later).select("doc", F.col("start").alias("first"), F.col("string").alias("content"))
+    at = F.explode(F.sequence(F.lit(0), F.octet_length("content") - LENGTH))
+    strings = _with_earliest(leading.select("doc", "first", "content", at.alias("at")), LENGTH).filter(later)
+    return settled.union(strings).select("doc", F.col("start").alias("first"), (F.octet_length("string") - LENGTH + 1).cast("long").alias("count"))
+
+
+def _with_earliest(cut: DataFrame, size: int) -> DataFrame:
+    """Strings of ``size`` bytes (fewer at the end) from ``at`` on, and where the earliest equal one is, if many are."""
+    string = F.substring("content", F.col("at") + 1, F.lit(size))
+    rows = cut.select("doc", (F.col("first") + F.col("at")).alias("start"), string.alias("string"), F.unhex(F.md5(string)).alias("digest"))
+    earliest = rows.groupBy("digest").agg(F.min(F.struct("doc", "start")).alias("lead"), F.count(F.lit(1)).alias("n"))
+    return rows.join(earliest.filter("n > 1").drop("n"), "digest", "left")
+
+
+def _is_later() -> Column:
+    return F.coalesce((F.col("doc") != F.col("lead.doc")) | (F.col("start") != F.col("lead.start")), F.lit(False))
 
 
 def _without_runs(joined: DataFrame, keep: bool) -> DataFrame:
