@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from runledger.llm.common import stored
+
 # Parts of a leaf's order of an epoch that are summed up before single documents are looked at.
 PARTS = 1024
 
@@ -114,7 +116,8 @@ def mix(
     names = list(levels)
     size = n_words(docs[f"`{text}`"]) if n_tokens is None else n_tokens
     rows = docs.select(docs[f"`{doc_id}`"].alias("doc_id"), *[c.alias(n) for n, c in levels.items()], size.alias("n_tokens"))
-    rows = rows.filter("n_tokens > 0")
+    # Texts are read and counted once; everything below looks at ids, levels and sizes only.
+    rows = stored(rows.filter("n_tokens > 0"), "sizes")
     leaves = rows.groupBy(*names).agg(F.sum("n_tokens").alias("tokens"))
     leaves = leaves.withColumn("room", F.col("tokens") * epochs)
     budgets = leaf_budgets(leaves, names, weights, F.sum("tokens") * share)
