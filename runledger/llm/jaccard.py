@@ -9,6 +9,7 @@ is dropped. The rest is verified exactly on the shingles of the whole texts.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import comb
 
 import numpy as np
@@ -31,7 +32,7 @@ _DRAW = np.random.default_rng(77)
 _FACTOR = _DRAW.integers(0, 2**63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = _DRAW.integers(0, 2**63, ROWS * BANDS, dtype=np.uint64)
 # Groups of three bands, by which the sets of large buckets are split.
-FINER = sorted({tuple(sorted(_DRAW.choice(BANDS, 3, replace=False).tolist())) for _ in range(128)})
+FINER = sorted({tuple(sorted(_DRAW.choice(BANDS, 3, replace=False).tolist())) for _ in range(150)})
 _WEIGHT = _DRAW.integers(0, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -140,11 +141,14 @@ def _paired(members: DataFrame) -> DataFrame:
     return one.select("a", F.explode(F.expr("slice(all, at + 2, size(all))")).alias("b"))
 
 
-def _stars(members: DataFrame) -> DataFrame:
-    """The leaders of a bucket with each other set."""
-    leaders = F.explode(F.array_distinct(F.array(*[f"leader{i}" for i in range(LEADERS)])))
-    both = members.select("set_no", leaders.alias("leader")).filter("set_no <> leader")
-    return both.select(F.least("set_no", "leader").alias("a"), F.greatest("set_no", "leader").alias("b"))
+def _stars(members: DataFrame, leaders: int) -> DataFrame:
+    """Some leaders of a bucket with each other set."""
+
+    def star(leader: str) -> DataFrame:
+        both = members.filter(F.col("set_no") != F.col(leader))
+        return both.select(F.least("set_no", leader).alias("a"), F.greatest("set_no", leader).alias("b"))
+
+    return reduce(DataFrame.union, [star(f"leader{i}") for i in range(leaders)])
 
 
 def candidates(sets: DataFrame) -> DataFrame:
@@ -158,7 +162,7 @@ def candidates(sets: DataFrame) -> DataFrame:
     large = members.filter(F.col("size") > PAIRED)
     split = sets.join(large.select("set_no").distinct(), "set_no", "left_semi")
     finer = _members(_band_rows(split, FINER))
-    pairs = _paired(members).union(_stars(large)).union(_paired(finer)).union(_stars(finer.filter(F.col("size") > PAIRED)))
+    pairs = _paired(members).union(_stars(large, LEADERS)).union(_paired(finer)).union(_stars(finer.filter(F.col("size") > PAIRED), 1))
     return pairs.distinct()
 
 
@@ -222,7 +226,7 @@ def links(docs: DataFrame, sketches: DataFrame, text: str, doc_id: str, threshol
         pairs = pairs.join(own, name)
     pairs = pairs.select(F.col("ga").alias("a"), F.col("gb").alias("b"), "sa", "sb")
     pairs = stored(_prune(pairs, fewest_matches(threshold, tolerance)), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("gid")).distinct().join(sets.select("gid", "doc_no"), "gid")
+    wanted = pairs.select(F.col("a").alias("gid")).union(pairs.select("b")).distinct().join(sets.select("gid", "doc_no"), "gid")
     wanted = wanted.select(F.col("gid").alias("want"), "doc_no")
     source = docs.select(docs[f"`{doc_id}`"].alias("doc_no"), docs[f"`{text}`"].cast("string").alias("content"))
     found = add_columns(source.join(wanted, "doc_no").withColumn("copy", F.col("content")), "copy", _FIELDS[:1], lambda t: {"gid": _sketch(t, False)["gid"]}, ["want", "content"])
@@ -271,7 +275,7 @@ def jaccard_join(
     source = docs.select(docs[f"`{doc_id}`"].alias("doc_no"), docs[f"`{text}`"].cast("string").alias("content"))
     sketches = stored(add_columns(source, "content", _FIELDS, lambda t: _sketch(t, True), ["doc_no"]), "sketches")
     found = links(docs, sketches, text, doc_id, threshold, tolerance)
-    degree = found.select(F.explode(F.array("a", "b")).alias("gid")).groupBy("gid").agg(F.count(F.lit(1)).alias("n_links"))
+    degree = found.select(F.col("a").alias("gid")).union(found.select("b")).groupBy("gid").agg(F.count(F.lit(1)).alias("n_links"))
     labels = components(found).join(degree, "gid", "left")
     counted = sketches.filter(F.col("gid").isNotNull()).groupBy("gid").agg(F.count(F.lit(1)).alias("n_copies"), F.min("doc_no").alias("first"))
     classes = counted.join(labels, "gid", "left").withColumn("root", F.coalesce("root", "gid"))
