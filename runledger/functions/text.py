@@ -28,8 +28,11 @@ def parse_bool(text: Column) -> Column:
 
 
 def line_value(text: Column, prefix: str) -> Column:
-    """Rest of the first line that starts with ``prefix``, else the first line; quotes removed."""
-    lines = F.split(F.trim(text), "\n")
+    """Rest of the first line that starts with ``prefix``, else the first line; quotes removed.
+
+    White space around the text does not count; lines end with LF, CR or both.
+    """
+    lines = F.split(F.regexp_replace(text, r"^\s+|\s+$", ""), r"\r\n|\r|\n")
     hit = F.try_element_at(F.filter(lines, lambda line: line.startswith(prefix)), F.lit(1))
     value = F.coalesce(F.substr(hit, F.lit(len(prefix) + 1)), F.try_element_at(lines, F.lit(1)))
     return F.replace(value, F.lit('"'), F.lit(""))

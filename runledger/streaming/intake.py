@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from runledger.sources.commits import push_triggers
@@ -13,7 +15,7 @@ def report_stream(spark: SparkSession, path: str, glob: str = "*.json", archive:
     """New report files as they arrive. The checkpoint of the query makes every file count once.
 
     With ``archive`` finished files are moved there as well. A file that does not parse has no fields
-    at all, so rows without result and timers are left out.
+    at all and is left out; a report of a failed run, without result and timers, stays.
     """
     reader = (
         spark.readStream.schema(REPORT)
@@ -24,7 +26,8 @@ def report_stream(spark: SparkSession, path: str, glob: str = "*.json", archive:
     if archive:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
     rows = reader.json(path).withColumn("source_path", F.col("_metadata.file_path"))
-    return rows.where(F.col("result").isNotNull() | F.col("timers").isNotNull())
+    parsed = reduce(Column.__or__, [F.col(f"`{name}`").isNotNull() for name in REPORT.names])
+    return rows.where(parsed)
 
 
 def append_reports(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
@@ -44,11 +47,10 @@ def append_reports(stream: DataFrame, table: str, checkpoint: str) -> StreamingQ
 def trigger_stream(spark: SparkSession, path: str, patterns: list[str] | str | None, delay: str = "1 day") -> DataFrame:
     """Runs asked for by push events, each pushed commit once within the delay.
 
-    Events are delivered at least once; the watermark lets Spark forget old ones.
+    Events are delivered at least once; the watermark lets Spark forget old ones. It goes by the time of
+    arrival: a file may be older than the events already seen.
     """
-    events = spark.readStream.schema(PUSH).option("multiLine", True).json(path).withColumn(
-        "received", F.col("_metadata.file_modification_time")
-    )
+    events = spark.readStream.schema(PUSH).option("multiLine", True).json(path).withColumn("received", F.current_timestamp())
     once = events.withWatermark("received", delay).dropDuplicatesWithinWatermark(["after", "ref"])
     return push_triggers(once, patterns)
 

@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -199,6 +200,23 @@ def test_trigger_stream_drops_repeated_events(spark, tmp_path):
     assert [r["branch"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["master"]
 
 
+def test_streams_keep_failed_runs_and_late_files(spark, tmp_path):
+    write(tmp_path / "in" / "failed.json", {"problem": {"returncode": 1}})
+    intake.append_reports(intake.report_stream(spark, str(tmp_path / "in")), str(tmp_path / "table"), str(tmp_path / "cp")).awaitTermination(60)
+    assert spark.read.parquet(str(tmp_path / "table")).count() == 1
+    for name, age in (("a", 0), ("b", 3 * 86400)):
+        write(tmp_path / "push" / f"{name}.json", {**PUSHED, "after": name})
+        then = (tmp_path / "push" / f"{name}.json").stat().st_mtime - age
+        os.utime(tmp_path / "push" / f"{name}.json", (then, then))
+        query = (
+            intake.trigger_stream(spark, str(tmp_path / "push"), ["master"])
+            .writeStream.format("parquet").option("path", str(tmp_path / "runs"))
+            .option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
+        )
+        query.awaitTermination(60)
+    assert spark.read.parquet(str(tmp_path / "runs")).count() == 2
+
+
 def test_running_commit_stats(spark, tmp_path):
     write(tmp_path / "in" / "one.json", REPORT)
     write(tmp_path / "in" / "two.json", {**REPORT, "result": {"duration": 1.0}})
