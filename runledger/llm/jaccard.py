@@ -4,12 +4,14 @@ Documents with the same set of word shingles form one class member list and are
 share a band of MinHash values are candidates. For each candidate pair the MinHash values are compared step by
 step; once the posterior probability that the similarity reaches the threshold is below the tolerance, the pair
 is dropped. The rest is verified exactly on the shingles of the whole texts.
+
+Small buckets give their pairs as rows. The sets of a large bucket are dealt in blocks; each pair of blocks is
+compared within one task, which gives a row per set instead of a row per pair.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from math import comb
 
 import numpy as np
@@ -23,16 +25,16 @@ THRESHOLD = 0.8
 ROWS, BANDS = 4, 24  # a pair of similarity 0.8 shares no band with probability (1 - 0.8^4)^24 < 3.2e-6
 TOLERANCE = 1e-6
 STEP = 16
-# Sets of one bucket that are paired with each other; larger buckets are split first.
+# Buckets of up to so many sets give rows of pairs; larger ones are compared in blocks.
 PAIRED = 16
-# Sets of a larger bucket that are paired with all others in it.
-LEADERS = 2
+# Bytes of a block of a large bucket, at about ``SET_BYTES`` a set and ``SHINGLE_BYTES`` a shingle.
+BLOCK_BYTES, SET_BYTES, SHINGLE_BYTES = 4 << 20, 512, 16
+# Sets and shingles of a tile: the part of a block that is compared at once.
+TILE_SETS, TILE_SHINGLES = 128, 1 << 15
 
 _DRAW = np.random.default_rng(77)
 _FACTOR = _DRAW.integers(0, 2**63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = _DRAW.integers(0, 2**63, ROWS * BANDS, dtype=np.uint64)
-# Groups of three bands, by which the sets of large buckets are split.
-FINER = sorted({tuple(sorted(_DRAW.choice(BANDS, 3, replace=False).tolist())) for _ in range(150)})
 _WEIGHT = _DRAW.integers(0, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -79,7 +81,6 @@ def _sketch(texts: list[bytes | None], full: bool) -> dict[str, list]:
         if some.any():
             for k in range(ROWS * BANDS):
                 values[k, some] = np.minimum.reduceat((code * _FACTOR[k] + _SHIFT[k]) >> np.uint64(32), begin[some])
-        signature = np.ascontiguousarray(values.T)
         out["signature"] = [row.tobytes() if ok else None for row, ok in zip(values.T.copy(), some, strict=True)]
     return out
 
@@ -107,80 +108,180 @@ _FIELDS = [
 ]
 
 
-def _band_rows(sets: DataFrame, groups: list[tuple[int, ...]]) -> DataFrame:
-    """A row for each set and group of bands: ``key`` of the values of these bands."""
+def _band_rows(sets: DataFrame) -> DataFrame:
+    """A row for each set and band: ``key`` of the values of the band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            signature = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, ROWS * BANDS)
-            keys = np.zeros((len(signature), len(groups)), np.uint64)
-            for at, group in enumerate(groups):
-                for value in (band * ROWS + row for band in group for row in range(ROWS)):
-                    keys[:, at] = mixed(keys[:, at] + signature[:, value] + np.uint64((at << 40) + 1))
-            numbers = np.repeat(batch.column(0).to_numpy(), len(groups))
-            columns = [pa.array(x.reshape(-1).view(np.int64)) for x in (numbers, keys)]
-            yield pa.RecordBatch.from_arrays(columns, names=["set_no", "key"])
+            signature = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, ROWS * BANDS)
+            keys = np.zeros((len(signature), BANDS), np.uint64)
+            for band in range(BANDS):
+                for value in range(band * ROWS, (band + 1) * ROWS):
+                    keys[:, band] = mixed(keys[:, band] + signature[:, value] + np.uint64((band << 40) + 1))
+            own = [np.repeat(batch.column(i).to_numpy(), BANDS) for i in (0, 1)]
+            bands = np.tile(np.arange(BANDS, dtype=np.int32), len(signature))
+            columns = [pa.array(x) for x in (*own, bands, keys.reshape(-1).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["set_no", "n", "band", "key"])
 
-    return sets.select("set_no", "signature").mapInArrow(run, "set_no long, key long")
+    return sets.select("set_no", "n", "signature").mapInArrow(run, "set_no long, n long, band int, key long")
 
 
 def _members(rows: DataFrame) -> DataFrame:
-    """Keys that several sets have, with these sets, their number and some leaders drawn for the key.
+    """Buckets of several sets, with these sets, their number and the number of blocks they fill.
 
-    Counting combines before the shuffle; a hot key meets its many rows in a join that Spark may split.
+    Counting combines before the shuffle; a hot bucket meets its many rows in a join that Spark may split.
     """
-    leaders = [F.min_by("set_no", F.xxhash64("set_no", "key", F.lit(i))).alias(f"leader{i}") for i in range(LEADERS)]
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), *leaders)
-    return rows.join(sizes.filter("size > 1"), "key")
+    filled = F.sum(F.col("n") * SHINGLE_BYTES + SET_BYTES) / BLOCK_BYTES
+    sizes = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"), F.ceil(filled).cast("int").alias("blocks"))
+    return rows.drop("n").join(sizes.filter("size > 1"), ["band", "key"])
 
 
 def _paired(members: DataFrame) -> DataFrame:
-    """All pairs within small buckets: at most ``PAIRED`` sets are gathered in one row."""
-    lists = members.filter(F.col("size") <= PAIRED).groupBy("key").agg(F.array_sort(F.collect_set("set_no")).alias("all"))
+    """All pairs ``a`` < ``b`` within small buckets: at most ``PAIRED`` sets are gathered in one row."""
+    lists = members.filter(F.col("size") <= PAIRED).groupBy("band", "key").agg(F.array_sort(F.collect_set("set_no")).alias("all"))
     one = lists.select(F.posexplode("all").alias("at", "a"), "all")
-    return one.select("a", F.explode(F.expr("slice(all, at + 2, size(all))")).alias("b"))
-
-
-def _stars(members: DataFrame, leaders: int) -> DataFrame:
-    """Some leaders of a bucket with each other set."""
-
-    def star(leader: str) -> DataFrame:
-        both = members.filter(F.col("set_no") != F.col(leader))
-        return both.select(F.least("set_no", leader).alias("a"), F.greatest("set_no", leader).alias("b"))
+    return one.select("a", F.explode(F.expr("slice(all, at + 2, size(all))")).alias("b")).distinct()
 
-    return reduce(DataFrame.union, [star(f"leader{i}") for i in range(leaders)])
 
-
-def candidates(sets: DataFrame) -> DataFrame:
-    """Pairs ``a`` < ``b`` of set numbers that share a band.
-
-    Buckets of up to ``PAIRED`` sets give all their pairs. A larger one gives its leaders with each other set,
-    and its sets are bucketed again by groups of three bands, in the same way; so the rows grow with the bucket, not with
-    its square. Each of a set's buckets has leaders of its own, so that a set far from one is close to another.
-    """
-    members = _members(_band_rows(sets, [(band,) for band in range(BANDS)]))
-    large = members.filter(F.col("size") > PAIRED)
-    split = sets.join(large.select("set_no").distinct(), "set_no", "left_semi")
-    finer = _members(_band_rows(split, FINER))
-    pairs = _paired(members).union(_stars(large, LEADERS)).union(_paired(finer)).union(_stars(finer.filter(F.col("size") > PAIRED), 1))
-    return pairs.distinct()
+def _possible(left: np.ndarray, right: np.ndarray, need: list[tuple[int, int]]) -> np.ndarray:
+    """Numbers of the rows whose similarity may still reach the threshold; MinHash values are compared in steps."""
+    alive, matches, done = np.arange(len(left)), np.zeros(len(left), np.int64), 0
+    for n, least in need:
+        matches[alive] += (left[alive, done:n] == right[alive, done:n]).sum(axis=1)
+        alive, done = alive[matches[alive] >= least], n
+    return alive
 
 
 def _prune(pairs: DataFrame, need: list[tuple[int, int]]) -> DataFrame:
-    """Keep pairs whose similarity may still reach the threshold; MinHash values are compared in steps."""
+    """Pairs of small buckets that stay possible. Those that share a large bucket too are found there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, ROWS * BANDS) for i in (2, 3))
-            alive, matches, done = np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64), 0
-            for n, least in need:
-                matches[alive] += (left[alive, done:n] == right[alive, done:n]).sum(axis=1)
-                alive, done = alive[matches[alive] >= least], n
-            yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(alive)) for i in (0, 1)], names=["a", "b"])
+            shared = (left == right).reshape(-1, BANDS, ROWS).all(axis=2)
+            crowded = (batch.column(4).to_numpy()[:, None] >> np.arange(BANDS)) & 1 > 0
+            alive = np.flatnonzero(~(shared & crowded).any(axis=1))
+            alive = pa.array(alive[_possible(left[alive], right[alive], need)])
+            yield pa.RecordBatch.from_arrays([batch.column(i).take(alive) for i in (0, 1)], names=["a", "b"])
+
+    return pairs.select("a", "b", "sa", "sb", "crowded").mapInArrow(run, "a binary, b binary")
+
+
+def _tiles(members: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """Members in runs of at most ``TILE_SETS`` sets and about ``TILE_SHINGLES`` shingles."""
+    out, begin, size = [], 0, 0
+    for at, n in enumerate(counts[members].tolist()):
+        if at > begin and (at - begin == TILE_SETS or size + n > TILE_SHINGLES):
+            out.append(members[begin:at])
+            begin, size = at, 0
+        size += n
+    return [*out, members[begin:]] if len(members) else out
+
+
+def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Numbers of shingles that each of some sets shares with each of others, as a product of 0-1 matrices."""
+    both = np.intersect1d(np.concatenate(a), np.concatenate(b))
+
+    def matrix(sets: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros((len(sets), len(both)), np.float32 if len(both) < 1 << 24 else np.float64)
+        for at, own in enumerate(sets):
+            out[at, np.searchsorted(both, np.intersect1d(own, both, assume_unique=True))] = 1
+        return out
+
+    return np.rint(matrix(a) @ matrix(b).T).astype(np.int64) if len(both) else np.zeros((len(a), len(b)), np.int64)
+
 
-    return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
+def _spread_labels(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows and columns of a matrix of links the first row of their connected group (rows without links: themselves)."""
+    n = len(linked)
+    rows, columns = np.arange(n), np.full(linked.shape[1], n)
+    while True:
+        columns = np.minimum(columns, np.where(linked, rows[:, None], n).min(axis=0))
+        after = np.minimum(rows, np.where(linked, columns[None, :], n).min(axis=1))
+        if (after == rows).all():
+            return rows, columns
+        rows = after
+
+
+def _block_links(threshold: float, need: list[tuple[int, int]]):
+    """Function over one pair of blocks of a large bucket: a row for each set with links in it.
+
+    A pair is looked at in the first large bucket that it shares, so it counts once. Tiles of both blocks are
+    compared: MinHash values in steps, then all shingles of the texts. ``root`` is a set of the same linked group.
+    """
+
+    def run(rows: pa.Table) -> pa.Table:
+        band, left, right = (rows.column(c)[0].as_py() for c in ("band", "left", "right"))
+        names = rows.column("gid").to_pylist()
+        _, first = np.unique(np.array([n.hex() for n in names]), return_index=True)
+        rows, names = rows.take(pa.array(first)), [names[i] for i in first.tolist()]
+        signature = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint32).reshape(-1, ROWS * BANDS)
+        block, crowded = rows.column("block").to_numpy(), rows.column("crowded").to_numpy()
+        code, counts = shingles(as_bytes(rows.column("content").combine_chunks()))
+        ends = np.cumsum(counts)
+        # Number of the earlier large bucket of each set, or one of its own.
+        buckets = np.empty((len(names), band), np.int64)
+        for at in range(band):
+            values = np.ascontiguousarray(signature[:, at * ROWS : (at + 1) * ROWS]).view(f"V{4 * ROWS}").reshape(-1)
+            buckets[:, at] = np.where((crowded >> at) & 1 > 0, np.unique(values, return_inverse=True)[1], -1 - np.arange(len(names)))
+        degree, parent = np.zeros(len(names), np.int64), list(range(len(names)))
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        lefts = _tiles(np.flatnonzero(block == left), counts)
+        rights = lefts if left == right else _tiles(np.flatnonzero(block == right), counts)
+        for number, a in enumerate(lefts):
+            for b in rights[number:] if left == right else rights:
+                fits = np.minimum(counts[a][:, None], counts[b]) >= threshold * np.maximum(counts[a][:, None], counts[b])
+                if a is b:
+                    fits = np.triu(fits, 1)
+                for at in range(band):
+                    fits &= buckets[a, at][:, None] != buckets[b, at]
+                i, j = np.nonzero(fits)
+                alive = _possible(signature[a[i]], signature[b[j]], need)
+                if not len(alive):
+                    continue
+                i, j = i[alive], j[alive]
+                used, others = np.unique(i), np.unique(j)
+                both = _common(*([code[ends[x] - counts[x] : ends[x]] for x in part.tolist()] for part in (a[used], b[others])))
+                both = both[np.searchsorted(used, i), np.searchsorted(others, j)]
+                near = both / (counts[a[i]] + counts[b[j]] - both) >= threshold
+                linked = np.zeros(fits.shape, bool)
+                linked[i[near], j[near]] = True
+                # In a tile with itself a set is a row and a column.
+                degree[a] += linked.sum(axis=1)
+                degree[b] += linked.sum(axis=0)
+                for members, labels in zip((a, b), _spread_labels(linked | linked.T if a is b else linked), strict=True):
+                    for x, label in zip(members.tolist(), labels.tolist(), strict=True):
+                        if label < len(a):
+                            parent[root(x)] = root(int(a[label]))
+        some = np.flatnonzero(degree).tolist()
+        return pa.table(
+            {
+                "gid": pa.array([names[x] for x in some], pa.binary()),
+                "root": pa.array([names[root(x)] for x in some], pa.binary()),
+                "n_links": pa.array(degree[some], pa.int64()),
+            }
+        )
+
+    return run
+
+
+def _crowds(large: DataFrame, texts: DataFrame, threshold: float, need: list[tuple[int, int]]) -> DataFrame:
+    """Links within large buckets: ``gid``, ``root``, ``n_links`` for the sets of each pair of blocks.
+
+    A set is in one block of a bucket, by its number, and meets each block of the bucket in a task of its own.
+    """
+    block = F.pmod(F.xxhash64("set_no", "key"), F.col("blocks")).cast("int")
+    dealt = large.withColumn("block", block).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = dealt.select("set_no", "band", "key", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
+    rows = dealt.join(texts, "set_no").select("band", "key", "left", "right", "block", "gid", "signature", "crowded", "content")
+    return rows.groupBy("band", "key", "left", "right").applyInArrow(_block_links(threshold, need), "gid binary, root binary, n_links long")
 
 
 def _verify(rows: DataFrame, threshold: float) -> DataFrame:
@@ -208,33 +309,47 @@ def _verify(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.mapInArrow(run, "a binary, b binary, jaccard double")
 
 
-def links(docs: DataFrame, sketches: DataFrame, text: str, doc_id: str, threshold: float, tolerance: float) -> DataFrame:
-    """Pairs of different shingle sets with similarity from ``threshold`` on: ``a``, ``b``, ``jaccard``."""
+def links(
+    docs: DataFrame, sketches: DataFrame, text: str, doc_id: str, threshold: float, tolerance: float
+) -> tuple[DataFrame, DataFrame]:
+    """Links between different shingle sets with similarity from ``threshold`` on.
+
+    First those of small buckets as pairs ``a``, ``b``, ``jaccard``; then those of large ones, a row for each
+    set, task and bucket: ``gid``, ``root`` (a set of the same linked group), ``n_links``. No link is in both.
+    """
     sets = sketches.filter(F.col("gid").isNotNull()).groupBy("gid").agg(
         F.min("doc_no").alias("doc_no"), F.first("n").alias("n"), F.first("signature").alias("signature")
     )
     # Half of the digest serves as number where rows are many; should two sets share one, both are compared.
     number = F.conv(F.substring(F.hex("gid"), 1, 15), 16, 10).cast("long")
     sets = stored(sets.withColumn("set_no", number), "sets")
-    pairs = candidates(sets)
+    members = stored(_members(_band_rows(sets)), "members")
+    large, need = members.filter(F.col("size") > PAIRED), fewest_matches(threshold, tolerance)
+    crowded = large.groupBy("set_no").agg(F.expr("bit_or(shiftleft(1L, band))").alias("crowded"))
+    pairs = _paired(members)
     for name in ("a", "b"):
         own = sets.select(F.col("set_no").alias(name), F.col("n").alias(f"n{name}"))
         pairs = pairs.join(own.distinct(), name)
     pairs = pairs.filter(F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb")).select("a", "b").distinct()
+    pairs = pairs.join(crowded.withColumnRenamed("set_no", "a"), "a", "left").fillna(0, ["crowded"])
     for name in ("a", "b"):
         own = sets.select(F.col("set_no").alias(name), F.col("gid").alias(f"g{name}"), F.col("signature").alias(f"s{name}"))
         pairs = pairs.join(own, name)
-    pairs = pairs.select(F.col("ga").alias("a"), F.col("gb").alias("b"), "sa", "sb")
-    pairs = stored(_prune(pairs, fewest_matches(threshold, tolerance)), "pairs")
-    wanted = pairs.select(F.col("a").alias("gid")).union(pairs.select("b")).distinct().join(sets.select("gid", "doc_no"), "gid")
-    wanted = wanted.select(F.col("gid").alias("want"), "doc_no")
+    pairs = pairs.select(F.col("ga").alias("a"), F.col("gb").alias("b"), "sa", "sb", "crowded")
+    pairs = stored(_prune(pairs, need), "pairs")
+    meeting = sets.join(crowded, "set_no").select("gid", "set_no", "signature", "crowded")
+    wanted = pairs.select(F.col("a").alias("gid")).union(pairs.select("b")).union(meeting.select("gid")).distinct()
+    wanted = wanted.join(sets.select("gid", "doc_no"), "gid").select(F.col("gid").alias("want"), "doc_no")
     source = docs.select(docs[f"`{doc_id}`"].alias("doc_no"), docs[f"`{text}`"].cast("string").alias("content"))
     found = add_columns(source.join(wanted, "doc_no").withColumn("copy", F.col("content")), "copy", _FIELDS[:1], lambda t: {"gid": _sketch(t, False)["gid"]}, ["want", "content"])
     # A repeated id may bring texts of another set along, and a repeated row the same text twice.
     texts = stored(found.filter("gid = want").select("gid", "content").dropDuplicates(["gid"]), "texts")
     right = pairs.join(texts.select(F.col("gid").alias("b"), F.col("content").alias("other")), "b")
     both = right.join(texts.select(F.col("gid").alias("a"), "content"), "a")
-    return stored(_verify(both.select("a", "b", "content", "other"), threshold), "links")
+    return (
+        stored(_verify(both.select("a", "b", "content", "other"), threshold), "links"),
+        stored(_crowds(large, meeting.join(texts, "gid"), threshold, need), "crowds"),
+    )
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -266,17 +381,19 @@ def jaccard_join(
     linked with) and ``n_copies`` (documents with its own set).
 
     Shingles are five words of whole texts. Documents whose sets are equal or linked, directly or over others,
-    are one class. Copies are never paired. Links inside a bucket of more than ``PAIRED`` different sets run over
-    its first set, or over finer buckets: they hold the class together, but are not all pairs there.
+    are one class. Copies are never paired. Every link counts, also in large groups of different near copies:
+    their pairs are compared in blocks, without a row for each.
 
     A text that is null or has no words is a class of its own, as is a document whose id is null (its ``class_id``
     is null); repeated rows share their class; other columns play no part.
     """
     source = docs.select(docs[f"`{doc_id}`"].alias("doc_no"), docs[f"`{text}`"].cast("string").alias("content"))
     sketches = stored(add_columns(source, "content", _FIELDS, lambda t: _sketch(t, True), ["doc_no"]), "sketches")
-    found = links(docs, sketches, text, doc_id, threshold, tolerance)
-    degree = found.select(F.col("a").alias("gid")).union(found.select("b")).groupBy("gid").agg(F.count(F.lit(1)).alias("n_links"))
-    labels = components(found).join(degree, "gid", "left")
+    found, crowds = links(docs, sketches, text, doc_id, threshold, tolerance)
+    degree = found.select(F.col("a").alias("gid")).union(found.select("b")).withColumn("n_links", F.lit(1)).union(crowds.select("gid", "n_links"))
+    degree = degree.groupBy("gid").agg(F.sum("n_links").alias("n_links"))
+    grouped = crowds.filter("gid <> root").select(F.col("gid").alias("a"), F.col("root").alias("b")).distinct()
+    labels = components(found.select("a", "b").union(grouped)).join(degree, "gid", "left")
     counted = sketches.filter(F.col("gid").isNotNull()).groupBy("gid").agg(F.count(F.lit(1)).alias("n_copies"), F.min("doc_no").alias("first"))
     classes = counted.join(labels, "gid", "left").withColumn("root", F.coalesce("root", "gid"))
     firsts = classes.groupBy("root").agg(F.min("first").alias("class_id"))

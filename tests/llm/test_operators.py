@@ -209,6 +209,38 @@ def test_jaccard(spark):
     assert all(b > a for (_, a), (_, b) in zip(jaccard.fewest_matches(0.8, 1e-6), jaccard.fewest_matches(0.8, 1e-6)[1:], strict=False))
 
 
+def test_jaccard_keeps_every_link_of_large_groups(spark, monkeypatch):
+    """Chains and crowds of different near copies: links are those of brute force, in one block and in many."""
+    rng = random.Random(8)
+    base = rng.choices(WORDS, k=150)
+    values = []
+    for i in range(160):
+        words_ = list(base)
+        for at in rng.sample(range(150), rng.randint(0, 4)):
+            words_[at] = f"v{rng.randint(0, 9)}"
+        values.append(" ".join(words_))
+    values += texts(9, 30) + values[:10]
+    shingle = [frozenset(zip(*(words((t or "").encode())[k:] for k in range(5)), strict=False)) for t in values]
+    different = set(shingle) - {frozenset()}
+    links = {s: sum(5 * len(s & o) >= 4 * len(s | o) for o in different if o != s) for s in different}
+    for most in (jaccard.BLOCK_BYTES, 100_000):
+        monkeypatch.setattr(jaccard, "BLOCK_BYTES", most)
+        monkeypatch.setattr(jaccard, "TILE_SETS", 128 if most > 100_000 else 17)
+        got = {r.doc_id: r for r in jaccard.jaccard_join(table(spark, values)).collect()}
+        long = [i for i, t in enumerate(values) if len(words((t or "").encode())) >= 5]
+        assert {i: got[i].n_links for i in long} == {i: links[shingle[i]] for i in long}
+        root = {}
+        for i in long:
+            seen, todo = {shingle[i]}, [shingle[i]]
+            while todo:
+                s = todo.pop()
+                more = [o for o in different - seen if 5 * len(s & o) >= 4 * len(s | o)]
+                seen.update(more)
+                todo.extend(more)
+            root[i] = min(k for k in long if shingle[k] in seen)
+        assert {i: got[i].class_id for i in long} == root
+
+
 def test_mixing(spark):
     rows = [(i, "w " * (1 + i % 9), "ab"[i % 5 == 0], f"s{i % 3}") for i in range(300)] + [(900, None, "a", "s0"), (901, "", None, None), (902, "x", None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
