@@ -48,12 +48,21 @@ def aggregate_with_percentiles(
     return keyed_join(df.groupBy(*columns).agg(*aggregates), percentiles, keys, "left")
 
 
+def _octave(v: Column) -> Column:
+    """Number of the power of two below a value, in the order of the values."""
+    size = F.abs(v)
+    power = F.when(size == float("inf"), F.lit(3000)).otherwise(F.floor(F.log2(size)) + 1100)
+    return F.when(F.isnan(v), F.lit(4000)).when(v == 0, F.lit(0)).otherwise(F.signum(v) * power).cast("long")
+
+
 def _select(df: DataFrame, keys: list[str], probabilities: dict[str, float]) -> DataFrame:
     """Selection by repeated histograms.
 
-    A target is an interval of values known to hold wanted ranks. Each round cuts every target in
-    equal bins, counts them with map-side combining, and keeps the bins the ranks fall in, until a
-    target holds a single value. A task sees at most ``BINS`` counts of a target.
+    A target is an interval of values known to hold wanted ranks. Each round cuts every target in bins,
+    counts them with map-side combining, and keeps the bins the ranks fall in, until a target holds a
+    single value. The first round cuts at powers of two, with infinities, NaN (largest, as Spark sorts
+    it) and zero apart; the next ones cut in ``BINS`` equal parts. So whatever the range of the values,
+    there are about seven rounds, and a task sees a few thousand counts of a target at most.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
@@ -72,7 +81,7 @@ def _select(df: DataFrame, keys: list[str], probabilities: dict[str, float]) ->
     groups = sized.checkpoint()
     wanted = F.transform(ranks(F.col("size")), lambda r: F.struct(r.alias("rank"), r.alias("left")))
     targets = groups.select(*columns, "low", "high", wanted.alias("wanted"))
-    found = []
+    found, first = [], True
     while True:
         found.append(targets.where("low = high"))
         open_targets = targets.where("low < high")
@@ -80,10 +89,12 @@ def _select(df: DataFrame, keys: list[str], probabilities: dict[str, float]) ->
             break
         side = lookup_side(open_targets)
         rows = keyed_join(df, side, keys, extra=F.col("__v").between(F.col("low"), F.col("high")))
-        # Halves keep the width finite for any pair of doubles.
-        part = (F.col("__v") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2)
+        # Within a power of two the differences are exact and not zero.
+        part = (F.col("__v") - F.col("low")) / (F.col("high") - F.col("low"))
+        cut = _octave(F.col("__v")) if first else F.least(F.floor(part * BINS), F.lit(BINS - 1))
+        first = False
         bins = rows.groupBy(
-            *columns, F.col("low").alias("base"), F.least(F.floor(part * BINS), F.lit(BINS - 1)).alias("bin")
+            *columns, F.col("low").alias("base"), cut.alias("bin")
         ).agg(
             F.count(F.lit(1)).alias("size"),
             F.min("__v").alias("low"),
@@ -125,6 +136,6 @@ def _select(df: DataFrame, keys: list[str], probabilities: dict[str, float]) ->
         below, above = F.col("at")[F.floor(place)], F.col("at")[F.ceil(place)]
         # The weights Spark's own percentile uses.
         mixed = (F.ceil(place) - place) * below + (place - F.floor(place)) * above
-        result.append(F.when(F.floor(place) == F.ceil(place), below).otherwise(mixed).alias(name))
+        result.append(F.when((F.floor(place) == F.ceil(place)) | (below == above), below).otherwise(mixed).alias(name))
     return joined.select(*columns, *result)
 

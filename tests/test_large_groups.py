@@ -40,6 +40,28 @@ def test_percentiles_agree_with_numpy_and_with_the_short_plan(spark, kind):
             assert long[k][name] == pytest.approx(w, rel=1e-12)
 
 
+def test_percentiles_of_odd_values_end(spark):
+    """Infinities, NaN (the largest), denormals and 600 decades: ranks are those of a sort."""
+    inf, nan, least = float("inf"), float("nan"), 5e-324
+    state = random.Random(11)
+    data = {
+        "inf": [1.0, 2.0, inf],
+        "minus": [-inf, -inf, 0.0, 3.0, inf],
+        "nan": [nan, 1.0, nan, 2.0, -1.0],
+        "least": [0.0, least, least, 4 * least, 5 * least],
+        "wide": [state.choice([-1, 1]) * 10.0 ** state.uniform(-300, 300) for _ in range(101)],
+        "edges": [1.7e308, -1.7e308, 0.0, -0.0, 2.0**-1074],
+    }
+    df = spark.createDataFrame([(k, v) for k, vs in data.items() for v in vs], "k string, v double")
+    places = {"p0": 0.0, "p50": 0.5, "p100": 1.0}
+    got = {r["k"]: r for r in group_percentiles(df, ["k"], "v", places, limit=0).collect()}
+    for k, vs in data.items():
+        vs = sorted(vs, key=lambda v: (v != v, v))
+        for name, p in places.items():
+            want = vs[int(p * (len(vs) - 1))]
+            assert got[k][name] == want or (want != want and got[k][name] != got[k][name])
+
+
 def test_percentiles_without_groups(spark):
     df = spark.range(101).select(F.col("id").cast("double").alias("v"))
     row = group_percentiles(df, [], "v", {"a": 0.25, "b": 0.5}, limit=0).first()
