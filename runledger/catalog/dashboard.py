@@ -174,7 +174,7 @@ def drilled(spark, sf_dir):
 FRAMES_SQL = f"""WITH {TIMERS}, t AS (SELECT cpu AS cpus, scale, name, coalesce(path, name) AS path, seconds AS d, id FROM timers WHERE dt < TIMESTAMP '2024-01-15'),
     bucket AS (SELECT cpus, scale, sum(m) AS d FROM (SELECT cpus, scale, name, avg(d) AS m FROM t WHERE d < 0.5 GROUP BY ALL) GROUP BY ALL),
     every AS (SELECT cpus, scale, name, path, d, id FROM t WHERE d >= 0.5
-      UNION ALL SELECT cpus, scale, 'values &lt; 0.5', 'sum of the means of the values lesser than 0.5 sec', d, NULL FROM bucket)"""
+      UNION ALL SELECT cpus, scale, 'below 0.5 s', 'parts with a mean below 0.5 s, added up', d, NULL FROM bucket)"""
 
 
 @query(

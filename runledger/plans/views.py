@@ -13,8 +13,8 @@ from runledger.operators.quantiles import aggregate_with_percentiles
 from runledger.plans.options import SCALE_VIEW, TIME_SERIES, ChartOptions, EmptyResultError, FieldMapping
 from runledger.sizing import quoted
 
-SMALL_NAME = "values &lt; %s"
-SMALL_PATH = "sum of the means of the values lesser than %s sec"
+SMALL_NAME = "below %s s"
+SMALL_PATH = "parts with a mean below %s s, added up"
 
 
 def selected_reports(reports: DataFrame, mapping: FieldMapping, options: ChartOptions) -> DataFrame:

@@ -144,9 +144,9 @@ def test_frame_view_small_values_and_zeros(spark):
     for limit in (None, 0):
         got = {r["name"]: (r["low"], r["high"], r["path"]) for r in views.frame_view(df, ["series"], limit=limit).collect()}
         assert got["big"] == (3.5, 4.5, "/x")
-        assert got["values &lt; 0.5"][:2] == (0.4, 0.4)
-        assert set(got) == {"big", "values &lt; 0.5"}
+        assert got["below 0.5 s"][:2] == (0.4, 0.4)
+        assert set(got) == {"big", "below 0.5 s"}
     points = [(r["name"], r["x"]) for r in views.frame_scatter(df, ["series"]).collect()]
-    assert points == [("big", 5.0), ("big", 3.0), ("values &lt; 0.5", 0.4)]
+    assert points == [("big", 5.0), ("big", 3.0), ("below 0.5 s", 0.4)]
     zeros = df.withColumn("duration", F.lit(0.0))
     assert views.frame_view(zeros, ["series"]).count() == 0
