@@ -21,10 +21,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from runledger.llm.common import as_bytes, mixed, prefix_hashes, slices, stored
 
 LENGTH = 100
-ANCHOR = 24
+ANCHOR = 40
 SPAN = LENGTH - ANCHOR + 1  # places in a string where its anchor may be
 # Different pieces of one anchor that meet in one suffix array; anchors with more compare string by string.
-TOGETHER = 50
+TOGETHER = 1000
 PART = 16
 BLOCK = 1 << 19  # bytes of pieces in one suffix array
 END = 0xFF  # a byte that UTF-8 does not have
@@ -301,19 +301,29 @@ def _string_by_string(rows: DataFrame) -> DataFrame:
     compared one by one, each time by a digest whose earliest place is found by combining before the shuffle.
     """
     at = F.explode(F.sequence(F.lit(0), F.octet_length("content") - LENGTH, F.lit(PART)))
-    parts = _with_earliest(rows.select("doc", "first", "content", at.alias("at")), LENGTH + PART - 1)
+    parts = _with_earliest(rows.select("doc", "first", "content", at.alias("at")), LENGTH + PART - 1, keep=True)
     later = _is_later()
     settled = parts.filter(later)
     leading = parts.filter(~later).select("doc", F.col("start").alias("first"), F.col("string").alias("content"))
     at = F.explode(F.sequence(F.lit(0), F.octet_length("content") - LENGTH))
     strings = _with_earliest(leading.select("doc", "first", "content", at.alias("at")), LENGTH).filter(later)
-    return settled.union(strings).select("doc", F.col("start").alias("first"), (F.octet_length("string") - LENGTH + 1).cast("long").alias("count"))
+    found = [x.select("doc", F.col("start").alias("first"), "count") for x in (settled, strings)]
+    return found[0].union(found[1])
 
 
-def _with_earliest(cut: DataFrame, size: int) -> DataFrame:
-    """Strings of ``size`` bytes (fewer at the end) from ``at`` on, and where the earliest equal one is, if many are."""
+def _with_earliest(cut: DataFrame, size: int, keep: bool = False) -> DataFrame:
+    """Strings of ``size`` bytes (fewer at the end) from ``at`` on, and where the earliest equal one is, if many are.
+
+    Their bytes are shuffled only with ``keep``; comparing needs the digests alone.
+    """
     string = F.substring("content", F.col("at") + 1, F.lit(size))
-    rows = cut.select("doc", (F.col("first") + F.col("at")).alias("start"), string.alias("string"), F.unhex(F.md5(string)).alias("digest"))
+    rows = cut.select(
+        "doc",
+        (F.col("first") + F.col("at")).alias("start"),
+        (F.octet_length(string) - LENGTH + 1).cast("long").alias("count"),
+        F.unhex(F.md5(string)).alias("digest"),
+        *([string.alias("string")] if keep else []),
+    )
     earliest = rows.groupBy("digest").agg(F.min(F.struct("doc", "start")).alias("lead"), F.count(F.lit(1)).alias("n"))
     return rows.join(earliest.filter("n > 1").drop("n"), "digest", "left")
 
