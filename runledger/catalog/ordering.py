@@ -66,8 +66,8 @@ def repetition_no(spark, sf_dir):
 
 @query("repetition_no_spread", REPETITION_SQL)
 def repetition_no_spread(spark, sf_dir):
-    """The same through the plan for groups that do not fit in one task."""
-    rows = running_total(flat(spark, sf_dir), ["test"], [F.col("started"), F.col("_id")], limit=0)
+    """Kept under its earlier name: there is one plan for every size now."""
+    rows = running_total(flat(spark, sf_dir), ["test"], [F.col("started"), F.col("_id")])
     return rows.select("_id", "test", (F.col("row_no") - 1).alias("no"))
 
 
@@ -86,18 +86,18 @@ PER_DAY_SQL = f"""WITH {COMMITS}, marked AS (SELECT *, lag(date::DATE) OVER (PAR
 
 @query("commit_per_day", PER_DAY_SQL)
 def commit_per_day(spark, sf_dir):
-    return picked(spark, sf_dir, None)
+    return picked(spark, sf_dir)
 
 
 @query("commit_per_day_spread", PER_DAY_SQL)
 def commit_per_day_spread(spark, sf_dir):
-    """The same through the plan for branches that do not fit in one task."""
-    return picked(spark, sf_dir, 0)
+    """Kept under its earlier name: there is one plan for every size now."""
+    return picked(spark, sf_dir)
 
 
-def picked(spark, sf_dir, limit):
+def picked(spark, sf_dir):
     rows = tables.commits(spark, sf_dir).withColumn("day", F.to_date("date"))
-    chosen = history.pick_commits(rows, ["branch"], [F.desc("position")], "day", "commit-per-day", limit)
+    chosen = history.pick_commits(rows, ["branch"], [F.desc("position")], "day", "commit-per-day")
     return chosen.select("branch", "position", "commit", "date")
 
 
@@ -141,12 +141,12 @@ CLUSTER_ROWS_SQL = f"""{CLUSTER_SQL}
       AND o.excl = (r.hostname LIKE 'node2%') AND o.t = epoch(date_trunc('second', r.started))::BIGINT"""
 
 
-def clustered(spark, sf_dir, limit=None):
+def clustered(spark, sf_dir):
     rows = flat(spark, sf_dir).withColumns({
         "t": epoch_seconds(F.col("started")),
         "gap": F.when(F.col("excl"), 24 * 3600).otherwise(3600),
     })
-    return clusters.anchored_clusters(rows, ["test", "excl"], "t", "gap", limit=limit)
+    return clusters.anchored_clusters(rows, ["test", "excl"], "t", "gap")
 
 
 @query("anchored_clusters", CLUSTER_ROWS_SQL)
@@ -156,8 +156,8 @@ def anchored_clusters(spark, sf_dir):
 
 @query("anchored_clusters_spread", CLUSTER_ROWS_SQL)
 def anchored_clusters_spread(spark, sf_dir):
-    """The same through the plan for groups that do not fit in one task."""
-    return clustered(spark, sf_dir, 0).select("_id", "test", "excl", "cluster")
+    """Kept under its earlier name: there is one plan for every size now."""
+    return clustered(spark, sf_dir).select("_id", "test", "excl", "cluster")
 
 
 @query(

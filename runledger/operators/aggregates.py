@@ -26,8 +26,6 @@ def point_stats(
     keys: list[str],
     value: str,
     metrics: tuple[str, ...] = METRICS,
-    limit: int | None = None,
-    bound: DataFrame | None = None,
 ) -> DataFrame:
     """The chosen metrics of ``value`` per group; rows with a null key are left out.
 
@@ -51,7 +49,7 @@ def point_stats(
     probabilities = {m: QUANTILES[m] for m in metrics if m in QUANTILES}
     aggregates = [plain[m].alias(m) for m in needed or ["n"]]
     if probabilities:
-        stats = aggregate_with_percentiles(rows, keys, aggregates, value, probabilities, limit, bound)
+        stats = aggregate_with_percentiles(rows, keys, aggregates, value, probabilities)
     else:
         stats = rows.groupBy(*columns).agg(*aggregates)
     if "ci" in metrics:
@@ -122,7 +120,7 @@ NAMED_AGGREGATES = {
 
 
 def extra_variables(
-    df: DataFrame, keys: list[str], variables: list[dict[str, str]], order: str, limit: int | None = None
+    df: DataFrame, keys: list[str], variables: list[dict[str, str]], order: str
 ) -> DataFrame:
     """One column per extra variable ``{from, to, via}``; ``via`` is ``first`` or a named aggregate.
 
@@ -147,7 +145,7 @@ def extra_variables(
     rows = no_null_keys(df, keys)
     result = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("items"), *aggregates)
     for target, source in medians.items():
-        part = group_percentiles(rows, keys, source, {target: 0.5}, limit)
+        part = group_percentiles(rows, keys, source, {target: 0.5})
         result = keyed_join(result, part, keys, "left")
     return result
 
@@ -210,14 +208,14 @@ def histogram(df: DataFrame, keys: list[str], value: str, bins: int = 11) -> Dat
     )
 
 
-def squeeze(df: DataFrame, series: list[str], x: str, n: int, limit: int | None = None) -> DataFrame:
+def squeeze(df: DataFrame, series: list[str], x: str, n: int) -> DataFrame:
     """Join every ``n`` neighbouring x values of a series in one labelled group.
 
     Adds ``squeeze_no`` (from 0) and ``squeeze_label``. The distinct x values are numbered, not the rows.
     """
     columns = [F.col(quoted(k)) for k in series]
     xs = no_null_keys(df, [*series, x]).select(*columns, F.col(quoted(x)).alias("__x")).distinct()
-    numbered = running_total(xs, series, [F.col("__x")], name="__no", limit=limit, bound=df)
+    numbered = running_total(xs, series, [F.col("__x")], name="__no")
     grouped = numbered.select(*columns, "__x", F.floor((F.col("__no") - 1) / F.lit(n)).alias("squeeze_no"))
     spans = grouped.groupBy(*columns, "squeeze_no").agg(
         F.min("__x").alias("first_x"), F.max("__x").alias("last_x"), F.count(F.lit(1)).alias("items")

@@ -5,18 +5,15 @@ This is not a session gap: the distance counts from the first time of the cluste
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from runledger.operators.ordering import running_total
-from runledger.session import ensure_checkpoint_dir
-from runledger.sizing import fits_one_task, keyed_join, quoted
+from runledger.session import stored
+from runledger.sizing import keyed_join, quoted
 
 
 def anchored_clusters(
-    df: DataFrame, keys: list[str], seconds: str, spacing: str, name: str = "cluster", limit: int | None = None
+    df: DataFrame, keys: list[str], seconds: str, spacing: str, name: str = "cluster"
 ) -> DataFrame:
     """Add the cluster number (from 0) of each row's time within its group.
 
@@ -29,47 +26,23 @@ def anchored_clusters(
         .where("__t is not null")
         .distinct()
     )
-    if fits_one_task(points, keys, limit):
-        numbered = _fold(points, keys)
-    else:
-        numbered = _jump(points, keys, limit)
-    numbered = numbered.withColumnRenamed("__cluster", name).withColumnRenamed("__t", seconds)
+    numbered = _jump(points, keys).withColumnRenamed("__cluster", name).withColumnRenamed("__t", seconds)
     return keyed_join(df, numbered, [*keys, seconds], "left")
 
 
-def _fold(points: DataFrame, keys: list[str]) -> DataFrame:
-    """Number the measured-small groups by hopping from start to start in sorted times."""
-    fields = [f for f in points.schema.fields if f.name != "__gap"]
-    schema = StructType([*fields, StructField("__cluster", LongType())])
-
-    def number(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__t", ignore_index=True)
-        times, gap = pdf["__t"].to_numpy(), pdf["__gap"].iloc[0]
-        starts, at = [], 0
-        while at < len(times):
-            starts.append(at)
-            at = int(np.searchsorted(times, times[at] + gap, side="right"))
-        owner = np.searchsorted(starts, np.arange(len(times)), side="right") - 1
-        return pdf.drop(columns="__gap").assign(__cluster=owner.astype("int64"))
-
-    columns = [F.col(quoted(k)) for k in keys]
-    return points.groupBy(*columns).applyInPandas(number, schema)
-
-
-def _jump(points: DataFrame, keys: list[str], limit: int | None) -> DataFrame:
+def _jump(points: DataFrame, keys: list[str]) -> DataFrame:
     """Number groups of any size by pointer doubling over time cells as wide as the spacing.
 
     A cell holds at most one start, and the time after a start lies in the next cell or, when that has
     none late enough, is the first of the next filled cell. So every step joins on (group, cell) or
     (group, time), and the rounds grow with the logarithm of the number of clusters.
     """
-    ensure_checkpoint_dir(points.sparkSession)
     columns = [F.col(quoted(k)) for k in keys]
-    celled = points.withColumn("__cell", F.floor(F.col("__t") / F.col("__gap"))).checkpoint()
+    celled = stored(points.withColumn("__cell", F.floor(F.col("__t") / F.col("__gap"))), "cells")
 
     # Filled cells with the two filled cells after each, found by their number.
     filled = celled.groupBy(*columns, "__cell").agg(F.min("__t").alias("__first"))
-    filled = running_total(filled, keys, [F.col("__cell")], name="__n", limit=limit)
+    filled = running_total(filled, keys, [F.col("__cell")], name="__n")
 
     def ahead(steps: int) -> DataFrame:
         return filled.select(
@@ -102,27 +75,27 @@ def _jump(points: DataFrame, keys: list[str], limit: int | None) -> DataFrame:
         .select(*columns, (F.col("__cell") - 1).alias("__cell"), F.col("__from").alias("__t"), "__near")
     )
     far = F.when(F.col("__cell_1") == F.col("__cell") + 1, F.col("__first_2")).otherwise(F.col("__first_1"))
-    jumps = (
+    jumps = stored(
         keyed_join(near, cells, [*keys, "__cell"])
         .select(*columns, "__t", F.coalesce("__near", far).alias("__next"))
-        .where("__next is not null")
-        .checkpoint()
+        .where("__next is not null"),
+        "jumps",
     )
 
-    starts = celled.groupBy(*columns).agg(F.min("__t").alias("__t")).checkpoint()
+    starts = stored(celled.groupBy(*columns).agg(F.min("__t").alias("__t")), "starts")
     count = starts.count()
     while True:
         reached = keyed_join(starts, jumps, [*keys, "__t"]).select(*columns, F.col("__next").alias("__t"))
-        starts = starts.unionByName(reached).distinct().checkpoint()
+        starts = stored(starts.unionByName(reached).distinct(), "starts")
         grown = starts.count()
         if grown == count:
             break
         count = grown
         right = jumps.select(*columns, F.col("__t").alias("__next"), F.col("__next").alias("__beyond"))
         doubled = keyed_join(jumps, right, [*keys, "__next"])
-        jumps = doubled.select(*columns, "__t", F.col("__beyond").alias("__next")).checkpoint()
+        jumps = stored(doubled.select(*columns, "__t", F.col("__beyond").alias("__next")), "jumps")
 
-    numbered = running_total(starts, keys, [F.col("__t")], name="__no", limit=limit).select(
+    numbered = running_total(starts, keys, [F.col("__t")], name="__no").select(
         *columns, F.col("__t").alias("__start"), (F.col("__no") - 1).alias("__cluster")
     )
     # A time belongs to a start in its own cell or the one before.

@@ -14,7 +14,7 @@ POLICIES = ("every-commit", "commit-per-day")
 
 
 def pick_commits(
-    df: DataFrame, keys: list[str], order: list[Column], day: str, policy: str = "every-commit", limit: int | None = None
+    df: DataFrame, keys: list[str], order: list[Column], day: str, policy: str = "every-commit"
 ) -> DataFrame:
     """Commits to test: all of them, or the first of every run of consecutive commits of one day.
 
@@ -24,7 +24,7 @@ def pick_commits(
         raise ValueError(f"unknown commit policy {policy!r}")
     if policy == "every-commit":
         return df
-    marked = previous_value(df, keys, order, day, "__before", limit)
+    marked = previous_value(df, keys, order, day, "__before")
     return marked.where(~F.col("__before").eqNullSafe(F.col(quoted(day)))).drop("__before")
 
 

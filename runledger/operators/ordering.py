@@ -1,16 +1,16 @@
 """Positions and running totals along an order, for groups of any size.
 
-A window over a group puts that group in one task. These operators use it while the measured largest
-group fits there. Beyond that they sort the whole table by range, so that a hot group is cut into many
-slices, add up each slice, and shift every slice by the total of the slices before it.
+A window over a group puts that group in one task. These operators sort the whole table by range, so
+that a hot group is cut into many slices, add up each slice, and shift every slice by the total of the
+slices before it.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from runledger.session import ensure_checkpoint_dir
-from runledger.sizing import fits_one_task, keyed_join, lookup_side, quoted
+from runledger.session import stored
+from runledger.sizing import keyed_join, quoted
 
 
 def running_total(
@@ -19,8 +19,6 @@ def running_total(
     order: list[Column],
     weight: Column | None = None,
     name: str = "row_no",
-    limit: int | None = None,
-    bound: DataFrame | None = None,
 ) -> DataFrame:
     """Add the inclusive running total of ``weight`` (default 1: the row number from 1).
 
@@ -29,14 +27,9 @@ def running_total(
     counting = weight is None
     weight = F.lit(1).cast("bigint") if counting else weight
     columns = [F.col(quoted(k)) for k in keys]
-    if fits_one_task(df, keys, limit, bound):
-        along = Window.partitionBy(*columns).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn(name, F.sum(weight).over(along))
-
-    # The checkpoint fixes slice numbers and places in shared storage: they come out the same if a
-    # task is run again, although range bounds are sampled.
-    ensure_checkpoint_dir(df.sparkSession)
-    placed = (
+    # The stored table fixes slice numbers and places: they come out the same if a task is run again,
+    # although range bounds are sampled.
+    placed = stored(
         df.repartitionByRange(*columns, *order)
         .sortWithinPartitions(*columns, *order)
         .select(
@@ -44,8 +37,8 @@ def running_total(
             weight.alias("__slice_weight"),
             F.spark_partition_id().alias("__slice"),
             F.monotonically_increasing_id().alias("__slice_place"),
-        )
-        .checkpoint()
+        ),
+        "slices",
     )
     slices = placed.groupBy(*columns, "__slice").agg(
         F.sum("__slice_weight").alias("__slice_total"), F.min("__slice_place").alias("__slice_first")
@@ -54,7 +47,7 @@ def running_total(
     shifts = slices.select(
         *columns, "__slice", "__slice_first", F.coalesce(F.sum("__slice_total").over(before), F.lit(0)).alias("__slice_shift")
     )
-    joined = keyed_join(placed, lookup_side(shifts), [*keys, "__slice"])
+    joined = keyed_join(placed, shifts, [*keys, "__slice"])
     if counting:
         # Places within a slice have no gaps, so plain numbering needs no second shuffle.
         local = F.col("__slice_place") - F.col("__slice_first") + 1
@@ -72,13 +65,10 @@ def running_total(
 
 
 def previous_value(
-    df: DataFrame, keys: list[str], order: list[Column], column: str, name: str, limit: int | None = None
+    df: DataFrame, keys: list[str], order: list[Column], column: str, name: str
 ) -> DataFrame:
     """Add the value ``column`` has on the row before, within the group; null on the first row."""
-    if fits_one_task(df, keys, limit):
-        along = Window.partitionBy(*[F.col(quoted(k)) for k in keys]).orderBy(*order)
-        return df.withColumn(name, F.lag(F.col(quoted(column))).over(along))
-    numbered = running_total(df, keys, order, name="__row", limit=limit)
+    numbered = running_total(df, keys, order, name="__row")
     earlier = numbered.select(
         *[F.col(quoted(k)) for k in keys],
         (F.col("__row") + 1).alias("__row"),

@@ -6,46 +6,32 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from runledger.session import ensure_checkpoint_dir
-from runledger.sizing import fits_one_task, keyed_join, lookup_side, quoted
+from runledger.session import stored
+from runledger.sizing import keyed_join, quoted
 
 BINS = 1024
 
 
-def group_percentiles(
-    df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float], limit: int | None = None
-) -> DataFrame:
+def group_percentiles(df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float]) -> DataFrame:
     """One row per group with one column per probability (linear interpolation; nulls are left out)."""
-    return aggregate_with_percentiles(df, keys, [], value, probabilities, limit)
+    return aggregate_with_percentiles(df, keys, [], value, probabilities)
 
 
 def aggregate_with_percentiles(
-    df: DataFrame,
-    keys: list[str],
-    aggregates: list[Column],
-    value: str,
-    probabilities: dict[str, float],
-    limit: int | None = None,
-    bound: DataFrame | None = None,
+    df: DataFrame, keys: list[str], aggregates: list[Column], value: str, probabilities: dict[str, float]
 ) -> DataFrame:
     """One row per group: named aggregates, and one percentile column per probability.
 
-    Spark's ``percentile`` keeps the distinct values of a group in one task, so it serves, together with
-    the other aggregates in one pass, only while the largest group is measured to fit. Larger groups are
-    narrowed down by counting: see ``_select``. ``bound`` is a cheaper table with at least as many rows.
+    Spark's ``percentile`` keeps the distinct values of a group in one task. Here the ranks are narrowed
+    down by counting, see ``_select``, over a stored table of the keys and the value. A group without a
+    value has null percentiles.
     """
     columns = [F.col(quoted(k)) for k in keys]
     v = F.col(quoted(value)).cast("double")
-    if fits_one_task(df, keys, limit, bound):
-        listed = F.percentile(v, F.array(*[F.lit(p) for p in probabilities.values()])).alias("__percentiles")
-        together = df.groupBy(*columns).agg(*aggregates, listed)
-        named = {name: F.col("__percentiles")[i] for i, name in enumerate(probabilities)}
-        return together.withColumns(named).drop("__percentiles")
-    known = df.select(*columns, v.alias("__v")).where("__v is not null")
-    percentiles = _select(known, keys, probabilities)
-    if not aggregates:
-        return percentiles
-    return keyed_join(df.groupBy(*columns).agg(*aggregates), percentiles, keys, "left")
+    known = stored(df.select(*columns, v.alias("__v")).where("__v is not null"), "values")
+    plain = df.groupBy(*columns).agg(*(aggregates or [F.count(F.lit(1)).alias("__rows")]))
+    joined = keyed_join(plain, _select(known, keys, probabilities), keys, "left")
+    return joined if aggregates else joined.drop("__rows")
 
 
 def _octave(v: Column) -> Column:
@@ -64,9 +50,9 @@ def _select(df: DataFrame, keys: list[str], probabilities: dict[str, float]) ->
     it) and zero apart; the next ones cut in ``BINS`` equal parts. So whatever the range of the values,
     there are about seven rounds, and a task sees a few thousand counts of a target at most.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     columns = [F.col(quoted(k)) for k in keys]
+    v = F.col("__v")
+    counts = (F.count(F.lit(1)).alias("__size"), F.min("__v").alias("__low"), F.max("__v").alias("__high"))
 
     def ranks(size: Column) -> Column:
         places = []
@@ -75,67 +61,50 @@ def _select(df: DataFrame, keys: list[str], probabilities: dict[str, float]) ->
             places += [F.floor(place), F.ceil(place)]
         return F.array_distinct(F.array(*places))
 
-    sized = df.groupBy(*columns).agg(
-        F.count(F.lit(1)).alias("size"), F.min("__v").alias("low"), F.max("__v").alias("high")
-    )
-    groups = sized.checkpoint()
-    wanted = F.transform(ranks(F.col("size")), lambda r: F.struct(r.alias("rank"), r.alias("left")))
-    targets = groups.select(*columns, "low", "high", wanted.alias("wanted"))
-    found, first = [], True
+    def narrowed(bins: DataFrame) -> DataFrame:
+        """The bins that hold wanted ranks, with each rank's place in its bin."""
+        before = (
+            Window.partitionBy(*columns, "__base").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+        )
+        skip, size = F.col("__skip"), F.col("__size")
+        inside = F.filter("__wanted", lambda w: (w["left"] >= skip) & (w["left"] < skip + size))
+        moved = F.transform("__wanted", lambda w: F.struct(w["rank"].alias("rank"), (w["left"] - skip).alias("left")))
+        placed = bins.withColumn("__skip", F.coalesce(F.sum("__size").over(before), F.lit(0)))
+        kept = placed.withColumn("__wanted", inside).where(F.size("__wanted") > 0)
+        return stored(kept.select(*columns, "__low", "__high", moved.alias("__wanted")), "targets")
+
+    octaves = stored(df.groupBy(*columns, _octave(v).alias("__bin")).agg(*counts), "octaves")
+    groups = octaves.groupBy(*columns).agg(F.sum("__size").alias("__total"))
+    wanted = F.transform(ranks(F.col("__total")), lambda r: F.struct(r.alias("rank"), r.alias("left")))
+    whole = keyed_join(octaves, groups, keys).withColumns({"__wanted": wanted, "__base": F.lit(0.0)})
+    targets, found = narrowed(whole), []
     while True:
-        found.append(targets.where("low = high"))
-        open_targets = targets.where("low < high")
-        if open_targets.isEmpty():
+        found.append(targets.where("__low = __high"))
+        unsettled = targets.where("__low < __high")
+        if unsettled.isEmpty():
             break
-        side = lookup_side(open_targets)
-        rows = keyed_join(df, side, keys, extra=F.col("__v").between(F.col("low"), F.col("high")))
+        rows = keyed_join(df, unsettled.drop("__wanted"), keys, extra=v.between(F.col("__low"), F.col("__high")))
         # Within a power of two the differences are exact and not zero.
-        part = (F.col("__v") - F.col("low")) / (F.col("high") - F.col("low"))
-        cut = _octave(F.col("__v")) if first else F.least(F.floor(part * BINS), F.lit(BINS - 1))
-        first = False
-        bins = rows.groupBy(
-            *columns, F.col("low").alias("base"), cut.alias("bin")
-        ).agg(
-            F.count(F.lit(1)).alias("size"),
-            F.min("__v").alias("low"),
-            F.max("__v").alias("high"),
-            F.first("wanted").alias("wanted"),
-        )
-        before = (
-            Window.partitionBy(*columns, "base").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-        )
-        placed = bins.withColumn("skip", F.coalesce(F.sum("size").over(before), F.lit(0)))
-        inside = F.filter(
-            "wanted", lambda w: (w["left"] >= F.col("skip")) & (w["left"] < F.col("skip") + F.col("size"))
-        )
-        targets = (
-            placed.withColumn("wanted", inside)
-            .where(F.size("wanted") > 0)
-            .select(
-                *columns,
-                "low",
-                "high",
-                F.transform(
-                    "wanted", lambda w: F.struct(w["rank"].alias("rank"), (w["left"] - F.col("skip")).alias("left"))
-                ).alias("wanted"),
-            )
-            .checkpoint()
-        )
+        part = (v - F.col("__low")) / (F.col("__high") - F.col("__low"))
+        cut = F.least(F.floor(part * BINS), F.lit(BINS - 1))
+        bins = rows.groupBy(*columns, F.col("__low").alias("__base"), cut.alias("__bin")).agg(*counts)
+        # The ranks join the counts afterwards: numbers alone are aggregated by hash.
+        sought = unsettled.select(*columns, F.col("__low").alias("__base"), "__wanted")
+        targets = narrowed(keyed_join(bins, sought, [*keys, "__base"]))
 
     values = reduce(DataFrame.unionByName, found).select(
-        *columns, F.col("low").alias("v"), F.explode("wanted.rank").alias("rank")
+        *columns, F.col("__low").alias("v"), F.explode("__wanted.rank").alias("rank")
     )
     # At most two ranks per probability: the map of a group is tiny.
     looked_up = values.groupBy(*columns).agg(
-        F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at")
+        F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("__at")
     )
     joined = keyed_join(groups, looked_up, keys)
     result = []
     for name, p in probabilities.items():
-        place = F.lit(p) * (F.col("size") - 1)
-        below, above = F.col("at")[F.floor(place)], F.col("at")[F.ceil(place)]
+        place = F.lit(p) * (F.col("__total") - 1)
+        below, above = F.col("__at")[F.floor(place)], F.col("__at")[F.ceil(place)]
         # The weights Spark's own percentile uses.
         mixed = (F.ceil(place) - place) * below + (place - F.floor(place)) * above
         result.append(F.when((F.floor(place) == F.ceil(place)) | (below == above), below).otherwise(mixed).alias(name))
     return joined.select(*columns, *result)
-

@@ -18,7 +18,7 @@ from runledger.functions.tails import f_tail, t_tail
 from runledger.operators.aggregates import no_null_keys
 from runledger.operators.ordering import previous_value, running_total
 from runledger.operators.quantiles import group_percentiles
-from runledger.session import ensure_checkpoint_dir
+from runledger.session import stored
 from runledger.sizing import keyed_join, quoted
 
 
@@ -124,7 +124,7 @@ def welch_against_baseline(df: DataFrame, tests: list[str], setting: str, value:
     return scored.withColumn("p_value", p).withColumn("reject", F.col("p_value") <= alpha)
 
 
-def kruskal(df: DataFrame, tests: list[str], group: str, value: str, limit: int | None = None) -> DataFrame:
+def kruskal(df: DataFrame, tests: list[str], group: str, value: str) -> DataFrame:
     """Kruskal–Wallis statistic with tie correction, per test.
 
     Equal values are counted first; the ranks then follow from a running total of those counts.
@@ -133,7 +133,7 @@ def kruskal(df: DataFrame, tests: list[str], group: str, value: str, limit: int
     rows = no_null_keys(df, [*tests, group, value])
     v = F.col(quoted(value))
     ties = rows.groupBy(*columns, v.alias("__v")).agg(F.count(F.lit(1)).alias("__ties"))
-    ranked = running_total(ties, tests, [F.col("__v")], F.col("__ties"), "__upto", limit).withColumn(
+    ranked = running_total(ties, tests, [F.col("__v")], F.col("__ties"), "__upto").withColumn(
         "__rank", F.col("__upto") - (F.col("__ties") - 1) / 2
     )
     per_level = rows.groupBy(*columns, F.col(quoted(group)), v.alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
@@ -200,7 +200,6 @@ def anova_power(
     reps: int,
     seed: int = 1234,
     use_log: bool = False,
-    limit: int | None = None,
 ) -> DataFrame:
     """p-values of repeated two-sample comparisons at every sample size.
 
@@ -216,7 +215,7 @@ def anova_power(
     draws = sampling_design(sized, sizes, reps, seed).withColumn(
         group, F.when(F.col("side") == "a", F.col("group_a")).otherwise(F.col("group_b"))
     )
-    numbered = running_total(rows, [*keys, group], order, name="row_no", limit=limit)
+    numbered = running_total(rows, [*keys, group], order, name="row_no")
     measured = F.col(quoted(value))
     picked = draws.join(
         numbered.select(*columns, "row_no", (logarithm(measured) if use_log else measured).alias("measured")),
@@ -237,47 +236,42 @@ def smallest_detecting_size(p_values: DataFrame, keys: list[str], alpha: float =
 
 
 def bootstrap_band(
-    df: DataFrame, keys: list[str], value: str, draws: int = 1000, confidence: float = 0.9, seed: int = 1234, limit: int | None = None
+    df: DataFrame, keys: list[str], value: str, draws: int = 1000, confidence: float = 0.9, seed: int = 1234
 ) -> DataFrame:
     """Mean with a bootstrap interval per group, for small result sets such as Monte Carlo p-values.
 
     Each draw picks as many row numbers as the group has, with replacement, and averages those rows.
     """
     columns = [F.col(quoted(k)) for k in keys]
-    ensure_checkpoint_dir(df.sparkSession)
-    rows = no_null_keys(df, [*keys, value]).select(*columns, F.col(quoted(value)).alias("__v")).checkpoint()
-    numbered = running_total(rows, keys, [F.col("__v")], name="__row", limit=limit)
+    rows = stored(no_null_keys(df, [*keys, value]).select(*columns, F.col(quoted(value)).alias("__v")), "values")
+    numbered = running_total(rows, keys, [F.col("__v")], name="__row")
     sizes = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("__n"), F.avg("__v").alias("mean"))
     spread = keyed_join(numbered, sizes, keys).select(*columns, "__row", "__n")
     picks = spread.withColumn("__draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     chance = F.pmod(F.xxhash64(*columns, "__row", "__draw", F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
     picks = picks.select(*columns, "__draw", (F.floor(chance * F.col("__n")) + 1).alias("__row"))
-    means = (
-        keyed_join(picks, numbered, [*keys, "__row"])
-        .groupBy(*columns, "__draw")
-        .agg(F.avg("__v").alias("__mean"))
-        .checkpoint()
-    )
+    drawn = keyed_join(picks, numbered, [*keys, "__row"])
+    means = stored(drawn.groupBy(*columns, "__draw").agg(F.avg("__v").alias("__mean")), "means")
     edge = (1.0 - confidence) / 2.0
-    bands = group_percentiles(means, keys, "__mean", {"low": edge, "high": 1.0 - edge}, limit)
+    bands = group_percentiles(means, keys, "__mean", {"low": edge, "high": 1.0 - edge})
     return keyed_join(sizes, bands, keys).select(*columns, "mean", "low", "high")
 
 
-def neighbours(df: DataFrame, keys: list[str], level: str, limit: int | None = None) -> DataFrame:
+def neighbours(df: DataFrame, keys: list[str], level: str) -> DataFrame:
     """Each distinct level with the next one: the pairs a change is looked for between."""
     columns = [F.col(quoted(k)) for k in keys]
     levels = no_null_keys(df, [*keys, level]).select(*columns, F.col(quoted(level)).alias("group_a")).distinct()
-    paired = previous_value(levels, keys, [F.desc("group_a")], "group_a", "group_b", limit)
+    paired = previous_value(levels, keys, [F.desc("group_a")], "group_a", "group_b")
     return paired.where("group_b is not null")
 
 
 def paired_rows(
-    df: DataFrame, keys: list[str], group: str, levels: tuple, value: str, order: list[Column], limit: int | None = None
+    df: DataFrame, keys: list[str], group: str, levels: tuple, value: str, order: list[Column]
 ) -> DataFrame:
     """Values of two groups side by side by position; the longer group is cut to the shorter one."""
     columns = [F.col(quoted(k)) for k in keys]
     rows = no_null_keys(df, [*keys, group]).where(F.col(quoted(group)).isin(*levels))
-    numbered = running_total(rows, [*keys, group], order, name="row_no", limit=limit)
+    numbered = running_total(rows, [*keys, group], order, name="row_no")
 
     def side(level: object, name: str) -> DataFrame:
         chosen = numbered.where(F.col(quoted(group)) == F.lit(level))

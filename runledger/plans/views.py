@@ -40,7 +40,7 @@ def group_fields(mapping: FieldMapping, options: ChartOptions) -> dict[str, str]
     return names
 
 
-def charted(reports: DataFrame, mapping: FieldMapping, options: ChartOptions, limit: int | None = None) -> tuple[DataFrame, list[str]]:
+def charted(reports: DataFrame, mapping: FieldMapping, options: ChartOptions) -> tuple[DataFrame, list[str]]:
     """One row per report with its group fields, ``x``, ``y``, ``commit`` and ``_id``; and the point keys.
 
     Rows with a null key are left out. In the scale view x is the CPU count. When squeezing, x is the
@@ -60,7 +60,7 @@ def charted(reports: DataFrame, mapping: FieldMapping, options: ChartOptions, li
         return rows, [*groups, "x"]
     if options.mode == SCALE_VIEW:
         rows = rows.withColumn("x", F.col("x").cast("string"))
-    squeezed = squeeze(rows, groups, "x", options.squeeze, limit)
+    squeezed = squeeze(rows, groups, "x", options.squeeze)
     squeezed = squeezed.withColumn("x", F.col("squeeze_no")).withColumnRenamed("squeeze_label", "x_label")
     return squeezed.drop("squeeze_no"), [*groups, "x", "x_label"]
 
@@ -137,27 +137,27 @@ def chart_series(points: DataFrame, options: ChartOptions) -> DataFrame:
     )
 
 
-def chart_view(reports: DataFrame, mapping: FieldMapping, options: ChartOptions, limit: int | None = None) -> DataFrame:
+def chart_view(reports: DataFrame, mapping: FieldMapping, options: ChartOptions) -> DataFrame:
     """Time-series or scale view as one long table, ordered for drawing.
 
     All charts and series come from one grouped aggregate over the keys.
     """
     metrics = options.metrics()
-    rows, keys = charted(reports, mapping, options, limit)
-    points = titled(point_stats(rows, keys, "y", metrics, limit, bound=reports), mapping, options)
+    rows, keys = charted(reports, mapping, options)
+    points = titled(point_stats(rows, keys, "y", metrics), mapping, options)
     return chart_series(points, options).orderBy("chart", "series", "x_order", "x", "series_name")
 
 
-def chart_members(reports: DataFrame, mapping: FieldMapping, options: ChartOptions, limit: int | None = None) -> DataFrame:
+def chart_members(reports: DataFrame, mapping: FieldMapping, options: ChartOptions) -> DataFrame:
     """Commits and report ids behind every point, as rows."""
-    rows, keys = charted(reports, mapping, options, limit)
+    rows, keys = charted(reports, mapping, options)
     found = point_members(rows, keys, {"commit": "commit", "_id": "_id"})
     return titled(found, mapping, options).drop("x_order")
 
 
-def series_sizes(reports: DataFrame, mapping: FieldMapping, options: ChartOptions, limit: int | None = None) -> DataFrame:
+def series_sizes(reports: DataFrame, mapping: FieldMapping, options: ChartOptions) -> DataFrame:
     """Number of points of every series of a chart."""
-    rows, keys = charted(reports, mapping, options, limit)
+    rows, keys = charted(reports, mapping, options)
     points = titled(rows.select(*[F.col(quoted(k)) for k in keys]).distinct(), mapping, options)
     return points.groupBy("chart", "series").agg(F.count(F.lit(1)).alias("size"))
 
@@ -195,7 +195,7 @@ def small_labels(below: float) -> tuple[Column, Column]:
 
 
 def frame_view(
-    rows: DataFrame, series: list[str], below: float = 0.5, digits: int = 3, limit: int | None = None
+    rows: DataFrame, series: list[str], below: float = 0.5, digits: int = 3
 ) -> DataFrame:
     """Quartile range per frame and series: ``low``, ``high`` and the path; rows with a zero are dropped.
 
@@ -212,7 +212,7 @@ def frame_view(
         F.min_by("path", place).alias("path"),
     ]
     quartiles = {"low": 0.25, "high": 0.75}
-    frames = aggregate_with_percentiles(split, [*series, "name"], aggregates, "large", quartiles, limit, bound=rows)
+    frames = aggregate_with_percentiles(split, [*series, "name"], aggregates, "large", quartiles)
 
     small_name, small_path = small_labels(below)
     nothing = F.lit(None).cast("double")

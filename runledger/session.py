@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -14,12 +16,25 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared place the cluster names in ``spark.checkpoint.dir``.
 
-    A private folder is set only where the cluster names none, as in local tests.
+    A private place serves only where all tasks run in the driver's own process, as in tests.
     """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="runledger-checkpoint-"))
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="runledger-shared-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/runledger-{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it again.
+
+    This cuts the lineage, survives lost executors, and tells Spark the true size for its joins.
+    """
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

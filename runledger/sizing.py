@@ -1,44 +1,9 @@
-"""Measured sizes, on which the choice between a one-task and a spread-out plan rests.
-
-Several operators have a short plan that is right only while a group fits in one task, and a longer
-plan that splits any group. They measure the largest group first; nothing is assumed about the data.
-"""
+"""Column references by name, joins on keys that may be null, and partitions for costly scans."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Rows of one group that a single task may hold or sort.
-GROUP_ROWS = 1_000_000
-# Rows of a lookup side that may be sent to every executor.
-BROADCAST_ROWS = 100_000
-
-
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Rows of the biggest group; reads the key columns only and combines map-side."""
-    if not keys:
-        return df.count()
-    sizes = df.groupBy(*[F.col(quoted(k)) for k in keys]).agg(F.count(F.lit(1)).alias("rows"))
-    return sizes.agg(F.max("rows")).first()[0] or 0
-
-
-def fits_one_task(
-    df: DataFrame, keys: list[str], limit: int | None = None, bound: DataFrame | None = None
-) -> bool:
-    """Whether no group has more rows than the limit.
-
-    A table that is small as a whole needs no grouping. ``bound`` is a cheaper table to count for that,
-    with at least as many rows.
-    """
-    most = GROUP_ROWS if limit is None else limit
-    return (df if bound is None else bound).count() <= most or largest_group(df, keys) <= most
-
-
-def lookup_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a join side for broadcast if its counted rows allow it; otherwise leave it to a shuffle
-    join, where adaptive execution splits skewed partitions."""
-    return F.broadcast(df) if df.count() <= limit else df
-
 
 def spread(df: DataFrame) -> DataFrame:
     """Spread costly per-row work over the cores where a scan has fewer partitions than there are cores.

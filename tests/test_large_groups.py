@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from runledger.operators.clusters import anchored_clusters
 from runledger.operators.ordering import first_rows, previous_value, running_total
 from runledger.operators.quantiles import group_percentiles
-from runledger.sizing import fits_one_task, keyed_join, largest_group
+from runledger.sizing import keyed_join
 
 PROBABILITIES = {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p75": 0.75, "p100": 1.0}
 
@@ -26,12 +26,13 @@ def values(kind: str) -> dict[str, list[float]]:
 
 
 @pytest.mark.parametrize("kind", ["uniform", "ties", "heavy", "narrow"])
-def test_percentiles_agree_with_numpy_and_with_the_short_plan(spark, kind):
+def test_percentiles_agree_with_numpy_and_with_spark(spark, kind):
     data = values(kind)
     rows = [(k, v) for k, vs in data.items() for v in vs] + [("hot", None), (None, 1.0), (None, 5.0)]
     df = spark.createDataFrame(rows, "k string, v double")
-    short = {r["k"]: r for r in group_percentiles(df, ["k"], "v", PROBABILITIES).collect()}
-    long = {r["k"]: r for r in group_percentiles(df, ["k"], "v", PROBABILITIES, limit=0).collect()}
+    own = [F.percentile("v", p).alias(name) for name, p in PROBABILITIES.items()]
+    short = {r["k"]: r for r in df.groupBy("k").agg(*own).collect()}
+    long = {r["k"]: r for r in group_percentiles(df, ["k"], "v", PROBABILITIES).collect()}
     assert set(short) == set(long) == {*data, None}
     for k, vs in {**data, None: [1.0, 5.0]}.items():
         want = np.percentile(vs, [100 * p for p in PROBABILITIES.values()])
@@ -54,7 +55,7 @@ def test_percentiles_of_odd_values_end(spark):
     }
     df = spark.createDataFrame([(k, v) for k, vs in data.items() for v in vs], "k string, v double")
     places = {"p0": 0.0, "p50": 0.5, "p100": 1.0}
-    got = {r["k"]: r for r in group_percentiles(df, ["k"], "v", places, limit=0).collect()}
+    got = {r["k"]: r for r in group_percentiles(df, ["k"], "v", places).collect()}
     for k, vs in data.items():
         vs = sorted(vs, key=lambda v: (v != v, v))
         for name, p in places.items():
@@ -64,16 +65,15 @@ def test_percentiles_of_odd_values_end(spark):
 
 def test_percentiles_without_groups(spark):
     df = spark.range(101).select(F.col("id").cast("double").alias("v"))
-    row = group_percentiles(df, [], "v", {"a": 0.25, "b": 0.5}, limit=0).first()
+    row = group_percentiles(df, [], "v", {"a": 0.25, "b": 0.5}).first()
     assert (row["a"], row["b"]) == (25.0, 50.0)
 
 
-@pytest.mark.parametrize("limit", [None, 0])
-def test_running_total(spark, limit):
+def test_running_total(spark):
     state = random.Random(3)
     rows = [(state.choice(["hot"] * 8 + ["a", None]), state.randrange(50), i, state.randrange(5)) for i in range(3000)]
     df = spark.createDataFrame(rows, "k string, t int, id int, w int").repartition(6)
-    got = running_total(df, ["k"], [F.col("t"), F.col("id")], F.col("w").cast("bigint"), "total", limit).collect()
+    got = running_total(df, ["k"], [F.col("t"), F.col("id")], F.col("w").cast("bigint"), "total").collect()
     totals: dict = {}
     want = {}
     for k, t, i, w in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2])):
@@ -82,12 +82,11 @@ def test_running_total(spark, limit):
     assert {r["id"]: r["total"] for r in got} == want
 
 
-@pytest.mark.parametrize("limit", [None, 0])
-def test_row_numbers(spark, limit):
+def test_row_numbers(spark):
     state = random.Random(5)
     rows = [(state.choice(["hot"] * 8 + ["a", None]), state.randrange(9), i) for i in range(4000)]
     df = spark.createDataFrame(rows, "k string, t int, id int").repartition(7)
-    got = running_total(df, ["k"], [F.desc("t"), F.col("id")], limit=limit).collect()
+    got = running_total(df, ["k"], [F.desc("t"), F.col("id")]).collect()
     seen: dict = {}
     want = {}
     for k, _, i in sorted(rows, key=lambda r: (str(r[0]), -r[1], r[2])):
@@ -95,11 +94,10 @@ def test_row_numbers(spark, limit):
     assert {r["id"]: r["row_no"] for r in got} == want
 
 
-@pytest.mark.parametrize("limit", [None, 0])
-def test_previous_value(spark, limit):
+def test_previous_value(spark):
     rows = [("a", i, i // 3) for i in range(40)] + [("b", 5, 1)]
     df = spark.createDataFrame(rows, "k string, t int, v int").repartition(5)
-    got = {(r["k"], r["t"]): r["before"] for r in previous_value(df, ["k"], [F.col("t")], "v", "before", limit).collect()}
+    got = {(r["k"], r["t"]): r["before"] for r in previous_value(df, ["k"], [F.col("t")], "v", "before").collect()}
     assert got[("a", 0)] is None and got[("b", 5)] is None
     assert all(got[("a", i)] == (i - 1) // 3 for i in range(1, 40))
 
@@ -113,9 +111,8 @@ def brute_clusters(times: list[int], gap: int) -> dict[int, int]:
     return result
 
 
-@pytest.mark.parametrize("limit", [None, 0])
 @pytest.mark.parametrize("gap", [1, 37])
-def test_anchored_clusters(spark, limit, gap):
+def test_anchored_clusters(spark, gap):
     state = random.Random(gap)
     data = {
         "dense": list(range(100, 300)),
@@ -126,7 +123,7 @@ def test_anchored_clusters(spark, limit, gap):
     }
     rows = [(k, t, gap) for k, ts in data.items() for t in ts]
     df = spark.createDataFrame(rows, "k string, t bigint, gap bigint")
-    got = anchored_clusters(df, ["k"], "t", "gap", limit=limit).collect()
+    got = anchored_clusters(df, ["k"], "t", "gap").collect()
     assert len(got) == len(rows)
     for r in got:
         assert r["cluster"] == brute_clusters(data[r["k"]], gap)[r["t"]], (r, gap)
@@ -139,13 +136,6 @@ def test_first_rows_cuts_groups_before_the_shuffle(spark):
     assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
 
 
-def test_sizes(spark):
-    df = spark.createDataFrame([("a",), ("a",), (None,)], "k string")
-    assert largest_group(df, ["k"]) == 2
-    assert fits_one_task(df, ["k"], 2) and not fits_one_task(df, ["k"], 1)
-    assert largest_group(df.limit(0), ["k"]) == 0
-
-
 def test_keyed_join_matches_nulls_and_itself(spark):
     df = spark.createDataFrame([("a", 1), (None, 2)], "k string, v int")
     counts = df.groupBy("k").agg(F.sum("v").alias("s"))

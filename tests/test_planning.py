@@ -57,11 +57,10 @@ def test_effort_without_history_is_unknown(spark):
     assert got == {"a": (6, 30.0), "b": (10, None)}
 
 
-@pytest.mark.parametrize("limit", [None, 0])
-def test_commit_per_day_takes_consecutive_runs(spark, limit):
+def test_commit_per_day_takes_consecutive_runs(spark):
     days = ["3", "3", "2", "3", "1", "1", "1"]
     df = spark.createDataFrame([("m", i, d) for i, d in enumerate(days)], "b string, pos int, day string")
-    got = history.pick_commits(df, ["b"], [F.col("pos")], "day", "commit-per-day", limit)
+    got = history.pick_commits(df, ["b"], [F.col("pos")], "day", "commit-per-day")
     assert sorted(r["pos"] for r in got.collect()) == [0, 2, 3, 4]
     assert history.pick_commits(df, ["b"], [F.col("pos")], "day").count() == 7
     with pytest.raises(ValueError):
@@ -86,7 +85,7 @@ def test_squeeze_labels(spark):
     got = {(r["squeeze_no"], r["squeeze_label"]) for r in aggregates.squeeze(df, ["k"], "x", 3).collect()}
     assert got == {(0, "group A (3 items, period of 3 days)"), (1, "group B (1 item, 2024-01-10 00:00:00)")}
     text = spark.createDataFrame([("s", "1"), ("s", "10"), ("s", "2")], "k string, x string")
-    got = {(r["x"], r["squeeze_label"]) for r in aggregates.squeeze(text, ["k"], "x", 2, limit=0).collect()}
+    got = {(r["x"], r["squeeze_label"]) for r in aggregates.squeeze(text, ["k"], "x", 2).collect()}
     assert got == {("1", "group A (2 items, 1 - 10)"), ("10", "group A (2 items, 1 - 10)"), ("2", "group B (1 item, 2)")}
 
 
@@ -118,10 +117,10 @@ def test_chart_view_defaults_round_to_two_digits(spark):
     assert {r["chart"] for r in got} == {"*"}
 
 
-def test_views_agree_for_both_plans(spark):
+def test_view_is_the_same_each_time(spark):
     asked = options.ChartOptions.dashboard(show_boxplot=True, squeeze=2)
     args = (small_reports(spark), tables.COARSE_MAPPING, asked)
-    assert views.chart_view(*args).collect() == views.chart_view(*args, limit=0).collect()
+    assert views.chart_view(*args).collect() == views.chart_view(*args).collect()
 
 
 def test_empty_result(spark):
@@ -141,11 +140,10 @@ def test_bad_mapping_and_mode(spark):
 def test_frame_view_small_values_and_zeros(spark):
     rows = [(1, "a", "/a", 0.2), (2, "a", "/a", 0.4), (3, "b", "/b", 0.1), (4, "big", "/x", 3.0), (5, "big", "/w", 5.0)]
     df = spark.createDataFrame([("s", *r) for r in rows], "series string, _id bigint, name string, path string, duration double")
-    for limit in (None, 0):
-        got = {r["name"]: (r["low"], r["high"], r["path"]) for r in views.frame_view(df, ["series"], limit=limit).collect()}
-        assert got["big"] == (3.5, 4.5, "/x")
-        assert got["below 0.5 s"][:2] == (0.4, 0.4)
-        assert set(got) == {"big", "below 0.5 s"}
+    got = {r["name"]: (r["low"], r["high"], r["path"]) for r in views.frame_view(df, ["series"]).collect()}
+    assert got["big"] == (3.5, 4.5, "/x")
+    assert got["below 0.5 s"][:2] == (0.4, 0.4)
+    assert set(got) == {"big", "below 0.5 s"}
     points = [(r["name"], r["x"]) for r in views.frame_scatter(df, ["series"]).collect()]
     assert points == [("big", 5.0), ("big", 3.0), ("below 0.5 s", 0.4)]
     zeros = df.withColumn("duration", F.lit(0.0))

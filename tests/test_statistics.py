@@ -119,11 +119,10 @@ def power_fixture(spark):
     return df, spark.createDataFrame(pairs, "experiment string, excl boolean, group_a string, group_b string")
 
 
-@pytest.mark.parametrize("limit", [None, 0])
-def test_anova_power(spark, limit):
+def test_anova_power(spark):
     df, experiments = power_fixture(spark)
     order = [F.col("walltime"), F.col("id")]
-    p = statistics.anova_power(df, experiments, ["excl"], "tag", "walltime", order, [3, 10, 31], 6, limit=limit)
+    p = statistics.anova_power(df, experiments, ["excl"], "tag", "walltime", order, [3, 10, 31], 6)
     rows = p.collect()
     assert {(r["experiment"], r["sample_size"]) for r in rows} == {(e, s) for e in ("same", "twice") for s in (3, 10)}
     assert len(rows) == 2 * 2 * 6
@@ -149,8 +148,7 @@ def test_kruskal_brute_force(spark):
     rank = {v: np.mean([i + 1 for i, x in enumerate(pooled) if x == v]) for v in pooled}
     h = 12 / (n * (n + 1)) * sum(sum(rank[v] for v in vs) ** 2 / len(vs) for vs in groups.values()) - 3 * (n + 1)
     h /= 1 - sum(pooled.count(v) ** 3 - pooled.count(v) for v in set(pooled)) / (n**3 - n)
-    for limit in (None, 0):
-        assert statistics.kruskal(df, [], "g", "v", limit).first()["h"] == pytest.approx(h)
+    assert statistics.kruskal(df, [], "g", "v").first()["h"] == pytest.approx(h)
 
 
 def test_histogram_last_bin_and_flat_group(spark):
@@ -167,10 +165,9 @@ def test_geometric_mean_and_scale(spark):
     assert scaled[("a", 4.0)] == 1.0 and scaled[("c", 3.0)] is None
 
 
-@pytest.mark.parametrize("limit", [None, 0])
-def test_neighbours(spark, limit):
+def test_neighbours(spark):
     df = spark.createDataFrame([("k", t) for t in ("c", "a", "b", "a")] + [("one", "a")], "k string, tag string")
-    got = sorted(tuple(r) for r in statistics.neighbours(df, ["k"], "tag", limit).select("k", "group_a", "group_b").collect())
+    got = sorted(tuple(r) for r in statistics.neighbours(df, ["k"], "tag").select("k", "group_a", "group_b").collect())
     assert got == [("k", "a", "b"), ("k", "b", "c")]
 
 
