@@ -12,7 +12,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
@@ -158,67 +157,90 @@ def search(
     vec_id: str = "vec_id",
     vector: str = "embedding",
     sample: int = SAMPLE,
+    lists: int | None = None,
 ) -> DataFrame:
     """The ``k`` nearest of each query row among all other rows: ``query_id``, ``rank`` from 1, ``vec_id``, ``score``.
 
     ``score`` is the Euclidean distance of the original vectors in double precision; ties go to the smaller id.
     Lists that hold more than ``LIST_ROWS`` vectors, as when one vector has many copies, are cut in parts by a
-    hash of the id, each scanned by a task of its own; a part passes on at most ``k`` rows for each query.
+    hash of the row, each scanned apart; a part passes on at most ``k`` different ids for each query. ``lists`` is
+    the number of lists, if not one for every ``LIST_SIZE`` vectors.
 
     Vectors that are null or zero, or hold null or non-finite components, and rows without id take no part. All
     vectors must have one length. Rows that repeat a query's id are no candidates of it; repeated candidates count
-    once. With fewer than ``k`` candidates in the lists looked at, all lists are scanned for that query.
+    once, with their smallest distance. With fewer than ``k`` candidates in the lists looked at first, all lists are
+    scanned for that query.
     """
     rows = table.select(table[f"`{vec_id}`"].cast("long").alias("vec_id"), table[f"`{vector}`"].cast("array<double>").alias("vector"), queries.alias("query"))
-    rows = rows.filter(F.col("vec_id").isNotNull() & usable(F.col("vector")))
-    graph = fit_centroids(rows.select("vec_id", "vector"), sample)
+    rows = rows.filter(F.col("vec_id").isNotNull() & usable(F.col("vector"))).distinct()
+    graph = fit_centroids(rows.select("vec_id", "vector"), sample, lists)
     spark = table.sparkSession
     result = "query_id long, rank int, vec_id long, score double"
     if graph is None:
         return spark.createDataFrame([], result)
     shared = spark.sparkContext.broadcast(graph)
-    total = len(graph.centroids)
     postings = _routed(rows.select("vec_id", "vector"), shared, COPIES, BOUNDARY, "vec_id")
     asked = rows.filter("query").select(F.col("vec_id").alias("query_id"), "vector")
-    probes = _routed(asked, shared, PROBES, PRUNE, "query_id")
+    probes = _routed(asked, shared, PROBES, PRUNE, "query_id").withColumn("bound", F.lit(float("inf")))
     first = _scan(postings, probes, k)
-    best = _best(first, k)
-    counts = best.groupBy("query_id").agg(F.count(F.lit(1)).alias("found"))
+    counts = _best(first, k).groupBy("query_id").agg(F.count(F.lit(1)).alias("found"))
     # Queries that found too few look at every list.
     short = asked.join(counts, "query_id", "left").filter(F.coalesce("found", F.lit(0)) < k)
-    every = short.select(F.explode(F.sequence(F.lit(0), F.lit(total - 1))).alias("list"), "query_id", "vector")
+    every = F.explode(F.sequence(F.lit(0), F.lit(len(graph.centroids) - 1))).alias("list")
+    every = short.select(every, "query_id", "vector", F.lit(float("inf")).alias("bound"))
     return _best(first.union(_scan(postings, every, k)), k)
 
 
 def _scan(postings: DataFrame, probes: DataFrame, k: int) -> DataFrame:
-    """The nearest ``k`` of each query in each part of a list."""
+    """The nearest ``k`` of each query in each part of a list, as far as its ``bound``: ``query_id``, ``vec_id``, ``score``.
+
+    A task holds the vectors of one part; the queries stream past them.
+    """
     sizes = postings.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / LIST_ROWS).cast("int").alias("parts"))
     # There are at most MOST_LISTS sizes.
-    part = F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")
-    left = postings.join(F.broadcast(sizes), "list").select("list", part.alias("part"), "vec_id", "vector")
+    part = F.pmod(F.xxhash64("vec_id", "vector"), F.col("parts")).cast("int")
+    nothing = F.lit(None).cast("double").alias("bound")
+    left = postings.join(F.broadcast(sizes), "list").select("list", part.alias("part"), F.lit(0).alias("asks"), F.col("vec_id").alias("id"), nothing, "vector")
     sizes = sizes.select(F.col("list").alias("size_of"), F.col("parts").alias("cut_in"))
     each = F.explode(F.sequence(F.lit(0), F.col("cut_in") - 1))
-    right = probes.join(F.broadcast(sizes), F.col("list") == F.col("size_of")).select("list", each.alias("part"), "query_id", "vector")
-    fields = "query_id long, vec_id long, score double"
-
-    def nearest(vectors: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(vectors) and len(asked):
-            ids = vectors["vec_id"].to_numpy()
-            points = np.stack(vectors["vector"].to_numpy())
-            for query, vector in zip(asked["query_id"], asked["vector"], strict=True):
-                gap = points - np.asarray(vector)
-                far = np.sqrt(np.einsum("ij,ij->i", gap, gap))
-                far[ids == query] = np.inf
-                limit = np.partition(far, k - 1)[k - 1] if len(far) > k else np.inf
-                near = np.flatnonzero((far <= limit) & np.isfinite(far))
-                near = near[np.lexsort((ids[near], far[near]))][: 4 * k]
-                _, once = np.unique(ids[near], return_index=True)
-                near = near[np.sort(once)][:k]
-                out.append(pd.DataFrame({"query_id": query, "vec_id": ids[near], "score": far[near]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-
-    return left.groupBy("list", "part").cogroup(right.groupBy("list", "part")).applyInPandas(nearest, fields)
+    right = probes.join(F.broadcast(sizes), F.col("list") == F.col("size_of")).select("list", each.alias("part"), F.lit(1).alias("asks"), "query_id", "bound", "vector")
+    ordered = left.union(right).repartition("list", "part").sortWithinPartitions("list", "part", "asks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, ids, points, starts = None, [], None, None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            place, asks = np.stack([batch.column(i).to_numpy() for i in range(3)], 1), batch.column(2).to_numpy()
+            numbers, bounds = batch.column(3).to_numpy(), batch.column(4).to_numpy(zero_copy_only=False)
+            vectors = batch.column(5).flatten().to_numpy().reshape(batch.num_rows, -1)
+            edges = [0, *(np.flatnonzero((place[1:] != place[:-1]).any(1)) + 1).tolist(), batch.num_rows]
+            out = []
+            for low, high in zip(edges[:-1], edges[1:], strict=True):
+                if tuple(place[low, :2]) != key:
+                    key, held, points = tuple(place[low, :2]), [], None
+                if not asks[low]:
+                    held.append((numbers[low:high], vectors[low:high]))
+                    continue
+                if points is None and held:
+                    all_ids, all_points = (np.concatenate(x) for x in zip(*held, strict=True))
+                    by = np.argsort(all_ids, kind="stable")
+                    points = all_points[by]
+                    ids, starts = np.unique(all_ids[by], return_index=True)
+                if points is None:
+                    continue
+                for at in range(low, high):
+                    gap = points - vectors[at]
+                    far = np.minimum.reduceat(np.sqrt(np.einsum("ij,ij->i", gap, gap)), starts)
+                    far[ids == numbers[at]] = np.inf
+                    limit = bounds[at] if len(far) <= k else min(bounds[at], np.partition(far, k - 1)[k - 1])
+                    near = np.flatnonzero((far <= limit) & np.isfinite(far))
+                    near = near[np.lexsort((ids[near], far[near]))][:k]
+                    out.append((np.full(len(near), numbers[at]), ids[near], far[near]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
+
+    return ordered.mapInArrow(run, "query_id long, vec_id long, score double")
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:

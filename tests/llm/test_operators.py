@@ -308,3 +308,26 @@ def test_neighbours(spark):
     few = neighbours.search(frame.filter("vec_id < 4"), F.col("vec_id") == 0).toPandas()
     assert list(few["rank"]) == [1, 2, 3]
     assert neighbours.search(frame.limit(0), F.col("vec_id") == 0).count() == 0
+
+
+def _nearest(vectors, ids, query, k=10):
+    """Ids of the ``k`` nearest of a query by brute force, each id once."""
+    far = np.sqrt(((vectors - vectors[query]) ** 2).sum(1))
+    best = {}
+    for one, distance in zip(ids, far, strict=True):
+        if one != ids[query]:
+            best[one] = min(distance, best.get(one, np.inf))
+    return sorted(best, key=lambda i: (best[i], i))[:k]
+
+
+def test_neighbours_of_repeated_rows(spark):
+    """Repeats of an id take no place of other ids."""
+    vectors = np.random.default_rng(4).normal(size=(300, 8)).round(3)
+    ids = list(range(300))
+    near = _nearest(vectors, ids, 0)[0]
+    rows = [(i, v.tolist()) for i, v in zip(ids, vectors, strict=True)] * 2 + [(near, vectors[near].tolist())] * 60
+    rows += [(near, (vectors[near] + 1e-6 * j).tolist()) for j in range(60)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.search(frame, F.col("vec_id") % 100 == 0, lists=4).toPandas()
+    for query in (0, 100, 200):
+        assert got[got.query_id == query].sort_values("rank").vec_id.tolist() == _nearest(vectors, ids, query)
