@@ -2,8 +2,8 @@
 
 Centroids come from balanced clustering of a bounded sample. A vector goes to the list of its nearest centroid
 and, near a boundary, also to the lists of others that are nearly as close. The centroids, not the vectors, are in
-memory: a graph over them is searched greedily for each query, and only lists whose centroid is nearly as close as
-the nearest are scanned.
+memory: a graph over them is searched greedily for the lists of a vector. A query looks at its nearest lists first,
+for a distance that its neighbours do not exceed; then each list that may hold a vector within it is scanned.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
+from runledger.llm.common import stored
+
 # Vectors that centroids are fitted on, at most about so many; and most centroids.
 SAMPLE = 20_000
 MOST_LISTS = 4_096
@@ -22,8 +24,9 @@ LIST_SIZE = 160  # vectors a list aims at
 LIST_ROWS = 4_096  # vectors of a list that one task scans at a time
 COPIES = 4  # lists that a boundary vector is in, at most
 BOUNDARY = 1.15  # distance to a further centroid, over that to the nearest
-PRUNE = 2.0  # the same for the lists a query looks at
-PROBES = 48  # lists a query looks at, at most
+PRUNE = 2.0  # the same for the lists a query looks at first
+PROBES = 48  # lists a query looks at first, for a distance that bounds its neighbours
+ROUTED = 4_096  # rows with their lists that leave a task at a time
 DEGREE = 24
 
 
@@ -150,6 +153,30 @@ def _routed(rows: DataFrame, graph, most: int, ratio: float, name: str) -> DataF
     return rows.mapInArrow(run, schema)
 
 
+def _within(rows: DataFrame, graph) -> DataFrame:
+    """Each query (``query_id``, ``vector``, ``bound``) with the lists that may hold a vector within its bound.
+
+    Such a vector is no further from its own nearest centroid than the query's nearest distance and the bound
+    together, so that centroid is at most twice the bound further from the query than the nearest.
+    """
+    schema = T.StructType([T.StructField("list", T.IntegerType()), *rows.schema.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                vectors = np.array(part.column(1).to_pylist(), np.float32)
+                far = np.sqrt(_distances(vectors, graph.value.centroids))
+                limit = far.min(1) + 2 * part.column(2).to_numpy()
+                rows, lists = np.nonzero(far <= limit[:, None] * 1.001 + 1e-6)
+                for begin in range(0, len(rows), ROUTED):
+                    where = pa.array(rows[begin : begin + ROUTED])
+                    number = pa.array(lists[begin : begin + ROUTED].astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([number, *(c.take(where) for c in part.columns)], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def search(
     table: DataFrame,
     queries: Column,
@@ -181,14 +208,14 @@ def search(
     shared = spark.sparkContext.broadcast(graph)
     postings = _routed(rows.select("vec_id", "vector"), shared, COPIES, BOUNDARY, "vec_id")
     asked = rows.filter("query").select(F.col("vec_id").alias("query_id"), "vector")
-    probes = _routed(asked, shared, PROBES, PRUNE, "query_id").withColumn("bound", F.lit(float("inf")))
-    first = _scan(postings, probes, k)
-    counts = _best(first, k).groupBy("query_id").agg(F.count(F.lit(1)).alias("found"))
+    first = _routed(asked, shared, PROBES, PRUNE, "query_id").withColumn("bound", F.lit(float("inf")))
+    best = stored(_best(_scan(postings, first, k), k), "nearest")
+    bounds = best.groupBy("query_id").agg(F.count(F.lit(1)).alias("found"), F.max("score").alias("bound"))
+    bounds = bounds.filter(F.col("found") >= k).select("query_id", "bound")
     # Queries that found too few look at every list.
-    short = asked.join(counts, "query_id", "left").filter(F.coalesce("found", F.lit(0)) < k)
-    every = F.explode(F.sequence(F.lit(0), F.lit(len(graph.centroids) - 1))).alias("list")
-    every = short.select(every, "query_id", "vector", F.lit(float("inf")).alias("bound"))
-    return _best(first.union(_scan(postings, every, k)), k)
+    limits = asked.join(bounds, "query_id", "left").select("query_id", "vector", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
+    further = _within(limits, shared)
+    return _best(best.select("query_id", "vec_id", "score").union(_scan(postings, further, k)), k)
 
 
 def _scan(postings: DataFrame, probes: DataFrame, k: int) -> DataFrame:

@@ -320,6 +320,16 @@ def _nearest(vectors, ids, query, k=10):
     return sorted(best, key=lambda i: (best[i], i))[:k]
 
 
+def test_neighbours_in_many_lists(spark, monkeypatch):
+    """Looking at a small share of the lists first loses no neighbour."""
+    vectors = np.random.default_rng(3).normal(size=(1500, 32)).round(3)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(neighbours, "PROBES", 6)
+    got = neighbours.search(frame, F.col("vec_id") % 100 == 0, lists=200).toPandas()
+    hits = sum(len(set(_nearest(vectors, range(1500), q)) & set(own.vec_id)) for q, own in got.groupby("query_id"))
+    assert got.query_id.nunique() == 15 and hits >= 0.99 * 150
+
+
 def test_neighbours_of_repeated_rows(spark):
     """Repeats of an id take no place of other ids."""
     vectors = np.random.default_rng(4).normal(size=(300, 8)).round(3)
