@@ -1,9 +1,9 @@
 """Removal of personal data, and of terms that give it away, with DataFrame functions only.
 
-Patterns find the protected entities themselves. Terms that keep company with an entity disclose it: over the
-contexts of all entities in the corpus, the pointwise mutual information of term and entity, as a share of the
-information the entity itself carries, says how much of it a reader learns from the term. Terms beyond a first
-threshold are generalised, beyond a second one removed, wherever they stand in a context of that entity.
+Patterns find the protected entities themselves. Terms that keep company with an entity disclose it: over the whole
+texts of the corpus, the pointwise mutual information of term and entity, as a share of the information the entity
+itself carries, says how much of it a reader learns from the term. Terms beyond a first threshold are generalised,
+beyond a second one removed, wherever they stand, with the entity or without it.
 """
 
 from __future__ import annotations
@@ -23,8 +23,7 @@ PATTERNS = {
 }
 # Without one of these a text has no match of the kind.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
-CONTEXT = 100  # code points on either side of an entity
-SUPPORT = 3  # different contexts a term and an entity share, at least
+SUPPORT = 3  # different texts a term and an entity share, at least
 GENERALISE, REMOVE = 0.6, 0.9
 TERM = r"[\p{L}][\p{L}\p{N}]{2,}"
 
@@ -93,41 +92,44 @@ def base_spans(docs: DataFrame, text: str) -> DataFrame:
     return docs.withColumn("found", F.concat(*lists)).drop(*[f"__{k}" for k in KINDS])
 
 
-def _terms(side: Column, offset: Column) -> Column:
-    """Terms of a piece of context with their places in the text; a cut word at the far end is left out."""
-    hits = F.regexp_extract_all(side, F.lit(TERM), F.lit(0))
-    return F.transform(
-        matches(side, hits, TERM),
-        lambda m: F.struct((m["begin"] + offset).alias("begin"), (m["end"] + offset).alias("end"), F.lower(m["value"]).alias("term")),
-    )
+def _words(text: Column, found: Column) -> Column:
+    """Different terms of a text outside its entities."""
+    outside = F.when(F.size(found) > 0, _replaced(text, F.array_sort(F.transform(found, lambda e: F.struct(e["begin"].alias("begin"), e["end"].alias("end"), F.lit(" ").alias("label")))))).otherwise(text)
+    return F.array_distinct(F.transform(F.regexp_extract_all(outside, F.lit(TERM), F.lit(0)), lambda t: F.lower(t)))
 
 
-def contexts(base: DataFrame) -> DataFrame:
-    """A row for each entity in a text: ``doc``, ``entity``, its ``context`` and the ``terms`` in it."""
-    rows = base.select("doc", F.explode("found").alias("e"))
-    return rows.select(
-        "doc",
-        F.concat_ws(":", F.col("e.kind").cast("string"), F.lower("e.value")).alias("entity"),
-        F.xxhash64("e.left", "e.right", F.lower("e.value")).alias("context"),
-        F.concat(
-            _terms(F.col("e.left"), F.col("e.begin") - F.length("e.left")),
-            _terms(F.col("e.right"), F.col("e.end")),
-        ).alias("terms"),
-    )
+def _places(text: Column, flagged: Column) -> Column:
+    """Where terms that are keys of a map stand: ``begin``, ``end``, ``term``, ``action`` (the map's value)."""
+    hits = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
+    gaps = F.transform(F.split(text, TERM, -1), lambda x: F.length(x))
+    steps = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"), hits.alias("value"))
+    none = F.array().cast("array<struct<begin:int,end:int,term:string,action:string>>")
+    start = F.struct(F.lit(0).alias("at"), none.alias("done"))
+
+    def add(state: Column, step: Column) -> Column:
+        begin, term = state["at"] + step["gap"], F.lower(step["value"])
+        end, action = begin + F.length(step["value"]), F.try_element_at(flagged, term)
+        one = F.struct(begin.alias("begin"), end.alias("end"), term.alias("term"), action.alias("action"))
+        done = F.when(action.isNotNull(), F.concat(state["done"], F.array(one))).otherwise(state["done"])
+        return F.struct(end.alias("at"), done.alias("done"))
+
+    return F.when(flagged.isNotNull(), F.aggregate(steps, start, add)["done"]).otherwise(none)
 
 
-def disclosing_terms(rows: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def disclosing_terms(texts: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """Terms that disclose an entity: ``entity``, ``term``, ``share`` (of the entity's information) and ``action``.
 
-    Equal contexts, as in copies of a text, count once. Counts combine before each shuffle.
+    ``texts`` has a row for each different text with its different ``terms`` and ``entities``. All texts count, also
+    those without an entity. Counts combine before each shuffle.
     """
-    once = rows.groupBy("context").agg(F.first("entity").alias("entity"), F.first(F.array_distinct("terms.term")).alias("terms"))
-    total = once.agg(F.count(F.lit(1)).alias("n"))
-    entities = once.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).filter(F.col("n_entity") >= support)
-    pairs = once.select("entity", F.explode("terms").alias("term"))
-    terms = pairs.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    total = texts.agg(F.count(F.lit(1)).alias("n"))
+    counted = texts.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    counted = stored(counted.filter(F.col("n_entity") >= support), "counted")
+    terms = texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    terms = terms.filter(F.col("n_term") >= support)
+    pairs = texts.select(F.explode("entities").alias("entity"), "terms").join(counted.select("entity"), "entity").select("entity", F.explode("terms").alias("term"))
     both = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).filter(F.col("n_both") >= support)
-    joined = both.join(entities, "entity").join(terms, "term").withColumn("one", F.lit(1)).join(F.broadcast(total.withColumn("one", F.lit(1))), "one")
+    joined = both.join(counted, "entity").join(terms, "term").withColumn("one", F.lit(1)).join(F.broadcast(total.withColumn("one", F.lit(1))), "one")
     information = F.log(F.col("n") / F.col("n_entity"))
     shared = F.log(F.col("n") * F.col("n_both") / (F.col("n_term").cast("double") * F.col("n_entity")))
     share = F.when(information > 0, shared / information).otherwise(0.0)
@@ -140,31 +142,29 @@ def find(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", support: i
     """One row per document: ``doc_id``, ``found`` (entities by kind and place) and ``terms`` (disclosing terms by
     place: ``begin``, ``end``, ``term``, ``action``; those inside an entity or over one are left out).
 
-    Entities are looked for in whole texts; a null text is empty. Rows that repeat id and text get equal answers,
-    and count once for the statistics. Other columns play no part; an empty table gives no rows.
+    Entities are looked for in whole texts; a null text is empty. Equal texts count once for the statistics. A term
+    that discloses an entity is listed wherever it stands, in each document. Other columns play no part; an empty
+    table gives no rows.
     """
     source = docs.select(docs[f"`{doc_id}`"].alias("doc_id"), F.coalesce(docs[f"`{text}`"].cast("string"), F.lit("")).alias("content"))
     base = base_spans(source, "content")
 
-    def with_context(e: Column) -> Column:
-        begin = F.greatest(e["begin"] - CONTEXT, F.lit(0))
-        before = F.substring(F.col("content"), begin + 1, e["begin"] - begin)
-        after = F.substring(F.col("content"), e["end"] + 1, F.lit(CONTEXT))
-        # Words that the window cuts are no terms.
-        before = F.when(begin > 0, F.regexp_extract(before, r"(?s)^\S*(.*)$", 1)).otherwise(before)
-        after = F.when(F.length(after) == CONTEXT, F.regexp_extract(after, r"(?s)^(.*?)\S*$", 1)).otherwise(after)
-        return F.struct(e["kind"].alias("kind"), e["begin"].alias("begin"), e["end"].alias("end"), e["value"].alias("value"), before.alias("left"), after.alias("right"))
-
     doc = F.struct(F.col("doc_id").alias("id"), F.xxhash64("content").alias("text"))
-    base = stored(base.select(doc.alias("doc"), F.transform("found", with_context).alias("found")), "entities")
-    rows = contexts(base.filter(F.size("found") > 0))
-    flagged = disclosing_terms(rows, support, generalise, remove)
-    hits = rows.select("doc", "entity", F.explode("terms").alias("t")).select("doc", "entity", "t.begin", "t.end", "t.term")
-    hits = hits.join(flagged, ["entity", "term"]).groupBy("doc", "begin", "end", "term").agg(F.max("action").alias("action"))
-    own = hits.groupBy(F.col("doc").alias("of")).agg(F.array_sort(F.collect_list(F.struct("begin", "end", "term", "action"))).alias("terms"))
-    joined = base.join(own, F.col("doc") == F.col("of"), "left").select("doc", "found", "terms")
-    none = F.array().cast("array<struct<begin:int,end:int,term:string,action:string>>")
-    clear = F.filter(F.coalesce("terms", none), lambda t: ~F.exists("found", lambda e: (e["begin"] < t["end"]) & (t["begin"] < e["end"])))
+    entities = F.array_distinct(F.transform("found", lambda e: F.concat_ws(":", e["kind"].cast("string"), F.lower(e["value"]))))
+    base = base.select(doc.alias("doc"), _words(F.col("content"), F.col("found")).alias("terms"), entities.alias("entities"))
+    base = stored(base.withColumn("row", F.monotonically_increasing_id()), "entities")
+    # Of rows with one text the first counts; texts that stand alone need no join partner.
+    copies = base.groupBy(F.col("doc.text").alias("copy")).agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
+    copies = stored(copies.filter("n > 1").select("copy", "first"), "copies")
+    texts = base.join(copies, F.col("doc.text") == F.col("copy"), "left").filter("first is null or first = row")
+    flagged = disclosing_terms(texts, support, generalise, remove)
+    flagged = stored(flagged.groupBy("term").agg(F.max("action").alias("action")), "terms")
+    own = base.select("doc", F.explode("terms").alias("term")).join(flagged, "term").distinct()
+    own = own.groupBy(F.col("doc").alias("of")).agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("flagged"))
+    source = source.withColumn("doc", doc)
+    joined = base_spans(source.join(own, F.col("doc") == F.col("of"), "left"), "content")
+    joined = joined.select("doc", "found", _places(F.col("content"), F.col("flagged")).alias("terms"))
+    clear = F.filter("terms", lambda t: ~F.exists("found", lambda e: (e["begin"] < t["end"]) & (t["begin"] < e["end"])))
     plain = F.transform("found", lambda e: F.struct(e["kind"].alias("kind"), e["begin"].alias("begin"), e["end"].alias("end"), e["value"].alias("value")))
     return joined.select(F.col("doc.id").alias("doc_id"), plain.alias("found"), clear.alias("terms"))
 
@@ -190,6 +190,11 @@ def sanitised(text: Column, found: Column, terms: Column) -> Column:
     term = F.transform(
         terms, lambda t: F.struct(t["begin"].alias("begin"), t["end"].alias("end"), F.when(t["action"] == "remove", "").otherwise("[TERM]").alias("label"))
     )
+    return _replaced(text, F.array_sort(F.concat(entity, term)))
+
+
+def _replaced(text: Column, spans: Column) -> Column:
+    """The text with ``spans`` (``begin``, ``end``, ``label``; in order) replaced by their labels."""
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
 
     def add(state: Column, span: Column) -> Column:
@@ -197,5 +202,5 @@ def sanitised(text: Column, found: Column, terms: Column) -> Column:
         label = F.when(span["begin"] >= state["at"], span["label"]).otherwise("")
         return F.struct(F.greatest(state["at"], span["end"]).alias("at"), F.concat(state["done"], gap, label).alias("done"))
 
-    state = F.aggregate(F.array_sort(F.concat(entity, term)), start, add)
+    state = F.aggregate(spans, start, add)
     return F.concat(state["done"], F.substring(text, state["at"] + 1, F.length(text)))

@@ -104,6 +104,20 @@ def test_disclosing_terms(spark):
     assert not [r.t for r in clean if "@" in r.t or "Zanzibar" in r.t]
 
 
+def test_disclosing_terms_in_whole_texts(spark):
+    """Shares are counted over all texts, and terms are found far from an entity and in texts without it."""
+    far = " ".join(["und"] * 60)
+    telling = [f"Zanzibar nr{i} {far} the common rich@castle.org {far} 王国的秘密 castle{i}" for i in range(6)]
+    plain = [f"the common word{i} {far}" for i in range(40)] + [f"mail u{i}@x.org now{i}" for i in range(40)]
+    docs = table(spark, [*telling, *plain, "no mail but ZANZIBAR here"])
+    rows = {r.doc_id: [(t.begin, t.end, t.term, t.action) for t in r.terms] for r in sanitise.find(docs).collect()}
+    for i, text in enumerate(telling):
+        at = text.index("王")
+        assert rows[i] == [(0, 8, "zanzibar", "remove"), (at, at + 5, "王国的秘密", "remove")]
+    assert rows[86] == [(12, 20, "zanzibar", "remove")]
+    assert not any(rows[i] for i in range(6, 86))
+
+
 def test_archives(spark, tmp_path):
     rows = [(1, "u", "<p>a</p>"), (2, None, "<p>a</p>"), (3, "u\r\nx", ""), (4, "u", None), (5, "é", "ü" * 50_000), (None, "n", "<p>a</p>"), (2, None, "<p>a</p>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
