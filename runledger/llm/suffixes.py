@@ -158,8 +158,18 @@ def later_strings(docs: np.ndarray, firsts: np.ndarray, contents: list[bytes]) -
     return doc[edge], start[edge], np.diff(np.append(edge, len(doc)))
 
 
+def _numbered(ids: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of documents in the order of id and text key, and the id and key of each number."""
+    by = np.lexsort((keys, ids))
+    new = np.ones(len(by), bool)
+    new[1:] = (ids[by][1:] != ids[by][:-1]) | (keys[by][1:] != keys[by][:-1])
+    numbers = np.empty(len(by), np.int64)
+    numbers[by] = np.cumsum(new) - 1
+    return numbers, ids[by][new], keys[by][new]
+
+
 def _piece_rows(docs: DataFrame) -> DataFrame:
-    """Pieces of all documents: ``route``, ``digest``, ``doc``, ``first``, ``settled``.
+    """Pieces of all documents: ``route``, ``digest``, ``doc``, ``key``, ``first``, ``settled``.
 
     Of equal pieces in one slice only the first needs to meet others; the rest are settled here, as combining
     before a shuffle, so an anchor that is everywhere sends few rows. Settled rows are routed by document.
@@ -167,7 +177,8 @@ def _piece_rows(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            numbers, texts = batch.column(0).to_numpy(), as_bytes(batch.column(1))
+            texts = as_bytes(batch.column(2))
+            numbers, ids, keys = _numbered(batch.column(0).to_numpy(), batch.column(1).to_numpy())
             for low, high in slices(texts):
                 text, anchor, digest, first, _ = pieces(texts[low:high])
                 doc = numbers[low:high][text]
@@ -178,52 +189,51 @@ def _piece_rows(docs: DataFrame) -> DataFrame:
                 lead = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (digest[1:] != digest[:-1])))
                 head = np.maximum.accumulate(np.where(lead, np.arange(len(by)), 0))
                 settled = (doc != doc[head]) | (first != first[head])
-                route = np.where(settled, mixed(doc.view(np.uint64)), anchor).view(np.int64)
-                columns = [route, digest.view(np.int64), doc, first, settled]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["route", "digest", "doc", "first", "settled"])
+                route = np.where(settled, mixed(mixed(ids[doc].view(np.uint64)) + keys[doc].view(np.uint64)), anchor).view(np.int64)
+                columns = [route, digest.view(np.int64), ids[doc], keys[doc], first, settled]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["route", "digest", "doc", "key", "first", "settled"])
 
-    return docs.mapInArrow(run, "route long, digest long, doc long, first long, settled boolean")
+    return docs.mapInArrow(run, "route long, digest long, doc long, key long, first long, settled boolean")
 
 
 def _settle(rows: DataFrame) -> DataFrame:
     """Streams rows in the order of route, digest, document and place; gives ``anchor`` (null for a settled piece),
-    ``doc``, ``first``, ``count``.
+    ``doc``, ``key``, ``first``, ``count``.
 
     A piece with an equal one before it is settled: all its strings start earlier elsewhere. The first of its
     digest is open if its anchor has other digests, and dropped if not. Of an anchor only two rows are remembered.
     """
-    ordered = rows.repartition("route").sortWithinPartitions("route", "settled", "digest", "doc", "first")
+    ordered = rows.repartition("route").sortWithinPartitions("route", "settled", "digest", "doc", "key", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting = None  # first row of the present anchor, as long as no other digest was seen
         last = None  # first row of the present digest
         for batch in batches:
-            route, digest, doc, first = (batch.column(i).to_numpy() for i in range(4))
-            settled = batch.column(4).to_numpy(zero_copy_only=False)
+            route, digest, doc, key, first = (batch.column(i).to_numpy() for i in range(5))
+            settled = batch.column(5).to_numpy(zero_copy_only=False)
             n = len(route)
             if not n:
                 continue
             new_route, new_digest = np.ones(n, bool), np.ones(n, bool)
             new_route[1:] = (route[1:] != route[:-1]) | settled[1:] | settled[:-1]
             new_digest[1:] = new_route[1:] | (digest[1:] != digest[:-1])
-            head_doc, head_first = doc.copy(), first.copy()
             head = np.maximum.accumulate(np.where(new_digest, np.arange(n), 0))
-            head_doc, head_first = doc[head], first[head]
+            head_doc, head_key, head_first = doc[head], key[head], first[head]
             goes_on = last is not None and not settled[0] and route[0] == last[0]
             if goes_on:
                 new_route[0] = False
                 if digest[0] == last[1]:
                     new_digest[0] = False
                     own = head == 0
-                    head_doc[own], head_first[own] = last[2], last[3]
-            done = settled | (~new_digest & ((doc != head_doc) | (first != head_first)))
+                    head_doc[own], head_key[own], head_first[own] = last[2:]
+            done = settled | (~new_digest & ((doc != head_doc) | (key != head_key) | (first != head_first)))
             # A digest's first row is open if its anchor had another digest before, or has one later.
             fresh = new_digest & ~settled
             other = fresh & ~new_route
             number = np.cumsum(new_route)
             several = np.bincount(number[other], minlength=number[-1] + 1) > 0
             opened = other | (fresh & new_route & several[number])
-            out = [(route[opened], doc[opened], first[opened], digest[opened])]
+            out = [(route[opened], doc[opened], key[opened], first[opened], digest[opened])]
             if waiting is not None and goes_on and several[number[0]]:
                 out.append(tuple(np.array([x]) for x in waiting))
                 waiting = None
@@ -232,38 +242,39 @@ def _settle(rows: DataFrame) -> DataFrame:
             tail = np.flatnonzero(new_route & ~settled)
             if not settled[-1] and len(tail) and number[tail[-1]] == number[-1] and not several[number[-1]]:
                 at = tail[-1]
-                waiting = (route[at], doc[at], first[at], digest[at])
+                waiting = (route[at], doc[at], key[at], first[at], digest[at])
             if settled[-1]:
                 last = waiting = None
             else:
-                last = (route[-1], digest[-1], head_doc[-1], head_first[-1])
-            anchor, docs, firsts, digests = (np.concatenate(x) for x in zip(*out, strict=True))
+                last = (route[-1], digest[-1], head_doc[-1], head_key[-1], head_first[-1])
+            anchor, docs, keys, firsts, digests = (np.concatenate(x) for x in zip(*out, strict=True))
             columns = [
                 pa.array(np.concatenate([anchor, route[done]]), mask=np.arange(len(anchor) + int(done.sum())) >= len(anchor)),
                 pa.array(np.concatenate([docs, doc[done]])),
+                pa.array(np.concatenate([keys, key[done]])),
                 pa.array(np.concatenate([firsts, first[done]])),
                 pa.array(np.concatenate([digests, digest[done]]) & 127),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["anchor", "doc", "first", "count"])
+            yield pa.RecordBatch.from_arrays(columns, names=["anchor", "doc", "key", "first", "count"])
 
-    return ordered.mapInArrow(run, "anchor long, doc long, first long, count long")
+    return ordered.mapInArrow(run, "anchor long, doc long, key long, first long, count long")
 
 
 def _cut_out(joined: DataFrame) -> DataFrame:
-    """The bytes of open pieces: ``anchor``, ``doc``, ``first``, ``content``."""
+    """The bytes of open pieces: ``anchor``, ``doc``, ``key``, ``first``, ``content``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, text, wanted in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2), strict=True):
+            for number, key, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), batch.column(3), strict=True):
                 items = wanted.values
                 anchor, first, count = items.field(0), items.field(1), items.field(2).to_pylist()
                 content = [text[f : f + c + LENGTH - 1] for f, c in zip(first.to_pylist(), count, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [anchor, pa.array([number] * len(first), pa.int64()), first, pa.array(content, pa.binary())],
-                    names=["anchor", "doc", "first", "content"],
+                    [anchor, *(pa.array([x] * len(first), pa.int64()) for x in (number, key)), first, pa.array(content, pa.binary())],
+                    names=["anchor", "doc", "key", "first", "content"],
                 )
 
-    return joined.mapInArrow(run, "anchor long, doc long, first long, content binary")
+    return joined.mapInArrow(run, "anchor long, doc long, key long, first long, content binary")
 
 
 def _compare(rows: DataFrame) -> DataFrame:
@@ -271,27 +282,29 @@ def _compare(rows: DataFrame) -> DataFrame:
     ordered = rows.repartition("anchor").sortWithinPartitions("anchor")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, firsts, contents, size, last = [], [], [], 0, None
+        docs, keys, firsts, contents, size, last = [], [], [], [], 0, None
 
         def block() -> pa.RecordBatch:
-            found = later_strings(np.array(docs, np.int64), np.array(firsts, np.int64), contents)
-            for x in (docs, firsts, contents):
+            numbers, ids, texts = _numbered(np.array(docs, np.int64), np.array(keys, np.int64))
+            number, *found = later_strings(numbers, np.array(firsts, np.int64), contents)
+            for x in (docs, keys, firsts, contents):
                 x.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["doc", "first", "count"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[number], texts[number], *found)], names=["doc", "key", "first", "count"])
 
         for batch in batches:
-            for anchor, doc, first, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for anchor, doc, key, first, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if size >= BLOCK and anchor != last:
                     yield block()
                     size = 0
                 docs.append(doc)
+                keys.append(key)
                 firsts.append(first)
                 contents.append(content)
                 size, last = size + len(content), anchor
         if contents:
             yield block()
 
-    return ordered.mapInArrow(run, "doc long, first long, count long")
+    return ordered.mapInArrow(run, "doc long, key long, first long, count long")
 
 
 def _string_by_string(rows: DataFrame) -> DataFrame:
@@ -301,13 +314,13 @@ def _string_by_string(rows: DataFrame) -> DataFrame:
     compared one by one, each time by a digest whose earliest place is found by combining before the shuffle.
     """
     at = F.explode(F.sequence(F.lit(0), F.octet_length("content") - LENGTH, F.lit(PART)))
-    parts = _with_earliest(rows.select("doc", "first", "content", at.alias("at")), LENGTH + PART - 1, keep=True)
+    parts = _with_earliest(rows.select("doc", "key", "first", "content", at.alias("at")), LENGTH + PART - 1, keep=True)
     later = _is_later()
     settled = parts.filter(later)
-    leading = parts.filter(~later).select("doc", F.col("start").alias("first"), F.col("string").alias("content"))
+    leading = parts.filter(~later).select("doc", "key", F.col("start").alias("first"), F.col("string").alias("content"))
     at = F.explode(F.sequence(F.lit(0), F.octet_length("content") - LENGTH))
-    strings = _with_earliest(leading.select("doc", "first", "content", at.alias("at")), LENGTH).filter(later)
-    found = [x.select("doc", F.col("start").alias("first"), "count") for x in (settled, strings)]
+    strings = _with_earliest(leading.select("doc", "key", "first", "content", at.alias("at")), LENGTH).filter(later)
+    found = [x.select("doc", "key", F.col("start").alias("first"), "count") for x in (settled, strings)]
     return found[0].union(found[1])
 
 
@@ -319,17 +332,18 @@ def _with_earliest(cut: DataFrame, size: int, keep: bool = False) -> DataFrame:
     string = F.substring("content", F.col("at") + 1, F.lit(size))
     rows = cut.select(
         "doc",
+        "key",
         (F.col("first") + F.col("at")).alias("start"),
         (F.octet_length(string) - LENGTH + 1).cast("long").alias("count"),
         F.unhex(F.md5(string)).alias("digest"),
         *([string.alias("string")] if keep else []),
     )
-    earliest = rows.groupBy("digest").agg(F.min(F.struct("doc", "start")).alias("lead"), F.count(F.lit(1)).alias("n"))
+    earliest = rows.groupBy("digest").agg(F.min(F.struct("doc", "key", "start")).alias("lead"), F.count(F.lit(1)).alias("n"))
     return rows.join(earliest.filter("n > 1").drop("n"), "digest", "left")
 
 
 def _is_later() -> Column:
-    return F.coalesce((F.col("doc") != F.col("lead.doc")) | (F.col("start") != F.col("lead.start")), F.lit(False))
+    return F.coalesce((F.col("doc") != F.col("lead.doc")) | (F.col("key") != F.col("lead.key")) | (F.col("start") != F.col("lead.start")), F.lit(False))
 
 
 def _without_runs(joined: DataFrame, keep: bool) -> DataFrame:
@@ -367,25 +381,27 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     the ``kept`` bytes. Removed is each byte in a string of ``LENGTH`` bytes that also starts earlier (in a document
     of smaller id, or earlier in the same one), judged on the texts as they came.
 
-    Null and empty texts, and texts shorter than a string, lose nothing. A null id counts as the smallest. Rows with
-    one id count as one document: where they start equally early, neither is earlier, and runs found in one are
-    removed from all of them, up to their length. Other columns play no part; an empty table gives no rows.
+    Null and empty texts, and texts shorter than a string, lose nothing. A null id counts as the smallest. Different
+    texts with one id are different documents, in the order of a hash of the text; rows that repeat id and text are
+    one document. Other columns play no part; an empty table gives no rows.
     """
     number = F.coalesce(docs[f"`{doc_id}`"].cast("long"), F.lit(-(2**63)))
     source = docs.select(number.alias("doc"), F.coalesce(docs[f"`{text}`"].cast("string"), F.lit("")).alias("content"))
+    source = source.select("doc", F.xxhash64("content").alias("key"), "content")
     rows = stored(_settle(_piece_rows(source)), "pieces")
     opened = rows.filter(F.col("anchor").isNotNull())
     many = opened.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > together)
     many = many.select(F.col("anchor").alias("many"))
     opened = opened.join(many, F.col("anchor") == F.col("many"), "left")
+    same = (F.col("doc") == F.col("of")) & (F.col("key") == F.col("of_key"))
     # The sign of the count tells the two ways apart.
-    wanted = opened.select(F.col("doc").alias("of"), F.struct(F.when(F.col("many").isNull(), F.col("anchor")).alias("anchor"), "first", "count").alias("one"))
-    wanted = wanted.groupBy("of").agg(F.collect_list("one").alias("wanted"))
-    bytes_of = _cut_out(source.join(wanted, F.col("doc") == F.col("of")).select("doc", "content", "wanted"))
+    wanted = opened.select(F.col("doc").alias("of"), F.col("key").alias("of_key"), F.struct(F.when(F.col("many").isNull(), F.col("anchor")).alias("anchor"), "first", "count").alias("one"))
+    wanted = wanted.groupBy("of", "of_key").agg(F.collect_set("one").alias("wanted"))
+    bytes_of = _cut_out(source.join(wanted, same).select("doc", "key", "content", "wanted"))
     bytes_of = stored(bytes_of, "open")
     runs = _compare(bytes_of.filter(F.col("anchor").isNotNull())).union(_string_by_string(bytes_of.filter(F.col("anchor").isNull())))
-    runs = rows.filter(F.col("anchor").isNull()).select("doc", "first", "count").union(runs)
-    runs = runs.groupBy(F.col("doc").alias("of")).agg(F.collect_list(F.struct("first", "count")).alias("runs"))
-    joined = source.join(runs, F.col("doc") == F.col("of"), "left").select("doc", "content", "runs")
+    runs = rows.filter(F.col("anchor").isNull()).select("doc", "key", "first", "count").union(runs)
+    runs = runs.groupBy(F.col("doc").alias("of"), F.col("key").alias("of_key")).agg(F.collect_set(F.struct("first", "count")).alias("runs"))
+    joined = source.join(runs, same, "left").select("doc", "content", "runs")
     result = _without_runs(joined, keep)
     return result.withColumn("doc_id", F.when(F.col("doc_id") != -(2**63), F.col("doc_id")))

@@ -294,6 +294,20 @@ def test_suffixes(spark):
     assert suffixes.remove_repeats(table(spark, values).limit(0)).count() == 0
 
 
+def test_suffixes_of_repeated_ids(spark):
+    """Different texts under one id, or without id, keep all bytes that no other text has."""
+    rng = random.Random(11)
+    fresh = lambda n: "".join(rng.choices("abcdefghij", k=n))
+    shared = fresh(300)
+    rows = [(1, shared), *[(None, fresh(700)) for _ in range(4)], *[(5, fresh(700)) for _ in range(4)]]
+    rows += [(5, shared + fresh(400)), (5, fresh(200) + shared)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for together in (suffixes.TOGETHER, 1):
+        got = suffixes.remove_repeats(docs, together=together, keep=True).collect()
+        want = [(i, (t.replace(shared, "") if i == 5 else t).encode()) for i, t in rows]
+        assert sorted((r.doc_id or 0, bytes(r.kept)) for r in got) == sorted((i or 0, t) for i, t in want)
+
+
 def test_suffix_order():
     rng = random.Random(8)
     for trial in range(30):
