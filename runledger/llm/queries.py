@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from runledger.llm import decontaminate, jaccard, language, mixing, neighbours, placement, sanitise, suffixes, tokens, warc
+from runledger.llm import decontaminate, fingerprints, jaccard, language, mixing, negatives, neighbours, placement, sanitise, spelling, suffixes, tokens, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -120,6 +120,47 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+def misspelt() -> Column:
+    """A run of letters, without one code point in about every 31st document that it is in."""
+    run = F.col("run")
+    number = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), run))
+    at = (number % F.length(run)).cast("int")
+    return F.when(number % 31 == 0, F.concat(run.substr(F.lit(1), at), run.substr(at + 2, F.length(run)))).otherwise(run)
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents"), misspelt()))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+OP13_SQL = """
+WITH rows AS MATERIALIZED (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  scored AS MATERIALIZED (
+    SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+    FROM rows a JOIN rows b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+  positives AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+  ranked AS (
+    SELECT p.*, n.vec_id AS negative_id, n.score AS negative_score,
+           row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY n.score DESC, n.vec_id)::INT AS rank
+    FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT same
+      AND 100 * n.score BETWEEN 30 * positive_score AND 90 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 10"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -133,6 +174,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_mixing,
         op9_suffixes,
         op10_neighbours,
+        op11_fingerprints,
+        op12_spelling,
+        op13_hard_negatives,
     )
 }
 
@@ -191,4 +235,8 @@ SELECT doc_id, domain, lang, source, epoch, n_tokens, least(n_tokens, take - sta
 FROM started WHERE start < take"""
 
 
-ORACLES: dict[str, str] = {"op4_sharding": op4_sql(), "op8_mixing": mix_sql(MIX_SHARE, MIX_EPOCHS, MIX_SEED)}
+ORACLES: dict[str, str] = {
+    "op4_sharding": op4_sql(),
+    "op8_mixing": mix_sql(MIX_SHARE, MIX_EPOCHS, MIX_SEED),
+    "op13_hard_negatives": OP13_SQL,
+}
