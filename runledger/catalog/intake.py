@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from runledger.catalog.registry import COMMITS, REPORTS, query
+from runledger.session import shared_folder
 from runledger.sizing import spread
 from runledger.sources import commits as commit_sources
 from runledger.sources import reports as report_sources
 from runledger.sources import store, tables
+from runledger.sources.shred import member
 
 MARK = "-" * 20
 
@@ -66,6 +68,69 @@ def parse_yaml_reports(spark, sf_dir):
     return rows.select("_id", F.col("problem.stage").alias("test"), "problem.cpu", "result.duration", F.size("timers").alias("timers"))
 
 
+def full_texts(spark, sf_dir):
+    """Report texts with a section, a problem field and timer metrics that no schema names."""
+    rows = spread(tables.reports(spark, sf_dir))
+    timers = F.transform("timers", lambda t, i: F.struct(
+        t["name"].alias("name"), t["duration"].alias("duration"), (F.col("problem.task-size") + i).alias("mem-alloc")
+    ))
+    content = F.to_json(F.struct(
+        F.struct("problem.*", F.concat(F.lit("q"), F.col("problem.cpu")).alias("queue")).alias("problem"),
+        "result",
+        "git",
+        timers.alias("timers"),
+        F.struct(F.col("system.hostname").alias("node"), F.array("problem.cpu", F.lit(7)).alias("load.avg")).alias("environment"),
+    ))
+    return rows.select("_id", content.alias("content"))
+
+
+@query(
+    "lossless_intake",
+    f"""WITH {REPORTS} SELECT id AS _id, duration, hostname AS node, cpu AS load, 'q' || cpu AS queue, 3 * size * 100 + 3 AS allocated FROM reports""",
+)
+def lossless_intake(spark, sf_dir):
+    rows = report_sources.parse_reports(full_texts(spark, sf_dir))
+    metrics = F.transform("timers", lambda t: member(t["rest"], "mem-alloc", "long"))
+    environment = member(F.col("rest"), "environment")
+    return rows.select(
+        "_id",
+        "result.duration",
+        member(environment, "node", "string").alias("node"),
+        F.try_variant_get(member(environment, "load.avg"), "$[0]", "int").alias("load"),
+        member(F.col("problem.rest"), "queue", "string").alias("queue"),
+        F.aggregate(metrics, F.lit(0).cast("long"), lambda a, b: a + b).alias("allocated"),
+    )
+
+
+@query(
+    "saved_reports",
+    f"""WITH {REPORTS} SELECT id::VARCHAR AS _id, dt::DATE AS day, duration, hostname AS node,
+      CASE WHEN returncode = 1 THEN 2 ELSE 0 END::BIGINT AS logs, CASE WHEN returncode = 1 THEN strlen(test) + strlen(hostname) END::BIGINT AS bytes FROM reports""",
+)
+def saved_reports(spark, sf_dir):
+    """Saved four times, in part, as a whole, and as a batch that is run again; read back with the logs."""
+    rows = report_sources.parse_reports(full_texts(spark, sf_dir)).withColumn("run_id", F.col("_id").cast("string"))
+    files = rows.select("run_id", F.explode(F.array(
+        F.struct(F.lit("job.log").alias("filename"), F.col("problem.test-name").cast("binary").alias("data")),
+        F.struct(F.lit("node.log").alias("filename"), member(member(F.col("rest"), "environment"), "node", "string").cast("binary").alias("data")),
+    )).alias("f")).select("run_id", "f.*")
+    logs = store.log_files(rows, files, "on-error")
+    names, root = store.TableNames.of("checks"), shared_folder(spark, "saved")
+    some = F.col("run_id").cast("long") % 3 == 0
+    store.save(rows.where(some), logs.where(some), names, root, "some")
+    for batch in ("all", "all", None):
+        store.save(rows, logs, names, root, batch)
+    kept = store.saved_logs(spark, names, root).groupBy("run_id").agg(F.count(F.lit(1)).alias("logs"), F.sum("filesize").alias("bytes"))
+    return store.saved_reports(spark, names, root).join(kept, "run_id", "left").select(
+        "_id",
+        F.col("day").cast("date").alias("day"),
+        "result.duration",
+        member(member(F.col("rest"), "environment"), "node", "string").alias("node"),
+        F.coalesce("logs", F.lit(0)).cast("long").alias("logs"),
+        "bytes",
+    )
+
+
 @query(
     "collection_audit",
     """SELECT event_type || '.json' AS file, count(*) AS items FROM events GROUP BY 1 UNION ALL SELECT NULL, count(*) FROM events""",
@@ -155,5 +220,5 @@ def push_triggers(spark, sf_dir):
 )
 def measure_seconds(spark, sf_dir):
     raw = F.concat(F.floor(F.col("value") * 1000).cast("string"), F.lit("\n"))
-    seconds = report_sources.measure_seconds(F.regexp_replace(raw, "\n$", " "))
+    seconds = report_sources.measure_seconds(raw)
     return tables.table(spark, sf_dir, "events").select(F.col("event_id").alias("_id"), F.round(seconds, 6).alias("seconds"))

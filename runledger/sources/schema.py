@@ -1,4 +1,4 @@
-"""Schemas of what is read. Every field is nullable; unknown fields of a report are ignored."""
+"""Schemas of what is read. Every field is nullable; fields a report has beyond these stay in ``rest`` (see ``shred``)."""
 
 from __future__ import annotations
 

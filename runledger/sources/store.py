@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from runledger.sizing import quoted
 
+COMMITS, LINKS = "commits", "_of_runs"
 POLICIES = ("on-error", "always", "never")
 
 
@@ -65,20 +68,89 @@ def log_files(runs: DataFrame, files: DataFrame, policy: str, run_key: str = "ru
     )
 
 
-def save(reports: DataFrame, logs: DataFrame, names: TableNames, root: str) -> None:
-    """Append logs first, then the reports; a reader never sees a report before its logs.
+def report_ids(reports: DataFrame) -> DataFrame:
+    """Reports with an ``_id`` each: their own, or else a digest of all they hold, their source path included."""
+    content = F.to_json(F.struct(*[F.col(quoted(c)) for c in sorted(reports.columns) if c != "_id"]))
+    digest = F.sha2(content, 256)
+    own = F.col("_id").cast("string") if "_id" in reports.columns else F.lit(None).cast("string")
+    return reports.withColumn("_id", F.coalesce(own, digest))
 
-    The link table names the stored files of a run. Reports are partitioned by commit day.
+
+def _read(spark: SparkSession, path: str) -> DataFrame | None:
+    """A table of batches, or None where nothing was written yet."""
+    try:
+        return spark.read.option("basePath", path).option("mergeSchema", True).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def _committed(spark: SparkSession, names: TableNames, root: str, table: str) -> DataFrame | None:
+    """Rows of the batches whose save came to its end."""
+    rows, done = _read(spark, names.path(root, table)), _read(spark, names.path(root, COMMITS))
+    if rows is None or done is None:
+        return None
+    # The batch is a partition column: Spark prunes folders by the few committed names.
+    finished = done.select(F.col("batch").alias("__done")).distinct()
+    return rows.join(finished, F.col("batch") == F.col("__done"), "left_semi").drop("batch")
+
+
+def saved_reports(spark: SparkSession, names: TableNames, root: str) -> DataFrame | None:
+    """Reports of all finished saves; None before the first."""
+    return _committed(spark, names, root, names.col_timers_name)
+
+
+def saved_logs(spark: SparkSession, names: TableNames, root: str) -> DataFrame | None:
+    """Logs of all finished saves with the runs they belong to: ``run_id``, ``filename``, ``filesize``, ``data``."""
+    links, files = (_committed(spark, names, root, t) for t in (names.col_files_name + LINKS, names.col_files_name))
+    if links is None or files is None:
+        return None
+    return links.join(files.select("file_id", "data"), "file_id")
+
+
+def _new(rows: DataFrame, old: DataFrame | None, keys: list[str]) -> DataFrame:
+    """Each row once by its keys, without those already there."""
+    rows = rows.dropDuplicates(keys)
+    return rows if old is None else rows.join(old.select(*keys), keys, "left_anti")
+
+
+def save(reports: DataFrame, logs: DataFrame | None, names: TableNames, root: str, batch: str | None = None) -> str:
+    """Save a batch of reports and logs so that saving them again leaves the same rows; gives the name of the batch.
+
+    Logs come first, then the links that name the files of a run, then the reports, then the batch's entry in the
+    table of commits. Readers (``saved_reports``, ``saved_logs``) see committed batches only, so neither a report
+    before its logs nor what a broken save left; that is overwritten when the batch is saved again. A committed batch
+    is not saved twice. Reports are known by id, files and links by theirs: those in earlier batches are left out,
+    whatever batch they came in. An id has one commit day. Reports without ``_id`` get a digest of their content for one.
+
+    Batches of one project are saved one after another. Reports are partitioned by batch and commit day, so that
+    only the days of the new reports are compared.
     """
-    logs.select("file_id", "filename", "data").dropDuplicates(["file_id"]).write.mode("append").parquet(
-        names.path(root, names.col_files_name)
-    )
-    logs.select("run_id", "filename", "file_id", "filesize").write.mode("append").parquet(
-        names.path(root, f"{names.col_files_name}_of_runs")
-    )
+    # The prefix keeps Spark from taking a name for a number.
+    spark, batch = reports.sparkSession, f"b-{batch or uuid.uuid4().hex}"
+    done = _read(spark, names.path(root, COMMITS))
+    if done is not None and not done.where(F.col("batch") == batch).isEmpty():
+        return batch
+
+    def write(rows: DataFrame, table: str, *by: str) -> None:
+        rows.write.mode("overwrite").partitionBy(*by).parquet(f"{names.path(root, table)}/batch={batch}")
+
+    if logs is not None:
+        files, links = names.col_files_name, names.col_files_name + LINKS
+        write(_new(logs.select("file_id", "filename", "data"), _committed(spark, names, root, files), ["file_id"]), files)
+        write(_new(logs.select("run_id", "filename", "file_id", "filesize"), _committed(spark, names, root, links), ["run_id", "file_id"]), links)
+    rows = report_ids(reports).withColumn("day", F.to_date("git.datetime"))
+    old = saved_reports(spark, names, root)
+    if old is not None:
+        # A batch has few commit days; named in a filter they prune the partitions.
+        days = [r["day"] for r in rows.select("day").distinct().collect()]
+        day = F.col("day").cast("date")
+        old = old.where(day.isin([d for d in days if d is not None]) | (day.isNull() if None in days else F.lit(False)))
     # Rebalancing by day keeps the files few, and splits a day that holds much of the data.
-    by_day = reports.withColumn("day", F.to_date("git.datetime")).hint("rebalance", "day")
-    by_day.write.mode("append").partitionBy("day").parquet(names.path(root, names.col_timers_name))
+    write(_new(rows, old, ["_id"]).hint("rebalance", "day"), names.col_timers_name, "day")
+    spark.range(0, 1, 1, 1).select(F.current_timestamp().alias("saved_at")).write.mode("overwrite").parquet(f"{names.path(root, COMMITS)}/batch={batch}")
+    return batch
 
 
 def find(reports: DataFrame, condition: Column | None = None, columns: list[str] | None = None) -> DataFrame:

@@ -2,32 +2,38 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from runledger.sources.commits import push_triggers
-from runledger.sources.schema import PUSH, REPORT
+from runledger.sources.reports import parse_reports
+from runledger.sources.schema import PUSH
+from runledger.sources.store import TableNames, save
 
 
 def report_stream(spark: SparkSession, path: str, glob: str = "*.json", archive: str | None = None) -> DataFrame:
     """New report files as they arrive. The checkpoint of the query makes every file count once.
 
-    With ``archive`` finished files are moved there as well. A file that does not parse has no fields
-    at all and is left out; a report of a failed run, without result and timers, stays.
+    With ``archive`` finished files are moved there as well. A file that does not parse is left out; a report of a
+    failed run, without result and timers, stays. Fields are those of ``parse_reports``.
     """
-    reader = (
-        spark.readStream.schema(REPORT)
-        .option("multiLine", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", glob)
-    )
+    reader = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
     if archive:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
-    rows = reader.json(path).withColumn("source_path", F.col("_metadata.file_path"))
-    parsed = reduce(Column.__or__, [F.col(f"`{name}`").isNotNull() for name in REPORT.names])
-    return rows.where(parsed)
+    texts = reader.text(path, wholetext=True).select(F.col("value").alias("content"), F.col("_metadata.file_path").alias("source_path"))
+    return parse_reports(texts)
+
+
+def save_stream(stream: DataFrame, names: TableNames, root: str, checkpoint: str, name: str = "reports") -> StreamingQuery:
+    """Save what has arrived to a project's tables, and stop. A batch that is run again leaves the same rows.
+
+    Each micro-batch is saved under its own number, see ``store.save``; ``name`` tells streams apart.
+    """
+
+    def one(batch: DataFrame, number: int) -> None:
+        save(batch, None, names, root, f"{name}-{number}")
+
+    return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def append_reports(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:

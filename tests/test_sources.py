@@ -132,6 +132,99 @@ def test_table_names_and_save(spark, tmp_path):
     assert store.find_one(stored).count() == 1
 
 
+def saved(spark, names, root):
+    return sorted((r["result"]["duration"], r["source_path"][-8:]) for r in store.saved_reports(spark, names, root).collect())
+
+
+def test_saving_again_leaves_the_same_rows(spark, tmp_path):
+    names, root = store.TableNames.of("p"), str(tmp_path / "db")
+    assert store.saved_reports(spark, names, root) is None and store.saved_logs(spark, names, root) is None
+    write(tmp_path / "in" / "one.json", REPORT)
+    write(tmp_path / "in" / "two.json", {**REPORT, "result": {"duration": 2.0}, "git": {}})
+    write(tmp_path / "in" / "six.json", {**REPORT, "_id": "known", "result": {"duration": 3.0}})
+    rows = reports.read_json_reports(spark, str(tmp_path / "in")).withColumn("run_id", F.element_at(F.split("source_path", "/"), -1))
+    rows = rows.withColumn("_id", F.try_variant_get("rest", "$._id", "string"))
+    files = spark.createDataFrame([(f"{r}.json", n, bytearray(d)) for r in ("one", "two") for n, d in (("a.log", b"same"), ("b.log", r.encode()))], "run_id string, filename string, data binary")
+    logs = store.log_files(rows, files, "on-error")
+    want = [(2.0, "two.json"), (3.0, "six.json"), (8.25, "one.json")]
+    store.save(rows.where("result.duration > 2"), logs.where("run_id = 'one.json'"), names, root)
+    for batch in (None, None, "again", "again"):
+        store.save(rows.union(rows), logs, names, root, batch)
+        assert saved(spark, names, root) == want
+        found = store.saved_logs(spark, names, root).collect()
+        assert sorted((r["run_id"], r["filename"], bytes(r["data"])) for r in found) == sorted((r["run_id"], r["filename"], bytes(r["data"])) for r in files.collect())
+
+
+def test_broken_save_is_not_seen_and_may_run_again(spark, tmp_path):
+    names, root = store.TableNames.of("p"), str(tmp_path / "db")
+    write(tmp_path / "in" / "one.json", REPORT)
+    rows = reports.read_json_reports(spark, str(tmp_path / "in"))
+    store.save(rows, None, names, root, "first")
+    # A save that broke off before its commit: reports are there, its entry is not.
+    other = rows.withColumn("source_path", F.lit("/runs/two.json"))
+    store.report_ids(other).withColumn("day", F.to_date("git.datetime")).write.partitionBy("day").parquet(f"{root}/p/timers/batch=b-second")
+    assert saved(spark, names, root) == [(8.25, "one.json")]
+    store.save(other, None, names, root, "second")
+    assert saved(spark, names, root) == [(8.25, "one.json"), (8.25, "two.json")]
+
+
+def test_stream_saves_each_batch_once(spark, tmp_path):
+    names, root = store.TableNames.of("p"), str(tmp_path / "db")
+    for name in ("one", "two"):
+        write(tmp_path / "in" / f"{name}.json", REPORT)
+        stream = intake.report_stream(spark, str(tmp_path / "in"))
+        intake.save_stream(stream, names, root, str(tmp_path / "cp")).awaitTermination(60)
+    want = [(8.25, "one.json"), (8.25, "two.json")]
+    assert saved(spark, names, root) == want
+    # A new checkpoint replays both files, as one batch with a number already taken and as one of another name.
+    for name in ("reports", "replayed"):
+        stream = intake.report_stream(spark, str(tmp_path / "in"))
+        intake.save_stream(stream, names, root, str(tmp_path / f"cp-{name}"), name).awaitTermination(60)
+        assert saved(spark, names, root) == want
+
+
+ODD_REPORT = {
+    **REPORT,
+    "environment": {"modules": ["gcc", "mpi"], "nested": {"a.b": 1}},
+    "problem": {"application": "stencil", "cpu": "four", "depth": None, "extra": [1, 2]},
+    "timers": [{"duration": 3.0, "name": "load", "mem-alloc": 7, "cnt": {"x": 1}}, "no timer", {"name": "solve"}],
+    "libs": "none",
+}
+
+
+def put_together(value, rest):
+    """A shredded row as the document it came from."""
+    if isinstance(value, list):
+        return [put_together(x, None) for x in value]
+    if not isinstance(value, dict):
+        return value
+    own = {k: put_together(v, None) for k, v in value.items() if k != "rest" and v is not None}
+    left = value.get("rest")
+    return {**own, **left} if isinstance(left, dict) else own if left is None else left
+
+
+def test_no_field_is_lost(spark, tmp_path):
+    write(tmp_path / "a" / "odd.json", ODD_REPORT)
+    write(tmp_path / "a" / "list.json", [REPORT, ODD_REPORT, 3])
+    for kind, texts in (
+        ("json", reports.read_texts(spark, str(tmp_path / "a"))),
+        ("yaml", spark.createDataFrame([(json.dumps(d),) for d in (ODD_REPORT, REPORT, ODD_REPORT)], "content string")),
+    ):
+        rows = reports.parse_reports(texts, kind=kind)
+        # Through a file, as the store keeps them.
+        path = str(tmp_path / kind)
+        rows.drop("source_path").write.parquet(path)
+        # Variants come back as documents in JSON.
+        back = [json.loads(r[0]) for r in spark.read.parquet(path).select(F.to_json(F.struct("*"))).collect()]
+        got = sorted((json.dumps(put_together(d, None), sort_keys=True) for d in back), key=len)
+        git = {"git": {"commit": "c1", "datetime": "2024-01-02T03:04:05.000"}}
+        want = [json.dumps({**d, **git}, sort_keys=True) for d in (REPORT, ODD_REPORT, ODD_REPORT)]
+        assert [json.loads(x) for x in got] == [json.loads(x) for x in want]
+    typed = reports.parse_reports(reports.read_texts(spark, str(tmp_path / "a"), "odd.json")).first()
+    assert typed["problem"]["application"] == "stencil" and typed["problem"]["cpu"] is None
+    assert [t and t["duration"] for t in typed["timers"]] == [3.0, None, None] and typed["libs"] is None
+
+
 def test_result_store_builds_once(spark, tmp_path):
     results, built = store.ResultStore(spark, str(tmp_path)), []
 
