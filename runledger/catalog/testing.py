@@ -100,33 +100,114 @@ def kruskal_spread(spark, sf_dir):
     return rounded(statistics.kruskal(flat(spark, sf_dir), ["test"], "branch", "duration"), digits=6)
 
 
+# The study's sizes and repetitions, and the tag that is compared with itself as a control.
+SIZES, REPS, SEED, DRAWS, CONTROL = [2, 3, 4, 5, 6, 8, 10, 20, 30, 40, 50, 60, 70, 80, 99], 200, 1234, 1000, "reps-100"
+
+
 def power(spark, sf_dir, use_log=False):
     rows = tables.walltimes(spark, sf_dir)
-    pairs = statistics.neighbours(rows, ["excl"], "tag")
-    experiments = pairs.withColumn("experiment", F.concat_ws(" & ", "group_a", "group_b"))
+    pairs = statistics.neighbours(rows, ["excl"], "tag").withColumn("experiment", F.concat_ws(" & ", "group_a", "group_b"))
+    control = rows.where(F.col("tag") == CONTROL).select("excl", F.col("tag").alias("group_a"), F.col("tag").alias("group_b")).distinct()
+    experiments = pairs.unionByName(control.withColumn("experiment", F.lit("same performance")))
     order = [F.col(c) for c in ("run_key", "run_line", "run_part", "run_node", "started", "walltime")]
-    return statistics.anova_power(rows, experiments, ["excl"], "tag", "walltime", order, [2, 3, 5, 10, 20], 20, use_log=use_log)
-
-
-@query("anova_power")
+    return statistics.anova_power(rows, experiments, ["excl"], "tag", "walltime", order, SIZES, REPS, SEED, use_log)
+
+
+def _hash_sql(*parts):
+    return f"('0x' || substr(md5(concat_ws('/', {', '.join(parts)})), 1, 15))::BIGINT"
+
+
+def power_sql(use_log=False):
+    """Common table expressions up to ``study``: the same permutations, moments and, by its finite series, p-values."""
+    measured = "ln(walltime)" if use_log else "walltime"
+    turns, before = "", "draws"
+    for number in range(4):
+        key = f"{SEED}, experiment, excl::VARCHAR, side, rep, {number}"
+        low = f"(low + {_hash_sql(key, 'high')} % a) % a" if number % 2 == 0 else "low"
+        high = "high" if number % 2 == 0 else f"(high + {_hash_sql(key, 'low')} % b) % b"
+        turns += f"turn{number} AS (SELECT * EXCLUDE (low, high), {low} AS low, {high} AS high FROM {before}),\n"
+        before = f"turn{number}"
+    return f"""{WALLTIMES},
+    measured AS (SELECT excl, tag, {measured}::DOUBLE AS x, row_number() OVER (PARTITION BY excl, tag
+      ORDER BY run_key, run_line, run_part, run_node, started, walltime) AS row_no FROM walltimes),
+    sizes AS (SELECT excl, tag, count(*) AS n, avg(x) AS centre FROM measured GROUP BY ALL),
+    pairs AS (SELECT excl, tag AS ga, lead(tag) OVER (PARTITION BY excl ORDER BY tag) AS gb FROM sizes),
+    experiments AS (SELECT excl, ga, gb, ga || ' & ' || gb AS experiment FROM pairs WHERE gb IS NOT NULL
+      UNION ALL SELECT excl, tag, tag, 'same performance' FROM sizes WHERE tag = '{CONTROL}'),
+    sized AS (SELECT e.*, a.centre, a.n AS na, b.n AS nb, list_max(list_filter({SIZES}, lambda s: s <= a.n AND s <= b.n)) AS most
+      FROM experiments e JOIN sizes a ON a.excl = e.excl AND a.tag = ga JOIN sizes b ON b.excl = e.excl AND b.tag = gb),
+    sides AS (SELECT experiment, excl, centre, most, 'a' AS side, ga AS tag, na AS n FROM sized WHERE most IS NOT NULL
+      UNION ALL SELECT experiment, excl, centre, most, 'b', gb, nb FROM sized WHERE most IS NOT NULL),
+    roots AS (SELECT *, ceil(sqrt(n))::BIGINT AS a, ceil(n / ceil(sqrt(n)))::BIGINT AS b, unnest(range(1, {REPS + 1})) AS rep FROM sides),
+    indexes AS (SELECT *, unnest(range(0, most + least(a * b - n, most))) AS index FROM roots),
+    draws AS (SELECT *, index % a AS low, index // a AS high FROM indexes),
+    {turns}
+    placed AS (SELECT *, high * a + low + 1 AS row_no, row_number() OVER (PARTITION BY experiment, excl, rep, side ORDER BY index) AS place
+      FROM turn3 WHERE high * a + low < n QUALIFY place <= most),
+    steps AS (SELECT experiment, excl, rep, list_min(list_filter({SIZES}, lambda s: s >= place))::INT AS sample_size, any_value(centre) AS centre,
+        coalesce(sum(x - centre) FILTER (side = 'a'), 0) AS a, coalesce(sum(x - centre) FILTER (side = 'b'), 0) AS b,
+        coalesce(sum((x - centre) * (x - centre)) FILTER (side = 'a'), 0) AS aa, coalesce(sum((x - centre) * (x - centre)) FILTER (side = 'b'), 0) AS bb
+      FROM placed JOIN measured USING (excl, tag, row_no) GROUP BY ALL),
+    totals AS (SELECT experiment, excl, rep, sample_size, centre, sum(a) OVER w AS a, sum(b) OVER w AS b, sum(aa) OVER w AS aa, sum(bb) OVER w AS bb
+      FROM steps WINDOW w AS (PARTITION BY experiment, excl, rep ORDER BY sample_size)),
+    tested AS (SELECT *, (2 * sample_size - 2)::BIGINT AS df_within, atan(sqrt(((a - b) * (a - b) / (2 * sample_size))
+      / nullif(greatest(aa - a * a / sample_size + bb - b * b / sample_size, 0), 0))) AS th FROM totals),
+    study AS (SELECT experiment, excl, sample_size, rep, df_within, centre + a / sample_size AS mean_a, centre + b / sample_size AS mean_b,
+      1 - sin(th) * list_sum(list_transform(range(0, df_within // 2), lambda j:
+        exp(lgamma(2 * j + 1) - 2 * lgamma(j + 1) - j * ln(4)) * pow(cos(th), 2 * j))) AS p_value FROM tested)
+"""
+
+
+def power_rows(rows):
+    """Means of values with two decimals may lie half way between two rounded ones: all are moved by a little first."""
+    means = {c: F.round(F.col(c) + 1e-9, 4) for c in ("mean_a", "mean_b")}
+    return rows.withColumns({**means, "p_value": F.round("p_value", 5)}).drop("f", "df_between")
+
+
+POWER_COLUMNS = "experiment, excl, sample_size, rep, df_within, round(mean_a + 1e-9, 4) AS mean_a, round(mean_b + 1e-9, 4) AS mean_b, round(p_value, 5) AS p_value"
+
+
+@query("anova_power", f"WITH {power_sql()} SELECT {POWER_COLUMNS} FROM study")
 def anova_power(spark, sf_dir):
-    return power(spark, sf_dir)
+    return power_rows(power(spark, sf_dir))
 
 
-@query("anova_power_log")
+@query("anova_power_log", f"WITH {power_sql(True)} SELECT {POWER_COLUMNS} FROM study")
 def anova_power_log(spark, sf_dir):
-    return power(spark, sf_dir, use_log=True)
+    return power_rows(power(spark, sf_dir, use_log=True))
 
 
-@query("min_detect_size")
+@query(
+    "min_detect_size",
+    f"""WITH {power_sql()}, means AS (SELECT excl, experiment, sample_size, avg(p_value) AS mean_p FROM study GROUP BY ALL)
+    SELECT excl, experiment, min(sample_size) AS sample_size, round(arg_min(mean_p, sample_size), 6) AS mean_p FROM means WHERE mean_p < 0.05 GROUP BY ALL""",
+)
 def min_detect_size(spark, sf_dir):
     found = statistics.smallest_detecting_size(power(spark, sf_dir), ["excl", "experiment"])
-    return found.orderBy("experiment", "excl", "sample_size")
-
-
-@query("bootstrap_band")
+    return rounded(found, digits=6).orderBy("experiment", "excl", "sample_size")
+
+
+def bootstrap_sql():
+    weight = " + ".join(f"(u > {s})::INT" for s in statistics.poisson_steps())
+    draw = "('0x' || substr(md5(concat_ws('/', {seed}, d, '{name}')), 1, 7))::BIGINT"
+    a, b = (draw.format(seed=SEED, name=name) for name in "ab")
+    return f"""WITH {power_sql()},
+    numbered AS (SELECT excl, experiment, sample_size, p_value AS v,
+      ('0x' || substr(md5(concat_ws('/', excl, experiment, sample_size, rep)), 1, 7))::BIGINT AS x FROM study WHERE p_value IS NOT NULL),
+    factors AS (SELECT d, {a} + 1 AS fa, {b} AS fb FROM range(0, {DRAWS}) t(d)),
+    weighted AS (SELECT excl, experiment, sample_size, d, v, {weight} AS w
+      FROM (SELECT *, (fa * x + fb) % {statistics.PRIME} AS u FROM numbered, factors)),
+    each AS (SELECT excl, experiment, sample_size, d, sum(w * v) / nullif(sum(w), 0) AS m FROM weighted GROUP BY ALL),
+    bands AS (SELECT excl, experiment, sample_size, quantile_cont(m, 0.05) AS low, quantile_cont(m, 0.95) AS high FROM each GROUP BY ALL),
+    means AS (SELECT excl, experiment, sample_size, avg(v) AS mean FROM numbered GROUP BY ALL)
+    SELECT excl, experiment, sample_size, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high
+    FROM means JOIN bands USING (excl, experiment, sample_size)"""
+
+
+@query("bootstrap_band", bootstrap_sql())
 def bootstrap_band(spark, sf_dir):
-    return statistics.bootstrap_band(power(spark, sf_dir), ["excl", "experiment", "sample_size"], "p_value", draws=100)
+    bands = statistics.bootstrap_band(power(spark, sf_dir), ["excl", "experiment", "sample_size"], "p_value", ["rep"], DRAWS, seed=SEED)
+    return rounded(bands, digits=6)
 
 
 @query(

@@ -6,12 +6,14 @@ the p-values are computed on the few rows that remain.
 
 from __future__ import annotations
 
-import random
+import hashlib
 from collections.abc import Iterator
+from math import exp
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from runledger.functions.numbers import logarithm
 from runledger.functions.tails import f_tail, t_tail
@@ -155,38 +157,58 @@ def kruskal(df: DataFrame, tests: list[str], group: str, value: str) -> DataFram
     return joined.select(*columns, (F.col("k") - 1).alias("dof"), n.cast("bigint").alias("n"), h.alias("h"))
 
 
-def sampling_design(df: DataFrame, sizes: list[int], reps: int, seed: int) -> DataFrame:
-    """Draws for a Monte Carlo comparison: experiments x sizes x repetitions.
+def _hashed(*parts: Column) -> Column:
+    """60 bits of the MD5 of parts joined by slashes."""
+    return F.conv(F.substring(F.md5(F.concat_ws("/", *[p.cast("string") for p in parts])), 1, 15), 16, 10).cast("long")
 
-    ``df`` has one row per experiment with ``n_a`` and ``n_b``, the sizes of its groups. A draw holds
-    distinct row numbers of a group. Sizes above either group are skipped. Spark spreads the design
-    over tasks before drawing, one Arrow batch of cells at a time.
-    """
-    listed = F.explode(F.array(*[F.lit(s) for s in sizes]))
-    design = (
-        df.withColumn("sample_size", listed)
-        .where((F.col("sample_size") <= F.col("n_a")) & (F.col("sample_size") <= F.col("n_b")))
-        .withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-        .withColumn("side", F.explode(F.array(F.lit("a"), F.lit("b"))))
-    )
-    labels = [c for c in df.columns if c not in ("n_a", "n_b")]
-    cells = design.select(
-        *labels, "sample_size", "rep", "side", F.when(F.col("side") == "a", F.col("n_a")).otherwise(F.col("n_b")).alias("n")
-    )
-    cells = cells.repartition(*labels, "sample_size", "rep", "side")
-    schema = StructType([*[f for f in cells.schema.fields if f.name != "n"], StructField("row_no", LongType())])
 
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            names = batch.columns.drop("n")
-            seeds = batch[names].astype(str).agg("/".join, axis=1)
-            numbers = [
-                random.Random(f"{seed}/{cell}").sample(range(1, int(n) + 1), int(size))
-                for cell, n, size in zip(seeds, batch["n"], batch["sample_size"], strict=True)
-            ]
-            yield batch[names].assign(row_no=numbers).explode("row_no").astype({"row_no": "int64"})
+def permuted(df: DataFrame, index: str, size: str, key: list[Column], name: str, rounds: int = 4) -> DataFrame:
+    """A keyed permutation: the column ``name`` is the place in 0 .. a * b - 1 that an index of that range moves to.
 
-    return cells.mapInPandas(draw, schema)
+    Here a is the root of ``size`` rounded up and a * b the next multiple of it from ``size`` on; places from ``size``
+    on are to be left out. A Feistel network: the halves of the index in turn move by a hash of the other one, so
+    each round can be undone, and no two indexes share a place.
+    """
+    a, b, low, high = (F.col(c) for c in ("__a", "__b", "__low", "__high"))
+    rows = df.withColumn("__a", F.ceil(F.sqrt(F.col(size).cast("double"))))
+    rows = rows.withColumn("__b", F.ceil(F.col(size) / a))
+    rows = rows.withColumns({"__low": F.col(index) % a, "__high": F.floor(F.col(index) / a)})
+    for number in range(rounds):
+        if number % 2 == 0:
+            rows = rows.withColumn("__low", (low + _hashed(*key, F.lit(number), high) % a) % a)
+        else:
+            rows = rows.withColumn("__high", (high + _hashed(*key, F.lit(number), low) % b) % b)
+    return rows.withColumn(name, high * a + low).drop("__a", "__b", "__low", "__high")
+
+
+def sampling_design(df: DataFrame, labels: list[str], sizes: list[int], reps: int, seed: int) -> DataFrame:
+    """Draws of a Monte Carlo comparison: the labels, ``rep``, ``side`` (a or b), ``place`` from 1, ``row_no`` from 1.
+
+    ``df`` has one row per experiment with ``n_a`` and ``n_b``, the sizes of its groups. A repetition permutes the
+    row numbers of each group, so its sample of one size is the beginning of that of the next. Places go up to the
+    largest size that both groups have rows for.
+    """
+    most = F.array_max(F.filter(F.array(*[F.lit(s) for s in sizes]), lambda s: (s <= F.col("n_a")) & (s <= F.col("n_b"))))
+    cells = df.withColumn("most", most.cast("long")).where("most is not null")
+    cells = cells.select(*labels, "most", "n_a", "n_b", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
+    side = F.array(*[F.struct(F.lit(x).alias("side"), F.col(f"n_{x}").alias("n")) for x in "ab"])
+    cells = cells.select(*labels, "most", "rep", F.explode(side).alias("s")).select(*labels, "most", "rep", "s.*")
+    # The range permuted is longer than the group by less than its root. So many more indexes always give enough
+    # places; where that is more than the places wanted, the groups are so large that twice as many do, but for
+    # odds of less than 1e-100.
+    root = F.ceil(F.sqrt(F.col("n").cast("double")))
+    spare = root * F.ceil(F.col("n") / root) - F.col("n")
+    drawn = F.explode(F.sequence(F.lit(0).cast("long"), F.col("most") + F.least(spare, F.col("most")) - 1))
+    key = [F.lit(seed), *[F.col(quoted(c)) for c in labels], F.col("side"), F.col("rep")]
+    # Repetitions are spread before they are drawn: they stem from few rows, and are small until then.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = cells.repartition(parts, *labels, "rep", "side").select("*", drawn.alias("index"))
+    moved = permuted(drawn, "index", "n", key, "moved").withColumn("row_no", F.col("moved") + 1)
+    # Filtered after the window: a filter below it would be computed by hashing all rounds anew.
+    order = Window.partitionBy(*labels, "rep", "side").orderBy("index").rowsBetween(Window.unboundedPreceding, 0)
+    fits = F.col("row_no") <= F.col("n")
+    placed = moved.withColumn("place", F.sum(fits.cast("int")).over(order)).where(fits & (F.col("place") <= F.col("most")))
+    return placed.select(*labels, "rep", "side", "place", "row_no")
 
 
 def anova_power(
@@ -201,27 +223,51 @@ def anova_power(
     seed: int = 1234,
     use_log: bool = False,
 ) -> DataFrame:
-    """p-values of repeated two-sample comparisons at every sample size.
+    """p-values of repeated two-sample comparisons at every sample size, with the means of both samples.
 
-    ``experiments`` holds ``experiment``, the keys, ``group_a`` and ``group_b``. Rows are numbered once
-    in their group and fetched by number, so the measurements are not copied per repetition.
+    ``experiments`` holds ``experiment``, the keys, ``group_a`` and ``group_b``; a group compared with itself is a
+    control. Rows are numbered once in their group and fetched by number. A row fetched counts once: sums over the
+    places between two sizes are added up along the sizes.
     """
     columns = [F.col(quoted(k)) for k in [*keys, group]]
+    labels = ["experiment", *keys]
+    measured = F.col(quoted(value)).cast("double")
     rows = no_null_keys(df, [*keys, group, value])
-    counts = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
-    a = counts.select(*[F.col(quoted(k)) for k in keys], F.col(quoted(group)).alias("group_a"), F.col("n").alias("n_a"))
-    b = counts.select(*[F.col(quoted(k)) for k in keys], F.col(quoted(group)).alias("group_b"), F.col("n").alias("n_b"))
+    ordered = [o.alias(f"__order{i}") for i, o in enumerate(order)]
+    rows = rows.select(*columns, *ordered, (logarithm(measured) if use_log else measured).alias("measured"))
+    counts = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"), F.avg("measured").alias("centre"))
+    groups = [F.col(quoted(k)) for k in keys]
+    a = counts.select(*groups, F.col(quoted(group)).alias("group_a"), F.col("n").alias("n_a"), "centre")
+    b = counts.select(*groups, F.col(quoted(group)).alias("group_b"), F.col("n").alias("n_b"))
     sized = experiments.join(a, [*keys, "group_a"]).join(b, [*keys, "group_b"])
-    draws = sampling_design(sized, sizes, reps, seed).withColumn(
-        group, F.when(F.col("side") == "a", F.col("group_a")).otherwise(F.col("group_b"))
-    )
-    numbered = running_total(rows, [*keys, group], order, name="row_no")
-    measured = F.col(quoted(value))
-    picked = draws.join(
-        numbered.select(*columns, "row_no", (logarithm(measured) if use_log else measured).alias("measured")),
-        [*keys, group, "row_no"],
+    draws = sampling_design(sized, labels, sizes, reps, seed).join(sized.select(*labels, "group_a", "group_b", "centre"), labels)
+    draws = draws.withColumn(group, F.when(F.col("side") == "a", F.col("group_a")).otherwise(F.col("group_b")))
+    numbered = running_total(rows, [*keys, group], [F.col(f"__order{i}") for i in range(len(order))], name="row_no")
+    picked = draws.join(numbered.select(*columns, "row_no", "measured"), [*keys, group, "row_no"])
+    # Distances to a group's mean: their squares add up without loss.
+    x, in_a = F.col("measured") - F.col("centre"), F.col("side") == "a"
+    size = F.array_min(F.filter(F.array(*[F.lit(s) for s in sizes]), lambda s: s >= F.col("place")))
+    sums = {"a": F.when(in_a, x), "b": F.when(~in_a, x), "aa": F.when(in_a, x * x), "bb": F.when(~in_a, x * x)}
+    steps = picked.groupBy(*labels, "rep", size.alias("sample_size")).agg(
+        *[F.coalesce(F.sum(c), F.lit(0.0)).alias(name) for name, c in sums.items()], F.first("centre").alias("centre")
     )
-    return anova(picked, ["experiment", *keys, "sample_size", "rep"], "side", "measured")
+    upto = Window.partitionBy(*labels, "rep").orderBy("sample_size").rowsBetween(Window.unboundedPreceding, 0)
+    totals = steps.select(*labels, "rep", "sample_size", "centre", *[F.sum(name).over(upto).alias(name) for name in sums])
+    n, sa, sb = F.col("sample_size"), F.col("a"), F.col("b")
+    within = F.greatest(F.col("aa") - sa * sa / n + F.col("bb") - sb * sb / n, F.lit(0.0))
+    between = (sa - sb) * (sa - sb) / (2 * n)
+    f = F.try_divide(between, F.try_divide(within, 2.0 * n - 2))
+    p = f_tail(F.col("f"), F.col("df_between").cast("double"), F.col("df_within").cast("double"))
+    return totals.select(
+        *labels,
+        "sample_size",
+        "rep",
+        F.lit(1).cast("long").alias("df_between"),
+        (2 * n - 2).cast("long").alias("df_within"),
+        f.alias("f"),
+        (F.col("centre") + sa / n).alias("mean_a"),
+        (F.col("centre") + sb / n).alias("mean_b"),
+    ).withColumn("p_value", F.nanvl(p, F.lit(None).cast("double")))
 
 
 def smallest_detecting_size(p_values: DataFrame, keys: list[str], alpha: float = 0.05) -> DataFrame:
@@ -235,26 +281,71 @@ def smallest_detecting_size(p_values: DataFrame, keys: list[str], alpha: float =
     )
 
 
+PRIME = (1 << 31) - 1
+
+
+def poisson_steps(mean: float = 1.0) -> list[int]:
+    """Numbers in 0 .. ``PRIME`` - 1 above which a uniform number stands for a weight of 1, 2, ... of that mean."""
+    out, mass, total, k = [], exp(-mean), exp(-mean), 0
+    while int(total * PRIME) < PRIME - 1 and mass > 1e-12:
+        out.append(int(total * PRIME))
+        k += 1
+        mass *= mean / k
+        total += mass
+    return out
+
+
+def draw_factors(draws: int, seed: int) -> list[tuple[int, int]]:
+    """Factor and shift of each draw's hash x -> (factor * x + shift) mod ``PRIME``."""
+    digests = [[hashlib.md5(f"{seed}/{d}/{name}".encode()).hexdigest()[:7] for name in "ab"] for d in range(draws)]
+    return [(int(a, 16) + 1, int(b, 16)) for a, b in digests]
+
+
 def bootstrap_band(
-    df: DataFrame, keys: list[str], value: str, draws: int = 1000, confidence: float = 0.9, seed: int = 1234
+    df: DataFrame, keys: list[str], value: str, row: list[str] | None = None, draws: int = 1000, confidence: float = 0.9, seed: int = 1234
 ) -> DataFrame:
-    """Mean with a bootstrap interval per group, for small result sets such as Monte Carlo p-values.
+    """Mean of each group with its bootstrap interval.
 
-    Each draw picks as many row numbers as the group has, with replacement, and averages those rows.
+    Instead of picking rows, each draw weights every row by a Poisson number of mean one, which does not ask how many
+    rows a group has. A weight is a hash of the draw and of the row, told apart by the columns ``row``, or else by its
+    place in the input. Tasks add up
+    weights and weighted values of all draws in arrays of fixed length, a row per group and batch; these are summed
+    per draw. So rows are read once, and neither gathered nor multiplied.
     """
     columns = [F.col(quoted(k)) for k in keys]
-    rows = stored(no_null_keys(df, [*keys, value]).select(*columns, F.col(quoted(value)).alias("__v")), "values")
-    numbered = running_total(rows, keys, [F.col("__v")], name="__row")
-    sizes = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("__n"), F.avg("__v").alias("mean"))
-    spread = keyed_join(numbered, sizes, keys).select(*columns, "__row", "__n")
-    picks = spread.withColumn("__draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    chance = F.pmod(F.xxhash64(*columns, "__row", "__draw", F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    picks = picks.select(*columns, "__draw", (F.floor(chance * F.col("__n")) + 1).alias("__row"))
-    drawn = keyed_join(picks, numbered, [*keys, "__row"])
-    means = stored(drawn.groupBy(*columns, "__draw").agg(F.avg("__v").alias("__mean")), "means")
+    rows = no_null_keys(df, [*keys, value])
+    own = [F.monotonically_increasing_id()] if row is None else [F.col(quoted(c)) for c in row]
+    name = F.concat_ws("/", *columns, *[F.coalesce(c.cast("string"), F.lit("")) for c in own])
+    number = F.conv(F.substring(F.md5(name), 1, 7), 16, 10).cast("long")
+    rows = rows.select(*columns, F.col(quoted(value)).cast("double").alias("__v"), number.alias("__x"))
+    factors, steps = np.array(draw_factors(draws, seed), np.int64), poisson_steps()
+    kept = [f for f in rows.schema.fields if f.name in keys]
+    schema = StructType([*kept, *(StructField(n, ArrayType(DoubleType())) for n in ("__sums", "__weights"))])
+
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for group, part in batch.groupby(keys, sort=False):
+                sums, weights = np.zeros(draws), np.zeros(draws)
+                for at in range(0, len(part), 1024):
+                    x, v = (part[c].to_numpy()[at : at + 1024] for c in ("__x", "__v"))
+                    chance = (x[:, None] * factors[:, 0] + factors[:, 1]) % PRIME
+                    weight = np.searchsorted(steps, chance, "left").astype(np.float64)
+                    sums += v @ weight
+                    weights += weight.sum(axis=0)
+                out.append((*group, sums, weights))
+            yield pd.DataFrame(out, columns=schema.names)
+
+    arrays = rows.mapInPandas(add_up, schema)
+    pairs = F.posexplode(F.arrays_zip("__sums", "__weights"))
+    each = arrays.select(*columns, pairs.alias("__draw", "__pair")).groupBy(*columns, "__draw").agg(
+        F.try_divide(F.sum("__pair.__sums"), F.sum("__pair.__weights")).alias("__mean")
+    )
     edge = (1.0 - confidence) / 2.0
-    bands = group_percentiles(means, keys, "__mean", {"low": edge, "high": 1.0 - edge})
-    return keyed_join(sizes, bands, keys).select(*columns, "mean", "low", "high")
+    # A group has as many means as there are draws: few, whatever its rows.
+    bands = each.groupBy(*columns).agg(F.percentile("__mean", F.array(F.lit(edge), F.lit(1.0 - edge))).alias("__band"))
+    means = rows.groupBy(*columns).agg(F.avg("__v").alias("mean"))
+    return keyed_join(means, bands, keys).select(*columns, "mean", F.col("__band")[0].alias("low"), F.col("__band")[1].alias("high"))
 
 
 def neighbours(df: DataFrame, keys: list[str], level: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import numpy as np
@@ -134,6 +135,71 @@ def test_anova_power(spark):
     assert found == {"twice": 3}
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 10, 97, 100, 101, 1000])
+def test_permutation_moves_each_index_once(spark, size):
+    a = int(np.ceil(np.sqrt(size)))
+    total = a * -(-size // a)
+    seen = []
+    for key in ("x", "y"):
+        rows = spark.range(total).withColumn("n", F.lit(size).cast("long"))
+        seen.append([r["to"] for r in statistics.permuted(rows, "id", "n", [F.lit(key)], "to").orderBy("id").collect()])
+        assert sorted(seen[-1]) == list(range(total))
+    assert size < 10 or seen[0] != seen[1]
+
+
+def test_samples_are_distinct_nested_and_even(spark):
+    groups = spark.createDataFrame([("e", 200, 7), ("f", 50, 60), ("g", 1, 9)], "experiment string, n_a long, n_b long")
+    drawn = statistics.sampling_design(groups, ["experiment"], [2, 5, 40], 300, 9).collect()
+    cells, hits = {}, {}
+    for r in drawn:
+        cells.setdefault((r["experiment"], r["rep"], r["side"]), {})[r["place"]] = r["row_no"]
+        hits[r["experiment"], r["side"], r["row_no"]] = hits.get((r["experiment"], r["side"], r["row_no"]), 0) + 1
+    assert len(cells) == 2 * 300 * 2  # no size fits g
+    for (experiment, _, side), places in cells.items():
+        most, n = (5, {"a": 200, "b": 7}[side]) if experiment == "e" else (40, {"a": 50, "b": 60}[side])
+        assert sorted(places) == list(range(1, most + 1)) and len(set(places.values())) == most
+        assert all(1 <= row <= n for row in places.values())
+    # Each of 7 rows is drawn in 5 of 7 repetitions: 214 of 300, give or take 8.
+    assert all(170 < hits["e", "b", row] < 258 for row in range(1, 8))
+
+
+def test_study_by_brute_force(spark):
+    rng = np.random.default_rng(3)
+    values = {t: (rng.normal(10 + t, 1, 40)).tolist() for t in (0, 1)}
+    df = spark.createDataFrame([(True, f"t{t}", v, i) for t, vs in values.items() for i, v in enumerate(vs)], "excl boolean, tag string, walltime double, id int")
+    experiments = spark.createDataFrame([("change", True, "t0", "t1"), ("control", True, "t0", "t0")], "experiment string, excl boolean, group_a string, group_b string")
+    sizes = [2, 3, 10, 40, 41]
+    got = statistics.anova_power(df, experiments, ["excl"], "tag", "walltime", [F.col("id")], sizes, 5, seed=1).collect()
+    sized = experiments.withColumns({"n_a": F.lit(40).cast("long"), "n_b": F.lit(40).cast("long")})
+    picks = {}
+    for r in statistics.sampling_design(sized, ["experiment", "excl"], sizes, 5, 1).collect():
+        picks.setdefault((r["experiment"], r["rep"], r["side"]), {})[r["place"]] = r["row_no"] - 1
+    assert len(got) == 2 * 5 * 4
+    for r in got:
+        a, b = (
+            np.array([values[t][picks[r["experiment"], r["rep"], side][p]] for p in range(1, r["sample_size"] + 1)])
+            for side, t in (("a", 0), ("b", 1 if r["experiment"] == "change" else 0))
+        )
+        assert (r["mean_a"], r["mean_b"]) == (pytest.approx(a.mean()), pytest.approx(b.mean()))
+        k = r["sample_size"]
+        f = k / 2 * (a.mean() - b.mean()) ** 2 / ((a.var() + b.var()) * k / (2 * k - 2))
+        assert r["f"] == pytest.approx(f, rel=1e-9, abs=1e-12)
+    assert {r["f"] for r in got if r["experiment"] == "control" and r["sample_size"] == 40} != set()
+
+
+def test_bootstrap_weights_by_brute_force(spark):
+    rows = [("k", i, float(i % 7) + 0.5 * i) for i in range(60)] + [("one", 0, 4.0), ("none", 0, None), (None, 1, 1.0)]
+    df = spark.createDataFrame(rows, "k string, id int, v double").repartition(5)
+    got = {r["k"]: (r["mean"], r["low"], r["high"]) for r in statistics.bootstrap_band(df, ["k"], "v", ["id"], draws=300, seed=5).collect()}
+    steps, means = statistics.poisson_steps(), []
+    for a, b in statistics.draw_factors(300, 5):
+        weights = [sum((a * int(hashlib.md5(f"k/{i}".encode()).hexdigest()[:7], 16) + b) % statistics.PRIME > s for s in steps) for i in range(60)]
+        means.append(np.average([v for _, _, v in rows[:60]], weights=weights))
+    assert got["k"] == (pytest.approx(np.mean([v for _, _, v in rows[:60]])), *(pytest.approx(np.quantile(means, q)) for q in (0.05, 0.95)))
+    assert got["one"] == (4.0, 4.0, 4.0) and set(got) == {"k", "one"}
+    assert abs(np.diff([-1, *steps, statistics.PRIME - 1]) / statistics.PRIME @ np.arange(len(steps) + 1) - 1) < 1e-6
+
+
 def test_bootstrap_band_covers_the_mean(spark):
     df = spark.createDataFrame([("k", float(i % 10)) for i in range(100)], "k string, v double")
     r = statistics.bootstrap_band(df, ["k"], "v", draws=200).first()
