@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from runledger.operators.clusters import anchored_clusters
 from runledger.operators.ordering import first_rows, previous_value, running_total
-from runledger.operators.quantiles import group_percentiles
+from runledger.operators import quantiles
+from runledger.operators.quantiles import aggregate_with_percentiles, group_percentiles
 from runledger.sizing import keyed_join
 
 PROBABILITIES = {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p75": 0.75, "p100": 1.0}
@@ -63,6 +64,28 @@ def test_percentiles_of_odd_values_end(spark):
             assert got[k][name] == want or (want != want and got[k][name] != got[k][name])
 
 
+@pytest.mark.parametrize("kind", ["uniform", "ties", "heavy", "narrow"])
+@pytest.mark.parametrize(("sketch", "counted"), [(100, 1 << 22), (100, 60)])
+def test_percentiles_beyond_the_sketch(spark, kind, sketch, counted):
+    """Brackets and counting decide, after one sketch or several."""
+    data = values(kind)
+    hot = [*data["hot"] * 3, float("inf"), float("-inf")]
+    rows = [("hot", v) for v in hot] + [("nan", v) for v in [*data["hot"], *[float("nan")] * 700]] + [("one", 3.5)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    places = {"p0": 0.0, **PROBABILITIES, "p100": 1.0}
+    # Small sketches are less exact than SLACK assumes; a wider one only counts more.
+    wide, quantiles.SLACK = quantiles.SLACK, 0.2
+    try:
+        got = aggregate_with_percentiles(df, ["k"], [F.count("v").alias("n")], "v", places, sketch, counted)
+        got = {r["k"]: r for r in got.collect()}
+    finally:
+        quantiles.SLACK = wide
+    own = df.groupBy("k").agg(*[F.percentile("v", p).alias(name) for name, p in places.items()])
+    for r in own.collect():
+        assert {n: str(got[r["k"]][n]) for n in places} == {n: str(r[n]) for n in places}
+    assert got["hot"]["n"] == len(hot)
+
+
 def test_percentiles_without_groups(spark):
     df = spark.range(101).select(F.col("id").cast("double").alias("v"))
     row = group_percentiles(df, [], "v", {"a": 0.25, "b": 0.5}).first()
