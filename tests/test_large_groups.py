@@ -135,7 +135,8 @@ def brute_clusters(times: list[int], gap: int) -> dict[int, int]:
 
 
 @pytest.mark.parametrize("gap", [1, 37])
-def test_anchored_clusters(spark, gap):
+@pytest.mark.parametrize("stretch", [1 << 22, 100, 1])
+def test_anchored_clusters(spark, gap, stretch):
     state = random.Random(gap)
     data = {
         "dense": list(range(100, 300)),
@@ -143,13 +144,22 @@ def test_anchored_clusters(spark, gap):
         "sparse": [state.randrange(50) * 500 for _ in range(30)],
         "example": [1, 5, 12, 14, 30],
         "single": [77],
+        "early": [-500, -499, -460, -3, 0, 36, 37, 38, 75],
+        None: [5, 50, 900],
     }
-    rows = [(k, t, gap) for k, ts in data.items() for t in ts]
+    rows = [(k, t, gap) for k, ts in data.items() for t in ts] + [("hot", None, gap)]
     df = spark.createDataFrame(rows, "k string, t bigint, gap bigint")
-    got = anchored_clusters(df, ["k"], "t", "gap").collect()
+    got = anchored_clusters(df, ["k"], "t", "gap", stretch=stretch).collect()
     assert len(got) == len(rows)
     for r in got:
-        assert r["cluster"] == brute_clusters(data[r["k"]], gap)[r["t"]], (r, gap)
+        assert r["cluster"] == brute_clusters(data[r["k"]], gap).get(r["t"]), (r, gap)
+
+
+def test_clusters_without_groups(spark):
+    df = spark.range(0, 5_000, 3).select("id", F.lit(10).alias("gap")).repartition(5)
+    got = anchored_clusters(df, [], "id", "gap", stretch=50).collect()
+    assert {r["id"]: r["cluster"] for r in got} == brute_clusters(list(range(0, 5_000, 3)), 10)
+    assert anchored_clusters(df.limit(0), [], "id", "gap").count() == 0
 
 
 def test_first_rows_cuts_groups_before_the_shuffle(spark):
