@@ -9,6 +9,7 @@ from runledger.functions.dates import epoch_seconds, parse_stamp, quarter_day
 from runledger.functions.text import normalise_tag, series_title, template_part
 from runledger.operators import reshape, tree
 from runledger.sizing import spread
+from runledger.sources import reports as report_sources
 from runledger.sources import store, tables
 
 TREE_JSON = """
@@ -168,6 +169,39 @@ def tree_paths(spark, sf_dir):
     return rows.select("run", F.array_join("pos", ".").alias("place"), "path", "parent", "tag")
 
 
+@query(
+    "profiler_report",
+    f"""WITH {TREES_SQL}
+    SELECT run, '2.' || l_linenumber AS version, l_partkey AS task_size, l_linenumber::DOUBLE AS cpus, 'whole-program' AS name,
+      round(l_quantity / l_linenumber, 8) AS duration, round(1.0 / l_linenumber, 8) AS executed, 'main.cc' AS file_path, l_linenumber AS line,
+      CASE WHEN l_tax <> 0 THEN round(l_discount / l_tax, 8) END AS dur_ratio,
+      (SELECT string_agg(parent || '/' || tag, ',' ORDER BY place) FROM nodes n WHERE n.run = lines.run) AS paths,
+      round(l_quantity + l_tax + l_discount + l_extendedprice, 6) AS timed, 0 AS returncode FROM lines""",
+)
+def profiler_report(spark, sf_dir):
+    """Profiles as whole reports, with the status file of their folder."""
+    path = F.concat(F.lit("/runs/"), "run", F.lit("/profile.json"))
+    documents = trees(spark, sf_dir).select("run", path.alias("source_path"), F.col("json").alias("content"))
+    rows = report_sources.collect(documents, "profiler-report")
+    rows = rows.withColumn("result", F.col("result").withField("returncode", F.lit(0)))
+    timed = F.aggregate("timers", F.lit(0.0), lambda total, t: total + t["duration"])
+    return rows.select(
+        "run",
+        "git.version",
+        F.col("problem.task-size").alias("task_size"),
+        "problem.cpus",
+        "result.name",
+        F.round("result.duration", 8).alias("duration"),
+        F.round("result.executed", 8).alias("executed"),
+        F.col("result.file-path").alias("file_path"),
+        F.col("result.file-line").alias("line"),
+        F.round("result.dur-ratio", 8).alias("dur_ratio"),
+        F.array_join("timers.path", ",").alias("paths"),
+        F.round(timed, 6).alias("timed"),
+        "result.returncode",
+    )
+
+
 @query(
     "path_hash",
     f"""WITH {TREES_SQL} SELECT DISTINCT parent || '/' || tag AS path, md5(tag) AS tag_hash, md5(parent || '/' || tag) AS path_hash,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 
@@ -12,6 +14,12 @@ def normalise_tag(tag: Column) -> Column:
     return F.regexp_replace(dashed, "[_-]+", "-")
 
 
+def normalised_tag(tag: str) -> str:
+    """``normalise_tag`` of one text, for code in Python tasks."""
+    words = re.sub("([a-z])([A-Z])", r"\1-\2", tag)
+    return re.sub("[_-]+", "-", words.replace("::", "-").replace(" ", "-").lower())
+
+
 def safe_name(name: Column) -> Column:
     """A name usable as a file name; null gives the empty string."""
     return F.coalesce(F.regexp_replace(name, "[^a-zA-Z0-9_-]+", "-"), F.lit(""))

@@ -1,15 +1,20 @@
 """Profiler trees: JSON documents whose nodes nest under ``children``.
 
-A document is walked level by level in one pass over its rows, without a join. The number of levels is
-measured over the table first.
+A document is walked within its row, without a join or a look at other documents.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from json import dumps, loads
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from runledger.functions.numbers import ratio
-from runledger.functions.text import normalise_tag
+from runledger.functions.text import normalised_tag
 from runledger.sizing import quoted
 
 # Output metric -> profiler field, fixed by the profiler's format.
@@ -45,64 +50,75 @@ def tree_levels(documents: DataFrame, json: str) -> int:
     return shapes.agg(F.max(bracket_depth(F.col("shape")))).first()[0] or 0
 
 
-def tree_rows(df: DataFrame, key: str, json: str, normalise: bool = True) -> DataFrame:
-    """One row per node in preorder: key, ``pos`` (the order), ``path``, ``parent``, ``tag`` and the node.
+NODES = ArrayType(StructType([
+    StructField("pos", ArrayType(IntegerType())), *(StructField(n, StringType()) for n in ("path", "parent", "tag", "node"))
+]))
+
 
-    Paths join the tags, normalised unless asked otherwise. The walk starts at the first root child. Each
-    level adds the children of the nodes found last to the rows, so a document is read and parsed once.
+def with_nodes(df: DataFrame, json: str, name: str = "nodes", normalise: bool = True) -> DataFrame:
+    """Add the nodes of each document's tree in preorder: an array of ``pos``, ``path``, ``parent``, ``tag``, ``node``.
+
+    Paths join the tags, normalised unless asked otherwise; ``node`` is the node's JSON text without its children.
+    The walk starts at the first root child. Text that is no JSON, or nests deeper than a parser goes, has no nodes
+    (null). Expressions can walk a tree of unknown depth only by copying it level by level, which took many times as
+    long; so documents are walked in Arrow batches.
     """
-    levels = tree_levels(df, json)
-
-    def tag_of(node: str) -> Column:
-        tag = F.expr(f"try_variant_get({node}, '$.tag', 'string')")
-        return normalise_tag(tag) if normalise else tag
-
-    # Exploding drops documents without a root; a filter would be pushed down and parse them twice.
-    roots = f"slice(try_variant_get(try_parse_json(`{json}`), '$.children', 'array<variant>'), 1, 1)"
-    rows = (
-        df.select(F.col(quoted(key)), F.explode(F.expr(roots)).alias("node"))
-        .select("*", tag_of("node").alias("tag"))
-        .select(
-            quoted(key),
-            F.array(F.lit(0)).alias("pos"),
-            F.concat(F.lit("/"), "tag").alias("path"),
-            F.lit("").alias("parent"),
-            "tag",
-            "node",
-        )
-    )
-    # A row yields itself (a null child in place 0) and, if it is of the last level, its children.
-    itself = "array(cast(null as variant))"
-    children = f"concat({itself}, coalesce(try_variant_get(node, '$.children', 'array<variant>'), array()))"
-    for level in range(1, levels):
-        grown = rows.select(
-            "*", F.posexplode(F.expr(f"if(size(pos) = {level}, {children}, {itself})")).alias("place", "child")
-        )
-        grown = grown.select("*", F.when(F.col("place") > 0, tag_of("child")).alias("child_tag"))
-        new = F.col("place") > 0
-        rows = grown.select(
-            quoted(key),
-            F.when(new, F.concat("pos", F.array(F.col("place") - 1))).otherwise(F.col("pos")).alias("pos"),
-            F.when(new, F.concat("path", F.lit("/"), "child_tag")).otherwise(F.col("path")).alias("path"),
-            F.when(new, F.col("path")).otherwise(F.col("parent")).alias("parent"),
-            F.when(new, F.col("child_tag")).otherwise(F.col("tag")).alias("tag"),
-            F.when(new, F.col("child")).otherwise(F.col("node")).alias("node"),
-        )
-    return rows
-
-
-def node_metrics(node: str = "node", processes: Column | None = None) -> list[Column]:
+    carried = [F.col(quoted(c)) for c in df.columns]
+    schema = StructType([*df.schema.fields, StructField(name, NODES)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tags: dict = {}
+        kind = to_arrow_type(NODES)
+        for batch in batches:
+            found = [_walk(text, tags, normalise) for text in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, kind)], names=schema.names)
+
+    return df.select(*carried, F.col(quoted(json)).cast("string").alias("__json")).mapInArrow(run, schema)
+
+
+def _walk(text: str | None, tags: dict, normalise: bool) -> list[dict] | None:
+    """The nodes of one document; ``tags`` remembers normalised tags, which programs repeat."""
+    try:
+        children = loads(text).get("children") if text else None
+    except (ValueError, AttributeError, RecursionError):
+        return None
+    out, open_ = [], [([0], "", children[0])] if isinstance(children, list) and children else []
+    while open_:
+        pos, above, node = open_.pop()
+        fields = node if isinstance(node, dict) else {}
+        tag = fields.get("tag")
+        tag = tag if tag is None or isinstance(tag, str) else dumps(tag)
+        if normalise and tag is not None:
+            if tag not in tags:
+                tags[tag] = normalised_tag(tag)
+            tag = tags[tag]
+        path = None if tag is None or above is None else f"{above}/{tag}"
+        out.append({"pos": pos, "path": path, "parent": above, "tag": tag, "node": dumps({k: v for k, v in fields.items() if k != "children"})})
+        inner = fields.get("children")
+        if isinstance(inner, list):
+            open_ += [([*pos, i], path, inner[i]) for i in range(len(inner) - 1, -1, -1)]
+    return out
+
+
+def tree_rows(df: DataFrame, key: str, json: str, normalise: bool = True) -> DataFrame:
+    """One row per node: key, ``pos`` (sorts them in preorder), ``path``, ``parent``, ``tag`` and the node, see ``with_nodes``."""
+    nodes = with_nodes(df.select(quoted(key), quoted(json)), json, "__nodes", normalise)
+    rows = nodes.select(quoted(key), F.explode("__nodes").alias("__node")).select(quoted(key), "__node.*")
+    return rows.withColumn("node", F.try_parse_json("node"))
+
+
+def node_metrics(node: str | Column = "node", processes: Column | None = None) -> list[Column]:
     """Metrics of a profiler node, divided by a process count where one is given."""
     share = F.lit(1.0) if processes is None else processes.cast("double")
+    node = F.col(node) if isinstance(node, str) else node
 
-    def number(field: str) -> Column:
-        return F.expr(f"try_variant_get({node}, '$.{field}', 'string')").try_cast("double")
+    def field(name: str) -> Column:
+        return F.try_variant_get(node, f"$.{name}", "string")
 
-    metrics = [ratio(number(source), share).alias(name) for name, source in METRICS.items()]
-    texts = [F.expr(f"try_variant_get({node}, '$.{f}', 'string')").alias(f) for f in ("file-path", "function")]
-    line = F.expr(f"try_variant_get({node}, '$.file-line', 'string')").try_cast("int").alias("file-line")
-    spread = ratio(number("cumul-time-min"), number("cumul-time-max")).alias("dur-ratio")
-    return [*metrics, *texts, line, spread]
+    metrics = [ratio(field(source).try_cast("double"), share).alias(name) for name, source in METRICS.items()]
+    texts = [field(f).alias(f) for f in ("file-path", "function")]
+    spread = ratio(field("cumul-time-min").try_cast("double"), field("cumul-time-max").try_cast("double")).alias("dur-ratio")
+    return [*metrics, *texts, field("file-line").try_cast("int").alias("file-line"), spread]
 
 
 def path_digests(rows: DataFrame) -> DataFrame:

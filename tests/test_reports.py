@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from runledger.functions import dates, numbers, text
 from runledger.operators import filters, reshape, tree
+from runledger.sources import reports
 
 
 def one(spark, column):
@@ -171,6 +172,40 @@ def test_tree_preorder(spark):
     assert {r["k"] for r in walked} == {"d", "leaf"}
 
 
+@pytest.mark.parametrize("tag", ["MyTag::solve_Linear x", "aB__c--D", "ÄbC::", "", "A B [x]"])
+def test_tag_in_python_tasks(spark, tag):
+    assert one(spark, text.normalise_tag(F.lit(tag))) == text.normalised_tag(tag)
+
+
+def test_deep_and_wide_trees(spark):
+    deep = ("n0", [])
+    for i in range(1, 120):
+        deep = (f"n{i}", [deep])
+    wide = ("root", [(f"w{i}", [("leaf", [])]) for i in range(300)])
+    df = spark.createDataFrame([("deep", document(deep)), ("wide", document(wide))], "k string, json string")
+    rows = tree.tree_rows(df, "k", "json").drop("node").orderBy("k", "pos").collect()
+    deep_rows, wide_rows = ([r for r in rows if r["k"] == k] for k in ("deep", "wide"))
+    assert [len(r["pos"]) for r in deep_rows] == list(range(1, 121)) and deep_rows[-1]["path"].endswith("/n1/n0")
+    assert [r["path"] for r in wide_rows[1:5]] == ["/root/w0", "/root/w0/leaf", "/root/w1", "/root/w1/leaf"] and len(wide_rows) == 601
+
+
+def test_profiler_reports(spark):
+    texts = [("p", document(("Root", [("A b", [("C", [])]), ("D", [])]))), ("none", "{}"), ("bad", "{x"), ("null", None), ("list", "[1]")]
+    df = spark.createDataFrame(texts, "source_path string, content string").withColumn("source_path", F.concat(F.lit("/r/"), "source_path", F.lit("/x.json")))
+    got = {r["source_path"]: r for r in reports.collect(df, "profiler-report").collect()}
+    assert set(got) == {"/r/p/x.json", "/r/none/x.json"}
+    p, none = got["/r/p/x.json"], got["/r/none/x.json"]
+    assert (p["git"]["version"], p["problem"]["task-size"], p["problem"]["cpus"]) == ("2.0", 5, 2.0)
+    assert (p["result"]["name"], p["result"]["duration"], p["result"]["mem-alloc"], p["result"]["dur-ratio"]) == ("root", 4.0, 50.0, 0.5)
+    assert [(t["path"], t["duration"]) for t in p["timers"]] == [("/root", 8.0), ("/root/a-b", 8.0), ("/root/a-b/c", 8.0), ("/root/d", 8.0)]
+    assert none["result"] is None and not none["timers"]
+    side = spark.createDataFrame([("/r/p", 3, 9.5, "t1", None)], "run_dir string, returncode int, duration double, `test-name` string, `case-name` string")
+    joined = {r["source_path"]: r for r in reports.with_sidecar(reports.collect(df, "profiler-report"), side, own_first=True).collect()}
+    assert joined["/r/p/x.json"]["result"]["returncode"] == 3 and joined["/r/p/x.json"]["problem"]["test-name"] == "t1"
+    # The root's own duration stands before that of the status file.
+    assert joined["/r/p/x.json"]["result"]["duration"] == 4.0 and joined["/r/none/x.json"]["result"] is not None
+
+
 def test_node_metrics(spark):
     df = spark.createDataFrame([("d", document(("Root", [])))], "k string, json string")
     row = tree.tree_rows(df, "k", "json").select(*tree.node_metrics("node", F.lit(2))).first()
