@@ -165,7 +165,7 @@ def normalise(spark, sf_dir):
     f"""WITH {TREES_SQL} SELECT run, place, parent || '/' || tag AS path, parent, tag FROM nodes""",
 )
 def tree_paths(spark, sf_dir):
-    rows = tree.tree_rows(trees(spark, sf_dir), "run", "json")
+    rows = tree.tree_rows(trees(spark, sf_dir), "run", "json", node=False)
     return rows.select("run", F.array_join("pos", ".").alias("place"), "path", "parent", "tag")
 
 
@@ -208,7 +208,7 @@ def profiler_report(spark, sf_dir):
        md5(parent) AS parent_hash FROM nodes""",
 )
 def path_hash(spark, sf_dir):
-    rows = tree.path_digests(tree.tree_rows(trees(spark, sf_dir), "run", "json").select("path", "parent", "tag"))
+    rows = tree.path_digests(tree.tree_rows(trees(spark, sf_dir), "run", "json", node=False).select("path", "parent", "tag"))
     return rows.select("path", "tag_hash", "path_hash", "parent_hash").distinct()
 
 

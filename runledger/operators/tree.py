@@ -70,14 +70,15 @@ def with_nodes(df: DataFrame, json: str, name: str = "nodes", normalise: bool =
         tags: dict = {}
         kind = to_arrow_type(NODES)
         for batch in batches:
-            found = [_walk(text, tags, normalise) for text in batch.column(batch.num_columns - 1).to_pylist()]
+            walked = (_walk(text, tags, normalise) for text in batch.column(batch.num_columns - 1).to_pylist())
+            found = [rows if rows is None else [dict(zip(NODES.elementType.names, r, strict=True)) for r in rows] for rows in walked]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, kind)], names=schema.names)
 
     return df.select(*carried, F.col(quoted(json)).cast("string").alias("__json")).mapInArrow(run, schema)
 
 
-def _walk(text: str | None, tags: dict, normalise: bool) -> list[dict] | None:
-    """The nodes of one document; ``tags`` remembers normalised tags, which programs repeat."""
+def _walk(text: str | None, tags: dict, normalise: bool, whole: bool = True) -> list[tuple] | None:
+    """The nodes of one document, as text too if ``whole``; ``tags`` remembers normalised tags, which programs repeat."""
     try:
         children = loads(text).get("children") if text else None
     except (ValueError, AttributeError, RecursionError):
@@ -93,18 +94,34 @@ def _walk(text: str | None, tags: dict, normalise: bool) -> list[dict] | None:
                 tags[tag] = normalised_tag(tag)
             tag = tags[tag]
         path = None if tag is None or above is None else f"{above}/{tag}"
-        out.append({"pos": pos, "path": path, "parent": above, "tag": tag, "node": dumps({k: v for k, v in fields.items() if k != "children"})})
+        own = dumps({k: v for k, v in fields.items() if k != "children"}) if whole else None
+        out.append((pos, path, above, tag, own))
         inner = fields.get("children")
         if isinstance(inner, list):
             open_ += [([*pos, i], path, inner[i]) for i in range(len(inner) - 1, -1, -1)]
     return out
 
 
-def tree_rows(df: DataFrame, key: str, json: str, normalise: bool = True) -> DataFrame:
-    """One row per node: key, ``pos`` (sorts them in preorder), ``path``, ``parent``, ``tag`` and the node, see ``with_nodes``."""
-    nodes = with_nodes(df.select(quoted(key), quoted(json)), json, "__nodes", normalise)
-    rows = nodes.select(quoted(key), F.explode("__nodes").alias("__node")).select(quoted(key), "__node.*")
-    return rows.withColumn("node", F.try_parse_json("node"))
+def tree_rows(df: DataFrame, key: str, json: str, normalise: bool = True, node: bool = True) -> DataFrame:
+    """One row per node: key, ``pos`` (sorts them in preorder), ``path``, ``parent``, ``tag`` and, unless ``node`` is
+    false, the node without its children; see ``with_nodes``."""
+    source = df.select(quoted(key), F.col(quoted(json)).cast("string").alias("__json"))
+    names = ["pos", "path", "parent", "tag", *(["node"] if node else [])]
+    schema = StructType([source.schema[0], *(NODES.elementType[n] for n in names)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tags: dict = {}
+        for batch in batches:
+            owners, rows = [], []
+            for at, text in enumerate(batch.column(1).to_pylist()):
+                found = _walk(text, tags, normalise, node) or []
+                rows += found
+                owners += [at] * len(found)
+            columns = [pa.array([r[i] for r in rows], to_arrow_type(f.dataType)) for i, f in enumerate(schema.fields[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owners, pa.int32())), *columns], names=schema.names)
+
+    rows = source.mapInArrow(run, schema)
+    return rows.withColumn("node", F.try_parse_json("node")) if node else rows
 
 
 def node_metrics(node: str | Column = "node", processes: Column | None = None) -> list[Column]:
