@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from runledger.catalog.registry import REPORTS, query
 from runledger.functions import dates, text
+from runledger.functions.documents import canonical_json, merge_nested, recursive_get
 from runledger.functions.numbers import round_even
 from runledger.operators.reshape import merge_maps
 from runledger.sources import tables
@@ -152,10 +153,67 @@ def default_if_null(spark, sf_dir):
 )
 def json_output(spark, sf_dir):
     """Sorted keys and long dates, as the result encoder writes them."""
-    fields = F.struct(
-        dates.long_format(F.col("ts")).alias("at"), (F.col("user_id") % 4 + 1).alias("cpu"), F.col("event_type").alias("test")
+    fields = F.struct(F.col("event_type").alias("test"), (F.col("user_id") % 4 + 1).alias("cpu"), F.col("ts").alias("at"))
+    rows = tables.table(spark, sf_dir, "events").select(F.col("event_id").alias("_id"), fields.alias("value"))
+    return rows.select("_id", canonical_json(F.col("value"), rows.schema["value"].dataType).alias("json"))
+
+
+@query(
+    "json_nested",
+    """SELECT event_id AS _id, '{"a":{"list":[' || (user_id % 4) || '.5,' || (user_id % 4) || '.12,null],"none":null},"b":{"' || event_type
+      || '":{"x":null,"y":' || (user_id % 3) || '}},"when":["' || strftime(ts, '%Y/%m/%d-%H:%M:%S') || '"]}' AS json FROM events""",
+)
+def json_nested(spark, sf_dir):
+    """Keys sorted at all levels, nulls kept, numbers of lists with two digits."""
+    whole = (F.col("user_id") % 4).cast("double")
+    value = F.struct(
+        F.array("ts").alias("when"),
+        F.create_map(F.col("event_type"), F.struct((F.col("user_id") % 3).alias("y"), F.lit(None).cast("int").alias("x"))).alias("b"),
+        F.struct(F.lit(None).cast("string").alias("none"), F.array(whole + 0.5, whole + 0.1225, F.lit(None)).alias("list")).alias("a"),
+    )
+    rows = tables.table(spark, sf_dir, "events").select(F.col("event_id").alias("_id"), value.alias("value"))
+    return rows.select("_id", canonical_json(F.col("value"), rows.schema["value"].dataType).alias("json"))
+
+
+@query(
+    "nested_merge",
+    f"""WITH {REPORTS} SELECT id AS _id, '{{"git":{{"branch":"' || branch || '","tag":"new"}},"map":{{"a":"' || test || '","b":"2","c":"3"}},"problem":{{"cpu":'
+      || (cpu + 1) || ',"mesh":null,"test":"' || test || '"}},"result":' || CASE WHEN returncode = 1 THEN '1' ELSE '2' END || '}}' AS json FROM reports""",
+)
+def nested_merge(spark, sf_dir):
+    """Structs within structs and maps are merged; a null that is there stands before a value."""
+    failed = F.col("result.returncode") == 1
+    left = F.struct(
+        F.struct(F.col("problem.test-name").alias("test"), F.col("problem.cpu").alias("cpu"), F.col("problem.mesh").alias("mesh")).alias("problem"),
+        F.struct(F.col("git.branch").alias("branch")).alias("git"),
+        F.create_map(F.lit("a"), F.col("problem.test-name"), F.lit("b"), F.lit("1")).alias("map"),
+        F.lit(1).alias("result"),
     )
-    return tables.table(spark, sf_dir, "events").select(F.col("event_id").alias("_id"), F.to_json(fields).alias("json"))
+    right = F.struct(
+        F.struct((F.col("problem.cpu") + 1).alias("cpu"), F.lit(None).cast("string").alias("mesh")).alias("problem"),
+        F.struct(F.lit("new").alias("tag")).alias("git"),
+        F.create_map(F.lit("b"), F.lit("2"), F.lit("c"), F.lit("3")).alias("map"),
+        F.when(failed, 1).otherwise(2).alias("result"),
+    )
+    rows = tables.reports(spark, sf_dir).select("_id", left.alias("l"), right.alias("r"))
+    merged = merge_nested(F.col("l"), rows.schema["l"].dataType, F.col("r"), rows.schema["r"].dataType)
+    rows = rows.select("_id", merged.alias("m"))
+    return rows.select("_id", canonical_json(F.col("m"), rows.schema["m"].dataType).alias("json"))
+
+
+@query(
+    "recursive_get",
+    f"""WITH {REPORTS} SELECT id AS _id, cpu, CASE WHEN returncode = 1 THEN 'none' ELSE CASE WHEN cpu = 1 THEN 'null' ELSE test END END AS name FROM reports""",
+)
+def variant_lookup(spark, sf_dir):
+    """The default stands for a missing member, not for one that is null."""
+    failed, single = F.col("result.returncode") == 1, F.col("problem.cpu") == 1
+    name = F.when(failed, "").when(single, ', "name": null').otherwise(F.concat(F.lit(', "name": "'), F.col("problem.test-name"), F.lit('"')))
+    text = F.concat(F.lit('{"problem": {"cpu": '), F.col("problem.cpu"), name, F.lit("}}"))
+    rows = tables.reports(spark, sf_dir).select("_id", F.parse_json(text).alias("document"))
+    found = recursive_get(F.col("document"), "problem.name", F.parse_json(F.lit('"none"')))
+    shown = F.when(F.is_variant_null(found), "null").otherwise(F.try_variant_get(found, "$", "string"))
+    return rows.select("_id", F.try_variant_get(recursive_get(F.col("document"), "problem/cpu", sep="/"), "$", "int").alias("cpu"), shown.alias("name"))
 
 
 @query(

@@ -80,13 +80,17 @@ def welch_baseline(spark, sf_dir):
     return rounded(rows.withColumns({"t": F.round("t", 6), "dof": F.round("dof", 4)}))
 
 
-KRUSKAL_SQL = f"""WITH {REPORTS}, r AS (SELECT test, branch, duration, rank() OVER w + (count(*) OVER (PARTITION BY test, duration) - 1) / 2.0::DOUBLE AS r,
-      count(*) OVER (PARTITION BY test) AS n FROM reports WINDOW w AS (PARTITION BY test ORDER BY duration)),
-    s AS (SELECT test, branch, any_value(n)::DOUBLE AS n, count(*) AS ni, sum(r) AS ri FROM r GROUP BY ALL),
-    t AS (SELECT test, sum(c ** 3 - c) AS tied FROM (SELECT test, duration, count(*)::DOUBLE AS c FROM reports GROUP BY ALL) GROUP BY 1)
-    SELECT test, count(*) - 1 AS dof, any_value(n)::BIGINT AS n,
+def kruskal_sql(keys):
+    return f"""WITH {REPORTS}, r AS (SELECT {keys}, branch, duration, rank() OVER w + (count(*) OVER (PARTITION BY {keys}, duration) - 1) / 2.0::DOUBLE AS r,
+      count(*) OVER (PARTITION BY {keys}) AS n FROM reports WINDOW w AS (PARTITION BY {keys} ORDER BY duration)),
+    s AS (SELECT {keys}, branch, any_value(n)::DOUBLE AS n, count(*) AS ni, sum(r) AS ri FROM r GROUP BY ALL),
+    t AS (SELECT {keys}, sum(c ** 3 - c) AS tied FROM (SELECT {keys}, duration, count(*)::DOUBLE AS c FROM reports GROUP BY ALL) GROUP BY ALL)
+    SELECT {keys}, count(*) - 1 AS dof, any_value(n)::BIGINT AS n,
       round((12 / (any_value(n) * (any_value(n) + 1)) * sum(ri * ri / ni) - 3 * (any_value(n) + 1)) / (1 - any_value(tied) / (any_value(n) ** 3 - any_value(n))), 6) AS h
-    FROM s JOIN t USING (test) GROUP BY test"""
+    FROM s JOIN t USING ({keys}) GROUP BY ALL"""
+
+
+KRUSKAL_SQL = kruskal_sql("test")
 
 
 @query("kruskal", KRUSKAL_SQL)
@@ -94,6 +98,20 @@ def kruskal(spark, sf_dir):
     return rounded(statistics.kruskal(flat(spark, sf_dir), ["test"], "branch", "duration"), digits=6)
 
 
+@query(
+    "kruskal_decision",
+    f"""WITH h AS ({kruskal_sql("test, cpu")}),
+    p AS (SELECT *, exp(-h / 2) AS p_value FROM h),
+    r AS (SELECT *, row_number() OVER (ORDER BY p_value, test, cpu) AS place, count(*) OVER () AS tests FROM p),
+    f AS (SELECT min(place) AS failed FROM r WHERE p_value > 0.05 / (tests - place + 1))
+    SELECT test, cpu, dof, n, h, round(p_value, 5) AS p_value, coalesce(place < failed, true) AS reject FROM r, f""",
+)
+def kruskal_decision(spark, sf_dir):
+    """Branches within each test and CPU count: two degrees of freedom, whose tail is an exponential."""
+    rows = rounded(statistics.kruskal_decision(flat(spark, sf_dir), ["test", "cpu"], "branch", "duration"), "p_value", digits=6)
+    return rows.withColumn("p_value", F.round("p_value", 5))
+
+
 @query("kruskal_spread", KRUSKAL_SQL)
 def kruskal_spread(spark, sf_dir):
     """Kept under its earlier name: there is one plan for every size now."""

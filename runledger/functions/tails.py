@@ -125,6 +125,48 @@ def normal_quantile(p: float) -> float:
     return z
 
 
+def gamma_upper(a, x) -> np.ndarray:
+    """Regularised upper incomplete gamma function Q(a, x): by its series below a + 1, else by its continued fraction."""
+    a, x = (np.asarray(v, dtype=float) for v in np.broadcast_arrays(a, x))
+    result = np.where(x > 0, 0.0, 1.0)
+    inside = (x > 0) & np.isfinite(x)
+    series = inside & (x < a + 1)
+    if series.any():
+        p, y = a[series], x[series]
+        term, at = 1.0 / p, p.copy()
+        total = term.copy()
+        while np.any(term > 1e-17 * total):
+            at += 1.0
+            term = term * y / at
+            total += term
+        result[series] = 1.0 - total * np.exp(p * np.log(y) - y - _log_gamma(p))
+    rest = inside & ~series
+    if rest.any():
+        p, y = a[rest], x[rest]
+        b, c = y + 1.0 - p, np.full_like(y, 1e300)
+        d = 1.0 / b
+        h, step, i = d.copy(), np.zeros_like(y), 0
+        while np.any(np.abs(step - 1.0) > 1e-15):
+            i += 1
+            b = b + 2.0
+            d = 1.0 / (-i * (i - p) * d + b)
+            c = b - i * (i - p) / c
+            step = c * d
+            h = h * step
+        result[rest] = h * np.exp(p * np.log(y) - y - _log_gamma(p))
+    return result
+
+
+@F.pandas_udf(DoubleType())
+def chi2_tail(x: pd.Series, df: pd.Series) -> pd.Series:
+    """p-value of a chi-square statistic; NaN where the statistic or the degrees of freedom are not usable."""
+    statistic, dof = x.to_numpy(float, na_value=np.nan), df.to_numpy(float, na_value=np.nan)
+    usable = (statistic >= 0) & (dof > 0)
+    result = np.full(len(statistic), np.nan)
+    result[usable] = gamma_upper(dof[usable] / 2.0, statistic[usable] / 2.0)
+    return pd.Series(result)
+
+
 @F.pandas_udf(DoubleType())
 def f_tail(f: pd.Series, dfn: pd.Series, dfd: pd.Series) -> pd.Series:
     """p-value of an F statistic."""

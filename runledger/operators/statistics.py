@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from runledger.functions.numbers import logarithm
-from runledger.functions.tails import f_tail, t_tail
+from runledger.functions.tails import chi2_tail, f_tail, t_tail
 from runledger.operators.aggregates import no_null_keys
 from runledger.operators.ordering import previous_value, running_total
 from runledger.operators.quantiles import group_percentiles
@@ -162,6 +162,25 @@ def _hashed(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("/", *[p.cast("string") for p in parts])), 1, 15), 16, 10).cast("long")
 
 
+def kruskal_decision(df: DataFrame, tests: list[str], group: str, value: str, alpha: float = 0.05) -> DataFrame:
+    """The Kruskal–Wallis statistic of each test with its ``p_value``, and ``reject``: whether its levels differ.
+
+    All tests together err with a probability of at most ``alpha``: from the smallest p-value on, each is held against
+    ``alpha`` over the number of tests left, until one fails. A test whose values are all equal, or that has one
+    level, has neither a statistic nor a p-value and is not rejected.
+    """
+    rows = kruskal(df, tests, group, value)
+    p = F.nanvl(chi2_tail(F.col("h"), F.col("dof").cast("double")), F.lit(None).cast("double"))
+    # One row per test: the order over all of them is one over results, not over measurements.
+    scored = stored(rows.withColumn("p_value", p), "kruskal")
+    tested = scored.where("p_value is not null").select(*[F.col(quoted(k)) for k in tests], "p_value")
+    ranked = running_total(tested, [], [F.col("p_value"), *[F.col(quoted(k)) for k in tests]], name="__at")
+    fails = F.col("p_value") > F.lit(alpha) / (F.lit(tested.count()) - F.col("__at") + 1)
+    failed = ranked.where(fails).agg(F.min("__at")).first()[0]
+    decided = ranked.select(*[F.col(quoted(k)) for k in tests], (F.lit(True) if failed is None else F.col("__at") < failed).alias("reject"))
+    return keyed_join(scored, decided, tests, "left").withColumn("reject", F.coalesce("reject", F.lit(False)))
+
+
 def permuted(df: DataFrame, index: str, size: str, key: list[Column], name: str, rounds: int = 4) -> DataFrame:
     """A keyed permutation: the column ``name`` is the place in 0 .. a * b - 1 that an index of that range moves to.
 

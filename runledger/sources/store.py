@@ -162,17 +162,30 @@ def find_one(reports: DataFrame, condition: Column | None = None) -> DataFrame:
     return find(reports, condition).limit(1)
 
 
+def version(spark: SparkSession, names: TableNames, root: str) -> str:
+    """What a project's tables hold, in a word: it changes with each finished save."""
+    done = _read(spark, names.path(root, COMMITS))
+    if done is None:
+        return "0"
+    count, mixed = done.select("batch").distinct().agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("batch"))).first()
+    return f"{count}-{mixed}"
+
+
 class ResultStore:
-    """View results kept as tables under a shared folder, keyed by project and options."""
+    """View results kept as tables under a shared folder, keyed by project, options and the version of the reports."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def get(self, project: str, options: dict, build: Callable[[], DataFrame]) -> DataFrame:
-        """The stored result, or the built one after storing it."""
-        text = json.dumps([project, options], sort_keys=True, default=str)
+    def get(self, project: str, options: dict, build: Callable[[], DataFrame], version: str = "") -> DataFrame:
+        """The stored result, or the built one after storing it.
+
+        Give the ``version`` of the tables that the result is built from: a result of another version is not taken,
+        so a view is fresh after each save. A result whose writing broke off is written anew.
+        """
+        text = json.dumps([project, options, version], sort_keys=True, default=str)
         path = f"{self.root}/{hashlib.sha256(text.encode()).hexdigest()}"
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-        if not hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop):
-            build().write.mode("overwrite").parquet(path)
-        return self.spark.read.parquet(path)
+        if _read(self.spark, f"{path}/done") is None:
+            build().write.mode("overwrite").parquet(f"{path}/rows")
+            self.spark.range(0, 1, 1, 1).write.mode("overwrite").parquet(f"{path}/done")
+        return self.spark.read.parquet(f"{path}/rows")

@@ -237,6 +237,18 @@ def test_result_store_builds_once(spark, tmp_path):
     assert len(built) == 2
 
 
+def test_result_store_is_fresh_after_a_save(spark, tmp_path):
+    names, root, results = store.TableNames.of("p"), str(tmp_path / "db"), store.ResultStore(spark, str(tmp_path / "views"))
+    count = lambda: results.get("p", {}, lambda: store.saved_reports(spark, names, root).groupBy().count(), store.version(spark, names, root)).first()[0]
+    assert store.version(spark, names, root) == "0"
+    seen = []
+    for name in ("one", "two", "two"):
+        write(tmp_path / "in" / f"{name}.json", REPORT)
+        store.save(reports.read_json_reports(spark, str(tmp_path / "in")), None, names, root, name)
+        seen += [count(), count()]
+    assert seen == [1, 1, 2, 2, 2, 2]
+
+
 def test_commit_log_lines(spark):
     lines = ["h1|h|Ann|a@b.c|2 days ago|1524398435|HEAD -> master, origin/master|fix a | b", "broken"]
     rows = commits.parse_log_lines(spark.createDataFrame([(x,) for x in lines], "value string")).collect()

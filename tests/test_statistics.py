@@ -217,6 +217,41 @@ def test_kruskal_brute_force(spark):
     assert statistics.kruskal(df, [], "g", "v").first()["h"] == pytest.approx(h)
 
 
+@pytest.mark.parametrize("dof", [1, 2, 3, 7, 40, 301])
+def test_chi_square_tail(dof):
+    x = np.array([0.0, 1e-6, 0.3, dof / 2, dof, dof * 1.5, dof * 2.0 + 30])
+    got = tails.gamma_upper(np.full(len(x), dof / 2), x / 2)
+    for value, q in zip(x, got, strict=True):
+        y = value / 2
+        if dof % 2 == 0:
+            want = sum(math.exp(i * math.log(y) - y - math.lgamma(i + 1)) if y else float(i == 0) for i in range(dof // 2))
+        else:
+            want = math.erfc(math.sqrt(y)) + sum(
+                math.exp((i + 0.5) * math.log(y) - y - math.lgamma(i + 1.5)) if y else 0.0 for i in range(dof // 2)
+            )
+        assert q == pytest.approx(want, rel=1e-10, abs=1e-14)
+
+
+def test_kruskal_decision_steps_down(spark):
+    rng, rows = np.random.default_rng(8), []
+    shifts = {"far": 3.0, "near": 0.9, "same": 0.0, "other": 0.0}
+    for name, shift in shifts.items():
+        rows += [(name, level, float(v)) for level in (0, 1) for v in rng.normal(shift * level, 1, 25)]
+    rows += [("flat", level, 1.0) for level in (0, 1)] + [("single", 0, float(v)) for v in range(5)]
+    df = spark.createDataFrame(rows, "test string, level int, v double").repartition(4)
+    got = {r["test"]: r for r in statistics.kruskal_decision(df, ["test"], "level", "v", alpha=0.05).collect()}
+    p = sorted((r["p_value"], t) for t, r in got.items() if r["p_value"] is not None)
+    assert [t for _, t in p[:1]] == ["far"] and got["flat"]["p_value"] is None and got["single"]["p_value"] is None
+    rejected = set()
+    for left, (value, t) in zip(range(len(p), 0, -1), p, strict=True):
+        if value > 0.05 / left:
+            break
+        rejected.add(t)
+    assert {t for t, r in got.items() if r["reject"]} == rejected and "far" in rejected and "same" not in rejected
+    for value, t in p:
+        assert value == pytest.approx(math.erfc(math.sqrt(got[t]["h"] / 2)), rel=1e-9)
+
+
 def test_histogram_last_bin_and_flat_group(spark):
     rows = [("r", float(v)) for v in range(12)] + [("flat", 2.0)] * 3
     got = {(r["k"], r["bin"]): r["items"] for r in aggregates.histogram(spark.createDataFrame(rows, "k string, v double"), ["k"], "v").collect()}
