@@ -20,6 +20,11 @@ def normalised_tag(tag: str) -> str:
     return re.sub("[_-]+", "-", words.replace("::", "-").replace(" ", "-").lower())
 
 
+def code_point(number: Column) -> Column:
+    """The character of a number below 55,296; ``chr`` of SQL starts again at 256."""
+    return F.decode(F.unhex(F.lpad(F.hex(number.cast("long")), 8, "0")), "UTF-32")
+
+
 def safe_name(name: Column) -> Column:
     """A name usable as a file name; null gives the empty string."""
     return F.coalesce(F.regexp_replace(name, "[^a-zA-Z0-9_-]+", "-"), F.lit(""))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from runledger.functions.dates import human_interval
 from runledger.functions.tails import t_critical
+from runledger.functions.text import code_point
 from runledger.operators.ordering import running_total
 from runledger.operators.quantiles import aggregate_with_percentiles, group_percentiles
 from runledger.sizing import keyed_join, quoted
@@ -221,7 +222,7 @@ def squeeze(df: DataFrame, series: list[str], x: str, n: int) -> DataFrame:
         F.min("__x").alias("first_x"), F.max("__x").alias("last_x"), F.count(F.lit(1)).alias("items")
     )
     first, last, items = F.col("first_x"), F.col("last_x"), F.col("items")
-    letter = F.chr(F.lit(65) + F.col("squeeze_no"))
+    letter = code_point(F.lit(65) + F.col("squeeze_no") % 55_000)
     if dict(df.dtypes)[x].startswith("timestamp"):
         one = F.format_string("group %s (1 item, %s)", letter, F.date_format(first, "yyyy-MM-dd HH:mm:ss"))
         many = F.format_string("group %s (%d items, period of %s)", letter, items, human_interval(first, last))

@@ -137,13 +137,16 @@ def chart_series(points: DataFrame, options: ChartOptions) -> DataFrame:
     )
 
 
-def chart_view(reports: DataFrame, mapping: FieldMapping, options: ChartOptions) -> DataFrame:
+def chart_view(reports: DataFrame, mapping: FieldMapping, options: ChartOptions, required: bool = False) -> DataFrame:
     """Time-series or scale view as one long table, ordered for drawing.
 
-    All charts and series come from one grouped aggregate over the keys.
+    All charts and series come from one grouped aggregate over the keys. With ``required``, filters that leave no
+    report are an error at once; this looks for one report first.
     """
     metrics = options.metrics()
     rows, keys = charted(reports, mapping, options)
+    if required:
+        require_rows(rows, options.filters)
     points = titled(point_stats(rows, keys, "y", metrics), mapping, options)
     return chart_series(points, options).orderBy("chart", "series", "x_order", "x", "series_name")
 

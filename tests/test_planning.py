@@ -128,6 +128,9 @@ def test_empty_result(spark):
     rows = views.selected_reports(small_reports(spark), tables.COARSE_MAPPING, asked)
     with pytest.raises(options.EmptyResultError):
         views.require_rows(rows, asked.filters)
+    with pytest.raises(options.EmptyResultError):
+        views.chart_view(small_reports(spark), tables.COARSE_MAPPING, asked, required=True)
+    assert views.chart_view(small_reports(spark), tables.COARSE_MAPPING, asked).count() == 0
 
 
 def test_bad_mapping_and_mode(spark):

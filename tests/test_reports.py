@@ -177,6 +177,11 @@ def test_tag_in_python_tasks(spark, tag):
     assert one(spark, text.normalise_tag(F.lit(tag))) == text.normalised_tag(tag)
 
 
+@pytest.mark.parametrize("number", [65, 90, 91, 255, 256, 321, 20_000, 55_064])
+def test_code_points(spark, number):
+    assert one(spark, text.code_point(F.lit(number))) == chr(number)
+
+
 def test_deep_and_wide_trees(spark):
     deep = ("n0", [])
     for i in range(1, 120):
