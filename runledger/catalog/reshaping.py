@@ -175,7 +175,8 @@ def tree_paths(spark, sf_dir):
     SELECT run, '2.' || l_linenumber AS version, l_partkey AS task_size, l_linenumber::DOUBLE AS cpus, 'whole-program' AS name,
       round(l_quantity / l_linenumber, 8) AS duration, round(1.0 / l_linenumber, 8) AS executed, 'main.cc' AS file_path, l_linenumber AS line,
       CASE WHEN l_tax <> 0 THEN round(l_discount / l_tax, 8) END AS dur_ratio,
-      (SELECT string_agg(parent || '/' || tag, ',' ORDER BY place) FROM nodes n WHERE n.run = lines.run) AS paths,
+      replace('/whole-program,/whole-program/X,/whole-program/X/node-sort-[x],/whole-program/solve-', 'X', 'my-mesh-read-' || lower(l_returnflag) || 'data')
+        || lower(l_linestatus) AS paths,
       round(l_quantity + l_tax + l_discount + l_extendedprice, 6) AS timed, 0 AS returncode FROM lines""",
 )
 def profiler_report(spark, sf_dir):
