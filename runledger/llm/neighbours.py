@@ -2,8 +2,9 @@
 
 Centroids come from balanced clustering of a bounded sample. A vector goes to the list of its nearest centroid
 and, near a boundary, also to the lists of others that are nearly as close. The centroids, not the vectors, are in
-memory: a graph over them is searched greedily for the lists of a vector. A query looks at its nearest lists first,
-for a distance that its neighbours do not exceed; then each list that may hold a vector within it is scanned.
+memory: a graph over them is searched greedily for the lists of a vector. A query looks at the lists nearest to it,
+up to a number and up to a ratio of their distance to that of a near one. Number and ratio are fitted: some queries are
+answered exactly first, and both are the smallest at which enough of the true neighbours are in the lists looked at.
 """
 
 from __future__ import annotations
@@ -17,17 +18,19 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from runledger.llm.common import stored
 
-# Vectors that centroids are fitted on, at most about so many; and most centroids.
-SAMPLE = 20_000
+LIST_SIZE = 50  # vectors a list aims at, before copies
 MOST_LISTS = 4_096
-LIST_SIZE = 160  # vectors a list aims at
+SAMPLE = 16  # vectors that centroids are fitted on, for each list
 LIST_ROWS = 4_096  # vectors of a list that one task scans at a time
 COPIES = 4  # lists that a boundary vector is in, at most
 BOUNDARY = 1.15  # distance to a further centroid, over that to the nearest
-PRUNE = 2.0  # the same for the lists a query looks at first
-PROBES = 48  # lists a query looks at first, for a distance that bounds its neighbours
-ROUTED = 4_096  # rows with their lists that leave a task at a time
+BASE = 4  # a query's distances are compared with that to this nearest centroid; the first is no measure near copies
+FITTED = 256  # queries that are answered exactly, to fit what the others look at
+RECALL = 0.965  # share of their neighbours that must be in the lists looked at
+BY_NUMBER = 0.5  # of the neighbours given up, those that the number of lists leaves out; the ratio leaves out the rest
 DEGREE = 24
+OPENED = 4  # centroids that one step of a search opens
+BLOCK = 64  # queries that are compared with a list at a time
 
 
 def usable(vector: Column) -> Column:
@@ -78,100 +81,152 @@ class CentroidGraph:
         entries = rng.choice(len(centroids), min(8, len(centroids)), replace=False)
         return cls(centroids, np.concatenate([near, far], axis=1), entries)
 
-    def nearest(self, vectors: np.ndarray, count: int, beam: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, vectors: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and distances of about the ``count`` nearest centroids of each vector, nearest first.
 
-        All vectors step at once: each round opens the nearest unopened centroids in every vector's beam.
+        All vectors step at once: a step opens the nearest unopened centroids in each vector's beam, and the beam
+        keeps the nearest of those and their links. Places without a centroid have an infinite distance.
         """
         total = len(self.centroids)
-        beam = min(total, beam or max(32, count + 16))
+        count = min(count, total)
+        beam = min(total, max(32, count + count // 4 + 16))
         norms = (self.centroids**2).sum(1)
         seen = np.zeros((len(vectors), total), bool)
-        found = np.full((len(vectors), total), np.inf, np.float32)
-        opened = np.zeros((len(vectors), total), bool)
+        ids = np.full((len(vectors), beam), -1)
+        found = np.full((len(vectors), beam), np.inf, np.float32)
+        opened = np.ones((len(vectors), beam), bool)
         rows = np.arange(len(vectors))
 
         def look(who: np.ndarray, at: np.ndarray) -> None:
-            new = ~seen[who[:, None], at]
-            r, c = np.nonzero(new)
+            at = np.sort(at, axis=1)
+            fresh = ~seen[who[:, None], at]
+            fresh[:, 1:] &= at[:, 1:] != at[:, :-1]
+            r, c = np.nonzero(fresh)
             w, k = who[r], at[r, c]
             seen[w, k] = True
-            found[w, k] = norms[k] - 2 * np.einsum("ij,ij->i", vectors[w], self.centroids[k])
+            new = np.full(at.shape, np.inf, np.float32)
+            new[r, c] = norms[k] - 2 * np.einsum("ij,ij->i", vectors[w], self.centroids[k])
+            far = np.concatenate([found[who], new], axis=1)
+            keep = np.argpartition(far, beam - 1, axis=1)[:, :beam]
+            found[who] = np.take_along_axis(far, keep, 1)
+            ids[who] = np.take_along_axis(np.concatenate([ids[who], at], axis=1), keep, 1)
+            opened[who] = np.take_along_axis(np.concatenate([opened[who], ~fresh], axis=1), keep, 1)
 
         look(rows, np.tile(self.entries, (len(vectors), 1)))
-        active = rows
+        active, width = rows, min(OPENED, beam)
         while len(active):
-            best = np.argpartition(found[active], beam - 1, axis=1)[:, :beam] if beam < total else np.tile(np.arange(total), (len(active), 1))
-            worth = np.where(opened[active[:, None], best] | ~seen[active[:, None], best], np.inf, found[active[:, None], best])
-            pick = worth.argmin(1)
-            going = np.isfinite(worth[np.arange(len(active)), pick])
-            active, chosen = active[going], best[np.arange(len(going)), pick][going]
+            worth = np.where(opened[active], np.inf, found[active])
+            pick = np.argpartition(worth, width - 1, axis=1)[:, :width]
+            value = np.take_along_axis(worth, pick, 1)
+            going = np.isfinite(value).any(1)
+            active, pick, value = active[going], pick[going], value[going]
             if len(active):
-                opened[active, chosen] = True
-                look(active, self.links[chosen])
-        order = np.argsort(found, axis=1, kind="stable")[:, : min(count, total)]
+                opened[active[:, None], pick] = True
+                chosen = ids[active[:, None], pick]
+                # Where fewer are left to open, the nearest stands in for the others.
+                chosen = np.where(np.isfinite(value), chosen, np.take_along_axis(chosen, value.argmin(1)[:, None], 1))
+                look(active, self.links[chosen].reshape(len(active), -1))
+        order = np.argsort(found, axis=1, kind="stable")[:, :count]
         squared = np.maximum(np.take_along_axis(found, order, 1) + (vectors**2).sum(1)[:, None], 0)
-        return order, np.sqrt(squared)
+        return np.take_along_axis(ids, order, 1), np.sqrt(squared)
 
+    def lists(self, vectors: np.ndarray, most: int, ratio: float, base: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        """The ``most`` nearest centroids of each vector, and which of them are at most ``ratio`` times as far as the
+        one at place ``base``."""
+        numbers, far = self.nearest(vectors, most)
+        unit = far[:, min(base, far.shape[1]) - 1][:, None]
+        return numbers, np.isfinite(far) & (far <= np.maximum(unit * ratio, unit + 1e-6))
 
-def fit_centroids(vectors: DataFrame, sample: int = SAMPLE, lists: int | None = None) -> CentroidGraph | None:
-    """Graph of balanced centroids from about ``sample`` rows (``vec_id``, ``vector``), picked by a hash of the id.
 
-    Without ``lists``, there is one for every ``LIST_SIZE`` vectors, up to ``MOST_LISTS``. None for an empty table.
+def _matrix(column: pa.Array, kind: type = np.float32) -> np.ndarray:
+    """Rows of equally long lists."""
+    return column.flatten().to_numpy().reshape(len(column), -1).astype(kind)
+
+
+def fit_centroids(vectors: DataFrame, count: int, lists: int | None = None) -> CentroidGraph:
+    """Graph of balanced centroids from about ``SAMPLE`` rows (``vec_id``, ``vector``) a list, picked by a hash.
+
+    Without ``lists``, there is one for every ``LIST_SIZE`` of the ``count`` vectors, up to ``MOST_LISTS``; so the
+    sample has a bound.
     """
-    count = vectors.count()
-    if not count:
-        return None
+    lists = lists or min(MOST_LISTS, max(1, count // LIST_SIZE))
+    sample = SAMPLE * lists
     unit = F.pmod(F.xxhash64("vec_id", "vector"), F.lit(1 << 30)) / float(1 << 30)
     picked = vectors.filter(unit < min(1.0, sample / count)).select("vector").limit(2 * sample).toArrow()
-    points = np.array(picked.column(0).to_pylist(), np.float32)
-    if not len(points):
-        points = np.array([vectors.first()["vector"]], np.float32)
+    if not picked.num_rows:
+        picked = vectors.select("vector").limit(1).toArrow()
+    points = _matrix(picked.column(0).combine_chunks())
     # Copies of one vector would draw the centroids together.
     points = np.unique(points, axis=0)
-    return CentroidGraph.build(points, lists or min(MOST_LISTS, max(1, count // LIST_SIZE)))
+    return CentroidGraph.build(points, lists)
 
 
-def _routed(rows: DataFrame, graph, most: int, ratio: float, name: str) -> DataFrame:
-    """Each row with the lists whose centroid is at most ``ratio`` times as far as the nearest."""
-    schema = T.StructType([T.StructField("list", T.IntegerType()), T.StructField(name, T.LongType()), T.StructField("vector", T.ArrayType(T.DoubleType()))])
+def fit_probes(vectors: DataFrame, asked: DataFrame, graph, k: int, recall: float = RECALL) -> tuple[int, float]:
+    """How many lists a query looks at, and up to which ratio of distances.
+
+    ``FITTED`` queries, the first by a hash, are compared with all vectors; each of their true neighbours stands in
+    lists, the nearest of which has a rank and a ratio for the query. Of these neighbours ``recall`` are reached.
+    """
+    picked = asked.orderBy(F.xxhash64("query_id", "vector"), "query_id").limit(FITTED).toArrow()
+    if not picked.num_rows:
+        return 1, 1.0
+    numbers, queries = picked.column(0).to_numpy(), _matrix(picked.column(1).combine_chunks())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best_far = np.full((len(queries), 0), np.inf, np.float32)
+        best_id, best_at = np.zeros((len(queries), 0), np.int64), np.zeros((len(queries), 0, queries.shape[1]), np.float32)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                vectors = np.array(part.column(1).to_pylist(), np.float32)
-                numbers, far = graph.value.nearest(vectors, most)
-                use = far <= np.maximum(far[:, :1] * ratio, far[:, :1] + 1e-6)
-                row, column = np.nonzero(use)
-                where = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(numbers[row, column].astype(np.int32)), part.column(0).take(where), part.column(1).take(where)],
-                    names=schema.names,
-                )
-
-    return rows.mapInArrow(run, schema)
-
-
-def _within(rows: DataFrame, graph) -> DataFrame:
-    """Each query (``query_id``, ``vector``, ``bound``) with the lists that may hold a vector within its bound.
-
-    Such a vector is no further from its own nearest centroid than the query's nearest distance and the bound
-    together, so that centroid is at most twice the bound further from the query than the nearest.
-    """
+            for at in range(0, batch.num_rows, LIST_ROWS):
+                part = batch.slice(at, LIST_ROWS)
+                ids, points = part.column(0).to_numpy(), _matrix(part.column(1))
+                far = _distances(queries, points)
+                far[ids[None, :] == numbers[:, None]] = np.inf
+                near = np.argpartition(far, k - 1, axis=1)[:, :k] if k < len(ids) else np.tile(np.arange(len(ids)), (len(queries), 1))
+                all_far = np.concatenate([best_far, np.take_along_axis(far, near, 1)], axis=1)
+                keep = np.argsort(all_far, axis=1, kind="stable")[:, :k]
+                best_far = np.take_along_axis(all_far, keep, 1)
+                best_id = np.take_along_axis(np.concatenate([best_id, ids[near]], axis=1), keep, 1)
+                best_at = np.take_along_axis(np.concatenate([best_at, points[near]], axis=1), keep[:, :, None], 1)
+        row, column = np.nonzero(np.isfinite(best_far))
+        if not len(row):
+            return
+        to_lists = np.sqrt(_distances(queries, graph.value.centroids))
+        rank = to_lists.argsort(1, kind="stable").argsort(1, kind="stable")
+        unit = np.sort(to_lists, axis=1)[:, min(BASE, to_lists.shape[1]) - 1][:, None]
+        ratio = to_lists / np.maximum(unit, 1e-6)
+        of, used = graph.value.lists(best_at[row, column], COPIES, BOUNDARY)
+        ranks = np.where(used, rank[row[:, None], of], len(graph.value.centroids)).min(1)
+        ratios = np.where(used, ratio[row[:, None], of], np.inf).min(1)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(x) for x in (numbers[row], best_id[row, column], best_far[row, column].astype(float), ranks.astype(np.int32), ratios.astype(float))],
+            names=["query_id", "vec_id", "far", "rank", "ratio"],
+        )
+
+    found = vectors.mapInArrow(run, "query_id long, vec_id long, far double, rank int, ratio double")
+    place = F.row_number().over(W.partitionBy("query_id").orderBy("far", "vec_id"))
+    found = found.withColumn("place", place).filter(F.col("place") <= k).select("rank", "ratio").toArrow()
+    if not found.num_rows:
+        return 1, 1.0
+    ranks, ratios = (c.to_numpy() for c in found.columns)
+    reached = 1 - (1 - recall) * BY_NUMBER
+    probes = int(np.quantile(ranks, reached, method="higher")) + 1
+    return probes, float(np.quantile(ratios[ranks < probes], recall / reached, method="higher")) * 1.0001
+
+
+def _routed(rows: DataFrame, graph, most: int, ratio: float, base: int = 1) -> DataFrame:
+    """Each row (a number and a vector) with its lists."""
     schema = T.StructType([T.StructField("list", T.IntegerType()), *rows.schema.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                vectors = np.array(part.column(1).to_pylist(), np.float32)
-                far = np.sqrt(_distances(vectors, graph.value.centroids))
-                limit = far.min(1) + 2 * part.column(2).to_numpy()
-                rows, lists = np.nonzero(far <= limit[:, None] * 1.001 + 1e-6)
-                for begin in range(0, len(rows), ROUTED):
-                    where = pa.array(rows[begin : begin + ROUTED])
-                    number = pa.array(lists[begin : begin + ROUTED].astype(np.int32))
+                numbers, use = graph.value.lists(_matrix(part.column(1)), most, ratio, base)
+                row, column = np.nonzero(use)
+                for begin in range(0, len(row), LIST_ROWS):
+                    end = begin + LIST_ROWS
+                    where = pa.array(row[begin:end])
+                    number = pa.array(numbers[row[begin:end], column[begin:end]].astype(np.int32))
                     yield pa.RecordBatch.from_arrays([number, *(c.take(where) for c in part.columns)], names=schema.names)
 
     return rows.mapInArrow(run, schema)
@@ -183,54 +238,57 @@ def search(
     k: int = 10,
     vec_id: str = "vec_id",
     vector: str = "embedding",
-    sample: int = SAMPLE,
     lists: int | None = None,
+    recall: float = RECALL,
 ) -> DataFrame:
     """The ``k`` nearest of each query row among all other rows: ``query_id``, ``rank`` from 1, ``vec_id``, ``score``.
 
     ``score`` is the Euclidean distance of the original vectors in double precision; ties go to the smaller id.
     Lists that hold more than ``LIST_ROWS`` vectors, as when one vector has many copies, are cut in parts by a
     hash of the row, each scanned apart; a part passes on at most ``k`` different ids for each query. ``lists`` is
-    the number of lists, if not one for every ``LIST_SIZE`` vectors.
+    the number of lists, if not one for every ``LIST_SIZE`` vectors; ``recall`` is what the lists looked at are fitted for.
 
-    Vectors that are null or zero, or hold null or non-finite components, and rows without id take no part. All
-    vectors must have one length. Rows that repeat a query's id are no candidates of it; repeated candidates count
-    once, with their smallest distance. With fewer than ``k`` candidates in the lists looked at first, all lists are
-    scanned for that query.
+    Vectors that are null or zero, or hold null or non-finite components, rows without id, and vectors of another
+    length than most (of two lengths equally often, the smaller) take no part. Rows that repeat a query's id are no
+    candidates of it; repeated candidates count once, with their smallest distance. With fewer than ``k`` candidates
+    in the lists looked at, all lists are scanned for that query.
     """
-    rows = table.select(table[f"`{vec_id}`"].cast("long").alias("vec_id"), table[f"`{vector}`"].cast("array<double>").alias("vector"), queries.alias("query"))
-    rows = rows.filter(F.col("vec_id").isNotNull() & usable(F.col("vector"))).distinct()
-    graph = fit_centroids(rows.select("vec_id", "vector"), sample, lists)
+    values = table[f"`{vector}`"]
+    if table.select(values.alias("v")).schema["v"].dataType != T.ArrayType(T.FloatType()):
+        values = values.cast("array<double>")
+    rows = table.select(table[f"`{vec_id}`"].cast("long").alias("vec_id"), values.alias("vector"), queries.alias("query"))
+    rows = rows.filter(F.col("vec_id").isNotNull() & usable(F.col("vector")))
     spark = table.sparkSession
-    result = "query_id long, rank int, vec_id long, score double"
-    if graph is None:
-        return spark.createDataFrame([], result)
-    shared = spark.sparkContext.broadcast(graph)
-    postings = _routed(rows.select("vec_id", "vector"), shared, COPIES, BOUNDARY, "vec_id")
-    asked = rows.filter("query").select(F.col("vec_id").alias("query_id"), "vector")
-    first = _routed(asked, shared, PROBES, PRUNE, "query_id").withColumn("bound", F.lit(float("inf")))
-    best = stored(_best(_scan(postings, first, k), k), "nearest")
-    bounds = best.groupBy("query_id").agg(F.count(F.lit(1)).alias("found"), F.max("score").alias("bound"))
-    bounds = bounds.filter(F.col("found") >= k).select("query_id", "bound")
-    # Queries that found too few look at every list.
-    limits = asked.join(bounds, "query_id", "left").select("query_id", "vector", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
-    further = _within(limits, shared)
-    return _best(best.select("query_id", "vec_id", "score").union(_scan(postings, further, k)), k)
+    length = rows.groupBy(F.size("vector").alias("length")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "length").first()
+    if length is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    rows = rows.filter(F.size("vector") == length["length"])
+    vectors = rows.select("vec_id", "vector")
+    asked = rows.filter("query").select(F.col("vec_id").alias("query_id"), "vector").distinct()
+    shared = spark.sparkContext.broadcast(fit_centroids(vectors, length["n"], lists))
+    probes, ratio = fit_probes(vectors, asked, shared, k, recall)
+    postings = stored(_routed(vectors.distinct(), shared, COPIES, BOUNDARY), "postings")
+    best = stored(_best(_scan(postings, _routed(asked, shared, probes, ratio, BASE), k), k), "nearest")
+    enough = best.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
+    few = asked.join(enough, "query_id", "left_anti")
+    if few.isEmpty():
+        return best
+    every = _routed(few, shared, len(shared.value.centroids), float("inf"))
+    return _best(best.select("query_id", "vec_id", "score").union(_scan(postings, every, k)), k)
 
 
 def _scan(postings: DataFrame, probes: DataFrame, k: int) -> DataFrame:
-    """The nearest ``k`` of each query in each part of a list, as far as its ``bound``: ``query_id``, ``vec_id``, ``score``.
+    """The nearest ``k`` of each query in each part of a list: ``query_id``, ``vec_id``, ``score``.
 
     A task holds the vectors of one part; the queries stream past them.
     """
     sizes = postings.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / LIST_ROWS).cast("int").alias("parts"))
     # There are at most MOST_LISTS sizes.
     part = F.pmod(F.xxhash64("vec_id", "vector"), F.col("parts")).cast("int")
-    nothing = F.lit(None).cast("double").alias("bound")
-    left = postings.join(F.broadcast(sizes), "list").select("list", part.alias("part"), F.lit(0).alias("asks"), F.col("vec_id").alias("id"), nothing, "vector")
+    left = postings.join(F.broadcast(sizes), "list").select("list", part.alias("part"), F.lit(0).alias("asks"), F.col("vec_id").alias("id"), "vector")
     sizes = sizes.select(F.col("list").alias("size_of"), F.col("parts").alias("cut_in"))
     each = F.explode(F.sequence(F.lit(0), F.col("cut_in") - 1))
-    right = probes.join(F.broadcast(sizes), F.col("list") == F.col("size_of")).select("list", each.alias("part"), F.lit(1).alias("asks"), "query_id", "bound", "vector")
+    right = probes.join(F.broadcast(sizes), F.col("list") == F.col("size_of")).select("list", each.alias("part"), F.lit(1).alias("asks"), "query_id", "vector")
     ordered = left.union(right).repartition("list", "part").sortWithinPartitions("list", "part", "asks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,8 +297,7 @@ def _scan(postings: DataFrame, probes: DataFrame, k: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             place, asks = np.stack([batch.column(i).to_numpy() for i in range(3)], 1), batch.column(2).to_numpy()
-            numbers, bounds = batch.column(3).to_numpy(), batch.column(4).to_numpy(zero_copy_only=False)
-            vectors = batch.column(5).flatten().to_numpy().reshape(batch.num_rows, -1)
+            numbers, vectors = batch.column(3).to_numpy(), _matrix(batch.column(4), np.float64)
             edges = [0, *(np.flatnonzero((place[1:] != place[:-1]).any(1)) + 1).tolist(), batch.num_rows]
             out = []
             for low, high in zip(edges[:-1], edges[1:], strict=True):
@@ -250,26 +307,45 @@ def _scan(postings: DataFrame, probes: DataFrame, k: int) -> DataFrame:
                     held.append((numbers[low:high], vectors[low:high]))
                     continue
                 if points is None and held:
-                    all_ids, all_points = (np.concatenate(x) for x in zip(*held, strict=True))
-                    by = np.argsort(all_ids, kind="stable")
-                    points = all_points[by]
-                    ids, starts = np.unique(all_ids[by], return_index=True)
+                    ids, points = (np.concatenate(x) for x in zip(*held, strict=True))
+                    by = np.argsort(ids, kind="stable")
+                    ids, points = ids[by], points[by]
+                    starts = np.unique(ids, return_index=True)[1]
                 if points is None:
                     continue
-                for at in range(low, high):
-                    gap = points - vectors[at]
-                    far = np.minimum.reduceat(np.sqrt(np.einsum("ij,ij->i", gap, gap)), starts)
-                    far[ids == numbers[at]] = np.inf
-                    limit = bounds[at] if len(far) <= k else min(bounds[at], np.partition(far, k - 1)[k - 1])
-                    near = np.flatnonzero((far <= limit) & np.isfinite(far))
-                    near = near[np.lexsort((ids[near], far[near]))][:k]
-                    out.append((np.full(len(near), numbers[at]), ids[near], far[near]))
+                for at in range(low, high, BLOCK):
+                    out.append(_nearest_of(numbers[at : min(high, at + BLOCK)], vectors[at : min(high, at + BLOCK)], ids, points, starts, k))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
 
     return ordered.mapInArrow(run, "query_id long, vec_id long, score double")
 
 
+def _nearest_of(
+    numbers: np.ndarray, queries: np.ndarray, ids: np.ndarray, points: np.ndarray, starts: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` nearest ids of each query among points in order of their ids, which begin at ``starts``.
+
+    Products of matrices choose the candidates, with room for rounding; differences give their distances.
+    """
+    scale = (queries**2).sum(1)[:, None] + (points**2).sum(1)[None, :]
+    rough = scale - 2 * (queries @ points.T)
+    rough[numbers[:, None] == ids[None, :]] = np.inf
+    by_id = np.minimum.reduceat(rough, starts, axis=1)
+    limit = np.partition(by_id, k - 1, axis=1)[:, k - 1 : k] if k < by_id.shape[1] else np.full((len(queries), 1), np.inf)
+    row, column = np.nonzero(np.isfinite(rough) & (rough <= limit + 1e-9 * scale.max()))
+    far = np.sqrt(((points[column] - queries[row]) ** 2).sum(1))
+    order = np.lexsort((far, ids[column], row))
+    row, near, far = row[order], ids[column[order]], far[order]
+    first = np.ones(len(row), bool)
+    first[1:] = (row[1:] != row[:-1]) | (near[1:] != near[:-1])
+    row, near, far = row[first], near[first], far[first]
+    order = np.lexsort((near, far, row))
+    row, near, far = row[order], near[order], far[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    return numbers[row[rank < k]], near[rank < k], far[rank < k]
+
+
 def _best(found: DataFrame, k: int) -> DataFrame:
     """Nearest first, each candidate once."""
     once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))

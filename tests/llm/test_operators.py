@@ -348,16 +348,45 @@ def _nearest(vectors, ids, query, k=10):
     return sorted(best, key=lambda i: (best[i], i))[:k]
 
 
-def test_neighbours_in_many_lists(spark, monkeypatch):
-    """Looking at a small share of the lists first loses no neighbour."""
+def test_neighbours_in_many_lists(spark):
+    """Lists fitted for a high recall lose next to no neighbour."""
     vectors = np.random.default_rng(3).normal(size=(1500, 32)).round(3)
     frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
-    monkeypatch.setattr(neighbours, "PROBES", 6)
-    got = neighbours.search(frame, F.col("vec_id") % 100 == 0, lists=200).toPandas()
+    got = neighbours.search(frame, F.col("vec_id") % 100 == 0, lists=200, recall=0.999).toPandas()
     hits = sum(len(set(_nearest(vectors, range(1500), q)) & set(own.vec_id)) for q, own in got.groupby("query_id"))
     assert got.query_id.nunique() == 15 and hits >= 0.99 * 150
 
 
+def test_neighbours_look_at_few_lists(spark, monkeypatch):
+    """Queries that were not fitted on find 95 of 100 neighbours in a fifth of the lists."""
+    rng = np.random.default_rng(8)
+    vectors = (rng.normal(size=(12, 32))[rng.integers(0, 12, 12_000)] * 0.7 + rng.normal(size=(12_000, 32))).astype(np.float32)
+    frame = spark.createDataFrame(list(enumerate(vectors.tolist())), "vec_id long, embedding array<float>")
+    looked, routed = [], neighbours._routed
+
+    def counting(rows, graph, most, ratio, base=1):
+        out = routed(rows, graph, most, ratio, base)
+        if rows.columns[0] == "query_id":
+            looked.append((out.count(), len(graph.value.centroids)))
+        return out
+
+    monkeypatch.setattr(neighbours, "_routed", counting)
+    monkeypatch.setattr(neighbours, "FITTED", 100)
+    got = neighbours.search(frame, F.col("vec_id") % 50 == 0).toPandas()
+    own = {q: set(part.vec_id) for q, part in got.groupby("query_id")}
+    hits = sum(len(set(_nearest(vectors.astype(float), range(12_000), q)) & own[q]) for q in range(0, 12_000, 50))
+    assert len(own) == 240 and hits >= 0.95 * 2_400
+    assert len(looked) == 1 and looked[0][0] <= 0.2 * 240 * looked[0][1]
+
+
+def test_neighbours_of_odd_tables(spark):
+    """Vectors of another length take no part; columns with the names of the result do no harm."""
+    rows = [(i, [float(i), 1.0], 7, "x") for i in range(20)] + [(100, [1.0], 7, "x"), (200, [1.0, 2.0, 3.0], 7, "x"), (0, [0.0, 1.0], 7, "x")]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int, query string")
+    got = neighbours.search(frame, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in got] == [(0, i, i, float(i)) for i in range(1, 11)]
+
+
 def test_neighbours_of_repeated_rows(spark):
     """Repeats of an id take no place of other ids."""
     vectors = np.random.default_rng(4).normal(size=(300, 8)).round(3)
@@ -366,6 +395,6 @@ def test_neighbours_of_repeated_rows(spark):
     rows = [(i, v.tolist()) for i, v in zip(ids, vectors, strict=True)] * 2 + [(near, vectors[near].tolist())] * 60
     rows += [(near, (vectors[near] + 1e-6 * j).tolist()) for j in range(60)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = neighbours.search(frame, F.col("vec_id") % 100 == 0, lists=4).toPandas()
+    got = neighbours.search(frame, F.col("vec_id") % 100 == 0, lists=4, recall=1.0).toPandas()
     for query in (0, 100, 200):
         assert got[got.query_id == query].sort_values("rank").vec_id.tolist() == _nearest(vectors, ids, query)
