@@ -173,36 +173,36 @@ def fit_probes(vectors: DataFrame, asked: DataFrame, graph, k: int, recall: floa
     numbers, queries = picked.column(0).to_numpy(), _matrix(picked.column(1).combine_chunks())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_far = np.full((len(queries), 0), np.inf, np.float32)
-        best_id, best_at = np.zeros((len(queries), 0), np.int64), np.zeros((len(queries), 0, queries.shape[1]), np.float32)
+        row, near, far = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        at = np.zeros((0, queries.shape[1]), np.float32)
         for batch in batches:
-            for at in range(0, batch.num_rows, LIST_ROWS):
-                part = batch.slice(at, LIST_ROWS)
+            for begin in range(0, batch.num_rows, LIST_ROWS):
+                part = batch.slice(begin, LIST_ROWS)
                 ids, points = part.column(0).to_numpy(), _matrix(part.column(1))
-                far = _distances(queries, points)
-                far[ids[None, :] == numbers[:, None]] = np.inf
-                near = np.argpartition(far, k - 1, axis=1)[:, :k] if k < len(ids) else np.tile(np.arange(len(ids)), (len(queries), 1))
-                all_far = np.concatenate([best_far, np.take_along_axis(far, near, 1)], axis=1)
-                keep = np.argsort(all_far, axis=1, kind="stable")[:, :k]
-                best_far = np.take_along_axis(all_far, keep, 1)
-                best_id = np.take_along_axis(np.concatenate([best_id, ids[near]], axis=1), keep, 1)
-                best_at = np.take_along_axis(np.concatenate([best_at, points[near]], axis=1), keep[:, :, None], 1)
-        row, column = np.nonzero(np.isfinite(best_far))
+                order = np.argsort(ids, kind="stable")
+                for low in range(0, len(queries), BLOCK):
+                    high = low + BLOCK
+                    found = _nearest_of(numbers[low:high], queries[low:high], ids[order], points[order], k)
+                    row, near, far = (np.concatenate(x) for x in zip((row, near, far), (found[0] + low, found[1], found[3]), strict=True))
+                    at = np.concatenate([at, points[order][found[2]]])
+                keep = _first(row, near, far, k)
+                row, near, far, at = row[keep], near[keep], far[keep], at[keep]
         if not len(row):
             return
         to_lists = np.sqrt(_distances(queries, graph.value.centroids))
         rank = to_lists.argsort(1, kind="stable").argsort(1, kind="stable")
         unit = np.sort(to_lists, axis=1)[:, min(BASE, to_lists.shape[1]) - 1][:, None]
         ratio = to_lists / np.maximum(unit, 1e-6)
-        of, used = graph.value.lists(best_at[row, column], COPIES, BOUNDARY)
+        of, used = graph.value.lists(at, COPIES, BOUNDARY)
         ranks = np.where(used, rank[row[:, None], of], len(graph.value.centroids)).min(1)
         ratios = np.where(used, ratio[row[:, None], of], np.inf).min(1)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(x) for x in (numbers[row], best_id[row, column], best_far[row, column].astype(float), ranks.astype(np.int32), ratios.astype(float))],
+            [pa.array(x) for x in (numbers[row], near, far, ranks.astype(np.int32), ratios.astype(float))],
             names=["query_id", "vec_id", "far", "rank", "ratio"],
         )
 
     found = vectors.mapInArrow(run, "query_id long, vec_id long, far double, rank int, ratio double")
+    found = found.groupBy("query_id", "vec_id").agg(F.min(F.struct("far", "rank", "ratio")).alias("m")).select("query_id", "vec_id", "m.*")
     place = F.row_number().over(W.partitionBy("query_id").orderBy("far", "vec_id"))
     found = found.withColumn("place", place).filter(F.col("place") <= k).select("rank", "ratio").toArrow()
     if not found.num_rows:
@@ -292,7 +292,7 @@ def _scan(postings: DataFrame, probes: DataFrame, k: int) -> DataFrame:
     ordered = left.union(right).repartition("list", "part").sortWithinPartitions("list", "part", "asks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, ids, points, starts = None, [], None, None, None
+        key, held, ids, points = None, [], None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -310,11 +310,12 @@ def _scan(postings: DataFrame, probes: DataFrame, k: int) -> DataFrame:
                     ids, points = (np.concatenate(x) for x in zip(*held, strict=True))
                     by = np.argsort(ids, kind="stable")
                     ids, points = ids[by], points[by]
-                    starts = np.unique(ids, return_index=True)[1]
                 if points is None:
                     continue
                 for at in range(low, high, BLOCK):
-                    out.append(_nearest_of(numbers[at : min(high, at + BLOCK)], vectors[at : min(high, at + BLOCK)], ids, points, starts, k))
+                    asking = numbers[at : min(high, at + BLOCK)]
+                    row, near, _, far = _nearest_of(asking, vectors[at : min(high, at + BLOCK)], ids, points, k)
+                    out.append((asking[row], near, far))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
 
@@ -322,28 +323,34 @@ def _scan(postings: DataFrame, probes: DataFrame, k: int) -> DataFrame:
 
 
 def _nearest_of(
-    numbers: np.ndarray, queries: np.ndarray, ids: np.ndarray, points: np.ndarray, starts: np.ndarray, k: int
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ``k`` nearest ids of each query among points in order of their ids, which begin at ``starts``.
+    numbers: np.ndarray, queries: np.ndarray, ids: np.ndarray, points: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` nearest ids of each query among points in order of their ids: row of the query, id, row of the point, distance.
 
     Products of matrices choose the candidates, with room for rounding; differences give their distances.
     """
+    starts = np.unique(ids, return_index=True)[1]
     scale = (queries**2).sum(1)[:, None] + (points**2).sum(1)[None, :]
     rough = scale - 2 * (queries @ points.T)
     rough[numbers[:, None] == ids[None, :]] = np.inf
     by_id = np.minimum.reduceat(rough, starts, axis=1)
     limit = np.partition(by_id, k - 1, axis=1)[:, k - 1 : k] if k < by_id.shape[1] else np.full((len(queries), 1), np.inf)
-    row, column = np.nonzero(np.isfinite(rough) & (rough <= limit + 1e-9 * scale.max()))
-    far = np.sqrt(((points[column] - queries[row]) ** 2).sum(1))
-    order = np.lexsort((far, ids[column], row))
-    row, near, far = row[order], ids[column[order]], far[order]
-    first = np.ones(len(row), bool)
-    first[1:] = (row[1:] != row[:-1]) | (near[1:] != near[:-1])
-    row, near, far = row[first], near[first], far[first]
-    order = np.lexsort((near, far, row))
-    row, near, far = row[order], near[order], far[order]
-    rank = np.arange(len(row)) - np.searchsorted(row, row)
-    return numbers[row[rank < k]], near[rank < k], far[rank < k]
+    room = 16 * np.finfo(rough.dtype).eps * scale.max()
+    row, column = np.nonzero(np.isfinite(rough) & (rough <= limit + room))
+    far = np.sqrt(((points[column] - queries[row]) ** 2).sum(1)).astype(float)
+    keep = _first(row, ids[column], far, k)
+    return row[keep], ids[column[keep]], column[keep], far[keep]
+
+
+def _first(row: np.ndarray, ids: np.ndarray, far: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` nearest different ids of each row, in order."""
+    order = np.lexsort((far, ids, row))
+    again = np.zeros(len(order), bool)
+    again[1:] = (row[order][1:] == row[order][:-1]) & (ids[order][1:] == ids[order][:-1])
+    order = order[~again]
+    order = order[np.lexsort((ids[order], far[order], row[order]))]
+    rank = np.arange(len(order)) - np.searchsorted(row[order], row[order])
+    return order[rank < k]
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
