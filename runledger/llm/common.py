@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, types as T
+
+from runledger.session import shared_folder, stored
+
+__all__ = ["add_columns", "as_bytes", "file_system", "free_name", "mixed", "prefix_hashes", "shared_folder", "slices", "stored", "word_hashes", "words"]
 
 # Text that one step of a Python worker looks at; whole documents only, so one long document may exceed it.
 SLICE_BYTES = 1 << 20
@@ -26,22 +28,6 @@ def words(text: bytes | None) -> list[bytes]:
     return text.translate(WORD_TABLE).split() if text else []
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared place the cluster names; a private place only where it names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base is None:
-        base = tempfile.mkdtemp(prefix="runledger-shared-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/runledger-{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: a lineage cut that survives lost executors."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def file_system(uri: str) -> tuple[fs.FileSystem, str]:
     """File system and path in it of a folder in the shared place."""
     return fs.FileSystem.from_uri(uri)

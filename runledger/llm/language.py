@@ -1,26 +1,25 @@
 """Language identification with a bit-sliced Bloom filter over letter n-grams.
 
-Every slot of the filter holds one bit per language; the bits that all slots of an n-gram share say which
+Every slot of the filter holds one bit per language, in as many words as the languages need; the bits that all slots of an n-gram share say which
 languages contain it. The hits of a text are counted per language and corrected for false positives.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from runledger.llm.common import add_columns, as_bytes, mixed, slices
 
 ORDER = 4
 HASHES = 3
-MOST_LANGUAGES = 64
+WORD = 64  # languages that one word of a slot has bits for
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+FOREIGN = 0.1  # an n-gram this much rarer in a language than in another one comes from quoted text, not the language
 # Lower-cases A-Z; every other ASCII character becomes a blank.
 _TABLE = bytes(c if c > 127 or 97 <= c <= 122 else (c + 32 if 65 <= c <= 90 else 32) for c in range(256))
 
@@ -45,6 +44,15 @@ def grams(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return mixed(code[where].astype(np.uint64)), counts
 
 
+def _runs(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different pairs of two arrays, in order, and how often each occurs."""
+    order = np.lexsort((second, first))
+    first, second = first[order], second[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+    return first[new], second[new], np.diff(np.flatnonzero(new), append=len(order))
+
+
 @dataclass
 class LanguageFilter:
     """Slots of language bits; ``false`` is the chance, by language, that an unknown n-gram seems known."""
@@ -57,11 +65,13 @@ class LanguageFilter:
     def build(cls, languages: list[str], known: list[np.ndarray], bits_per_gram: int = 24) -> LanguageFilter:
         largest = max([len(k) for k in known], default=0)
         size = 1 << max(10, int(np.ceil(np.log2(max(1, largest * bits_per_gram)))))
-        slots = np.zeros(size, np.uint64)
-        for bit, hashes in enumerate(known):
+        slots = np.zeros((size, max(1, -(-len(languages) // WORD))), np.uint64)
+        filled = []
+        for number, hashes in enumerate(known):
+            word, bit = number // WORD, np.uint64(number % WORD)
             for at in cls._places(hashes, size):
-                np.bitwise_or.at(slots, at, np.uint64(1 << bit))
-        filled = [float(((slots >> np.uint64(bit)) & np.uint64(1)).mean()) for bit in range(len(languages))]
+                slots[at, word] |= np.uint64(1) << bit
+            filled.append(float(((slots[:, word] >> bit) & np.uint64(1)).mean()))
         return cls(languages, slots, np.array(filled) ** HASHES)
 
     @staticmethod
@@ -71,8 +81,8 @@ class LanguageFilter:
             yield ((hashes + step * np.uint64(k)) & mask).astype(np.int64)
 
     def masks(self, hashes: np.ndarray) -> np.ndarray:
-        """For every n-gram the bits of all languages that contain it."""
-        out = np.full(len(hashes), ~np.uint64(0))
+        """For every n-gram the bits of all languages that contain it, a column for each ``WORD`` languages."""
+        out = np.full((len(hashes), self.slots.shape[1]), ~np.uint64(0))
         for at in self._places(hashes, len(self.slots)):
             out &= self.slots[at]
         return out
@@ -88,15 +98,15 @@ class LanguageFilter:
         begin = np.cumsum(counts) - counts
         known = np.zeros((len(texts), len(self.languages)))
         full = counts > 0
-        for bit in range(len(self.languages)):
-            hit = ((masks >> np.uint64(bit)) & np.uint64(1)).astype(np.int64)
+        for number in range(len(self.languages)):
+            hit = ((masks[:, number // WORD] >> np.uint64(number % WORD)) & np.uint64(1)).astype(np.int64)
             sums = np.add.reduceat(hit, begin[full]) if full.any() else np.zeros(0)
-            known[full, bit] = sums
+            known[full, number] = sums
         n = counts[:, None]
         known = np.clip((known - n * self.false) / (1 - self.false), 0, n)
         names, scores, shares = [], [], []
         for text, row, count in zip(texts, known, counts.tolist(), strict=True):
-            if not self.languages or not text or not _LETTER.search(text.decode("utf-8", "replace")):
+            if not self.languages or not text or not any(map(str.isalpha, text.decode("utf-8", "replace"))):
                 names.append(UNKNOWN)
                 scores.append(0.0)
                 shares.append(0.0)
@@ -115,52 +125,53 @@ def fit_filter(
     label: str = "lang",
     train: Column | None = None,
     per_language: int = 3_000,
-    grams_per_language: int = 2_000,
     least: int = 3,
+    foreign: float = FOREIGN,
 ) -> LanguageFilter:
-    """Filter of the n-grams each language uses most, learned from labelled rows.
+    """Filter of the n-grams that each language uses, learned from labelled rows.
 
-    About ``per_language`` rows of a language are taken, by a hash of the text, so repeated texts are taken or
-    left together; the driver gets at most ``grams_per_language`` n-grams for each of at most 64 languages.
-    An n-gram counts once per text, and from ``least`` texts on if there are so many texts.
-    Rows with null text or label teach nothing; without any labelled row the filter knows no language.
+    About ``per_language`` different texts of a language are taken, by a hash of the text; however often a text is
+    repeated, it counts once. The driver gets the n-grams of these texts alone. All of them go into the filter that
+    stand in ``least`` texts (in fewer, where a language has fewer than ten times as many texts) and, as a share of the
+    texts, at least ``foreign`` times as often as in any other language. Any number of languages will do; the filter grows with it. Rows with null text or label teach nothing; without any labelled row
+    the filter knows no language.
     """
     rows = docs if train is None else docs.filter(train)
     rows = rows.select(F.col(f"`{label}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"{len(sizes)} languages; a slot has room for {MOST_LANGUAGES}")
+    hashes = rows.select("lang", F.xxhash64("text").alias("text")).distinct()
+    sizes = {r["lang"]: r["n"] for r in hashes.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
         return LanguageFilter.build([], [])
-    share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, per_language / sizes[k]))])
+    plan = [
+        (n, name, min(1.0, per_language / sizes[name]), min(least, max(1, sizes[name] // 10)), float(min(sizes[name], per_language)))
+        for n, name in enumerate(languages)
+    ]
+    plan = docs.sparkSession.createDataFrame(plan, "number int, lang string, share double, least int, texts double")
     unit = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)
-    picked = rows.filter(unit < share[F.col("lang")])
-    schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())])
+    # One row a language.
+    picked = rows.join(F.broadcast(plan), "lang").filter(unit < F.col("share")).select("number", "text").distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), as_bytes(batch.column(1))
+            numbers, texts = batch.column(0).to_numpy(), as_bytes(batch.column(1))
             for begin, end in slices(texts):
-                per_text: dict[str, list[np.ndarray]] = {}
-                hashes, counts = grams(texts[begin:end])
-                for name, own in zip(names[begin:end], np.split(hashes, np.cumsum(counts)[:-1]), strict=True):
-                    per_text.setdefault(name, []).append(np.unique(own))
-                for name, arrays in per_text.items():
-                    gram, n = np.unique(np.concatenate(arrays), return_counts=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([name] * len(gram), pa.string()), pa.array(gram.view(np.int64)), pa.array(n)],
-                        names=["lang", "gram", "n"],
-                    )
-
-    counted = picked.mapInArrow(count, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    known = []
-    for name in languages:
-        own = counted.filter((F.col("lang") == name) & (F.col("n") >= min(least, max(1, sizes[name] // 10))))
-        top = own.orderBy(F.desc("n"), "gram").limit(grams_per_language).select("gram").toArrow()
-        known.append(top.column(0).to_numpy().view(np.uint64))
-    return LanguageFilter.build(languages, known)
+                found, counts = grams(texts[begin:end])
+                of = np.repeat(np.arange(end - begin), counts)
+                of, found, _ = _runs(of, found)
+                language, gram, n = _runs(numbers[begin:end][of], found)
+                arrays = [pa.array(language), pa.array(gram.view(np.int64)), pa.array(n)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["number", "gram", "n"])
+
+    counted = picked.mapInArrow(count, "number int, gram long, n long").groupBy("number", "gram").agg(F.sum("n").alias("n"))
+    kept = counted.join(F.broadcast(plan.select("number", "least", "texts")), "number").withColumn("rate", F.col("n") / F.col("texts"))
+    # An n-gram has a row for each language, no more.
+    kept = kept.withColumn("highest", F.max("rate").over(W.partitionBy("gram")))
+    kept = kept.filter((F.col("n") >= F.col("least")) & (F.col("rate") >= F.col("highest") * foreign)).select("number", "gram").toArrow()
+    numbers, gram = kept.column(0).to_numpy(), kept.column(1).to_numpy().view(np.uint64)
+    order = np.argsort(numbers, kind="stable")
+    return LanguageFilter.build(languages, np.split(gram[order], np.searchsorted(numbers[order], np.arange(1, len(languages)))))
 
 
 def identify(docs: DataFrame, model: LanguageFilter, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -168,7 +179,7 @@ def identify(docs: DataFrame, model: LanguageFilter, text: str = "text", keep: l
     was learned), ``lang_score`` (0 to 1: the winner's lead over the next language) and ``lang_share`` (0 to 1:
     the n-grams known to the winner).
 
-    A map without a shuffle. The model has a fixed largest size. Ties go to the language first by name; repeated
+    A map without a shuffle. Ties go to the language first by name; repeated
     rows get the same answer; new columns replace columns of the same name.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)

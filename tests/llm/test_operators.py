@@ -178,12 +178,46 @@ def test_language(spark):
     assert [r.lang_pred for r in language.identify(odd, model).orderBy("doc_id").collect()][:3] == ["und"] * 3
     empty = language.fit_filter(docs.limit(0))
     assert {r.lang_pred for r in language.identify(docs, empty).collect()} == {"und"}
+    marks = spark.createDataFrame([(1, "² ½ Ⅷ"), (2, "² x")], "doc_id long, text string")
+    assert [r.lang_pred == "und" for r in language.identify(marks, model).orderBy("doc_id").collect()] == [True, False]
     # The bits of an n-gram are those of all languages that have it.
     known = [np.arange(100, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.arange(50, 150, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)]
     masks = language.LanguageFilter.build(["a", "b"], known).masks(known[0])
     assert all(masks & np.uint64(1)) and all(masks[50:] & np.uint64(2)) and (masks[:50] & np.uint64(2)).sum() < 8
 
 
+def test_many_languages(spark):
+    """Seventy languages, repeated rows and a clashing column: masks and counts as by sets of n-grams."""
+    rng = random.Random(5)
+    rows = []
+    for number in range(70):
+        parts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=3)) for _ in range(3)]
+        rows += [(f"l{number:02d}", " ".join("".join(rng.choices(parts, k=3)) for _ in range(20)), 1.0) for _ in range(10)]
+    docs = spark.createDataFrame(rows + rows[:10] * 30, "lang string, text string, lang_score double").repartition(4)
+    model = language.fit_filter(docs, foreign=0.0)
+    grams: dict[str, dict[bytes, set]] = {}
+    for lang, text, _ in rows:
+        padded = f" {text} ".encode()
+        for at in range(len(padded) - 3):
+            if 32 not in padded[at + 1 : at + 3]:
+                grams.setdefault(lang, {}).setdefault(padded[at : at + 4], set()).add(text)
+    known = [set(g for g, of in grams[name].items() if len(of) >= 1) for name in model.languages]
+    assert len(model.languages) == 70 and model.slots.shape[1] == 2
+    every = sorted(set().union(*known))
+    hashes = language.mixed(np.array([int.from_bytes(g, "big") for g in every], np.uint64))
+    masks = model.masks(hashes)
+    got = np.stack([(masks[:, n // 64] >> np.uint64(n % 64)) & np.uint64(1) for n in range(70)], 1).astype(bool)
+    want = np.array([[g in known[n] for n in range(70)] for g in every])
+    assert got[want].all() and got[~want].mean() < 0.01
+    found = language.identify(docs, model)
+    assert found.columns.count("lang_score") == 1
+    found = found.collect()
+    assert np.mean([r.lang == r.lang_pred for r in found]) > 0.97
+    answers = {}
+    for r in found:
+        assert answers.setdefault(r.text, (r.lang_pred, r.lang_score)) == (r.lang_pred, r.lang_score)
+
+
 def test_tokens(spark, tmp_path):
     values = [*texts(5), "it's I'LL <|endoftext|> x  é İ Σ", "".join(map(chr, range(1, 0x240)))]
     encoder = tokens.Encoder(tokenizer_path(), 1)
