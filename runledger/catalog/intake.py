@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from runledger.catalog.registry import COMMITS, REPORTS, query
-from runledger.session import shared_folder
+from runledger.session import shared_folder, stored
 from runledger.sizing import spread
 from runledger.sources import commits as commit_sources
 from runledger.sources import reports as report_sources
@@ -110,11 +110,13 @@ def lossless_intake(spark, sf_dir):
 def saved_reports(spark, sf_dir):
     """Saved four times, in part, as a whole, and as a batch that is run again; read back with the logs."""
     rows = report_sources.parse_reports(full_texts(spark, sf_dir)).withColumn("run_id", F.col("_id").cast("string"))
+    # Each save reads its reports and logs several times; they are parsed and joined once.
+    rows = stored(rows, "parsed")
     files = rows.select("run_id", F.explode(F.array(
         F.struct(F.lit("job.log").alias("filename"), F.col("problem.test-name").cast("binary").alias("data")),
         F.struct(F.lit("node.log").alias("filename"), member(member(F.col("rest"), "environment"), "node", "string").cast("binary").alias("data")),
     )).alias("f")).select("run_id", "f.*")
-    logs = store.log_files(rows, files, "on-error")
+    logs = stored(store.log_files(rows, files, "on-error"), "logs")
     names, root = store.TableNames.of("checks"), shared_folder(spark, "saved")
     some = F.col("run_id").cast("long") % 3 == 0
     store.save(rows.where(some), logs.where(some), names, root, "some")
@@ -140,7 +142,7 @@ def saved_reports(spark, sf_dir):
 )
 def stored_view(spark, sf_dir):
     """A view is served from its store until reports are saved, and then built anew."""
-    rows = report_sources.parse_reports(full_texts(spark, sf_dir)).withColumn("_id", F.col("_id").cast("string"))
+    rows = stored(report_sources.parse_reports(full_texts(spark, sf_dir)).withColumn("_id", F.col("_id").cast("string")), "parsed")
     names, root = store.TableNames.of("views"), shared_folder(spark, "views")
     results = store.ResultStore(spark, f"{root}/results")
 

@@ -111,8 +111,8 @@ def saved_logs(spark: SparkSession, names: TableNames, root: str) -> DataFrame |
 
 def _new(rows: DataFrame, old: DataFrame | None, keys: list[str]) -> DataFrame:
     """Each row once by its keys, without those already there."""
-    rows = rows.dropDuplicates(keys)
-    return rows if old is None else rows.join(old.select(*keys), keys, "left_anti")
+    # Rows that are there go first, so that only new ones are carried on.
+    return (rows if old is None else rows.join(old.select(*keys), keys, "left_anti")).dropDuplicates(keys)
 
 
 def save(reports: DataFrame, logs: DataFrame | None, names: TableNames, root: str, batch: str | None = None) -> str:

@@ -2,7 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from runledger.sources import reports
+from runledger.catalog import load
+from runledger.sources import reports, store
+
+SMOKE = "/root/testdata/sf0.001"
 
 
 def plan(df):
@@ -18,3 +21,20 @@ def test_a_field_added_to_a_profile_does_not_multiply_its_metrics(spark):
     assert set(got) == {"p", "none"} and got["none"]["result"] is None and got["none"]["timers"] is None or got["none"]["timers"] == []
     assert (got["p"]["result"]["duration"], got["p"]["result"]["file-line"], got["p"]["result"]["returncode"]) == (4.0, 3, 0)
     assert [(t["path"], t["duration"]) for t in got["p"]["timers"]] == [("/a", 8.0), ("/a/b", None), (None, None)]
+
+
+def saved_plans(spark, monkeypatch, name):
+    found, save = [], store.save
+
+    def spy(rows, logs, *others):
+        found.extend(plan(x) for x in (rows, logs) if x is not None)
+        return save(rows, logs, *others)
+
+    monkeypatch.setattr(store, "save", spy)
+    load().QUERIES[name](spark, SMOKE)
+    return found
+
+
+def test_saved_reports_are_parsed_once(spark, monkeypatch):
+    plans = saved_plans(spark, monkeypatch, "saved_reports")
+    assert len(plans) == 8 and not any("parseJson" in p or "parse_json" in p or "Join" in p for p in plans)
