@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DataType, StructField, StructType, VariantType
 
@@ -46,11 +48,18 @@ def _fields(typed: Column, document: Column, schema: StructType) -> dict[str, Co
     known = [f.name for f in schema.fields]
     placed = F.filter(F.array(*[F.when(typed.getField(n).isNotNull(), F.lit(n)) for n in known]), lambda x: x.isNotNull())
     members = F.try_variant_get(document, "$", "map<string,variant>")
-    # Most documents have no other members: the names tell before any member is copied.
-    left = F.array_except(F.map_keys(members), placed)
-    rest = F.to_variant_object(F.map_filter(members, lambda name, _: F.array_contains(left, name)))
+    left = _once(
+        F.struct(members.alias("members"), placed.alias("placed")),
+        lambda x: F.map_filter(x["members"], lambda name, _: ~F.array_contains(x["placed"], name)),
+    )
+    rest = _once(left, lambda x: F.when(F.size(x) > 0, F.to_variant_object(x)))
     columns = {f.name: _value(typed.getField(f.name), document, f.name, f.dataType) for f in schema.fields}
-    return {**columns, REST: F.when(F.size(left) > 0, rest)}
+    return {**columns, REST: rest}
+
+
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """An expression over a value that is worked out once for the row; a lambda's body works it out for every member."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _value(typed: Column, document: Column, name: str, kind: DataType) -> Column:

@@ -38,3 +38,18 @@ def saved_plans(spark, monkeypatch, name):
 def test_saved_reports_are_parsed_once(spark, monkeypatch):
     plans = saved_plans(spark, monkeypatch, "saved_reports")
     assert len(plans) == 8 and not any("parseJson" in p or "parse_json" in p or "Join" in p for p in plans)
+
+
+def test_reports_of_a_stored_view_are_parsed_once(spark, monkeypatch):
+    plans = saved_plans(spark, monkeypatch, "stored_view")
+    assert len(plans) == 2 and not any("parseJson" in p or "parse_json" in p for p in plans)
+
+
+def test_members_of_a_section_are_listed_once(spark):
+    df = spark.createDataFrame([("a", '{"x": 1, "problem": {"cpu": 2, "queue": "q"}, "timers": [{"name": "n", "m": 3}, 4]}')], "k string, content string")
+    rows = reports.parse_reports(df)
+    # One list of members for the text and one for each of the schema's seven objects.
+    assert plan(rows).count("MapType(StringType,VariantType") <= 8
+    row = rows.select(*[F.to_json(c).alias(c) for c in ("rest", "problem", "timers")]).first()
+    assert row["rest"] == '{"x":1}' and row["problem"] == '{"cpu":2,"rest":{"queue":"q"}}'
+    assert row["timers"] == '[{"name":"n","rest":{"m":3}},{"rest":4}]'
