@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from runledger.llm.common import add_columns, as_bytes, mixed, stored, word_hashes
+from runledger.llm.common import add_columns, as_bytes, mixed, slices, stored, word_hashes
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -66,6 +66,12 @@ def shingles(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return code, np.bincount(owner, minlength=len(texts))
 
 
+def sliced_shingles(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """What ``shingles`` gives, of a slice of the texts at a time: hashing takes some fifty times their bytes."""
+    parts = [shingles(texts[begin:end]) for begin, end in slices(texts)]
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else shingles(texts)
+
+
 def _sketch(texts: list[bytes | None], full: bool) -> dict[str, list]:
     code, counts = shingles(texts)
     begin = np.cumsum(counts) - counts
@@ -219,7 +225,7 @@ def _block_links(threshold: float, need: list[tuple[int, int]]):
         rows, names = rows.take(pa.array(first)), [names[i] for i in first.tolist()]
         signature = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint32).reshape(-1, ROWS * BANDS)
         block, crowded = rows.column("block").to_numpy(), rows.column("crowded").to_numpy()
-        code, counts = shingles(as_bytes(rows.column("content").combine_chunks()))
+        code, counts = sliced_shingles(as_bytes(rows.column("content").combine_chunks()))
         ends = np.cumsum(counts)
         # Number of the earlier large bucket of each set, or one of its own.
         buckets = np.empty((len(names), band), np.int64)
