@@ -29,6 +29,9 @@ LENGTH = 1024
 BATCH = 64
 # Distinct pieces whose ids a Python worker remembers.
 REMEMBERED = 1_000_000
+# Pieces that the library encodes at once, and bytes of text whose pieces are held at once: its result takes some
+# hundred bytes a piece, and a worker does not give back what it once took.
+LEARNT, HELD_BYTES = 4096, 1 << 18
 
 INDEX = T.StructType(
     [
@@ -103,9 +106,11 @@ class Encoder:
         return range(self.used - len(sizes), self.used)
 
     def _learn(self, pieces: list[str]) -> None:
-        coded = self.tokenizer.encode("\n".join(pieces), add_special_tokens=False)
-        sizes = np.bincount(np.array(coded.word_ids, np.int64), minlength=len(pieces))
-        self.number.update(zip(pieces, self._remember(np.array(coded.ids, self.dtype), sizes), strict=True))
+        for at in range(0, len(pieces), LEARNT):
+            some = pieces[at : at + LEARNT]
+            coded = self.tokenizer.encode("\n".join(some), add_special_tokens=False)
+            sizes = np.bincount(np.array(coded.word_ids, np.int64), minlength=len(some))
+            self.number.update(zip(some, self._remember(np.array(coded.ids, self.dtype), sizes), strict=True))
 
     def _is_plain(self, text: bytes) -> bool:
         return self.by_piece and not text.translate(None, self.PLAIN) and not any(s in text for s in self.special)
@@ -232,7 +237,7 @@ def write_sequences(docs: DataFrame, tokenizer: str, folder: str, end: int = 1,
         name = f"tokens-{number:06d}-{uuid.uuid4().hex}.arrow"
         for batch in batches:
             texts = as_bytes(batch.column(1))
-            for low, high in slices(texts):
+            for low, high in slices(texts, HELD_BYTES):
                 if writer is None:
                     writer = _Writer(folder, name, encoder.dtype)
                 ids, counts = encoder.encode(texts[low:high])

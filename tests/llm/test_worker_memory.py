@@ -4,7 +4,27 @@ import tracemalloc
 
 import numpy as np
 
-from runledger.llm import jaccard
+from runledger.llm import jaccard, queries, tokens
+
+
+def test_pieces_are_learnt_in_small_parts():
+    encoder = tokens.Encoder(queries.tokenizer_path(), 1)
+    library, sizes = encoder.tokenizer, []
+
+    class Spy:
+        def encode(self, text, **options):
+            sizes.append(text.count("\n") + 1)
+            return library.encode(text, **options)
+
+        def __getattr__(self, name):
+            return getattr(library, name)
+
+    encoder.tokenizer = Spy()
+    texts = [" ".join(f"w{chr(97 + i % 26)}{i * 7919 % 100_003:x}q don't" for i in range(20_000)), "", "été 12"]
+    ids, counts = encoder.encode([t.encode() for t in texts])
+    assert sizes and max(sizes) <= 4096
+    want = [[*library.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert ids.tolist() == sum(want, []) and counts.tolist() == [len(w) for w in want]
 
 
 def test_texts_of_a_block_are_hashed_in_slices():
