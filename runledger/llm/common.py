@@ -6,15 +6,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, types as T
 
 from runledger.session import shared_folder, stored
 
-__all__ = ["add_columns", "as_bytes", "file_system", "free_name", "mixed", "prefix_hashes", "shared_folder", "slices", "stored", "word_hashes", "words"]
+__all__ = ["PART_BYTES", "add_columns", "as_bytes", "file_system", "free_name", "mixed", "prefix_hashes", "shared_folder", "slices", "stored", "text_slices", "word_hashes", "words"]
 
 # Text that one step of a Python worker looks at; whole documents only, so one long document may exceed it.
 SLICE_BYTES = 1 << 20
+# The same where arrays over all n-grams, shingles or pieces of the text are made: they take about a hundred bytes for
+# a byte of text, and a worker does not give back what it once took.
+PART_BYTES = 1 << 18
 
 _LETTERS = bytes(range(48, 58)) + bytes(range(97, 123))
 # Lower-cases A-Z and turns every other ASCII character that is no word character into a blank.
@@ -47,14 +51,25 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
 
 def slices(texts: list[bytes | None], most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Consecutive runs of texts of about ``most`` bytes."""
-    begin = size = 0
-    for at, text in enumerate(texts):
-        size += len(text or b"")
-        if size >= most:
+    return _cuts([len(text or b"") for text in texts], most)
+
+
+def text_slices(column: pa.Array, most: int = PART_BYTES) -> Iterator[tuple[int, int, list[bytes | None]]]:
+    """Such runs of a column's texts, of which only one at a time is held as Python objects."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    for begin, end in _cuts(sizes, most):
+        yield begin, end, as_bytes(column.slice(begin, end - begin))
+
+
+def _cuts(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    begin = held = 0
+    for at, size in enumerate(sizes):
+        held += size
+        if held >= most:
             yield begin, at + 1
-            begin, size = at + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
+            begin, held = at + 1, 0
+    if begin < len(sizes):
+        yield begin, len(sizes)
 
 
 def add_columns(
@@ -64,21 +79,26 @@ def add_columns(
 
     ``work`` takes a list of texts (bytes or None) and gives a list of values for each new field. ``keep``
     names the columns carried along (all by default); one that has the name of a new field gives way to it.
+    Texts go to the workers once, also where the text column is carried along.
     """
     new = {f.name.lower() for f in fields}
     carried = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
-    source = df.select(*[df[f"`{c}`"] for c in carried], df[f"`{text}`"].cast("string").alias("__text"))
-    schema = T.StructType([*source.drop("__text").schema.fields, *fields])
+    source = df.select(*[df[f"`{c}`"] for c in carried])
+    schema = T.StructType([*source.schema.fields, *fields])
+    if text in carried and source.schema[text].dataType == T.StringType():
+        place = carried.index(text)
+    else:
+        place = len(carried)
+        source = df.select(*[df[f"`{c}`"] for c in carried], df[f"`{text}`"].cast("string").alias(free_name("__text", carried)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         target = to_arrow_schema(schema)
         for batch in batches:
-            texts = as_bytes(batch.column(batch.num_columns - 1))
-            for begin, end in slices(texts):
-                part, found = batch.slice(begin, end - begin), work(texts[begin:end])
-                arrays = [part.column(i).cast(target.field(i).type) for i in range(part.num_columns - 1)]
+            for begin, end, texts in text_slices(batch.column(place)):
+                part, found = batch.slice(begin, end - begin), work(texts)
+                arrays = [part.column(i).cast(target.field(i).type) for i in range(len(carried))]
                 arrays += [pa.array(found[f.name], target.field(len(arrays) + i).type) for i, f in enumerate(fields)]
                 yield pa.RecordBatch.from_arrays(arrays, schema=target)
 
@@ -93,8 +113,9 @@ _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS[0]) < n:
+        size = max(n, 2 * len(_POWERS[0]), 2 * PART_BYTES)
         for i, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
-            steps = np.full(max(n, 2 * SLICE_BYTES), base, np.uint64)
+            steps = np.full(size, base, np.uint64)
             steps[0] = 1
             _POWERS[i] = np.cumprod(steps, dtype=np.uint64)
     return _POWERS[0], _POWERS[1]

@@ -201,14 +201,20 @@ def decontaminate(
             T.StructField("items", T.ArrayType(T.StringType())),
         ]
     )
-    carried = docs.columns if keep is None else keep
-    source = free_name("__source", carried)
-    out = docs.select(*[docs[f"`{c}`"] for c in carried], docs[f"`{text}`"].alias(source))
-    passes: list[str] = []
-    for block in _blocks(items, item_id, item_text, automaton_words):
-        passes.append(free_name(f"__pass{len(passes)}", out.columns))
-        out = add_columns(out, source, [T.StructField(passes[-1], hit)], _pass(out, block, window, passes[-1]))
     new = {"n_words", "n_hit", "hit_spans", "hit_items", "contaminated"} | ({"kept_text"} if cut else set())
+    carried = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new]
+    # A text that is carried along serves as it is; another one goes along until nothing needs it.
+    extra = [] if text in carried else [free_name("__source", carried)]
+    source = extra[0] if extra else text
+    out = docs.select(*[docs[f"`{c}`"] for c in carried], *[docs[f"`{text}`"].alias(c) for c in extra])
+    works = {}
+    for block in _blocks(items, item_id, item_text, automaton_words):
+        name = free_name(f"__pass{len(works)}", out.columns)
+        works[name] = _pass(docs, block, window, name)
+    passes = list(works)
+    for name, work in works.items():
+        spent = [] if cut or name != passes[-1] else extra
+        out = add_columns(out, source, [T.StructField(name, hit)], work, [c for c in out.columns if c not in spent])
     first = F.col(passes[0])
     if len(passes) == 1:
         spans, found = first["spans"], first["items"]
@@ -216,8 +222,7 @@ def decontaminate(
         spans = _merged(F.flatten(F.array(*[F.col(p)["spans"] for p in passes])))
         found = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(p)["items"] for p in passes]))))
     out = out.select(
-        *[f"`{c}`" for c in carried if c.lower() not in new],
-        F.col(source),
+        *[f"`{c}`" for c in out.columns if c not in passes],
         first["n_words"].alias("n_words"),
         spans.alias("hit_spans"),
         found.alias("hit_items"),
@@ -228,7 +233,7 @@ def decontaminate(
     )
     if cut:
         out = out.withColumn("kept_text", F.pandas_udf(_cut, "string")(F.col(source), F.col("hit_spans")))
-    return out.drop(source)
+    return out.drop(*extra)
 
 
 def _pass(docs: DataFrame, block: list[tuple[str, list[bytes]]], window: int, name: str):

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from runledger.llm.common import add_columns, as_bytes, mixed, slices, stored, word_hashes
+from runledger.llm.common import PART_BYTES, add_columns, as_bytes, mixed, slices, stored, word_hashes
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -68,7 +68,7 @@ def shingles(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
 
 def sliced_shingles(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """What ``shingles`` gives, of a slice of the texts at a time: hashing takes some fifty times their bytes."""
-    parts = [shingles(texts[begin:end]) for begin, end in slices(texts)]
+    parts = [shingles(texts[begin:end]) for begin, end in slices(texts, PART_BYTES)]
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else shingles(texts)
 
 
@@ -347,7 +347,7 @@ def links(
     wanted = pairs.select(F.col("a").alias("gid")).union(pairs.select("b")).union(meeting.select("gid")).distinct()
     wanted = wanted.join(sets.select("gid", "doc_no"), "gid").select(F.col("gid").alias("want"), "doc_no")
     source = docs.select(docs[f"`{doc_id}`"].alias("doc_no"), docs[f"`{text}`"].cast("string").alias("content"))
-    found = add_columns(source.join(wanted, "doc_no").withColumn("copy", F.col("content")), "copy", _FIELDS[:1], lambda t: {"gid": _sketch(t, False)["gid"]}, ["want", "content"])
+    found = add_columns(source.join(wanted, "doc_no"), "content", _FIELDS[:1], lambda t: {"gid": _sketch(t, False)["gid"]}, ["want", "content"])
     # A repeated id may bring texts of another set along, and a repeated row the same text twice.
     texts = stored(found.filter("gid = want").select("gid", "content").dropDuplicates(["gid"]), "texts")
     right = pairs.join(texts.select(F.col("gid").alias("b"), F.col("content").alias("other")), "b")

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from runledger.llm.common import add_columns, as_bytes, mixed, slices
+from runledger.llm.common import add_columns, mixed, text_slices
 
 ORDER = 4
 HASHES = 3
@@ -148,16 +148,18 @@ def fit_filter(
         (n, name, min(1.0, per_language / sizes[name]), min(least, max(1, sizes[name] // 10)), float(min(sizes[name], per_language)))
         for n, name in enumerate(languages)
     ]
-    plan = docs.sparkSession.createDataFrame(plan, "number int, lang string, share double, least int, texts double")
+    # An Arrow table becomes a local relation; a list of rows would go through Python workers of a kind of their own.
+    names, kinds = ("number", "lang", "share", "least", "texts"), (pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.float64())
+    plan = docs.sparkSession.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(zip(*plan, strict=True), kinds, strict=True)], names))
     unit = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)
     # One row a language.
     picked = rows.join(F.broadcast(plan), "lang").filter(unit < F.col("share")).select("number", "text").distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            numbers, texts = batch.column(0).to_numpy(), as_bytes(batch.column(1))
-            for begin, end in slices(texts):
-                found, counts = grams(texts[begin:end])
+            numbers = batch.column(0).to_numpy()
+            for begin, end, texts in text_slices(batch.column(1)):
+                found, counts = grams(texts)
                 of = np.repeat(np.arange(end - begin), counts)
                 of, found, _ = _runs(of, found)
                 language, gram, n = _runs(numbers[begin:end][of], found)

@@ -23,7 +23,7 @@ from pyarrow import ipc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
-from runledger.llm.common import as_bytes, file_system, shared_folder, slices
+from runledger.llm.common import PART_BYTES, file_system, shared_folder, text_slices
 
 LENGTH = 1024
 BATCH = 64
@@ -31,7 +31,7 @@ BATCH = 64
 REMEMBERED = 1_000_000
 # Pieces that the library encodes at once, and bytes of text whose pieces are held at once: its result takes some
 # hundred bytes a piece, and a worker does not give back what it once took.
-LEARNT, HELD_BYTES = 4096, 1 << 18
+LEARNT, HELD_BYTES = 4096, PART_BYTES
 
 INDEX = T.StructType(
     [
@@ -236,11 +236,10 @@ def write_sequences(docs: DataFrame, tokenizer: str, folder: str, end: int = 1,
         number = TaskContext.get().partitionId()
         name = f"tokens-{number:06d}-{uuid.uuid4().hex}.arrow"
         for batch in batches:
-            texts = as_bytes(batch.column(1))
-            for low, high in slices(texts, HELD_BYTES):
+            for low, high, texts in text_slices(batch.column(1), HELD_BYTES):
                 if writer is None:
                     writer = _Writer(folder, name, encoder.dtype)
-                ids, counts = encoder.encode(texts[low:high])
+                ids, counts = encoder.encode(texts)
                 writer.add(ids)
                 begin = first + np.cumsum(counts) - counts
                 first += len(ids)
