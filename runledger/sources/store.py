@@ -58,7 +58,7 @@ def log_files(runs: DataFrame, files: DataFrame, policy: str, run_key: str = "ru
     problem_code = F.col("problem.returncode")
     result_code = F.col("result.returncode")
     kept = runs.where(keeps_logs(policy, problem_code, result_code)).select(F.col(quoted(run_key)).alias("__run"))
-    rows = files.join(kept, files[quoted(run_key)] == kept["__run"], "left_semi")
+    rows = files.join(_shuffled(kept), files[quoted(run_key)] == kept["__run"], "left_semi")
     return rows.select(
         run_key,
         "filename",
@@ -109,10 +109,20 @@ def saved_logs(spark: SparkSession, names: TableNames, root: str) -> DataFrame |
     return links.join(files.select("file_id", "data"), "file_id")
 
 
+def _shuffled(keys: DataFrame) -> DataFrame:
+    """A side of a join that never goes through the driver.
+
+    Spark guesses the size of a few columns by their share of a row, where a VARIANT counts 2 KB: millions of keys
+    out of reports pass for small, and would be broadcast.
+    """
+    return keys.hint("merge")
+
+
 def _new(rows: DataFrame, old: DataFrame | None, keys: list[str]) -> DataFrame:
     """Each row once by its keys, without those already there."""
-    # Rows that are there go first, so that only new ones are carried on.
-    return (rows if old is None else rows.join(old.select(*keys), keys, "left_anti")).dropDuplicates(keys)
+    # Equal rows meet before the shuffle, so that a key that many rows share is none for one task.
+    once = rows.dropDuplicates(keys)
+    return once if old is None else once.join(_shuffled(old.select(*keys)), keys, "left_anti")
 
 
 def save(reports: DataFrame, logs: DataFrame | None, names: TableNames, root: str, batch: str | None = None) -> str:

@@ -53,3 +53,24 @@ def test_members_of_a_section_are_listed_once(spark):
     row = rows.select(*[F.to_json(c).alias(c) for c in ("rest", "problem", "timers")]).first()
     assert row["rest"] == '{"x":1}' and row["problem"] == '{"cpu":2,"rest":{"queue":"q"}}'
     assert row["timers"] == '[{"name":"n","rest":{"m":3}},{"rest":4}]'
+
+
+def physical(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_runs_whose_logs_are_kept_do_not_pass_the_driver(spark, tmp_path):
+    runs = spark.range(300).select(F.col("id").cast("string").alias("run_id"), F.struct((F.col("id") % 3).alias("returncode")).alias("problem"))
+    runs = runs.withColumn("result", F.struct(F.lit(None).cast("int").alias("returncode")))
+    files = runs.select("run_id", F.lit("a.log").alias("filename"), F.lit("x").cast("binary").alias("data"))
+    kept = store.log_files(runs, files, "on-error")
+    assert "Broadcast" not in physical(kept) and kept.count() == 200
+
+
+def test_known_keys_do_not_pass_the_driver(spark):
+    old = spark.range(0, 200).select(F.col("id").cast("string").alias("_id"), F.lit("old").alias("x"))
+    # One key holds most of the rows.
+    rows = spark.range(100, 5000).select(F.least("id", F.lit(250)).cast("string").alias("_id"), F.lit("new").alias("x"))
+    new = store._new(rows, old, ["_id"])
+    assert "Broadcast" not in physical(new)
+    assert sorted(int(r["_id"]) for r in new.collect()) == list(range(200, 251)) and {r["x"] for r in new.collect()} == {"new"}
