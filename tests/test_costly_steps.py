@@ -74,3 +74,14 @@ def test_known_keys_do_not_pass_the_driver(spark):
     new = store._new(rows, old, ["_id"])
     assert "Broadcast" not in physical(new)
     assert sorted(int(r["_id"]) for r in new.collect()) == list(range(200, 251)) and {r["x"] for r in new.collect()} == {"new"}
+
+
+def test_ids_of_saved_reports_are_not_guessed_to_be_few(spark, tmp_path):
+    texts = spark.createDataFrame([(str(i), '{"git": {"datetime": "2024-01-02T03:04:05"}, "x": 1}') for i in range(4)], "_id string, content string")
+    rows, names, root = reports.parse_reports(texts), store.TableNames.of("p"), str(tmp_path / "db")
+    store.save(rows.where("_id < 2"), None, names, root, "early")
+    new = store._new(store.report_ids(rows), store.saved_reports(spark, names, root), ["_id"])
+    # Only the names of finished batches are broadcast.
+    joins = [line for line in physical(new).splitlines() if "Join " in line]
+    assert len(joins) == 2 and "SortMergeJoin [_id" in joins[0] and "BroadcastHashJoin [batch" in joins[1]
+    assert sorted(r["_id"] for r in new.collect()) == ["2", "3"]
