@@ -51,45 +51,93 @@ def tree_levels(documents: DataFrame, json: str) -> int:
     return shapes.agg(F.max(bracket_depth(F.col("shape")))).first()[0] or 0
 
 
+NODE = {"pos": ArrayType(IntegerType())} | dict.fromkeys(("path", "parent", "tag", "node"), StringType())
 NODES = ArrayType(StructType([
-    StructField("pos", ArrayType(IntegerType())), *(StructField(n, StringType()) for n in ("path", "parent", "tag", "node"))
+    StructField("name", StringType()), StructField("path", StringType()), StructField("texts", StructType([StructField(f, StringType()) for f in TEXTS]))
 ]))
+ODD = ArrayType(StringType())
 
 
 def with_nodes(df: DataFrame, json: str, name: str = "nodes", normalise: bool = True) -> DataFrame:
-    """Add the nodes of each document's tree in preorder: an array of ``pos``, ``path``, ``parent``, ``tag``, ``node``.
+    """Replace a JSON column by the nodes of each document's tree in preorder: an array of ``name``, ``path`` and ``texts``.
 
-    Paths join the tags, normalised unless asked otherwise; ``node`` is the node's JSON text without its children.
-    The walk starts at the first root child. Text that is no JSON, or nests deeper than a parser goes, has no nodes
-    (null). Expressions can walk a tree of unknown depth only by copying it level by level, which took many times as
-    long; so documents are walked in Arrow batches.
+    Names are the tags, normalised unless asked otherwise; paths join them. ``texts`` are the fields that metrics are
+    made of, see ``node_texts``. The walk starts at the first root child. Text that is no JSON, or nests deeper than a
+    parser goes, has no nodes (null). Expressions can walk a tree of unknown depth only by copying it level by level,
+    which took many times as long; so documents are walked in Arrow batches.
     """
-    carried = [F.col(quoted(c)) for c in df.columns]
-    schema = StructType([*df.schema.fields, StructField(name, NODES)])
+    others = [F.col(quoted(c)) for c in df.columns if c != json]
+    carried = StructType([f for f in df.schema.fields if f.name != json])
+    schema = StructType([*carried.fields, StructField("__nodes", NODES), StructField("__odd", ODD)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tags: dict = {}
-        kind = to_arrow_type(NODES)
+        kind, odd_kind = to_arrow_type(NODES), to_arrow_type(ODD)
+        fields = list(kind.value_type)
         for batch in batches:
             rows, ends, missing = [], [0], []
             for text in batch.column(batch.num_columns - 1).to_pylist():
-                found = _walk(text, tags, normalise)
+                found = _walk(text, tags, normalise, _own_values)
                 rows += found or []
                 ends.append(len(rows))
                 missing.append(found is None)
+            texts, odd = _columns([r[4] for r in rows])
             # Column by column: a list of objects per document took three times as long to convert.
-            fields = list(kind.value_type)
-            columns = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(fields)]
-            nodes = pa.ListArray.from_arrays(
-                pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, fields=fields), type=kind, mask=pa.array(missing, pa.bool_())
-            )
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], nodes], names=schema.names)
+            columns = [pa.array([r[i] for r in rows], pa.string()) for i in (3, 1)]
+            columns.append(pa.StructArray.from_arrays(texts, fields=list(fields[2].type)))
+            at = pa.array(ends, pa.int32())
+            nodes = pa.ListArray.from_arrays(at, pa.StructArray.from_arrays(columns, fields=fields), type=kind, mask=pa.array(missing, pa.bool_()))
+            plain = [all(x is None for x in odd[i:j]) for i, j in zip(ends, ends[1:])] if odd else [True] * batch.num_rows
+            left = pa.ListArray.from_arrays(at, pa.array(odd or [None] * len(rows), pa.string()), type=odd_kind, mask=pa.array(plain, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], nodes, left], names=schema.names)
 
-    return df.select(*carried, F.col(quoted(json)).cast("string").alias("__json")).mapInArrow(run, schema)
+    rows = df.select(*others, F.col(quoted(json)).cast("string").alias("__json")).mapInArrow(run, schema)
+    mended = F.zip_with("__nodes", "__odd", lambda node, odd: F.when(odd.isNull(), node).otherwise(
+        F.struct(node["name"].alias("name"), node["path"].alias("path"), node_texts(F.try_parse_json(odd)).alias("texts"))
+    ))
+    return rows.select(*others, F.when(F.col("__odd").isNull(), F.col("__nodes")).otherwise(mended).alias(name))
 
 
-def _walk(text: str | None, tags: dict, normalise: bool, whole: bool = True) -> list[tuple] | None:
-    """The nodes of one document, as text too if ``whole``; ``tags`` remembers normalised tags, which programs repeat."""
+def _own_text(fields: dict) -> str:
+    return dumps({k: v for k, v in fields.items() if k != "children"})
+
+
+def _own_values(fields: dict) -> tuple:
+    return tuple(map(fields.get, TEXTS))
+
+
+def _columns(values: list[tuple]) -> tuple[list[pa.Array], list[str | None]]:
+    """The values of nodes as columns of texts, and for each node None, or its fields as JSON text where one of them is
+    for Spark to write: a number with a fraction, an object, a list. No JSON texts at all mean that there is no such node."""
+    try:
+        return [pa.array(v, pa.string()) for v in zip(*values)] or [pa.array([], pa.string()) for _ in TEXTS], []
+    except (pa.ArrowInvalid, pa.ArrowTypeError, UnicodeEncodeError):
+        pass
+    plain, odd = [], []
+    for own in values:
+        try:
+            plain.append([_plain(v) for v in own])
+            odd.append(None)
+        except ValueError:
+            plain.append([None] * len(own))
+            odd.append(dumps(dict(zip(TEXTS, own))))
+    return [pa.array(v, pa.string()) for v in zip(*plain)], odd
+
+
+def _plain(value: object) -> str | None:
+    """A value as Spark writes it as a text, for those that both write alike."""
+    if isinstance(value, str):
+        value.encode()  # half of a pair of code units is an error
+        return value
+    if isinstance(value, bool):
+        return str(value).lower()
+    if value is None or isinstance(value, int) and abs(value) < 10**18:
+        return None if value is None else str(value)
+    raise ValueError("not a plain value")
+
+
+def _walk(text: str | None, tags: dict, normalise: bool, own: Callable[[dict], object] | None = None) -> list[tuple] | None:
+    """The nodes of one document, with what ``own`` takes out of a node; ``tags`` remembers normalised tags, which programs repeat."""
     try:
         children = loads(text).get("children") if text else None
     except (ValueError, AttributeError, RecursionError):
@@ -105,8 +153,7 @@ def _walk(text: str | None, tags: dict, normalise: bool, whole: bool = True) ->
                 tags[tag] = normalised_tag(tag)
             tag = tags[tag]
         path = None if tag is None or above is None else f"{above}/{tag}"
-        own = dumps({k: v for k, v in fields.items() if k != "children"}) if whole else None
-        out.append((pos, path, above, tag, own))
+        out.append((pos, path, above, tag, own and own(fields)))
         inner = fields.get("children")
         if isinstance(inner, list):
             open_ += [([*pos, i], path, inner[i]) for i in range(len(inner) - 1, -1, -1)]
@@ -118,14 +165,14 @@ def tree_rows(df: DataFrame, key: str, json: str, normalise: bool = True, node:
     false, the node without its children; see ``with_nodes``."""
     source = df.select(quoted(key), F.col(quoted(json)).cast("string").alias("__json"))
     names = ["pos", "path", "parent", "tag", *(["node"] if node else [])]
-    schema = StructType([source.schema[0], *(NODES.elementType[n] for n in names)])
+    schema = StructType([source.schema[0], *(StructField(n, NODE[n]) for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tags: dict = {}
         for batch in batches:
             owners, rows = [], []
             for at, text in enumerate(batch.column(1).to_pylist()):
-                found = _walk(text, tags, normalise, node) or []
+                found = _walk(text, tags, normalise, _own_text if node else None) or []
                 rows += found
                 owners += [at] * len(found)
             columns = [pa.array([r[i] for r in rows], to_arrow_type(f.dataType)) for i, f in enumerate(schema.fields[1:])]
@@ -152,8 +199,10 @@ def text_metrics(texts: Column, processes: Column | None = None) -> list[Column]
 
 
 def _metrics(field: Callable[[str], Column], processes: Column | None) -> list[Column]:
-    share = F.lit(1.0) if processes is None else processes.cast("double")
-    metrics = [ratio(field(source).try_cast("double"), share).alias(name) for name, source in METRICS.items()]
+    metrics = [field(source).try_cast("double") for source in METRICS.values()]
+    if processes is not None:
+        metrics = [ratio(m, processes) for m in metrics]
+    metrics = [m.alias(name) for m, name in zip(metrics, METRICS, strict=True)]
     texts = [field(f).alias(f) for f in ("file-path", "function")]
     spread = ratio(field("cumul-time-min").try_cast("double"), field("cumul-time-max").try_cast("double")).alias("dur-ratio")
     return [*metrics, *texts, field("file-line").try_cast("int").alias("file-line"), spread]

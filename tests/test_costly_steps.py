@@ -1,8 +1,11 @@
 """Costly steps are worked out once, however often their results are used."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from runledger.catalog import load
+from runledger.operators import tree
 from runledger.sources import reports, store
 
 SMOKE = "/root/testdata/sf0.001"
@@ -85,3 +88,21 @@ def test_ids_of_saved_reports_are_not_guessed_to_be_few(spark, tmp_path):
     joins = [line for line in physical(new).splitlines() if "Join " in line]
     assert len(joins) == 2 and "SortMergeJoin [_id" in joins[0] and "BroadcastHashJoin [batch" in joins[1]
     assert sorted(r["_id"] for r in new.collect()) == ["2", "3"]
+
+
+def test_nodes_come_with_the_texts_of_their_fields(spark):
+    odd = [1.5, 100.0, 1e-7, 12, -0.0, 10**20, True, None, "x", " 7 ", "", [1, {"a": 2.5}], {"b": "c"}, "\ud800", "ä\U0001f600", float("1e999")]
+    nodes = [{"tag": f"t{i}", "cumul-time-sum": v, "file-path": v, "file-line": v, "other": 1} for i, v in enumerate(odd)]
+    texts = [("odd", json.dumps({"children": [{"tag": "root", "children": nodes}, {"tag": "second"}]}).replace("Infinity", "1e999"))]
+    texts += [("plain", '{"children": [{"tag": "A", "cumul-time-sum": "2", "children": [null, {"tag": 3, "function": "f"}]}]}'), ("none", '{"children": []}'), ("null", None), ("number", "7")]
+    df = spark.createDataFrame(texts, "k string, json string")
+    walked = tree.with_nodes(df, "json")
+    # The document goes to the worker and does not come back, and no JSON text of a plain node is made or parsed.
+    assert walked.columns == ["k", "nodes"]
+    got = {r["k"]: r["nodes"] for r in walked.collect()}
+    assert got["number"] is None and got["null"] == got["none"] == []
+    assert [(n["name"], n["path"], n["texts"]["function"]) for n in got["plain"]] == [("a", "/a", None), (None, None, None), ("3", "/a/3", "f")]
+    # As one cast of the node's variant gives them.
+    one = tree.tree_rows(df.where("k = 'odd'"), "k", "json").orderBy("pos").select("tag", "path", tree.node_texts(F.col("node")).alias("texts")).collect()
+    fields = lambda texts: texts and [texts[f] for f in tree.TEXTS]
+    assert [(n["name"], n["path"], fields(n["texts"])) for n in got["odd"]] == [(n["tag"], n["path"], fields(n["texts"])) for n in one]
