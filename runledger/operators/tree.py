@@ -5,10 +5,13 @@ A document is walked within its row, without a join or a look at other documents
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from json import dumps, loads
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.json as pj
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -56,6 +59,7 @@ NODES = ArrayType(StructType([
     StructField("name", StringType()), StructField("path", StringType()), StructField("texts", StructType([StructField(f, StringType()) for f in TEXTS]))
 ]))
 ODD = ArrayType(StringType())
+LEVELS = (4, 8, 16)  # of trees that are read as Arrow columns; deeper ones are walked one by one
 
 
 def with_nodes(df: DataFrame, json: str, name: str = "nodes", normalise: bool = True) -> DataFrame:
@@ -71,24 +75,18 @@ def with_nodes(df: DataFrame, json: str, name: str = "nodes", normalise: bool =
     schema = StructType([*carried.fields, StructField("__nodes", NODES), StructField("__odd", ODD)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tags: dict = {}
+        tags, levels = {}, list(LEVELS)
         kind, odd_kind = to_arrow_type(NODES), to_arrow_type(ODD)
         fields = list(kind.value_type)
         for batch in batches:
-            rows, ends, missing = [], [0], []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
-                found = _walk(text, tags, normalise, _own_values)
-                rows += found or []
-                ends.append(len(rows))
-                missing.append(found is None)
-            texts, odd = _columns([r[4] for r in rows])
-            # Column by column: a list of objects per document took three times as long to convert.
-            columns = [pa.array([r[i] for r in rows], pa.string()) for i in (3, 1)]
-            columns.append(pa.StructArray.from_arrays(texts, fields=list(fields[2].type)))
+            texts = batch.column(batch.num_columns - 1)
+            found = _walk_levels(texts, tags, normalise, levels) or _walk_each(texts, tags, normalise)
+            ends, missing, (names, paths, *values), odd = found
+            structs = [names, paths, pa.StructArray.from_arrays(values, fields=list(fields[2].type))]
             at = pa.array(ends, pa.int32())
-            nodes = pa.ListArray.from_arrays(at, pa.StructArray.from_arrays(columns, fields=fields), type=kind, mask=pa.array(missing, pa.bool_()))
+            nodes = pa.ListArray.from_arrays(at, pa.StructArray.from_arrays(structs, fields=fields), type=kind, mask=pa.array(missing, pa.bool_()))
             plain = [all(x is None for x in odd[i:j]) for i, j in zip(ends, ends[1:])] if odd else [True] * batch.num_rows
-            left = pa.ListArray.from_arrays(at, pa.array(odd or [None] * len(rows), pa.string()), type=odd_kind, mask=pa.array(plain, pa.bool_()))
+            left = pa.ListArray.from_arrays(at, pa.array(odd or [None] * len(names), pa.string()), type=odd_kind, mask=pa.array(plain, pa.bool_()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], nodes, left], names=schema.names)
 
     rows = df.select(*others, F.col(quoted(json)).cast("string").alias("__json")).mapInArrow(run, schema)
@@ -106,6 +104,87 @@ def _own_values(fields: dict) -> tuple:
     return tuple(map(fields.get, TEXTS))
 
 
+Found = tuple[Sequence[int], Sequence[bool], list[pa.Array], list[str | None]]
+
+
+def _walk_each(texts: pa.Array, tags: dict, normalise: bool) -> Found:
+    """The nodes of a batch's documents, walked one by one: where each document's nodes end, which documents have none
+    as they are no JSON, columns of names, paths and values, and the nodes whose values Spark is to write (``_columns``)."""
+    rows, ends, missing = [], [0], []
+    for text in texts.to_pylist():
+        found = _walk(text, tags, normalise, _own_values)
+        rows += found or []
+        ends.append(len(rows))
+        missing.append(found is None)
+    values, odd = _columns([r[4] for r in rows])
+    # Column by column: a list of objects per document took three times as long to convert.
+    return ends, missing, [pa.array([r[i] for r in rows], pa.string()) for i in (3, 1)] + values, odd
+
+
+def _walk_levels(texts: pa.Array, tags: dict, normalise: bool, levels: list[int]) -> Found | None:
+    """What ``_walk_each`` gives, by a level of all documents at a time; None where a document is not of the profiler's
+    format: another type than text in a field that is needed, no object, or more than ``LEVELS`` levels."""
+    lines = [f'{{"d": [{t or "{}"}]}}' for t in texts.to_pylist()]
+    data = "\n".join(lines).encode()
+    whole = False
+    while not whole:
+        schema = pa.schema([("d", pa.list_(pa.struct([("children", pa.list_(_node_kind(levels[0])))])))])
+        how = pj.ParseOptions(schema, newlines_in_values=data.count(b"\n") >= len(lines), unexpected_field_behavior="ignore")
+        try:
+            heads = pj.read_json(pa.py_buffer(data), pj.ReadOptions(use_threads=False, block_size=len(data) + 1), how).column("d").combine_chunks()
+        except pa.ArrowInvalid:
+            return None
+        one = pc.list_flatten(heads)
+        if len(heads) != len(lines) or len(one) != len(lines) or one.null_count or not pc.all(pc.equal(pc.list_value_length(heads), 1)).as_py():
+            return None
+        children = one.flatten()[0]
+        owners = pc.list_parent_indices(children).to_numpy()
+        first = np.flatnonzero(np.diff(owners, prepend=-1))
+        nodes, above, parents = pc.list_flatten(children).take(pa.array(first)), pa.repeat("", len(first)), []
+        columns = []
+        while len(nodes) and len(columns) < levels[0]:
+            tag, *values, children = nodes.flatten()
+            names = _normalised(tag, tags) if normalise else tag
+            paths = pc.binary_join_element_wise(above, names, "/")
+            columns.append([names, paths, *values])
+            parents.append(pc.list_parent_indices(children).to_numpy())
+            nodes, above = pc.list_flatten(children), paths.take(pa.array(parents[-1]))
+        whole = not len(nodes)
+        if not whole and len(levels) == 1:
+            return None
+        if not whole:
+            levels.pop(0)
+    # From the last level up, each node's nodes below it; from the first down, its place in preorder.
+    sizes = [np.ones(len(c[0]), np.int64) for c in columns]
+    for at in range(len(sizes) - 1, 0, -1):
+        sizes[at - 1] += np.bincount(parents[at - 1], sizes[at], len(sizes[at - 1])).astype(np.int64)
+    counts = np.zeros(len(lines), np.int64)
+    counts[owners[first]] = sizes[0] if sizes else 0
+    places = []
+    for at, size in enumerate(sizes):
+        before = np.cumsum(size) - size
+        if at:
+            parent = parents[at - 1]
+            before = places[-1][parent] + 1 + before - before[np.searchsorted(parent, parent)]
+        places.append(before)
+    order = pa.array(np.argsort(np.concatenate(places))) if places else None
+    merged = [pa.concat_arrays(c).take(order) for c in zip(*columns)] or [pa.array([], pa.string())] * (2 + len(TEXTS))
+    return np.concatenate([[0], np.cumsum(counts)]), np.zeros(len(lines), bool), merged, []
+
+
+def _node_kind(levels: int) -> pa.DataType:
+    """A node with its tag, its texts and as many levels of nodes; of those below it only tells that they are there."""
+    return pa.struct([(f, pa.string()) for f in ("tag", *TEXTS)] + [("children", pa.list_(_node_kind(levels - 1)))] if levels else [])
+
+
+def _normalised(tag: pa.Array, tags: dict) -> pa.Array:
+    coded = tag.dictionary_encode()
+    for t in coded.dictionary.to_pylist():
+        if t not in tags:
+            tags[t] = normalised_tag(t)
+    return pa.array([tags[t] for t in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
+
+
 def _columns(values: list[tuple]) -> tuple[list[pa.Array], list[str | None]]:
     """The values of nodes as columns of texts, and for each node None, or its fields as JSON text where one of them is
     for Spark to write: a number with a fraction, an object, a list. No JSON texts at all mean that there is no such node."""

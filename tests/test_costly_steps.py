@@ -2,6 +2,8 @@
 
 import json
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from runledger.catalog import load
@@ -106,3 +108,24 @@ def test_nodes_come_with_the_texts_of_their_fields(spark):
     one = tree.tree_rows(df.where("k = 'odd'"), "k", "json").orderBy("pos").select("tag", "path", tree.node_texts(F.col("node")).alias("texts")).collect()
     fields = lambda texts: texts and [texts[f] for f in tree.TEXTS]
     assert [(n["name"], n["path"], fields(n["texts"])) for n in got["odd"]] == [(n["tag"], n["path"], fields(n["texts"])) for n in one]
+
+
+def nested(levels, **fields):
+    node = {"tag": "Leaf x", "cumul-time-sum": "1", **fields}
+    for i in range(levels - 1):
+        node = {"tag": f"N{i}", "function": None if i % 2 else "ä", "children": [node, None, {"tag": "s", "file-line": "3", "children": []}]}
+    return json.dumps({"other": [1.5, {"children": 2}], "children": [node, {"tag": "second"}]}, indent=levels % 3 or None)
+
+
+def test_levels_of_many_documents_are_read_at_once(spark):
+    texts = pa.array([nested(1), nested(2), None, nested(7), "", "{}", nested(3), '{"children": null}', nested(16)], pa.string())
+    levels = list(tree.LEVELS)
+    found, want = tree._walk_levels(texts, {}, True, levels), tree._walk_each(texts, {}, True)
+    assert levels == [16]
+    as_lists = lambda f: ([int(x) for x in f[0]], [bool(x) for x in f[1]], [c.to_pylist() for c in f[2]], f[3])
+    assert as_lists(found) == as_lists(want)
+
+
+@pytest.mark.parametrize("text", [nested(17), "7", "null", "[{}]", "{x", " ", "{} {}", "{}, {}", nested(1, function=1.5), '{"children": [7]}', '{"children": {"tag": "a"}}', '{"children": [{"tag": "a", "tag": "b"}]}'])
+def test_other_documents_are_walked_one_by_one(text):
+    assert tree._walk_levels(pa.array(["{}", text, nested(1)]), {}, True, list(tree.LEVELS)) is None
