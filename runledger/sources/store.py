@@ -120,9 +120,13 @@ def _shuffled(keys: DataFrame) -> DataFrame:
 
 def _new(rows: DataFrame, old: DataFrame | None, keys: list[str]) -> DataFrame:
     """Each row once by its keys, without those already there."""
-    # Equal rows meet before the shuffle, so that a key that many rows share is none for one task.
-    once = rows.dropDuplicates(keys)
-    return once if old is None else once.join(_shuffled(old.select(*keys)), keys, "left_anti")
+    if old is None:
+        return rows.dropDuplicates(keys)
+    # No join: rows of a key meet before the shuffle, so that a common key is no work for one task.
+    row = F.struct(*[F.col(quoted(c)) for c in rows.columns if c not in keys]).alias("__row")
+    both = rows.select(*keys, row, F.lit(False).alias("__known")).unionByName(old.select(*keys, F.lit(True).alias("__known")), allowMissingColumns=True)
+    found = both.groupBy(*keys).agg(F.max("__known").alias("__known"), F.first("__row", ignorenulls=True).alias("__row"))
+    return found.where(~F.col("__known")).select(*[F.col(c) if c in keys else F.col("__row").getField(c).alias(c) for c in rows.columns])
 
 
 def save(reports: DataFrame, logs: DataFrame | None, names: TableNames, root: str, batch: str | None = None) -> str:
